@@ -8,7 +8,8 @@ compression allows, drops hopeless ones, and the full shingle sets confirm the r
 
 Candidates never number the square of a band's bucket: documents with equal sets are one representative;
 a bucket is first compared with its least member only (round one), and only members that this leaves in
-different components are compared with each other (round two), which loses no link between components.
+different components are compared with each other (round two), which loses no link between components; members
+of a crowded bucket only if an exact prefix filter on their full sets leaves the pair possible.
 
 Defined cases: a null or empty text, or one without words, has an empty set, is linked with nothing and stays.
 Rows that repeat a doc_id each come back; they share a component if any of their sets is linked to it. A row with a null doc_id is linked with nothing, is its own component (null) and stays.
@@ -28,6 +29,8 @@ from .components import components
 REGISTERS, ROWS, MANTISSA = 160, 5, 10
 #: Estimates this far below the threshold are dropped before verification: over five standard deviations.
 MARGIN = 0.18
+#: Members of a bucket up to which its pairs are listed; larger ones go through an exact prefix filter.
+SMALL = 32
 #: Accidental collisions of two independent registers, per 2**-mantissa (the HyperMinHash paper's constant).
 COLLISION = 0.169919487159739093975315012348630288992889
 
@@ -127,6 +130,40 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, width: i
     return near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_confirmer(width, percent), "a long, b long")
 
 
+def _exploder(width: int):
+    def explode(batches):
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                sets = shingle_sets(part.column("text"), width)
+                size = np.array([len(x) for x in sets], np.int64)
+                every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+                take = pa.array(np.repeat(np.arange(len(sets)), size))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("component").take(take), pa.array(signed(every))], names=["doc_id", "component", "shingle"])
+
+    return explode
+
+
+def _prefix_pairs(crowd: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of crowd(doc_id, component), of different components, that can still be alike enough: an exact filter.
+
+    Shingles are put in one order, the rarest among the crowd first. Two sets alike enough share a shingle among the first
+    n - ceil(percent * n / 100) + 1 of each, and behind that place both still have room for the overlap they need. In a crowd of
+    near copies the first places hold what is peculiar to a document, so this leaves few pairs where a bucket would give all.
+    """
+    rows = texts.join(crowd, "doc_id").select("doc_id", "component", "text").mapInArrow(_exploder(width), "doc_id long, component long, shingle long")
+    rows = cut(rows)
+    rare = rows.groupBy("shingle").agg(F.count("*").alias("df"))
+    order = rows.join(rare.where("df > 1"), "shingle", "left").select("doc_id", "component", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "shingle").alias("s"))
+    order = order.groupBy("doc_id", "component").agg(F.sort_array(F.collect_list("s")).alias("s")).withColumn("n", F.size("s"))
+    first = order.select("doc_id", "component", "n", F.posexplode(F.expr(f"slice(s, 1, cast(n - ceil(n * {percent} / 100) + 1 as int))")).alias("at", "s"))
+    first = first.where("s.df > 1").select("doc_id", "component", "n", "at", F.col("s.shingle").alias("shingle"))
+    mixed = first.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
+    first = cut(first.join(mixed, "shingle", "left_semi"))
+    x, y = (first.select("shingle", F.col("doc_id").alias(c), F.col("component").alias(f"c{c}"), F.col("n").alias(f"n{c}"), F.col("at").alias(f"at{c}")) for c in "ab")
+    room = f"least(na - ata, nb - atb) * {100 + percent} >= {percent} * (na + nb) and least(na, nb) * 100 >= greatest(na, nb) * {percent}"
+    return x.join(y, "shingle").where(f"a < b and ca <> cb and {room}").select("a", "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -148,10 +185,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     comp = components(links).select(F.col("node").alias("doc_id"), "component")
     # round two: buckets that still hold several components
     labelled = members.join(full.select("band"), "band", "left_semi").join(comp, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    split = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("doc_id").alias("lead")).where("lo < hi")
-    open_ = labelled.join(split.select("band", "lead"), "band")
-    x, y = (open_.select("band", "lead", F.col("doc_id").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
-    cross = x.join(y.drop("lead"), "band").where("a < b and ca <> cb and a <> lead").select("a", "b").distinct()
+    split = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("doc_id").alias("lead"), F.count("*").alias("size")).where("lo < hi")
+    open_ = cut(labelled.join(split.select("band", "lead", "size"), "band"))
+    x, y = (open_.where(F.col("size") <= SMALL).select("band", "lead", F.col("doc_id").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
+    cross = x.join(y.drop("lead"), "band").where("a < b and ca <> cb and a <> lead").select("a", "b")
+    crowd = cut(open_.where(F.col("size") > SMALL).select("doc_id", "component").distinct())
+    cross = cross.union(_prefix_pairs(crowd, texts, width, percent)).distinct()
     more = _confirmed(cross, sketches, texts, width, percent)
     label = components(links.union(cut(more))).select(F.col("node").alias("rep"), "component")
     by_set = first.join(label, "rep", "left").select("digest", "n_shingles", F.coalesce("component", "rep").alias("component"))
