@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import builtins
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; a longer single text is a step of its own.
 CHUNK_BYTES = 1 << 20
@@ -196,3 +198,31 @@ def partitions(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut lineage with a compressed table in the shared folder: for large intermediate results, which a checkpoint would write uncompressed."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+#: A key filter has at most so many bits (32 MB when broadcast), whatever the input; with more keys it only lets more through.
+FILTER_BITS = 1 << 28
+
+
+def key_filter(keys: DataFrame, column: str) -> tuple[int, np.ndarray]:
+    """(bits, words) of a one-hash Bloom filter of the long column. Bits are set in Spark; the driver gets one row per 64 bits, of a bounded number."""
+    n = keys.count()
+    bits = 1 << min(FILTER_BITS.bit_length() - 1, max(16, (16 * n).bit_length()))
+    at = F.col(column).bitwiseAND(F.lit(bits - 1))
+    rows = keys.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast({column} & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    found = rows.toArrow()
+    words = np.zeros(bits // 64, np.int64)
+    words[found.column("w").to_numpy()] = found.column("b").to_numpy()
+    return bits, words.view(np.uint64)
+
+
+def passes(keys: np.ndarray, bits: int, words: np.ndarray) -> np.ndarray:
+    """Whether each key may be in the filter."""
+    return (words[(keys & U64(bits - 1)) >> U64(6)] >> (keys & U64(63))) & U64(1) == 1

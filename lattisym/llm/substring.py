@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, cut, mix, prefix_hash, sequence_hash, signed, span_hash, text_bytes, word_spans
+from .common import U64, chunks, cut, key_filter, mix, passes, prefix_hash, sequence_hash, signed, span_hash, stored, text_bytes, word_spans
 
 WINDOW, PERIOD, ANCHOR = 50, 31, 20
 #: A perfect difference set modulo 31: every difference occurs.
@@ -68,19 +68,27 @@ def _summary(batches):
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts.astype(np.int64)), pa.array(signed(_digests(words, counts))), pa.array(sha, pa.string())], names=["doc_id", "n_words", "digest", "whole_sha256"])
 
 
-def _anchors(batches):
-    on = np.zeros(PERIOD, bool)
-    on[list(COVER)] = True
-    for batch in batches:
-        for part in chunks(batch, "text"):
-            *_, counts, words = _words(part.column("text"))
-            first = np.concatenate(([0], np.cumsum(counts)))
-            doc = np.repeat(np.arange(len(counts)), counts)
-            inner = np.arange(len(words)) - first[doc]
-            runs = sequence_hash(words, ANCHOR)
-            at = np.flatnonzero((on[inner % PERIOD] & (inner + ANCHOR <= counts[doc]) & (counts[doc] >= WINDOW))[: len(runs)])
-            ids = part.column("doc_id").take(pa.array(doc[at]))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(signed(_digests(words, counts)[doc[at]])), pa.array(inner[at].astype(np.int32)), pa.array(signed(runs[at]))], names=["doc_id", "digest", "at", "hash"])
+def _anchors(only=None):
+    """Anchor hashes: (digest, hash) of all, or (doc_id, at, hash) of those that the broadcast filter lets through."""
+
+    def emit(batches):
+        on = np.zeros(PERIOD, bool)
+        on[list(COVER)] = True
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                *_, counts, words = _words(part.column("text"))
+                first = np.concatenate(([0], np.cumsum(counts)))
+                doc = np.repeat(np.arange(len(counts)), counts)
+                inner = np.arange(len(words)) - first[doc]
+                runs = sequence_hash(words, ANCHOR)
+                at = np.flatnonzero((on[inner % PERIOD] & (inner + ANCHOR <= counts[doc]) & (counts[doc] >= WINDOW))[: len(runs)])
+                if only is None:
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(_digests(words, counts)[doc[at]])), pa.array(signed(runs[at]))], names=["digest", "hash"])
+                else:
+                    at = at[passes(runs[at], *only.value)]
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc[at])), pa.array(inner[at].astype(np.int32)), pa.array(signed(runs[at]))], names=["doc_id", "at", "hash"])
+
+    return emit
 
 
 def _windows(batches):
@@ -141,24 +149,21 @@ def _digester(batches):
             yield part.append_column("digest", pa.array(signed(_digests(words, counts))))
 
 
-def _shared(rows: DataFrame, by: str) -> DataFrame:
-    """Of the rows (doc_id, digest, at, hash), those whose hash meets the condition over all rows, which are one number pair per hash."""
-    if by == "digest":
-        found = rows.groupBy("hash").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi")).where("lo <> hi").select("hash")
-        return rows.join(found.hint("shuffle_hash"), "hash", "left_semi")
-    found = rows.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("hash", "least")
-    return rows.join(found.hint("shuffle_hash"), "hash").where("doc_id > least")
-
-
 def repeated_windows(docs: DataFrame, info: DataFrame) -> DataFrame:
     """(doc_id, digest, at): starts (word numbers) of the windows to remove, of one document of each word sequence."""
+    spark = docs.sparkSession
     rows = docs.select("doc_id", "text").where("doc_id is not null")
-    columns = "doc_id long, digest long, at int, hash long"
-    spots = _shared(rows.mapInArrow(_anchors, columns), "digest").groupBy("doc_id", "digest").agg(F.collect_list("at").alias("at"))
-    spots = cut(spots.join(info.where("first").select("doc_id", "digest"), ["doc_id", "digest"], "left_semi"))
+    every = rows.mapInArrow(_anchors(), "digest long, hash long").groupBy("hash").agg(F.min("digest").alias("lo"), F.max("digest").alias("hi"))
+    shared = stored(every.where("lo <> hi").select("hash"))
+    # few anchors are shared: a filter of bounded size keeps the others from being shuffled again; the join decides
+    only = spark.sparkContext.broadcast(key_filter(shared, "hash"))
+    spots = rows.mapInArrow(_anchors(only), "doc_id long, at int, hash long").join(shared, "hash", "left_semi")
+    spots = spots.groupBy("doc_id").agg(F.collect_list("at").alias("at"))
+    spots = cut(spots.join(info.where("first").select("doc_id", "digest").distinct(), "doc_id"))
     near = rows.join(spots.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_digester, "doc_id long, text string, digest long").join(spots, ["doc_id", "digest"])
-    windows = cut(near.select("doc_id", "digest", "text", "at").mapInArrow(_windows, columns))
-    return _shared(windows, "least").select("doc_id", "digest", "at")
+    windows = stored(near.select("doc_id", "digest", "text", "at").mapInArrow(_windows, "doc_id long, digest long, at int, hash long"))
+    least = windows.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("hash", "least")
+    return windows.join(least, "hash").where("doc_id > least").select("doc_id", "digest", "at")
 
 
 def remove_repeats(docs: DataFrame, output: str = "text") -> DataFrame:
