@@ -14,6 +14,7 @@ Defined cases: null html is an empty payload; a null url becomes an empty target
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -74,8 +75,8 @@ def records(rows: DataFrame) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, file_records: int = FILE_RECORDS) -> None:
-    """Write one WARC record per row of pages(page_id, url, html) into part files below path."""
-    records(captures(pages)).write.option("lineSep", END).option("maxRecordsPerFile", file_records).text(path)
+    """Write one WARC record per row of pages(page_id, url, html) into part files below path, each compressed as a whole (offsets are those of the records)."""
+    records(captures(pages)).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
 
 
 def url_key(url: str) -> str:
@@ -89,6 +90,8 @@ def url_key(url: str) -> str:
 
 def parse_archive(content: bytes):
     """(offset, length, headers, block) of every record of an archive."""
+    if content[:2] == b"\x1f\x8b":
+        content = gzip.decompress(content)
     at, n = 0, len(content)
     while at < n:
         head = content.index(END.encode(), at)
