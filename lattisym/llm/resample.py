@@ -22,6 +22,8 @@ from .common import U64, chunks, cut, lower_ascii, mix, prefix_hash, span_hash,
 
 BUCKETS = 1 << 16
 SHARE, SHARPNESS, SMOOTHING = 0.5, 40.0, 50.0
+#: The target model is fitted on at most so many of the wanted documents, the first by a hash of doc_id.
+SAMPLE = 20_000
 
 
 def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
@@ -92,11 +94,12 @@ def _cutoff(rows: DataFrame, value: str, k: int) -> float:
     return low
 
 
-def resample(docs: DataFrame, wanted: DataFrame, share: float = SHARE, seed: int = 7) -> DataFrame:
+def resample(docs: DataFrame, wanted: DataFrame, share: float = SHARE, seed: int = 7, sample: int = SAMPLE) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, log_weight, value (with noise), kept. wanted(doc_id) names the target documents; share is k over rows."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    flags = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().withColumn("w", F.lit(True))
-    counted = rows.join(flags, "doc_id", "left").select("text", F.coalesce("w", F.lit(False)).alias("wanted"))
+    # bounded: at most `sample` ids, which makes the broadcast safe and keeps the texts from being shuffled
+    flags = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumn("w", F.lit(True))
+    counted = rows.join(F.broadcast(flags), "doc_id", "left").select("text", F.coalesce("w", F.lit(False)).alias("wanted"))
     ratios = log_ratios(counted).tobytes()
     uniform = (F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     scored = rows.withColumn("noise", -F.log(-F.log(uniform))).mapInArrow(_weigher(ratios), "doc_id long, noise double, log_weight double")
