@@ -128,14 +128,13 @@ class Items:
             item, inner = owner[take], place[take]
             diagonal = where - at[doc] - inner
             band = diagonal // (self.edits[item] + 1)
-            for shift in (0, 1):
-                key = np.stack([doc, item, band - shift, inner])
-                key = np.unique(key, axis=1)
-                change = np.flatnonzero(np.any(key[:3, 1:] != key[:3, :-1], axis=0)) + 1
-                first = np.concatenate(([0], change))
-                count = np.diff(np.append(first, key.shape[1]))
-                for k in first[count >= self.need[key[1, first]]]:
-                    found.add((int(key[0, k]), int(key[1, k]), int(key[2, k])))
+            # each hit counts in the two bands that its diagonal lies in
+            key = np.unique(np.stack([np.concatenate((x, x)) for x in (doc, item)] + [np.concatenate((band, band - 1)), np.concatenate((inner, inner))]), axis=1)
+            change = np.flatnonzero(np.any(key[:3, 1:] != key[:3, :-1], axis=0)) + 1
+            first = np.concatenate(([0], change))
+            count = np.diff(np.append(first, key.shape[1]))
+            for k in first[count >= self.need[key[1, first]]]:
+                found.add((int(key[0, k]), int(key[1, k]), int(key[2, k])))
         return found
 
     def occurs(self, text: np.ndarray, item: int, band: int) -> bool:
