@@ -195,7 +195,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     label = components(links.union(cut(more))).select(F.col("node").alias("rep"), "component")
     by_set = first.join(label, "rep", "left").select("digest", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = found.select("doc_id", "n_shingles", "digest", F.col("sketch").isNotNull().alias("some"))
-    out = out.join(by_set, ["digest", "n_shingles"], "left").withColumn("component_id", F.when(F.col("some"), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")))
+    out = out.join(by_set, ["digest", "n_shingles"], "left").withColumn("component_id", F.when(F.col("some") & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
