@@ -5,8 +5,8 @@ Features of a text, each counted once: its words, pairs of neighbouring words, a
 per-coordinate learning rates and an L1 penalty (McMahan et al., "Ad click prediction", 2013), so few weights
 differ from zero; only those are sent to the executors.
 
-Labels are learnt from at most `sample` labelled rows (a documented bound: 10,000 by default), the first by a hash
-of doc_id among those whose crc32(doc_id) mod 4 is not 2. Every row of the input is scored on its whole text.
+Labels are learnt from at most `sample` labelled rows (a documented bound: 7,500 by default, a third of them toxic), the first
+of each label by a hash of doc_id among those whose crc32(doc_id) mod 4 is not 2. Every row of the input is scored on its whole text.
 
 Defined cases: null and empty texts have the score of the bias alone; a null doc_id is scored and not held out;
 several labels of one doc_id count as their maximum; null labels are ignored; without labels every score is 0.
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import U64, chunks, mix, prefix_hash, span_hash, text_bytes
 
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 6.0, 0.5, 6
-SAMPLE = 10_000
+SAMPLE = 7_500
 #: 1 for every score from here on.
 THRESHOLD = 0.3
 
@@ -111,10 +111,19 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fit on at most `sample` labelled rows of docs(doc_id, text) that are not held out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 4 <> 2")
     # bounded: at most `sample` rows of two numbers, which makes the broadcast safe
-    chosen = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    share = {1: sample // 3, 0: sample - sample // 3}
+    chosen = None
+    for label, most in share.items():
+        part = known.where((F.col("toxic") > 0) == F.lit(label == 1)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+        chosen = part if chosen is None else chosen.unionByName(part)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     got = rows.select("doc_id", "toxic", "text").mapInArrow(_featurise, "doc_id long, toxic int, features binary").orderBy("doc_id", F.xxhash64("features")).limit(2 * sample).collect()
-    return fit([(int(x.toxic > 0), bytes(x.features)) for x in got])
+    model = fit([(int(x.toxic > 0), bytes(x.features)) for x in got])
+    total = known.agg(F.count_if(F.col("toxic") > 0).alias("toxic"), F.count_if(F.col("toxic") <= 0).alias("clean")).first()
+    # the rarer class is sampled more densely; this puts the odds of all labelled rows back
+    model.bias += np.log(max(1, total.toxic) / max(1, min(total.toxic, share[1]))) - np.log(max(1, total.clean) / max(1, min(total.clean, share[0])))
+    return model
 
 
 def _scorer(hashes: bytes, weights: bytes, bias: float):
@@ -133,7 +142,7 @@ def _scorer(hashes: bytes, weights: bytes, bias: float):
                     pair = np.unique(doc[hit][good].astype(np.int64) * len(known) + at[good])
                     total += np.bincount(pair // len(known), weights=weight[pair % len(known)], minlength=n)
                 with np.errstate(over="ignore"):
-                    p = 1.0 / (1.0 + np.exp(-np.maximum(total, -700)))
+                    p = 1.0 / (1.0 + np.exp(-total))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in part.schema.names if c != "text"), pa.array(p)], names=[*(c for c in part.schema.names if c != "text"), "score"])
 
     return score
