@@ -44,13 +44,20 @@ _SYMBOL = pa.struct([(n, t) for n, t in (("name", pa.string()), ("kind", pa.stri
 _EDGE = pa.struct([("kind", pa.string()), ("source", pa.string()), ("target", pa.string()), ("line", pa.int32())])
 
 
+def _unique(found: dict) -> dict:
+    """Of several definitions of one name in a file the last stays, of equal edges one. Keys hold the file, so no shuffle is needed for either."""
+    symbols = {(s["parent"], s["name"]): s for s in found["symbols"]}
+    edges = {(e["kind"], e["source"], e["target"], e["line"]): e for e in found["edges"]}
+    return found | {"symbols": list(symbols.values()), "edges": list(edges.values())}
+
+
 def _parser(mirror: bool):
     def run(batches):
         for batch in batches:
             paths, sources = batch.column(0).to_pylist(), [x or "" for x in batch.column(1).to_pylist()]
             for first in range(0, len(paths), 256):
                 some = list(zip(paths[first : first + 256], sources[first : first + 256], strict=True))
-                found = [parse_source(p, s, mirror) for p, s in some]
+                found = [_unique(parse_source(p, s, mirror)) for p, s in some]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([p for p, _ in some], pa.string()),
@@ -75,9 +82,9 @@ def parse_files(files: DataFrame, mirror: bool = False) -> DataFrame:
 
 
 def nodes_of(parsed: DataFrame) -> DataFrame:
-    """Symbol nodes; of several definitions of one qualified name in a file the last stays, whatever order rows come in."""
-    rows = parsed.select("file_path", "content_hash", F.posexplode("symbols").alias("at", "s"))
-    rows = rows.select(
+    """Symbol nodes, one per qualified name. No shuffle: files are parsed to unique names."""
+    rows = parsed.select("file_path", "content_hash", F.explode("symbols").alias("s"))
+    return rows.select(
         F.col("s.kind").alias("kind"),
         X.sanitize_name(F.col("s.name")).alias("name"),
         X.qualified_name(F.col("file_path"), F.col("s.parent"), F.col("s.name")).alias("qualified_name"),
@@ -90,9 +97,7 @@ def nodes_of(parsed: DataFrame) -> DataFrame:
         F.col("s.decorators").alias("decorators"),
         F.col("s.children").alias("children"),
         F.col("content_hash").alias("file_hash"),
-        "at",
     )
-    return upsert(rows, ["qualified_name"], "at").drop("at")
 
 
 def upsert(rows: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -103,10 +108,9 @@ def upsert(rows: DataFrame, key: list[str], order: str) -> DataFrame:
 
 
 def edges_of(parsed: DataFrame) -> DataFrame:
-    """Raw edges, each (kind, source, target, file, line) once."""
+    """Raw edges, each (kind, source, target, file, line) once. No shuffle: files are parsed to unique edges."""
     rows = parsed.select("file_path", F.explode("edges").alias("e"))
-    rows = rows.select(F.col("e.kind").alias("kind"), F.col("e.source").alias("source_qualified"), F.col("e.target").alias("target_qualified"), F.col("e.target").alias("raw_target"), "file_path", F.col("e.line").alias("line"))
-    return dedupe_edges(rows)
+    return rows.select(F.col("e.kind").alias("kind"), F.col("e.source").alias("source_qualified"), F.col("e.target").alias("target_qualified"), F.col("e.target").alias("raw_target"), "file_path", F.col("e.line").alias("line"))
 
 
 def dedupe_edges(edges: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -49,8 +49,9 @@ def impact_radius(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: i
     out = found.join(nodes, found.node == nodes.qualified_name).select("seed", "qualified_name", "depth", "kind", "name", "file_path", "line_start")
     if max_nodes is None:
         return out
-    best = F.expr(f"slice(array_sort(collect_list(struct(depth, qualified_name, kind, name, file_path, line_start))), 1, {max_nodes})")
-    return out.groupBy("seed").agg(best.alias("x")).select("seed", F.explode("x").alias("x")).select("seed", "x.qualified_name", "x.depth", "x.kind", "x.name", "x.file_path", "x.line_start")
+    # a ranked limit: Spark cuts each task's rows to max_nodes per seed before the shuffle
+    rank = F.row_number().over(Window.partitionBy("seed").orderBy("depth", "qualified_name"))
+    return out.withColumn("__rank", rank).where(F.col("__rank") <= max_nodes).drop("__rank")
 
 
 def transitive_tests(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
