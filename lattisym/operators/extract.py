@@ -122,3 +122,23 @@ def dedupe_edges(edges: DataFrame) -> DataFrame:
 
 def files_of(parsed: DataFrame) -> DataFrame:
     return parsed.select("file_path", "content_hash", "parse_error", "imports")
+
+
+class _Symbols:
+    def eval(self, path: str, source: str):
+        for s in parse_source(path, source or "")["symbols"]:
+            yield s["name"], s["kind"], s["line"], s["end_line"], s["signature"], s["docstring"], s["parent"]
+
+
+class _Edges:
+    def eval(self, path: str, source: str):
+        for e in parse_source(path, source or "")["edges"]:
+            yield e["kind"], e["source"], e["target"], e["line"]
+
+
+def register(spark) -> None:
+    """Make the extractors SQL table functions: parse_symbols(path, source) and parse_edges(path, source), for LATERAL joins."""
+    symbols = F.udtf(_Symbols, returnType="name string, kind string, line int, end_line int, signature string, docstring string, parent string")
+    edges = F.udtf(_Edges, returnType="kind string, source string, target string, line int")
+    spark.udtf.register("parse_symbols", symbols)
+    spark.udtf.register("parse_edges", edges)

@@ -194,6 +194,15 @@ def test_build_refresh_store(spark, tmp_path):
     assert store.load(spark, place).nodes.count() == 3
 
 
+def test_table_functions(spark):
+    from lattisym.operators.extract import register
+
+    register(spark)
+    frame(spark, SOURCES).createOrReplaceTempView("code")
+    assert {tuple(x) for x in spark.sql("SELECT c.file_path, s.name FROM code c, LATERAL parse_symbols(c.file_path, c.source) s").collect()} == {("a.py", "f"), ("b.py", "g")}
+    assert spark.sql("SELECT e.target FROM code c, LATERAL parse_edges(c.file_path, c.source) e").first().target == "g"
+
+
 def test_streamed_refresh(spark, tmp_path):
     from lattisym.streaming.refresh import stream_into
 
