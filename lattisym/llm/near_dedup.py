@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, cut, mix, shingle_sets, signed
+from .common import U64, chunks, cut, mix, shingle_sets, signed, stored
 from .components import components
 
 REGISTERS, ROWS, MANTISSA = 160, 5, 10
@@ -55,13 +55,18 @@ def registers(shingles: np.ndarray, factors: np.ndarray) -> np.ndarray:
     return compress(least)
 
 
+def _digest(shingles: np.ndarray) -> int:
+    """A hash of a sorted set of shingles."""
+    return int(mix(mix(shingles).sum(dtype=np.uint64).reshape(1) + shingles[-1:])[0]) if len(shingles) else 0
+
+
 def _sketcher(width: int):
     def sketch(batches):
         factors = multipliers(REGISTERS)
         for batch in batches:
             for part in chunks(batch, "text"):
                 sets = shingle_sets(part.column("text"), width)
-                digest = [int(mix(mix(x).sum(dtype=np.uint64).reshape(1) + x[-1:])[0]) if len(x) else 0 for x in sets]
+                digest = [_digest(x) for x in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
@@ -138,7 +143,8 @@ def _exploder(width: int):
                 size = np.array([len(x) for x in sets], np.int64)
                 every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
                 take = pa.array(np.repeat(np.arange(len(sets)), size))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("component").take(take), pa.array(signed(every))], names=["doc_id", "component", "shingle"])
+                number = np.repeat(np.array([_digest(x) for x in sets], dtype=np.uint64), size)
+                yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("component").take(take), pa.array(signed(number)), pa.array(signed(every))], names=["doc_id", "component", "digest", "shingle"])
 
     return explode
 
@@ -150,11 +156,11 @@ def _prefix_pairs(crowd: DataFrame, texts: DataFrame, width: int, percent: int)
     n - ceil(percent * n / 100) + 1 of each, and behind that place both still have room for the overlap they need. In a crowd of
     near copies the first places hold what is peculiar to a document, so this leaves few pairs where a bucket would give all.
     """
-    rows = texts.join(crowd, "doc_id").select("doc_id", "component", "text").mapInArrow(_exploder(width), "doc_id long, component long, shingle long")
-    rows = cut(rows)
+    rows = texts.join(crowd, "doc_id").select("doc_id", "component", "text").mapInArrow(_exploder(width), "doc_id long, component long, digest long, shingle long")
+    rows = stored(rows)
     rare = rows.groupBy("shingle").agg(F.count("*").alias("df"))
-    order = rows.join(rare.where("df > 1"), "shingle", "left").select("doc_id", "component", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "shingle").alias("s"))
-    order = order.groupBy("doc_id", "component").agg(F.sort_array(F.collect_list("s")).alias("s")).withColumn("n", F.size("s"))
+    order = rows.join(rare.where("df > 1"), "shingle", "left").select("doc_id", "component", "digest", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "shingle").alias("s"))
+    order = order.groupBy("doc_id", "component", "digest").agg(F.sort_array(F.collect_list("s")).alias("s")).withColumn("n", F.size("s"))
     first = order.select("doc_id", "component", "n", F.posexplode(F.expr(f"slice(s, 1, cast(n - ceil(n * {percent} / 100) + 1 as int))")).alias("at", "s"))
     first = first.where("s.df > 1").select("doc_id", "component", "n", "at", F.col("s.shingle").alias("shingle"))
     mixed = first.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
@@ -175,8 +181,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     usable = found.where("sketch is not null and doc_id is not null")
     # documents with equal sets are one; its least id stands for all of them
     first = usable.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
-    sketches = usable.join(first, (usable.doc_id == first.rep) & (usable.digest == first.digest) & (usable.n_shingles == first.n_shingles), "left_semi").dropDuplicates(["doc_id"])
-    sketches = cut(sketches.select("doc_id", "n_shingles", "sketch"))
+    sketches = usable.join(first, (usable.doc_id == first.rep) & (usable.digest == first.digest) & (usable.n_shingles == first.n_shingles), "left_semi")
+    sketches = cut(sketches.select("doc_id", "n_shingles", "sketch").distinct())
     members = cut(sketches.select("doc_id", "sketch").mapInArrow(_bander, "band long, doc_id long"))
     full = members.groupBy("band").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last")
     star = members.join(full.select("band", "lead"), "band").where("doc_id > lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()

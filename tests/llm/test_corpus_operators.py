@@ -114,6 +114,15 @@ def test_near_duplicates_odd_rows(spark):
     assert got == [("3", 0, "3", True), ("3", 9, "3", True), ("3", 9, "3", True), ("None", 1, "None", True), ("None", 9, "None", True)]
 
 
+def test_near_duplicates_of_a_repeated_id(spark):
+    """Two texts under one id: each is linked by its own set."""
+    rng = random.Random(6)
+    a, b = (" ".join(words(rng, 60, 5000)) for _ in range(2))
+    df = frame(spark, [a, b, a + " more", b + " more", "alone"], [5, 5, 7, 8, 9])
+    got = {(x.doc_id, x.component_id) for x in near_dedup.near_duplicates(df, 2).collect()}
+    assert got == {(5, 5), (7, 5), (8, 5), (9, 9)}
+
+
 def test_registers_and_estimates():
     rng = np.random.default_rng(1)
     factors = near_dedup.multipliers(4000)
