@@ -317,6 +317,7 @@ def test_decontamination(spark):
     assert {x.doc_id: x["items"] for x in decontaminate.contamination(frame(spark, texts), bench, block_chars=100).collect()} == {k: x["items"] for k, x in got.items()}
     kept = decontaminate.decontaminate(frame(spark, texts), bench)
     assert {x.doc_id for x in kept.collect()} == {k for k, x in got.items() if not x.contaminated} and kept.columns == frame(spark, [""]).columns
+    assert {x.doc_id for x in decontaminate.decontaminate(frame(spark, texts), bench, block_chars=100).collect()} == {x.doc_id for x in kept.collect()}
     assert decontaminate.contamination(frame(spark, texts), bench.limit(0)).where("contaminated").count() == 0
 
 
@@ -384,6 +385,7 @@ def test_html(spark):
         (page("<main><div>Plain <i>text</i></div>tail<script>var a='</p>';</script></main>"), "Plain text\n\ntail"),
         ("<p>only<!-- c --> text<p title='a>b'>second", "only text\n\nsecond"),
         ("<div id='cookie-notice'>We use</div><form>q<input></form><p>body", "body"),
+        ("<body class='has-sidebar'><div class='layout with-header'><p>kept<div class='sidebarBox'>gone</div><section id='userComments'>gone</section></div>", "kept"),
         ("<article><p>a<script>never ends <p>b", "a"),
         (None, ""),
         ("", ""),
