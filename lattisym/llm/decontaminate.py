@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, _powers, chunks, mix, text_bytes
+from .common import U64, _powers, chunks, mix, stored, text_bytes
 
 BUDGET = 0.05
 #: At most so many characters of items are in one broadcast.
@@ -189,25 +189,29 @@ def contamination(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET,
     if len(blocks) == 1:
         out = rows.mapInArrow(_matcher(blocks[0], budget), "doc_id long, items array<long>")
     else:
-        def each(batches):
-            for batch in batches:
-                lists = [[x for p in _matcher(b, budget)(iter([batch])) for x in p.column("items").to_pylist()] for b in blocks]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted({y for x in z for y in x}) for z in zip(*lists, strict=True)], pa.list_(pa.int64()))], names=["doc_id", "items"])
-
-        out = rows.mapInArrow(each, "doc_id long, items array<long>")
+        # each block is broadcast to its own tasks; a row's answers, one per block, meet again by its number
+        rows = rows.withColumn("row", F.monotonically_increasing_id())
+        every = None
+        for block in blocks:
+            part = rows.mapInArrow(_matcher(block, budget), "doc_id long, row long, items array<long>")
+            every = part if every is None else every.unionByName(part)
+        out = every.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     return out.select("doc_id", F.size("items").cast("long").alias("n_items"), "items", (F.size("items") > 0).alias("contaminated"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, budget: float = BUDGET, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The rows of docs, all columns, in which no item occurs. One pass, no shuffle."""
+    """The rows of docs, all columns, in which no item occurs. One pass over the texts per block of items, no shuffle."""
     blocks = item_blocks(benchmark, block_chars)
 
-    def keep(batches):
-        for batch in batches:
-            slim = pa.RecordBatch.from_arrays([batch.column(batch.schema.names.index("text"))], names=["text"])
-            clean = np.ones(batch.num_rows, bool)
-            for block in blocks:
-                clean &= np.array([not x for p in _matcher(block, budget)(iter([slim])) for x in p.column("items").to_pylist()], bool)
-            yield batch.filter(pa.array(clean, pa.bool_()))
+    def keep(block):
+        def run(batches):
+            for batch in batches:
+                slim = pa.RecordBatch.from_arrays([batch.column(batch.schema.names.index("text"))], names=["text"])
+                yield batch.filter(pa.array([not x for p in _matcher(block, budget)(iter([slim])) for x in p.column("items").to_pylist()], pa.bool_()))
+
+        return run
 
-    return docs.mapInArrow(keep, docs.schema)
+    out = docs
+    for k, block in enumerate(blocks):
+        out = (stored(out) if k else out).mapInArrow(keep(block), docs.schema)
+    return out
