@@ -13,9 +13,11 @@ Two sketches without any hash (very short texts) are alike (1) if their digests
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,9 +102,9 @@ def neighbours(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.coalesce("doc_id", big))
     n = max(2, 2 * partitions(spark))
     cuts = sorted(set(docs.select(F.col("doc_id").cast("double").alias("d")).where("d is not null").approxQuantile("d", [k / n for k in range(1, n)], 1 / (4 * n)))) or [0.0]
-    # one edge per bucket: a literal of fixed size
-    bucket = F.size(F.filter(F.lit(cuts), lambda x: x <= F.col("key").cast("double")))
-    rows = rows.withColumn("bucket", bucket)
+    # a binary search per row, however many buckets there are
+    search = Bucketizer(splits=[-math.inf, *(cuts if len(cuts) > 1 else [cuts[0], cuts[0] + 1]), math.inf], inputCol="__key", outputCol="__bucket")
+    rows = search.transform(rows.withColumn("__key", F.col("key").cast("double"))).withColumn("bucket", F.col("__bucket").cast("int")).drop("__key", "__bucket")
     heads = rows.groupBy("bucket").agg(F.min("key").alias("key")).collect()
     heads = sorted((x.bucket, x.key) for x in heads)
     before = [(heads[k - 1][0], x[1]) for k, x in enumerate(heads)]
@@ -112,7 +114,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     first = rows.join(edges, F.col("key") == F.col("head")).groupBy("home", "key").agg(F.min("text").alias("text"))
     first = first.select(F.col("home").alias("bucket"), F.lit(1).alias("extra"), F.lit(None).cast("long").alias("doc_id"), "key", "text")
     both = rows.select("bucket", F.lit(0).alias("extra"), "doc_id", "key", "text").unionByName(first)
-    return both.repartition(n, "bucket").sortWithinPartitions("bucket", "extra", "key", "text")
+    return both.repartitionById(n + 2, F.col("bucket")).sortWithinPartitions("bucket", "extra", "key", "text")
 
 
 def _editor(batches):
