@@ -197,8 +197,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     cross = x.join(y.drop("lead"), "band").where("a < b and ca <> cb and a <> lead").select("a", "b")
     crowd = cut(open_.where(F.col("size") > SMALL).select("doc_id", "component").distinct())
     cross = cross.union(_prefix_pairs(crowd, texts, width, percent)).distinct()
-    more = _confirmed(cross, sketches, texts, width, percent)
-    label = components(links.union(cut(more))).select(F.col("node").alias("rep"), "component")
+    more = cut(_confirmed(cross, sketches, texts, width, percent))
+    label = (comp if more.isEmpty() else components(links.union(more)).withColumnRenamed("node", "doc_id")).withColumnRenamed("doc_id", "rep")
     by_set = first.join(label, "rep", "left").select("digest", "n_shingles", F.coalesce("component", "rep").alias("component"))
     out = found.select("doc_id", "n_shingles", "digest", F.col("sketch").isNotNull().alias("some"))
     out = out.join(by_set, ["digest", "n_shingles"], "left").withColumn("component_id", F.when(F.col("some") & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")))
