@@ -78,15 +78,17 @@ def fit(examples: list[tuple[int, bytes]]) -> Model:
     if not examples:
         return Model(np.zeros(0, np.uint32), np.zeros(0), -np.inf)
     rows = [np.frombuffer(x, dtype=np.uint32) for _, x in examples]
-    hashes, seen = np.unique(np.concatenate(rows), return_counts=True)
-    hashes = hashes[seen > 1]  # L1 leaves a feature of a single example at zero
+    every = np.concatenate(rows)
+    every.sort()
+    again = every[1:][every[1:] == every[:-1]]  # L1 leaves a feature of a single example at zero
+    hashes = again[np.concatenate((np.ones(min(1, len(again)), bool), again[1:] != again[:-1]))]
+    del every, again
     z, n = np.zeros(len(hashes) + 1), np.zeros(len(hashes) + 1)
     where = []
     for x in rows:
         k = np.searchsorted(hashes, x)
-        k = k[(k < len(hashes))]
-        k = k[np.isin(hashes[k], x, assume_unique=True)]
-        where.append(np.append(k, len(hashes)))  # the last coordinate is the bias
+        k = k[hashes[np.minimum(k, len(hashes) - 1)] == x] if len(hashes) else k[:0]
+        where.append(np.append(k, len(hashes)).astype(np.int32))  # the last coordinate is the bias
     penalty = np.full(len(z), L1)
     penalty[-1] = 0.0
 
@@ -118,8 +120,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         part = known.where((F.col("toxic") > 0) == F.lit(label == 1)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
         chosen = part if chosen is None else chosen.unionByName(part)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    got = rows.select("doc_id", "toxic", "text").mapInArrow(_featurise, "doc_id long, toxic int, features binary").orderBy("doc_id", F.xxhash64("features")).limit(2 * sample).collect()
-    model = fit([(int(x.toxic > 0), bytes(x.features)) for x in got])
+    # one row per chosen id, so what the driver gets is bounded even if ids repeat
+    got = rows.select("doc_id", "toxic", "text").mapInArrow(_featurise, "doc_id long, toxic int, features binary").groupBy("doc_id").agg(F.min(F.struct("features", "toxic")).alias("x"))
+    found = got.select("doc_id", "x.toxic", "x.features").toArrow().sort_by("doc_id")
+    model = fit([(int(t > 0), f) for t, f in zip(found.column("toxic").to_pylist(), found.column("features").to_pylist(), strict=True)])
     total = known.agg(F.count_if(F.col("toxic") > 0).alias("toxic"), F.count_if(F.col("toxic") <= 0).alias("clean")).first()
     # the rarer class is sampled more densely; this puts the odds of all labelled rows back
     model.bias += np.log(max(1, total.toxic) / max(1, min(total.toxic, share[1]))) - np.log(max(1, total.clean) / max(1, min(total.clean, share[0])))
