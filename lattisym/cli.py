@@ -40,9 +40,9 @@ def parser() -> argparse.ArgumentParser:
     add("search", "query", limit={"type": int, "default": 20})
     add("replace-body", "name", file=text, expect_hash=text)
     add("insert-symbol", after=text, before=text, file=text, expect_hash=text)
-    add("blast-radius", "name", depth={"type": int, "default": 3})
+    add("blast-radius", "name", depth={"type": int, "default": 3}, file=text)
     add("dead-code", file=text)
-    add("test-coverage", "name", depth={"type": int, "default": 2})
+    add("test-coverage", "name", depth={"type": int, "default": 2}, file=text)
     add("init")
     add("help").add_argument("topic", nargs="?")
     p = add("benchmark", "action", queries={"default": "benchmarks/queries"}, query=text, save=text)

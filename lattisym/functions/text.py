@@ -40,8 +40,13 @@ def language(path: Column) -> Column:
 
 
 def is_caller_test(path: Column) -> Column:
-    """Test files as usages and dead code see them."""
-    return base_name(path).startswith("test_") & (~path.contains("/") | path.contains("/test_")) | path.contains("/test_") | path.startswith("tests/") | path.startswith("test_")
+    """Test files as usages see them."""
+    return path.startswith("test_") | path.contains("/test_") | path.startswith("tests/")
+
+
+def is_uncalled_test(path: Column) -> Column:
+    """Test files as dead code sees them: the file's own name counts, not that of its first directory."""
+    return base_name(path).startswith("test_") | path.contains("/test_") | path.startswith("tests/")
 
 
 def any_part(path: Column, parts: tuple[str, ...]) -> Column:

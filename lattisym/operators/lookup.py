@@ -121,7 +121,7 @@ def first_candidate(nodes: DataFrame, path: str, file_path: str | None = None) -
 
 
 def body(nodes: DataFrame, sources: DataFrame, path: str, file_path: str | None = None) -> DataFrame:
-    """(file_path, name, line_start, line_end, source, content_hash) of the first candidate; sources(file_path, source)."""
+    """(file_path, qualified_name, name, kind, line_start, line_end, body, content_hash) of the first candidate; sources(file_path, source)."""
     return bodies(first_candidate(nodes, path, file_path), sources)
 
 
@@ -129,4 +129,4 @@ def bodies(nodes: DataFrame, sources: DataFrame) -> DataFrame:
     """The source lines of each node."""
     out = nodes.join(sources.select("file_path", "source"), "file_path")
     text = F.array_join(F.slice(X.lines(F.col("source")), F.col("line_start"), F.greatest(F.col("line_end") - F.col("line_start") + 1, F.lit(0))), "\n")
-    return out.select("file_path", "qualified_name", "name", "line_start", "line_end", text.alias("body"), X.content_hash(F.col("source")).alias("content_hash"))
+    return out.select("file_path", "qualified_name", "name", "kind", "line_start", "line_end", text.alias("body"), X.content_hash(F.col("source")).alias("content_hash"))

@@ -79,7 +79,7 @@ def dead_code(nodes: DataFrame, edges: DataFrame, file_path: str | None = None)
     keep = ~name.isin(*ENTRY_NAMES, "constructor") & ~(name.startswith("__") & name.endswith("__"))
     for prefix in ENTRY_PREFIXES:
         keep = keep & ~name.startswith(prefix)
-    keep = keep & ~X.is_caller_test(path) & ~path.endswith("conftest.py")
+    keep = keep & ~X.is_uncalled_test(path) & ~path.endswith("conftest.py")
     framed = F.exists(F.coalesce("decorators", F.array().cast("array<string>")), lambda d: X.any_part(d, FRAMEWORK_DECORATORS))
     called = edges.where("kind = 'CALLS'").select(F.col("target_qualified").alias("qualified_name")).distinct()
     return rows.where(keep & ~framed).join(called, "qualified_name", "left_anti").select(*nodes.columns).orderBy("file_path", "line_start", "qualified_name")

@@ -30,8 +30,8 @@ class Project:
         if lookup.file_names(self.graph.nodes, self.graph.files).where(F.col("file_path") == file).isEmpty():
             raise FileNotFoundError(f"File '{file}' not found in index")
 
-    def _first(self, name: str) -> DataFrame:
-        found = lookup.first_candidate(self.graph.nodes, name)
+    def _first(self, name: str, file: str | None = None) -> DataFrame:
+        found = lookup.first_candidate(self.graph.nodes, name, file)
         if found.isEmpty():
             raise ValueError(f"Symbol '{name}' not found in index")
         return found
@@ -56,7 +56,7 @@ class Project:
         if not rows:
             raise ValueError(f"Symbol '{name}' not found in index")
         x = rows[0]
-        return {"file": x["file_path"], "name": x["name"], "line": x["line_start"], "end_line": x["line_end"], "source": x["body"], "content_hash": x["content_hash"]}
+        return {"file": x["file_path"], "line": x["line_start"], "end_line": x["line_end"], "name": x["name"], "kind": x["kind"], "source": x["body"], "content_hash": x["content_hash"]}
 
     def usages(self, name: str, path=None, kind=None, limit: int = 50, no_tests: bool = False) -> list[dict]:
         first = lookup.first_candidate(self.graph.nodes, name)
@@ -81,20 +81,25 @@ class Project:
             "entry_points": _rows(relations.entry_points(n).withColumnRenamed("file_path", "file")),
         }
 
-    def blast_radius(self, name: str, depth: int = 3) -> dict:
-        seeds = self._first(name).select(F.col("qualified_name").alias("seed"))
-        rows = _rows(reach.impact_radius(self.graph.nodes, self.graph.edges, seeds, depth).drop("seed").orderBy("depth", "qualified_name"))
-        tests = _rows(reach.transitive_tests(self.graph.nodes, self.graph.edges, seeds, 2).drop("seed").orderBy("indirect", "qualified_name"))
-        return {"symbol": name, "affected": rows, "files": sorted({x["file_path"] for x in rows}), "total": len(rows), "tests": tests}
+    def _tests(self, seeds: DataFrame, depth: int) -> list[dict]:
+        rows = reach.transitive_tests(self.graph.nodes, self.graph.edges, seeds, depth).orderBy("indirect", "qualified_name")
+        return _rows(rows.select("name", F.col("file_path").alias("file"), "indirect"))
+
+    def blast_radius(self, name: str, depth: int = 3, file: str | None = None) -> dict:
+        first = self._first(name, file).persist()
+        seeds = first.select(F.col("qualified_name").alias("seed"))
+        found = reach.impact_radius(self.graph.nodes, self.graph.edges, seeds, depth).orderBy("depth", "qualified_name")
+        rows = _rows(found.select(F.col("name").alias("symbol"), F.col("file_path").alias("file"), F.col("line_start").alias("line"), "depth", "kind"))
+        return {"symbol": name, "file": first.first().file_path, "affected": rows, "affected_files": sorted({x["file"] for x in rows}), "tests": self._tests(seeds, 2), "total_affected": len(rows)}
 
     def dead_code(self, file: str | None = None) -> list[dict]:
         rows = relations.dead_code(self.graph.nodes, self.graph.edges, file)
-        return _rows(rows.select(F.col("file_path").alias("file"), "name", "kind", F.col("line_start").alias("line"), "signature"))
+        return _rows(rows.select(F.col("name").alias("symbol"), F.col("file_path").alias("file"), F.col("line_start").alias("line"), "kind", F.col("parent_name").alias("parent")))
 
-    def test_coverage(self, name: str, depth: int = 2) -> dict:
-        seeds = self._first(name).select(F.col("qualified_name").alias("seed"))
-        tests = _rows(reach.transitive_tests(self.graph.nodes, self.graph.edges, seeds, depth).drop("seed").orderBy("indirect", "qualified_name"))
-        return {"symbol": name, "tests": tests, "total_tests": len(tests), "covered": bool(tests)}
+    def test_coverage(self, name: str, depth: int = 2, file: str | None = None) -> dict:
+        first = self._first(name, file).persist()
+        tests = self._tests(first.select(F.col("qualified_name").alias("seed")), depth)
+        return {"symbol": name, "file": first.first().file_path, "tests": tests, "total_tests": len(tests), "covered": bool(tests)}
 
     def _edit(self, name: str, file: str | None, expect: str | None, code: str, column: str, run) -> tuple[dict, dict]:
         x = edits.one_candidate(self.graph.nodes, name, file)

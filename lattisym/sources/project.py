@@ -105,5 +105,5 @@ def read_tree(spark: SparkSession, folder: str) -> DataFrame:
 
 def _relative(root: Path):
     prefix = root.as_uri().removeprefix("file://").rstrip("/") + "/"
-    return F.try_url_decode(F.regexp_replace(F.expr(f"substring_index(path, '{prefix}', -1)"), r"\+", "%2B")).alias("file_path")
+    return F.try_url_decode(F.regexp_replace(F.substring_index("path", prefix, -1), r"\+", "%2B")).alias("file_path")
 

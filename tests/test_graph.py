@@ -92,6 +92,7 @@ def test_tests_of(spark):
 def test_dead_code(spark):
     n = nodes(spark, "a.py::used", "a.py::lost", "a.py::main", "a.py::on_x", "tests/b.py::x", "conftest.py::c", "a.py::__call__").unionByName(nodes(spark, "w.py::page", decorators=["app.route('/')"]))
     assert [x.name for x in relations.dead_code(n, edges(spark, ("a.py::lost", "a.py::used"))).collect()] == ["lost"]
+    assert [x.name for x in relations.dead_code(nodes(spark, "test_dir/a.py::f", "x/test_a.py::g"), edges(spark, ("q", "q"))).collect()] == ["f"]
 
 
 def test_usages(spark):
@@ -251,7 +252,7 @@ def test_commands_on_disk(spark, tmp_path):
     run = lambda *a, code="": answer(p, parser().parse_args(list(a)), code)
     assert "pkg/a.py" in run("files") and "def f()" in run("files", "--summary") and "line: 3" in run("locate", "f")
     assert "pkg/a.py" in run("usages", "g") and "imported_by:\n  - file: pkg/a.py" in run("imports", "pkg/b.py")
-    assert "total: 1" in run("blast-radius", "g") and "name: f" in run("dead-code") and "covered: false" in run("test-coverage", "g")
+    assert "total_affected: 1" in run("blast-radius", "g", "--file", "pkg/b.py") and "symbol: f" in run("dead-code") and "covered: false" in run("test-coverage", "g")
     assert "total_files: 2" in run("overview") and "name: g" in run("search", "g") and "ok: false" in run("outline", "no.py")
     h = p.body("g")["content_hash"]
     assert "hash mismatch" in run("replace-body", "g", "--expect-hash", "sha256:0", code="def g(): pass")
