@@ -16,7 +16,7 @@ def ensure_checkpoints(df: DataFrame) -> None:
     """Checkpoints go to spark.checkpoint.dir; only where it is unset (one machine) to a temporary folder."""
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lattisym-graph-"))
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lattisym-graph-"))
 
 
 def reach(pairs: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
