@@ -8,20 +8,21 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def ensure_checkpoints(df: DataFrame) -> None:
-    """Checkpoints go to spark.checkpoint.dir; only where it is unset (one machine) to a temporary folder."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, where checkpoints go; only where it is unset (one machine) a temporary folder."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lattisym-graph-"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lattisym-graph-"))
+    return spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().get()
 
 
 def reach(pairs: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
     """(seed, node, depth): nodes within `depth` hops over pairs(a, b), a to b, with their least depth; seeds(seed, node) have depth 0."""
-    ensure_checkpoints(pairs)
+    shared_folder(pairs.sparkSession)
     seen = seeds.select("seed", "node").distinct().withColumn("depth", F.lit(0)).checkpoint()
     frontier = seen.drop("depth")
     for hop in range(1, depth + 1):

@@ -18,6 +18,10 @@ from ..operators import extract
 from ..operators.resolve import resolve_calls
 
 
+#: What each table is sorted by: lookups by file, and by the target of an edge, then skip most row groups. Edges are also dealt by ranges of it.
+LAYOUT = {"nodes": "file_path", "edges": "target_qualified", "files": "file_path", "sources": "file_path"}
+
+
 @dataclass
 class Graph:
     """The tables of a code graph."""
@@ -78,9 +82,11 @@ def _fs(spark: SparkSession, path: str):
 def save(spark: SparkSession, graph: Graph, place: str, root: str = "") -> str:
     """Write a snapshot below place and point to it; returns its name."""
     name = f"snapshot-{uuid.uuid4().hex}"
-    for table in ("nodes", "edges", "files", "sources"):
+    for table, key in LAYOUT.items():
         if (df := getattr(graph, table)) is not None:
-            df.write.parquet(f"{place}/{name}/{table}")
+            if table == "edges":
+                df = df.repartitionByRange(key)
+            df.sortWithinPartitions(key).write.parquet(f"{place}/{name}/{table}")
     spark.createDataFrame([("schema_version", str(schema.VERSION)), ("project_root", root)], "key string, value string").coalesce(1).write.parquet(f"{place}/{name}/metadata")
     fs, path = _fs(spark, f"{place}/CURRENT")
     out = fs.create(path, True)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .functions import text as X
 from .operators import edits, extract, lookup, reach, relations, search
-from .operators.reach import ensure_checkpoints
+from .operators.reach import shared_folder
 from .operators.resolve import resolve_calls
 from .plans import bench, store
 from .plans.corpus import GRAPH_SQL, source_files
@@ -20,16 +21,17 @@ _graphs: dict[tuple[str, str], store.Graph] = {}
 
 
 def graph(spark: SparkSession, sf_dir: str) -> store.Graph:
-    """The graph of the synthetic code base, built once per application and folder, as an index is."""
+    """The stored graph of the synthetic code base, built once per application and folder, as an index is; queries scan its Parquet tables."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _graphs:
-        made = store.build(source_files(spark, sf_dir), keep=_cut)
-        _graphs[key] = store.Graph(_cut(made.nodes), _cut(made.edges), _cut(made.files), made.sources)
+        place = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
+        store.save(spark, store.build(source_files(spark, sf_dir), keep=_cut), place)
+        _graphs[key] = store.load(spark, place)
     return _graphs[key]
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    ensure_checkpoints(df)
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
