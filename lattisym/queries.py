@@ -30,6 +30,19 @@ def graph(spark: SparkSession, sf_dir: str) -> store.Graph:
     return _graphs[key]
 
 
+_tested: dict[tuple[str, str], DataFrame] = {}
+
+
+def tested_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph's edges with the targets of tests resolved too (a build option), stored once likewise."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _tested:
+        g, place = graph(spark, sf_dir), f"{shared_folder(spark)}/tested-{uuid.uuid4().hex}"
+        resolve_calls(g.edges, g.nodes, ("CALLS", "TESTED_BY")).write.parquet(place)
+        _tested[key] = spark.read.parquet(place)
+    return _tested[key]
+
+
 def _cut(df: DataFrame) -> DataFrame:
     shared_folder(df.sparkSession)
     return df.checkpoint()
@@ -287,29 +300,28 @@ FROM named t JOIN tested e ON e.target_qualified IN (t.qualified_name, t.name) L
 _NATIONS = "t.kind = 'function' AND starts_with(t.file_path, 'geo/')"
 
 
-def _uses(g: store.Graph, keep: str, **how) -> DataFrame:
-    every = resolve_calls(g.edges, g.nodes, ("CALLS", "TESTED_BY"))
-    return relations.usages(g.nodes, every, g.nodes.where(keep), limit=None, **how)
+def _uses(g: store.Graph, edges: DataFrame, keep: str, **how) -> DataFrame:
+    return relations.usages(g.nodes, edges, g.nodes.where(keep), limit=None, **how)
 
 
 @query(_USES.format(_NATIONS))
 def usages_all(g, spark, d):
-    return _uses(g, "kind = 'function' and startswith(file_path, 'geo/')")
+    return _uses(g, tested_edges(spark, d), "kind = 'function' and startswith(file_path, 'geo/')")
 
 
 @query(_USES.format(_NATIONS + " AND NOT starts_with(e.file_path, 'tests/')"))
 def usages_no_tests(g, spark, d):
-    return _uses(g, "kind = 'function' and startswith(file_path, 'geo/')", include_tests=False)
+    return _uses(g, tested_edges(spark, d), "kind = 'function' and startswith(file_path, 'geo/')", include_tests=False)
 
 
 @query(_USES.format(_NATIONS + " AND starts_with(e.file_path, 'supply/')"))
 def usages_scoped(g, spark, d):
-    return _uses(g, "kind = 'function' and startswith(file_path, 'geo/')", scope="supply/")
+    return _uses(g, tested_edges(spark, d), "kind = 'function' and startswith(file_path, 'geo/')", scope="supply/")
 
 
 @query(_USES.format(_NATIONS + " AND e.kind = 'TESTED_BY'"))
 def usages_tests(g, spark, d):
-    return _uses(g, "kind = 'function' and startswith(file_path, 'geo/')", kind="test")
+    return _uses(g, tested_edges(spark, d), "kind = 'function' and startswith(file_path, 'geo/')", kind="test")
 
 
 @query("SELECT file_path, module, resolved FROM imports WHERE resolved IS NOT NULL")
@@ -378,14 +390,12 @@ def dead_code_file(g, spark, d):
 
 @query("SELECT t.target_qualified AS seed, t.source_qualified AS qualified_name, false AS indirect FROM tested t WHERE t.kind = 'TESTED_BY'")
 def test_coverage_direct(g, spark, d):
-    every = resolve_calls(g.edges, g.nodes, ("CALLS", "TESTED_BY"))
-    return reach.transitive_tests(g.nodes, every, g.nodes.select(F.col("qualified_name").alias("seed")), 0).select("seed", "qualified_name", "indirect")
+    return reach.transitive_tests(g.nodes, tested_edges(spark, d), g.nodes.select(F.col("qualified_name").alias("seed")), 0).select("seed", "qualified_name", "indirect")
 
 
 @query("SELECT DISTINCT e.target_qualified AS seed, t.source_qualified AS qualified_name, true AS indirect FROM edges e JOIN tested t ON t.target_qualified = e.source_qualified WHERE e.kind = 'CALLS' AND t.kind = 'TESTED_BY' AND starts_with(e.target_qualified, 'geo/region')")
 def test_coverage_transitive(g, spark, d):
-    every = resolve_calls(g.edges, g.nodes, ("CALLS", "TESTED_BY"))
-    return reach.transitive_tests(g.nodes, every, g.nodes.where("name like 'region\\_%'").select(F.col("qualified_name").alias("seed")), 2).select("seed", "qualified_name", "indirect")
+    return reach.transitive_tests(g.nodes, tested_edges(spark, d), g.nodes.where("name like 'region\\_%'").select(F.col("qualified_name").alias("seed")), 2).select("seed", "qualified_name", "indirect")
 
 
 # --- overview ---------------------------------------------------------------------------------------------------------
