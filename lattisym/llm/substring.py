@@ -162,7 +162,8 @@ def repeated_windows(docs: DataFrame, info: DataFrame) -> DataFrame:
     spots = cut(spots.join(info.where("first").select("doc_id", "digest").distinct(), "doc_id"))
     near = rows.join(spots.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_digester, "doc_id long, text string, digest long").join(spots, ["doc_id", "digest"])
     windows = stored(near.select("doc_id", "digest", "text", "at").mapInArrow(_windows, "doc_id long, digest long, at int, hash long"))
-    least = windows.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("hash", "least")
+    # cut off before the join, so that Spark can split a window that very many documents share
+    least = stored(windows.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("hash", "least"))
     return windows.join(least, "hash").where("doc_id > least").select("doc_id", "digest", "at")
 
 
@@ -175,8 +176,9 @@ def remove_repeats(docs: DataFrame, output: str = "text") -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     info = cut(rows.mapInArrow(_summary, "doc_id long, n_words long, digest long, whole_sha256 string"))
     # equal word sequences: the least doc_id stands for all, the others go as a whole
-    least = info.where("doc_id is not null").groupBy("digest", "n_words").agg(F.min("doc_id").alias("least"))
-    info = cut(info.join(least, ["digest", "n_words"], "left").withColumn("first", F.coalesce(F.col("doc_id") == F.col("least"), F.lit(False))).drop("least"))
+    least = cut(info.where("doc_id is not null").groupBy("digest", "n_words").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"))
+    own = F.col("doc_id").isNotNull() & (F.col("least").isNull() | (F.col("doc_id") == F.col("least")))
+    info = cut(info.join(least, ["digest", "n_words"], "left").withColumn("first", own).drop("least"))
     starts = repeated_windows(rows, info).groupBy("doc_id", "digest").agg(F.collect_list("at").alias("at"))
     copy = F.col("doc_id").isNotNull() & ~F.col("first") & (F.col("n_words") >= WINDOW)
     if output == "text":
