@@ -178,7 +178,7 @@ def signed(x: np.ndarray) -> np.ndarray:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset (tests, one machine) a temporary one."""
     sc = spark.sparkContext
-    place = sc.getConf().get("spark.checkpoint.dir", None) or cache().get("own_dir")
+    place = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or cache().get("own_dir")
     if not place:
         place = cache()["own_dir"] = "file://" + tempfile.mkdtemp(prefix="lattisym-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
