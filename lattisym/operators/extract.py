@@ -12,10 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.text import LANGUAGES
 from ..schema import PARSED
+from .go_source import parse as parse_go
+from .python_source import parse as parse_python
+from .typescript_source import parse as parse_typescript
 
-# The backends by extension.
-BACKENDS = {".py": "python_source", ".go": "go_source", ".ts": "typescript_source", ".tsx": "typescript_source"}
+#: The backends by extension. Functions, not modules: they travel to the executors by value.
+BACKENDS = {".py": parse_python, ".go": parse_go, ".ts": parse_typescript, ".tsx": parse_typescript}
 
 
 def supported_extensions() -> list[str]:
@@ -27,16 +31,13 @@ def get_language(path: str) -> str:
     ext = "." + path.rpartition("/")[2].rpartition(".")[2]
     if ext not in BACKENDS:
         raise ValueError(f"unsupported file type: {path}")
-    return X.LANGUAGES[ext]
+    return LANGUAGES[ext]
 
 
 def parse_source(path: str, source: str, mirror: bool = False) -> dict:
     """Symbols, imports, edges and parse_error of one file."""
-    from . import go_source, python_source, typescript_source
-
-    modules = {"python_source": python_source, "go_source": go_source, "typescript_source": typescript_source}
     get_language(path)
-    return modules[BACKENDS["." + path.rpartition("/")[2].rpartition(".")[2]]].parse(path, source, mirror)
+    return BACKENDS["." + path.rpartition("/")[2].rpartition(".")[2]](path, source, mirror)
 
 
 _IMPORT = pa.struct([("module", pa.string()), ("names", pa.list_(pa.string())), ("line", pa.int32()), ("is_relative", pa.bool_())])
