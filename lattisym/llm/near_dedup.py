@@ -158,13 +158,13 @@ def _prefix_pairs(crowd: DataFrame, texts: DataFrame, width: int, percent: int)
     """
     rows = texts.join(crowd, "doc_id").select("doc_id", "component", "text").mapInArrow(_exploder(width), "doc_id long, component long, digest long, shingle long")
     rows = stored(rows)
-    rare = rows.groupBy("shingle").agg(F.count("*").alias("df"))
-    order = rows.join(rare.where("df > 1"), "shingle", "left").select("doc_id", "component", "digest", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "shingle").alias("s"))
+    rare = stored(rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"))
+    order = rows.join(rare, "shingle", "left").select("doc_id", "component", "digest", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "shingle").alias("s"))
     order = order.groupBy("doc_id", "component", "digest").agg(F.sort_array(F.collect_list("s")).alias("s")).withColumn("n", F.size("s"))
     first = order.select("doc_id", "component", "n", F.posexplode(F.expr(f"slice(s, 1, cast(n - ceil(n * {percent} / 100) + 1 as int))")).alias("at", "s"))
     first = first.where("s.df > 1").select("doc_id", "component", "n", "at", F.col("s.shingle").alias("shingle"))
     mixed = first.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("shingle")
-    first = cut(first.join(mixed, "shingle", "left_semi"))
+    first = cut(first.join(cut(mixed), "shingle", "left_semi"))
     x, y = (first.select("shingle", F.col("doc_id").alias(c), F.col("component").alias(f"c{c}"), F.col("n").alias(f"n{c}"), F.col("at").alias(f"at{c}")) for c in "ab")
     room = f"least(na - ata, nb - atb) * {100 + percent} >= {percent} * (na + nb) and least(na, nb) * 100 >= greatest(na, nb) * {percent}"
     return x.join(y, "shingle").where(f"a < b and ca <> cb and {room}").select("a", "b").distinct()
@@ -180,26 +180,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     found = cut(rows.mapInArrow(_sketcher(width), "doc_id long, n_shingles long, digest long, sketch binary"))
     usable = found.where("sketch is not null and doc_id is not null")
     # documents with equal sets are one; its least id stands for all of them
-    first = usable.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"))
+    first = usable.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"))
     sketches = usable.join(first, (usable.doc_id == first.rep) & (usable.digest == first.digest) & (usable.n_shingles == first.n_shingles), "left_semi")
     sketches = cut(sketches.select("doc_id", "n_shingles", "sketch").distinct())
     members = cut(sketches.select("doc_id", "sketch").mapInArrow(_bander, "band long, doc_id long"))
-    full = members.groupBy("band").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last")
-    star = members.join(full.select("band", "lead"), "band").where("doc_id > lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
+    # what is counted per key is cut off before it is joined: Spark splits a hot key of a join only if both sides come from a shuffle of their own
+    full = cut(members.groupBy("band").agg(F.min("doc_id").alias("lead"), F.max("doc_id").alias("last")).where("lead < last").select("band", "lead"))
+    star = members.join(full, "band").where("doc_id > lead").select(F.col("lead").alias("a"), F.col("doc_id").alias("b")).distinct()
     texts = rows.where("doc_id is not null")
     links = cut(_confirmed(star, sketches, texts, width, percent))
     comp = components(links).select(F.col("node").alias("doc_id"), "component")
     # round two: buckets that still hold several components
     labelled = members.join(full.select("band"), "band", "left_semi").join(comp, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     split = labelled.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("doc_id").alias("lead"), F.count("*").alias("size")).where("lo < hi")
-    open_ = cut(labelled.join(split.select("band", "lead", "size"), "band"))
+    open_ = cut(labelled.join(cut(split.select("band", "lead", "size")), "band"))
     x, y = (open_.where(F.col("size") <= SMALL).select("band", "lead", F.col("doc_id").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
     cross = x.join(y.drop("lead"), "band").where("a < b and ca <> cb and a <> lead").select("a", "b")
     crowd = cut(open_.where(F.col("size") > SMALL).select("doc_id", "component").distinct())
     cross = cross.union(_prefix_pairs(crowd, texts, width, percent)).distinct()
     more = cut(_confirmed(cross, sketches, texts, width, percent))
     label = (comp if more.isEmpty() else components(links.union(more)).withColumnRenamed("node", "doc_id")).withColumnRenamed("doc_id", "rep")
-    by_set = first.join(label, "rep", "left").select("digest", "n_shingles", F.coalesce("component", "rep").alias("component"))
+    by_set = cut(first.join(label, "rep", "left").select("digest", "n_shingles", F.coalesce("component", "rep").alias("component")))
     out = found.select("doc_id", "n_shingles", "digest", F.col("sketch").isNotNull().alias("some"))
     out = out.join(by_set, ["digest", "n_shingles"], "left").withColumn("component_id", F.when(F.col("some") & F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
