@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, cut, mix, shingle_sets, signed, stored
+from .common import U64, chunks, cut, mix, shingle_sets, signed, stored, texts_of
 from .components import components
 
 REGISTERS, ROWS, MANTISSA = 160, 5, 10
@@ -131,7 +131,8 @@ def _confirmed(pairs: DataFrame, sketches: DataFrame, texts: DataFrame, width: i
     size = lambda c: sketches.select(F.col("doc_id").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
     near = pairs.join(size("a"), "a").join(size("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
     near = cut(near.select("a", "b", "sa", "sb").mapInArrow(_promising(percent / 100), "a long, b long"))
-    text = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"))
+    some = texts_of(texts, near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct())
+    text = lambda c: some.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}"))
     return near.join(text("a"), "a").join(text("b"), "b").select("a", "b", "ta", "tb").mapInArrow(_confirmer(width, percent), "a long, b long")
 
 
@@ -156,7 +157,7 @@ def _prefix_pairs(crowd: DataFrame, texts: DataFrame, width: int, percent: int)
     n - ceil(percent * n / 100) + 1 of each, and behind that place both still have room for the overlap they need. In a crowd of
     near copies the first places hold what is peculiar to a document, so this leaves few pairs where a bucket would give all.
     """
-    rows = texts.join(crowd, "doc_id").select("doc_id", "component", "text").mapInArrow(_exploder(width), "doc_id long, component long, digest long, shingle long")
+    rows = texts_of(texts, crowd.select("doc_id")).join(crowd, "doc_id").select("doc_id", "component", "text").mapInArrow(_exploder(width), "doc_id long, component long, digest long, shingle long")
     rows = stored(rows)
     rare = stored(rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1"))
     order = rows.join(rare, "shingle", "left").select("doc_id", "component", "digest", F.struct(F.coalesce("df", F.lit(1)).alias("df"), "shingle").alias("s"))
