@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, cut, key_filter, mix, passes, prefix_hash, sequence_hash, signed, span_hash, stored, text_bytes, word_spans
+from .common import U64, chunks, cut, key_filter, mix, passes, prefix_hash, sequence_hash, signed, span_hash, stored, text_bytes, texts_of, word_spans
 
 WINDOW, PERIOD, ANCHOR = 50, 31, 20
 #: A perfect difference set modulo 31: every difference occurs.
@@ -160,7 +160,7 @@ def repeated_windows(docs: DataFrame, info: DataFrame) -> DataFrame:
     spots = rows.mapInArrow(_anchors(only), "doc_id long, at int, hash long").join(shared, "hash", "left_semi")
     spots = spots.groupBy("doc_id").agg(F.collect_list("at").alias("at"))
     spots = cut(spots.join(info.where("first").select("doc_id", "digest").distinct(), "doc_id"))
-    near = rows.join(spots.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_digester, "doc_id long, text string, digest long").join(spots, ["doc_id", "digest"])
+    near = texts_of(rows, spots.select("doc_id").distinct()).mapInArrow(_digester, "doc_id long, text string, digest long").join(spots, ["doc_id", "digest"])
     windows = stored(near.select("doc_id", "digest", "text", "at").mapInArrow(_windows, "doc_id long, digest long, at int, hash long"))
     # cut off before the join, so that Spark can split a window that very many documents share
     least = stored(windows.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("hash", "least"))
@@ -190,7 +190,7 @@ def remove_repeats(docs: DataFrame, output: str = "text") -> DataFrame:
             .select(F.col("d").alias("doc_id"), "n_words", F.when(F.col("copy"), F.col("n_words")).otherwise(F.col("gone")).alias("n_removed"), F.when(F.col("copy"), F.lit("")).otherwise(F.col("kept")).alias("kept_text"))
         )
     some = cut(starts)
-    texts = rows.join(some.select("doc_id").distinct(), "doc_id", "left_semi").mapInArrow(_digester, "doc_id long, text string, digest long").join(some, ["doc_id", "digest"])
+    texts = texts_of(rows.where("doc_id is not null"), some.select("doc_id").distinct()).mapInArrow(_digester, "doc_id long, text string, digest long").join(some, ["doc_id", "digest"])
     done = texts.select("doc_id", "digest", "text", "at").mapInArrow(_remover(False), "doc_id long, digest long, gone long, kept string").dropDuplicates(["doc_id", "digest"])
     out = info.join(done, ["doc_id", "digest"], "left")
     return out.select(
