@@ -6,7 +6,7 @@ similar nodes, however far apart in the document, a skip potential: each is tied
 or the same lower-case text. Words inside a pattern match are observed. Loopy sum-product messages spread labels along both
 kinds of edges; a word whose marginal for a kind reaches CERTAIN becomes a further span.
 
-Potentials are fitted piecewise (Sutton and McCallum, 2005) on the pattern matches of at most `sample` documents (2,000 by default,
+Potentials are fitted piecewise (Sutton and McCallum, 2005) on the pattern matches of at most `sample` documents (8,000 by default,
 and at most NODES words of each), the first by a hash of doc_id: node potentials by softmax regression over word shapes
 and contexts, edge potentials as smoothed log ratios of label pairs. All documents are labelled, on their whole texts.
 
@@ -38,7 +38,7 @@ _EMAIL, _LOCAL = re.compile(EMAIL), re.compile(r"[A-Za-z0-9._%+-]")
 _IP, _CARD, _PHONE = re.compile(r"(?<![0-9])" + IP), re.compile(CARD), re.compile(PHONE)
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
-CERTAIN, SAMPLE, NODES, FEATURES, MESSAGES = 0.9, 2_000, 200, 4096, 6
+CERTAIN, SAMPLE, NODES, FEATURES, MESSAGES = 0.9, 8_000, 200, 4096, 6
 #: Pairs of equal labels that the skip potential is fitted with besides those seen.
 PRIOR = 20
 LABELS = len(KINDS) + 1  # 0: none of them
