@@ -4,7 +4,8 @@ Two generative models of hashed n-grams (words and pairs of words, 2**16 buckets
 the raw text. A document's weight is the mean log ratio of its n-grams under the two, times SHARPNESS; adding Gumbel noise and
 keeping the k largest draws k documents without replacement with probabilities proportional to the weights.
 
-Counts are one number per bucket, combined in each task before they are shuffled. The k-th largest value is found by counting in
+Counts are one number per bucket, combined in each task before they are shuffled. Every wanted document counts: only those whose doc_id passes a
+filter of bounded size are counted one by one, and their counts, not their texts, are shuffled to the join that decides. The k-th largest value is found by counting in
 ever finer ranges, so no task sorts all rows. Noise comes from a hash of doc_id and text, so a run can be repeated.
 
 Defined cases: null and empty texts have the weight 0 of no evidence; a null doc_id is weighed and drawn like others; labels that are null
@@ -18,12 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, cut, lower_ascii, mix, prefix_hash, span_hash, text_bytes, word_spans
+from .common import U64, chunks, cut, lower_ascii, mix, prefix_hash, span_hash, text_bytes, texts_of, word_spans
 
 BUCKETS = 1 << 16
 SHARE, SHARPNESS, SMOOTHING = 0.5, 40.0, 50.0
-#: The target model is fitted on at most so many of the wanted documents, the first by a hash of doc_id.
-SAMPLE = 20_000
 
 
 def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
@@ -37,26 +36,56 @@ def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     return np.concatenate((doc, doc[1:][same])), (np.concatenate((words, pairs[same])) >> U64(48)).astype(np.int64), len(counts)
 
 
+def _bucket_rows(counts: np.ndarray) -> pa.RecordBatch:
+    at = np.flatnonzero(counts)
+    return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], names=["bucket", "n"])
+
+
 def _counter(batches):
-    total, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    total = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        for part in chunks(batch, "text"):
+            total += np.bincount(grams(part.column("text"))[1], minlength=BUCKETS)
+    yield _bucket_rows(total)
+
+
+def _single_counter(batches):
+    """Per text: its buckets (two bytes each) and their counts (four bytes each)."""
     for batch in batches:
         for part in chunks(batch, "text"):
-            doc, bucket, _ = grams(part.column("text"))
-            total += np.bincount(bucket, minlength=BUCKETS)
-            wanted = np.flatnonzero(part.column("wanted").to_numpy(zero_copy_only=False)[doc])
-            target += np.bincount(bucket[wanted], minlength=BUCKETS)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at]), pa.array(target[at])], names=["bucket", "raw", "target"])
-
-
-def log_ratios(rows: DataFrame) -> np.ndarray:
-    """log p_target - log p_raw of each bucket, from rows(text, wanted). The driver gets one row per bucket, whatever the input."""
-    found = rows.mapInArrow(_counter, "bucket int, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for x in found:
-        raw[x.bucket], target[x.bucket] = x.raw, x.target
+            doc, bucket, n = grams(part.column("text"))
+            found, counts = np.unique(doc * BUCKETS + bucket, return_counts=True)
+            edges = np.searchsorted(found, np.arange(n + 1) * BUCKETS)
+            at, many = (found % BUCKETS).astype("<u2"), counts.astype("<u4")
+            spans = list(zip(edges[:-1], edges[1:], strict=True))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), pa.array([at[s:e].tobytes() for s, e in spans], pa.binary()), pa.array([many[s:e].tobytes() for s, e in spans], pa.binary())], names=["doc_id", "at", "many"]
+            )
+
+
+def _adder(batches):
+    total = np.zeros(BUCKETS, np.int64)
+    for batch in batches:
+        for at, many in zip(batch.column("at"), batch.column("many"), strict=True):
+            total[np.frombuffer(at.as_py(), "<u2")] += np.frombuffer(many.as_py(), "<u4")
+    yield _bucket_rows(total)
+
+
+def _collected(parts: DataFrame) -> np.ndarray:
+    out = np.zeros(BUCKETS)
+    for x in parts.groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        out[x.bucket] = x.n
+    return out
+
+
+def log_ratios(rows: DataFrame, ids: DataFrame) -> np.ndarray:
+    """log p_target - log p_raw of each bucket, from rows(doc_id, text) and distinct ids(doc_id) of the target. The driver gets one row per bucket, whatever the input."""
+    single = texts_of(rows.where("doc_id is not null"), ids).mapInArrow(_single_counter, "doc_id long, at binary, many binary")
+    # one plan at all sizes: ids are as many as the wanted documents, so they're never broadcast
+    target = _collected(single.join(ids.hint("merge"), "doc_id").select("at", "many").mapInArrow(_adder, "bucket int, n long"))
     if not target.sum():
         return np.zeros(BUCKETS)
+    raw = _collected(rows.select("text").mapInArrow(_counter, "bucket int, n long"))
     # both models get the same prior, in proportion to their size: a bucket of few n-grams says little, so target rows aren't favoured for being known
     share = target.sum() / raw.sum()
     return np.log((target + SMOOTHING * share) / ((raw + SMOOTHING) * share))
@@ -94,13 +123,11 @@ def _cutoff(rows: DataFrame, value: str, k: int) -> float:
     return low
 
 
-def resample(docs: DataFrame, wanted: DataFrame, share: float = SHARE, seed: int = 7, sample: int = SAMPLE) -> DataFrame:
+def resample(docs: DataFrame, wanted: DataFrame, share: float = SHARE, seed: int = 7) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, log_weight, value (with noise), kept. wanted(doc_id) names the target documents; share is k over rows."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # bounded: at most `sample` ids, which makes the broadcast safe and keeps the texts from being shuffled
-    flags = wanted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).withColumn("w", F.lit(True))
-    counted = rows.join(F.broadcast(flags), "doc_id", "left").select("text", F.coalesce("w", F.lit(False)).alias("wanted"))
-    ratios = log_ratios(counted).tobytes()
+    ids = cut(wanted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct())
+    ratios = log_ratios(rows, ids).tobytes()
     uniform = (F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     scored = rows.withColumn("noise", -F.log(-F.log(uniform))).mapInArrow(_weigher(ratios), "doc_id long, noise double, log_weight double")
     scored = cut(scored.select("doc_id", "log_weight", (F.col("log_weight") + F.col("noise")).alias("value")))

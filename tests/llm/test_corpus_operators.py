@@ -374,6 +374,25 @@ def test_resampling(spark):
     assert sum(x.kept for x in even) == 61 and {x.log_weight for x in even} == {0.0}
 
 
+def test_resampling_counts_every_wanted_document(spark):
+    n = 20_300  # the first 150 ids have the only texts of their kind
+    texts = [f"alpha beta {'delta' if k < 150 else 'gamma'}" for k in range(n)] + ["junk spam", "junk spam", None]
+    ids = [*range(n), n, 5, None]
+    wanted = spark.createDataFrame([(k,) for k in range(n)] + [(3,), (None,)], "doc_id long")
+    rows = resample.resample(frame(spark, texts, ids), wanted).collect()
+    raw, target = np.zeros(resample.BUCKETS), np.zeros(resample.BUCKETS)
+    per = {t: resample.grams(pa.array([t]))[1] for t in set(texts) - {None}}
+    for k, t in zip(ids, texts, strict=True):
+        if t:
+            np.add.at(raw, per[t], 1)
+            if k is not None and k < n:
+                np.add.at(target, per[t], 1)
+    share = target.sum() / raw.sum()
+    ratio = np.log((target + resample.SMOOTHING * share) / ((raw + resample.SMOOTHING) * share))
+    want = {t: round(resample.SHARPNESS * ratio[b].mean(), 9) for t, b in per.items()} | {None: 0.0}
+    assert sorted((x.doc_id, round(x.log_weight, 9)) for x in rows if x.doc_id is not None) == sorted((k, want[t]) for k, t in zip(ids, texts, strict=True) if k is not None)
+
+
 def page(main, k=0, nav=True):
     menu = "<nav><ul><li><a href='/'>Home</a><li>About</ul></nav>" if nav else ""
     return f"<html><head><title>t</title><style>p{{}}</style></head><body>{menu}<div class='ad'>Buy</div>{main}<footer>f{k}</footer></body></html>"
