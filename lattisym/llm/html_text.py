@@ -2,8 +2,9 @@
 
 Every page is read into its block elements. Subtrees are hashed, the hashes are counted per host in Spark (once per page, combined before
 the shuffle, so a host with a third of all pages is no hot spot), and subtrees that recur on many pages of their host are deleted. What is
-never main text by its element or by its class, id or role goes too. If a page marks its article (article, main, role=main), only that is kept,
-and in it only lists and boxes made of links can be deleted for recurring: two articles may share a passage.
+never main text by its element or by its class, id or role goes too. If a page marks its article (article, main, role=main), only that is kept.
+In it a list or box made of links is deleted like any other subtree, the rest only if it is on over half of the pages of its host: some articles
+may share a passage.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by an empty line.
 
@@ -26,6 +27,8 @@ from .common import chunks
 
 #: A subtree is a template if it is on at least so many pages of a host and on at least this share of them.
 MIN_PAGES, MIN_SHARE = 5, 0.01
+#: In a marked article, a subtree that isn't made of links is a template only if it is on more than this share of the host's pages too.
+ARTICLE_SHARE = 0.5
 SALTS = 32
 
 # Element names of HTML by their role.
@@ -71,9 +74,9 @@ class _Open:
         self.name, self.start, self.drop, self.root, self.first = name, start, drop, root, first
 
 
-def blocks(page: str) -> list[tuple[str, list[int]]]:
-    """(text, hashes of the subtrees that may be a template around it) of the blocks that can be main text, in page order."""
-    done: list[list] = []  # text, hashes, whether in an article, share of link characters
+def blocks(page: str) -> list[tuple[str, list[int], list[int]]]:
+    """(text, hashes of the subtrees around it, hashes of those that only a large share makes a template) of the blocks that can be main text, in page order."""
+    done: list[list] = []  # text, hashes, whether in an article, share of link characters, hashes of what only a large share deletes
     stack: list[_Open] = []
     pieces: list[str] = []
     linked = [0]
@@ -84,7 +87,7 @@ def blocks(page: str) -> list[tuple[str, list[int]]]:
             text = " ".join(html.unescape("".join(pieces)).split())
             pieces.clear()
             if text and not drops:
-                done.append([text, [], roots > 0, linked[0] / len(text)])
+                done.append([text, [], roots > 0, linked[0] / len(text), []])
         linked[0] = 0
 
     def close(upto: int, end: int):
@@ -99,11 +102,12 @@ def blocks(page: str) -> list[tuple[str, list[int]]]:
             # a larger subtree recurs only if its parts do, so they stand for it
             if x.name in BLOCK and x.name not in ("html", "body", "head") and not drops and not x.root and 0 < len(inside) <= 64 and end - x.start <= 65536:
                 linkage = sum(b[3] * len(b[0]) for b in inside) / sum(len(b[0]) for b in inside)
-                held = [b for b in inside if len(b[1]) < 8 and (not b[2] or x.name not in PROSE and linkage > 0.5)]
+                links = x.name not in PROSE and linkage > 0.5
+                held = [b for b in (y[1] if links or not y[2] else y[4] for y in inside) if len(b) < 8]
                 if held:
                     mark = subtree_hash(page[x.start : end])
                     for b in held:
-                        b[1].append(mark)
+                        b.append(mark)
 
     at, n = 0, len(page)
     while at < n:
@@ -168,17 +172,17 @@ def blocks(page: str) -> list[tuple[str, list[int]]]:
     close(0, n)
     flush()
     if any(b[2] for b in done):
-        return [(b[0], b[1]) for b in done if b[2]]
-    return [(b[0], b[1]) for b in done if b[3] <= 0.5]
+        return [(b[0], b[1], b[4]) for b in done if b[2]]
+    return [(b[0], b[1], b[4]) for b in done if b[3] <= 0.5]
 
 
 def _parser(batches):
     for batch in batches:
         for part in chunks(batch, "html"):
             found = [blocks(x) if x else [] for x in part.column("html").to_pylist()]
-            kind = pa.list_(pa.struct([("text", pa.string()), ("marks", pa.list_(pa.int64()))]))
+            kind = pa.list_(pa.struct([("text", pa.string()), ("marks", pa.list_(pa.int64())), ("inner", pa.list_(pa.int64()))]))
             yield pa.RecordBatch.from_arrays(
-                [part.column("page_id"), part.column("url"), part.column("host"), pa.array([[{"text": t, "marks": m} for t, m in x] for x in found], kind)], names=["page_id", "url", "host", "blocks"]
+                [part.column("page_id"), part.column("url"), part.column("host"), pa.array([[{"text": t, "marks": m, "inner": i} for t, m, i in x] for x in found], kind)], names=["page_id", "url", "host", "blocks"]
             )
 
 
@@ -189,15 +193,17 @@ def host_of(url: str = "url"):
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """Per row of pages(page_id, url, html): page_id, url, text, n_chars."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host_of())
-    read = rows.mapInArrow(_parser, "page_id long, url string, host string, blocks array<struct<text:string,marks:array<long>>>")
+    read = rows.mapInArrow(_parser, "page_id long, url string, host string, blocks array<struct<text:string,marks:array<long>,inner:array<long>>>")
     size = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    marks = read.select("host", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: b["marks"])))).alias("mark"))
+    marks = read.select("host", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: F.concat(b["marks"], b["inner"]))))).alias("mark"))
     often = marks.groupBy("host", "mark").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     # at most subtrees-per-page / min_share templates for a host, however many pages it has
-    templates = often.join(size, "host").where(F.col("n") >= min_share * F.col("pages")).groupBy("host").agg(F.collect_list("mark").alias("templates"))
+    templates = often.join(size, "host").where(F.col("n") >= min_share * F.col("pages")).groupBy("host").agg(
+        F.collect_list("mark").alias("templates"), F.collect_list(F.when(F.col("n") > F.lit(ARTICLE_SHARE) * F.col("pages"), F.col("mark"))).alias("common")
+    )
     salted = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     dealt = read.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
     joined = dealt.join(salted, ["host", "salt"], "left")
-    kept = F.when(F.col("templates").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.arrays_overlap(b["marks"], F.col("templates"))))
+    kept = F.when(F.col("templates").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.arrays_overlap(b["marks"], F.col("templates")) & ~F.arrays_overlap(b["inner"], F.col("common"))))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n")
     return joined.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))

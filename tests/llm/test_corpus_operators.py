@@ -421,6 +421,14 @@ def test_html(spark):
     assert [by[100 + k].text for k in range(8)] == [f"Text number {k}" for k in range(8)] and by[None].text == "null"
 
 
+def test_html_boxes_in_articles(spark):
+    """A box on all pages of the host goes from their articles; a passage that five of twelve share stays."""
+    shared = "<p>A passage of some articles</p>"
+    rows = [(k, f"http://site.org/{k}", f"<main><div><p>Join our club</p></div><p>Text number {k}</p>{shared if k < 5 else ''}</main>") for k in range(12)]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {x.page_id: x.text for x in got} == {k: f"Text number {k}" + ("\n\nA passage of some articles" if k < 5 else "") for k in range(12)}
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     vocabulary = [f"w{k}" for k in range(300)]
