@@ -240,17 +240,17 @@ def passes(keys: np.ndarray, bits: int, words: np.ndarray) -> np.ndarray:
     return (words[(keys & U64(bits - 1)) >> U64(6)] >> (keys & U64(63))) & U64(1) == 1
 
 
-def _chooser(only):
+def _chooser(only, keep):
     def choose(batches):
         bits, words = only.value
         for batch in batches:
             ids = batch.column(batch.schema.names.index("doc_id")).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            yield batch.filter(pa.array(passes(ids, bits, words)))
+            yield batch.filter(pa.array(passes(ids, bits, words) == keep))
 
     return choose
 
 
-def texts_of(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of texts(doc_id, text) whose doc_id may be in ids(doc_id): a filter of bounded size, applied where texts are read, so that few are shuffled by the join that decides. No null doc_ids."""
+def texts_of(texts: DataFrame, ids: DataFrame, keep: bool = True) -> DataFrame:
+    """The rows of texts(doc_id, text) whose doc_id may be in ids(doc_id): a filter of bounded size, applied where texts are read, so that few are shuffled by the join that decides; without keep all others. No null doc_ids."""
     only = texts.sparkSession.sparkContext.broadcast(key_filter(ids, "doc_id"))
-    return texts.mapInArrow(_chooser(only), texts.schema)
+    return texts.mapInArrow(_chooser(only, keep), texts.schema)

@@ -1,7 +1,9 @@
 """Main text of web pages by site template removal.
 
 Every page is read into its block elements. Subtrees are hashed, the hashes are counted per host in Spark (once per page, combined before
-the shuffle, so a host with a third of all pages is no hot spot), and subtrees that recur on many pages of their host are deleted. What is
+the shuffle, so a host with a third of all pages is no hot spot), and subtrees that recur on at least MIN_PAGES pages of their host are deleted,
+however many pages it has. Templates meet the pages' subtrees in an equi-join; filters of bounded size, for templates and for pages that lose
+something, keep other subtrees and texts from being shuffled. What is
 never main text by its element or by its class, id or role goes too. If a page marks its article (article, main, role=main), only that is kept.
 In it a list or box made of links is deleted like any other subtree, the rest only if it is on over half of the pages of its host: some articles
 may share a passage.
@@ -23,13 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, cut, texts_of
 
-#: A subtree is a template if it is on at least so many pages of a host and on at least this share of them.
-MIN_PAGES, MIN_SHARE = 5, 0.01
+#: A subtree is a template if it is on at least so many pages of a host.
+MIN_PAGES = 5
 #: In a marked article, a subtree that isn't made of links is a template only if it is on more than this share of the host's pages too.
 ARTICLE_SHARE = 0.5
-SALTS = 32
 
 # Element names of HTML by their role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -176,13 +177,16 @@ def blocks(page: str) -> list[tuple[str, list[int], list[int]]]:
     return [(b[0], b[1], b[4]) for b in done if b[3] <= 0.5]
 
 
+KEYS = ("page_id", "url", "host", "doc_id", "twin")
+
+
 def _parser(batches):
     for batch in batches:
         for part in chunks(batch, "html"):
             found = [blocks(x) if x else [] for x in part.column("html").to_pylist()]
             kind = pa.list_(pa.struct([("text", pa.string()), ("marks", pa.list_(pa.int64())), ("inner", pa.list_(pa.int64()))]))
             yield pa.RecordBatch.from_arrays(
-                [part.column("page_id"), part.column("url"), part.column("host"), pa.array([[{"text": t, "marks": m, "inner": i} for t, m, i in x] for x in found], kind)], names=["page_id", "url", "host", "blocks"]
+                [*(part.column(x) for x in KEYS), pa.array([[{"text": t, "marks": m, "inner": i} for t, m, i in x] for x in found], kind)], names=[*KEYS, "blocks"]
             )
 
 
@@ -190,20 +194,37 @@ def host_of(url: str = "url"):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+def parsed(rows: DataFrame) -> DataFrame:
+    return rows.mapInArrow(_parser, "page_id long, url string, host string, doc_id long, twin long, blocks array<struct<text:string,marks:array<long>,inner:array<long>>>")
+
+
+def templates(read: DataFrame, rows: DataFrame, min_pages: int, share: float) -> DataFrame:
+    """host, mark, inner: the templates of each host, with inner those that are deleted in articles too."""
+    marks = read.select("host", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: F.concat(b["marks"], b["inner"]))))).alias("mark"))
+    # both are cut off before they are joined, so that Spark can split a hot host
+    often = cut(marks.groupBy("host", "mark").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages))
+    size = cut(rows.groupBy("host").agg(F.count("*").alias("pages")))
+    common = F.when(F.col("n") > F.lit(share) * F.col("pages"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
+    return cut(often.join(size, "host").select("host", "mark", F.explode(common).alias("inner")))
+
+
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = ARTICLE_SHARE) -> DataFrame:
     """Per row of pages(page_id, url, html): page_id, url, text, n_chars."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host_of())
-    read = rows.mapInArrow(_parser, "page_id long, url string, host string, blocks array<struct<text:string,marks:array<long>,inner:array<long>>>")
-    size = rows.groupBy("host").agg(F.count("*").alias("pages"))
-    marks = read.select("host", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: F.concat(b["marks"], b["inner"]))))).alias("mark"))
-    often = marks.groupBy("host", "mark").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    # at most subtrees-per-page / min_share templates for a host, however many pages it has
-    templates = often.join(size, "host").where(F.col("n") >= min_share * F.col("pages")).groupBy("host").agg(
-        F.collect_list("mark").alias("templates"), F.collect_list(F.when(F.col("n") > F.lit(ARTICLE_SHARE) * F.col("pages"), F.col("mark"))).alias("common")
-    )
-    salted = templates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    dealt = read.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    joined = dealt.join(salted, ["host", "salt"], "left")
-    kept = F.when(F.col("templates").isNull(), F.col("blocks")).otherwise(F.filter("blocks", lambda b: ~F.arrays_overlap(b["marks"], F.col("templates")) & ~F.arrays_overlap(b["inner"], F.col("common"))))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n\n")
-    return joined.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+    # two hashes name a row by all that it holds; rows that repeat have equal verdicts
+    rows = rows.withColumn("doc_id", F.xxhash64("page_id", "url", "html")).withColumn("twin", F.xxhash64("html", "url", "page_id", F.lit(1)))
+    read = parsed(rows)
+    found = templates(read, rows, min_pages, share)
+    kinds = F.array(*(F.struct(F.lit(name == "inner").alias("inner"), F.array_distinct(F.flatten(F.col(f"blocks.{name}"))).alias("marks")) for name in ("marks", "inner")))
+    held = read.select("host", "doc_id", "twin", F.explode(kinds).alias("k")).select("host", "k.inner", F.explode("k.marks").alias("mark"), F.col("doc_id").alias("row"), "twin")
+    key = F.xxhash64("host", "mark", "inner").alias("doc_id")
+    likely = texts_of(held.select("*", key), found.select(key)).drop("doc_id")
+    hits = likely.join(found, ["host", "mark", "inner"]).groupBy(F.col("row").alias("doc_id"), "twin")
+    hits = cut(hits.agg(F.collect_set(F.when(~F.col("inner"), F.col("mark"))).alias("often"), F.collect_set(F.when(F.col("inner"), F.col("mark"))).alias("common")))
+    # only pages that may lose something are shuffled
+    some, rest = texts_of(rows, hits.select("doc_id")), texts_of(rows, hits.select("doc_id"), keep=False)
+    joined = parsed(some).join(hits.hint("merge"), ["doc_id", "twin"], "left")
+    stays = F.filter("blocks", lambda b: ~F.arrays_overlap(b["marks"], F.col("often")) & ~F.arrays_overlap(b["inner"], F.col("common")))
+    kept = joined.withColumn("blocks", F.when(F.col("often").isNull(), F.col("blocks")).otherwise(stays)).select("page_id", "url", "blocks")
+    text = F.array_join(F.transform("blocks", lambda b: b["text"]), "\n\n")
+    return kept.unionByName(parsed(rest).select("page_id", "url", "blocks")).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))

@@ -421,6 +421,15 @@ def test_html(spark):
     assert [by[100 + k].text for k in range(8)] == [f"Text number {k}" for k in range(8)] and by[None].text == "null"
 
 
+def test_html_templates_of_large_hosts(spark):
+    """What six pages share goes, whatever their share of the host; null and repeated rows come back."""
+    rows = [(k, f"http://site.org/{k}", f"<div><p>Text number {k}</p></div>" + ("<ul><li>Section menu</ul>" if k < 6 else "")) for k in range(1200)]
+    rows += [rows[0], (7, "http://other.org/", "<p>Text number 7</p><ul><li>Section menu</ul>"), (None, "http://site.org/x", None), (None, "http://site.org/x", "<ul><li>Section menu</ul>")]
+    got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    want = [(k, f"Text number {k}") for k in [*range(1200), 0]] + [(7, "Text number 7\n\nSection menu"), (-1, ""), (-1, "")]
+    assert sorted((-1 if x.page_id is None else x.page_id, x.text) for x in got) == sorted(want)
+
+
 def test_html_boxes_in_articles(spark):
     """A box on all pages of the host goes from their articles; a passage that five of twelve share stays."""
     shared = "<p>A passage of some articles</p>"
