@@ -1,6 +1,6 @@
 """Main text of web pages by site template removal.
 
-Every page is read into its block elements. Subtrees are hashed, the hashes are counted per host in Spark (once per page, combined before
+Every page is read into its block elements. Subtrees are hashed bottom up from the hashes of their parts, whatever their size, the hashes are counted per host in Spark (once per page, combined before
 the shuffle, so a host with a third of all pages is no hot spot), and subtrees that recur on at least MIN_PAGES pages of their host are deleted,
 however many pages it has. Templates meet the pages' subtrees in an equi-join; filters of bounded size, for templates and for pages that lose
 something, keep other subtrees and texts from being shuffled. What is
@@ -69,29 +69,50 @@ def subtree_hash(markup: str) -> int:
 
 
 class _Open:
-    __slots__ = ("name", "start", "drop", "root", "first")
+    __slots__ = ("name", "drop", "root", "first", "kids", "size", "linked")
 
-    def __init__(self, name: str, start: int, drop: bool, root: bool, first: int):
-        self.name, self.start, self.drop, self.root, self.first = name, start, drop, root, first
+    def __init__(self, name: str, drop: bool, root: bool, first: int):
+        self.name, self.drop, self.root, self.first = name, drop, root, first
+        self.kids, self.size, self.linked = [], 0, 0
 
 
 def blocks(page: str) -> list[tuple[str, list[int], list[int]]]:
-    """(text, hashes of the subtrees around it, hashes of those that only a large share makes a template) of the blocks that can be main text, in page order."""
+    """(text, hashes that make it a template if they recur, hashes that do only on a large share of the pages) of the blocks that can be main text, in page order.
+
+    A larger subtree recurs only if its parts do, so they stand for it: a block has the hash of its own text and, in an article, that of the least box of links around it.
+    """
     done: list[list] = []  # text, hashes, whether in an article, share of link characters, hashes of what only a large share deletes
+    free: list[int] = []  # blocks in an article without a box of links
     stack: list[_Open] = []
     pieces: list[str] = []
     linked = [0]
+    span = [0, 0]
     drops = roots = 0
 
+    def put(piece: str, start: int, end: int):
+        if not pieces:
+            span[0] = start
+        span[1] = end
+        pieces.append(piece)
+
     def flush():
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             pieces.clear()
             if text and not drops:
-                done.append([text, [], roots > 0, linked[0] / len(text), []])
+                within = next((x.name for x in reversed(stack) if x.name in BLOCK), "")
+                own = subtree_hash(f"<{within}> {page[span[0] : span[1]]}")
+                if roots:
+                    free.append(len(done))
+                done.append([text, [] if roots else [own], roots > 0, linked[0] / len(text), [own] if roots else []])
+                if stack:
+                    x = stack[-1]
+                    x.kids.append(own)
+                    x.size += len(text)
+                    x.linked += linked[0]
         linked[0] = 0
 
-    def close(upto: int, end: int):
+    def close(upto: int):
         nonlocal drops, roots
         if any(x.name in BLOCK for x in stack[upto:]):
             flush()
@@ -99,26 +120,26 @@ def blocks(page: str) -> list[tuple[str, list[int], list[int]]]:
             x = stack.pop()
             drops -= x.drop
             roots -= x.root
-            inside = done[x.first :]
-            # a larger subtree recurs only if its parts do, so they stand for it
-            if x.name in BLOCK and x.name not in ("html", "body", "head") and not drops and not x.root and 0 < len(inside) <= 64 and end - x.start <= 65536:
-                linkage = sum(b[3] * len(b[0]) for b in inside) / sum(len(b[0]) for b in inside)
-                links = x.name not in PROSE and linkage > 0.5
-                held = [b for b in (y[1] if links or not y[2] else y[4] for y in inside) if len(b) < 8]
-                if held:
-                    mark = subtree_hash(page[x.start : end])
-                    for b in held:
-                        b.append(mark)
+            if not x.kids:
+                continue
+            mark = subtree_hash(f"<{x.name}> {' '.join(map(str, x.kids))}")
+            if x.name in BLOCK and x.name not in PROSE and x.name != "head" and not x.root and x.linked > 0.5 * x.size:
+                while free and free[-1] >= x.first:
+                    done[free.pop()][1].append(mark)
+            if stack:
+                stack[-1].kids.append(mark)
+                stack[-1].size += x.size
+                stack[-1].linked += x.linked
 
     at, n = 0, len(page)
     while at < n:
         m = _TAG.search(page, at)
         if not m:
             if not drops:
-                pieces.append(page[at:])
+                put(page[at:], at, n)
             break
         if not drops and m.start() > at:
-            pieces.append(page[at : m.start()])
+            put(page[at : m.start()], at, m.start())
             if any(x.name == "a" for x in stack[-3:]):
                 linked[0] += m.start() - at
         at = m.end()
@@ -134,12 +155,12 @@ def blocks(page: str) -> list[tuple[str, list[int], list[int]]]:
                     break
                 k -= 1
             if k >= 0:
-                close(k, at)
+                close(k)
             elif name in BLOCK:
                 flush()
             continue
         if name == "br":
-            pieces.append(" ")
+            put(" ", m.start(), at)
             continue
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
@@ -152,7 +173,7 @@ def blocks(page: str) -> list[tuple[str, list[int], list[int]]]:
             if name != "option":
                 for k in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph
                     if stack[k].name == "p":
-                        close(k, m.start())
+                        close(k)
                         break
                     if stack[k].name in HOLDS:
                         break
@@ -160,17 +181,17 @@ def blocks(page: str) -> list[tuple[str, list[int], list[int]]]:
                 k = len(stack) - 1
                 while k >= 0 and stack[k].name in CLOSED_BY_SIBLING[name] | (set() if stack[k].name in BLOCK else {stack[k].name}):
                     if stack[k].name in CLOSED_BY_SIBLING[name]:
-                        close(k, m.start())
+                        close(k)
                     k -= 1
         if name in VOID or attributes.endswith("/") and name not in BLOCK:
             continue
         noise = name not in ("html", "body", "main") and is_noise(attributes) and not (name == "header" and roots)
         drop = name in DROPPED or noise or (name == "header" and not roots)
         root = not drop and (name in ("article", "main") or 'role="main"' in attributes)
-        stack.append(_Open(name, m.start(), drop, root, len(done)))
+        stack.append(_Open(name, drop, root, len(done)))
         drops += drop
         roots += root
-    close(0, n)
+    close(0)
     flush()
     if any(b[2] for b in done):
         return [(b[0], b[1], b[4]) for b in done if b[2]]

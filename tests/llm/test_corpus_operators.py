@@ -430,6 +430,20 @@ def test_html_templates_of_large_hosts(spark):
     assert sorted((-1 if x.page_id is None else x.page_id, x.text) for x in got) == sorted(want)
 
 
+def test_html_templates_of_any_size(spark):
+    """Bare text of a container of many blocks, a very long block and a long box of links in an article recur like others."""
+    rows = []
+    for k in range(8):
+        many = "".join(f"<p>Text {k} {i}</p>" for i in range(70))
+        rows.append((k, f"http://a.org/{k}", f"<div>Bare words{many}<p>{'long ' * 14_000}</p></div>"))
+        box = "".join(f"<p><a href='/{i}'>Link {i}</a></p>" for i in range(70)) if k < 5 else ""
+        rows += [(100 + k, f"http://b.org/{k}", f"<main><div>{box}</div><p>Text {k}</p></main>"), (200 + k, f"http://b.org/{100 + k}", f"<main><p>Text {k} b</p></main>")]
+    got = {x.page_id: x.text for x in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(8):
+        assert got[k] == "\n\n".join(f"Text {k} {i}" for i in range(70))
+        assert got[100 + k] == f"Text {k}" and got[200 + k] == f"Text {k} b"
+
+
 def test_html_boxes_in_articles(spark):
     """A box on all pages of the host goes from their articles; a passage that five of twelve share stays."""
     shared = "<p>A passage of some articles</p>"
