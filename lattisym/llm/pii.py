@@ -7,8 +7,8 @@ or the same lower-case text. Words inside a pattern match are observed. Loopy su
 kinds of edges; a word whose marginal for a kind reaches CERTAIN becomes a further span.
 
 Potentials are fitted piecewise (Sutton and McCallum, 2005) on the pattern matches of at most `sample` documents (8,000 by default,
-and at most NODES words of each), the first by a hash of doc_id: node potentials by softmax regression over word shapes
-and contexts, edge potentials as smoothed log ratios of label pairs. All documents are labelled, on their whole texts.
+the first by a hash of doc_id): node potentials by softmax regression over word shapes and contexts of at most `nodes` words of each document
+(200 by default, drawn by hash from the whole document), edge potentials as smoothed log ratios of all label pairs of the document. All documents are labelled, on their whole texts.
 
 Spans are counted in code points, the end exclusive. Defined cases: null and empty texts have no spans; rows that repeat come back each.
 """
@@ -18,6 +18,7 @@ from __future__ import annotations
 import hashlib
 import pickle
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,9 @@ _EMAIL, _LOCAL = re.compile(EMAIL), re.compile(r"[A-Za-z0-9._%+-]")
 _IP, _CARD, _PHONE = re.compile(r"(?<![0-9])" + IP), re.compile(CARD), re.compile(PHONE)
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
-CERTAIN, SAMPLE, NODES, FEATURES, MESSAGES = 0.9, 8_000, 200, 4096, 6
+CERTAIN, SAMPLE, NODES, FEATURES = 0.9, 8_000, 200, 4096
+#: Messages have settled once none changes by more than this. Where they circle, they're slowed down after they had time to cross the document.
+SETTLED = 1e-4
 #: Pairs of equal labels that the skip potential is fitted with besides those seen.
 PRIOR = 20
 LABELS = len(KINDS) + 1  # 0: none of them
@@ -147,20 +150,30 @@ def observed(words: list[tuple[int, int]], spans: list[tuple[int, int, int]]) ->
     return labels
 
 
-def _examples(batches):
-    for batch in batches:
-        for part in chunks(batch, "text"):
-            rows = []
-            for text, words in zip(part.column("text").to_pylist(), suspicious_words(part.column("text")), strict=True):
-                words = words[:NODES]
-                if not words:
-                    rows.append(None)
-                    continue
-                labels = observed(words, base_spans(text))
-                chain, skip = edges_of(text, words)
-                pairs = [[(labels[a], labels[b]) for a, b in x] for x in (chain, skip)]
-                rows.append(pickle.dumps(([word_features(text, s, e) for s, e in words], labels, *pairs)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, pa.binary())], names=["doc_id", "example"])
+def drawn(text: str, words: list[tuple[int, int]], nodes: int) -> list[int]:
+    """At most so many word numbers, by a hash of place and text."""
+    if len(words) <= nodes:
+        return list(range(len(words)))
+    place = [hashlib.blake2b(f"{s} {text[s:e]}".encode("utf-8", "replace"), digest_size=8).digest() for s, e in words]
+    return sorted(sorted(range(len(words)), key=place.__getitem__)[:nodes])
+
+
+def example(text: str, words: list[tuple[int, int]], nodes: int = NODES) -> bytes:
+    """What a document teaches, of bounded size: features and labels of the words drawn from it; how often each pair of labels is at the ends of a chain and a skip edge."""
+    labels = observed(words, base_spans(text))
+    pairs = [list(Counter((labels[a], labels[b]) for a, b in x).items()) for x in edges_of(text, words)]
+    chosen = drawn(text, words, nodes)
+    return pickle.dumps(([word_features(text, *words[k]) for k in chosen], [labels[k] for k in chosen], *pairs))
+
+
+def _teacher(nodes: int):
+    def teach(batches):
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                rows = [example(text, words, nodes) if words else None for text, words in zip(part.column("text").to_pylist(), suspicious_words(part.column("text")), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, pa.binary())], names=["doc_id", "example"])
+
+    return teach
 
 
 def fit(examples: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,9 +185,9 @@ def fit(examples: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         features += f
         labels += y
         for c, found in zip(counts, pairs, strict=True):
-            for a, b in found:
-                c[a, b] += 1
-                c[b, a] += 1
+            for (a, b), n in found:
+                c[a, b] += n
+                c[b, a] += n
     potentials = []
     for c in counts:
         p = c / c.sum()
@@ -198,8 +211,8 @@ def fit(examples: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return w, *potentials
 
 
-def marginals(unary: np.ndarray, edges: list[tuple[int, int]], potentials: np.ndarray, rounds: int = MESSAGES) -> np.ndarray:
-    """Label marginals by loopy sum-product. unary: (node, label) logarithms; potentials: one (label, label) matrix per edge."""
+def marginals(unary: np.ndarray, edges: list[tuple[int, int]], potentials: np.ndarray, settled: float = SETTLED) -> np.ndarray:
+    """Label marginals by loopy sum-product, run until messages settle. unary: (node, label) logarithms; potentials: one (label, label) matrix per edge."""
     n = len(unary)
     belief = unary.copy()
     if edges:
@@ -208,12 +221,17 @@ def marginals(unary: np.ndarray, edges: list[tuple[int, int]], potentials: np.nd
         phi = np.exp(np.concatenate([potentials, potentials.transpose(0, 2, 1)]))
         m, half = np.zeros((2 * len(e), unary.shape[1])), len(e)
         back = np.concatenate([np.arange(half, 2 * half), np.arange(half)])
-        for _ in range(rounds):
+        step, turn, moved = 0.5, 0, np.inf
+        while moved > settled:
             out = belief[source] - m[back]
             out -= out.max(axis=1, keepdims=True)
             new = np.log(np.maximum(np.einsum("ka,kab->kb", np.exp(out), phi), 1e-300))
             new -= new.max(axis=1, keepdims=True)
-            m = 0.5 * m + 0.5 * new
+            moved = step * np.abs(new - m).max()
+            m = (1 - step) * m + step * new
+            turn += 1
+            if turn > 4 * n + 100:
+                step *= 0.95
             belief = unary.copy()
             np.add.at(belief, target, m)
     p = np.exp(belief - belief.max(axis=1, keepdims=True)) if n else belief
@@ -272,18 +290,18 @@ def _labeller(model):
     return label
 
 
-def train(docs: DataFrame, sample: int = SAMPLE):
+def train(docs: DataFrame, sample: int = SAMPLE, nodes: int = NODES):
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     # bounded: at most `sample` ids, which makes the broadcast safe
     chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
     # one row per chosen id, so what the driver gets is bounded even if ids repeat
-    got = rows.join(F.broadcast(chosen), "doc_id").mapInArrow(_examples, "doc_id long, example binary").where("example is not null").groupBy("doc_id").agg(F.min("example").alias("example"))
+    got = rows.join(F.broadcast(chosen), "doc_id").mapInArrow(_teacher(nodes), "doc_id long, example binary").where("example is not null").groupBy("doc_id").agg(F.min("example").alias("example"))
     return fit(got.toArrow().sort_by("doc_id").column("example").to_pylist())
 
 
-def detect(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def detect(docs: DataFrame, sample: int = SAMPLE, nodes: int = NODES) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, counts and digest of the base spans, all spans, n_added."""
-    model = train(docs, sample)
+    model = train(docs, sample, nodes)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_labeller(model), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
@@ -298,9 +316,9 @@ def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[free:]])
 
 
-def redact(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def redact(docs: DataFrame, sample: int = SAMPLE, nodes: int = NODES) -> DataFrame:
     """docs with all columns, the texts masked and n_chars (if there) counted anew. A null text stays null."""
-    model = train(docs, sample)
+    model = train(docs, sample, nodes)
     names = docs.columns
 
     def masked(batches):

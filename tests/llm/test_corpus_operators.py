@@ -358,6 +358,26 @@ def test_best_fit_takes_the_tightest_window():
         room[w] -= n
 
 
+def test_whole_documents_teach_and_settle():
+    """Late words and pairs of words far apart are learnt from; a label reaches repeats over more than six skip edges."""
+    text = "1.2.3.4 " + " ".join(f"x{k}" for k in range(400)) + " 1.2.3.4 late@mail.example.org"
+    words = pii.suspicious_words(pa.array([text]))[0]
+    (got,) = [row["example"] for batch in pii._teacher(pii.NODES)(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], names=["doc_id", "text"])])) for row in batch.to_pylist()]
+    features, labels, _, skip = pii.pickle.loads(got)
+    assert len(features) == len(labels) == pii.NODES and skip == [((2, 2), 1)]
+    late = {k for k in range(200, len(words))}
+    assert late & set(pii.drawn(text, words, pii.NODES))
+    n = 40
+    unary = np.zeros((n, pii.LABELS))
+    unary[0, 1] = 30.0
+    potential = np.full((pii.LABELS, pii.LABELS), -3.0) + 6 * np.eye(pii.LABELS)
+    p = pii.marginals(unary, [(k, k + 1) for k in range(n - 1)], np.repeat(potential[None], n - 1, axis=0))
+    q, step = np.eye(pii.LABELS)[1], np.exp(potential) / np.exp(potential).sum(axis=1, keepdims=True)
+    for k in range(n):
+        assert np.allclose(p[k], q, atol=1e-3)
+        q = q @ step
+
+
 def test_resampling(spark):
     rng = random.Random(1)
     good = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=40)) for _ in range(60)]
