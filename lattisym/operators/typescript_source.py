@@ -240,8 +240,29 @@ class _File:
                 p = (self.tokens[p].mate if self.tokens[p].mate > p else p) + 1
         return p < stop and self.at(p) == "=>"
 
+    def angles(self) -> dict[int, int]:
+        """The index of the opening < of each > that may close type arguments, nested ones included."""
+        out, stack, extends = {}, [], -1
+        for k, x in enumerate(self.tokens):
+            inside = bool(stack) and self.at(stack[-1]) == "<"
+            if x.kind in ("name", "number", "string"):
+                extends = k if x.text == "extends" else extends
+            elif x.text in ("<", "(", "[", "{"):
+                stack.append(k)
+            elif x.text == ">":
+                if inside:
+                    out[k] = stack.pop()
+            elif x.text in (")", "]", "}"):
+                while stack and self.at(stack.pop()) == "<":
+                    pass
+            elif x.text not in (",", "|", "&", ".", "=>") and not (x.text in ("?", ":") and inside and extends > stack[-1]):
+                while stack and self.at(stack[-1]) == "<":
+                    stack.pop()
+        return out
+
     def edges(self) -> list[dict]:
         t = self.tokens
+        angles = self.angles()
         here = {s["name"]: f"{self.path}::{s['parent'] + '.' if s['parent'] else ''}{s['name']}" for s in self.symbols if s["kind"] in ("function", "method", "class", "interface")}
         out = [{"kind": "IMPORTS", "source": self.path, "target": i["module"], "line": i["line"]} for i in self.imports]
         jsx = self.path.endswith(".tsx")
@@ -258,12 +279,9 @@ class _File:
                 elif t[k].text == "(" and k > first:
                     p = k - 1
                     if t[p].text == ">":  # type arguments
-                        q = p - 1
-                        while q > first and k - q < 24 and (t[q].kind == "name" or t[q].text in ("[", "]", ",", "|", ".")):
-                            q -= 1
-                        if t[q].text != "<":
+                        if angles.get(p, first) <= first:
                             continue
-                        p = q - 1
+                        p = angles[p] - 1
                     if t[p].kind != "name" or t[p].text in KEYWORDS and t[p - 1].text not in (".", "?."):
                         continue
                     start = chain_start(t, p, (".", "?."), KEYWORDS)

@@ -158,3 +158,11 @@ def test_dispatch():
     assert supported_extensions() == [".py", ".go", ".ts", ".tsx"] and get_language("a/b.tsx") == "typescript"
     with pytest.raises(ValueError, match="unsupported"):
         parse_source("a.rb", "")
+
+
+def test_typescript_calls_with_type_arguments():
+    long = " | ".join(f"T{k}" for k in range(40))
+    calls = ["a<Map<string, X>>(v)", f"b<{long}>(v)", "c<{ k: X; m?: Y[] }>(v)", "d<(x: X) => Y, 'lit'>(v)", "e<X extends Y ? A : B>(v)", "g<Map<string, Set<Array<X>>>>(v)"]
+    source = "function f(v: any, i: number, n: number) {\n" + "".join(f"  {c};\n" for c in calls) + "  if (i < n && h > (v)) { return i < n ? i : j > (v); }\n}\n"
+    got = [x["target"] for x in typescript_source.parse("x.ts", source)["edges"] if x["kind"] == "CALLS"]
+    assert sorted(got) == ["a", "b", "c", "d", "e", "g"]
