@@ -273,9 +273,9 @@ def search_all_words(g, spark, d):
     return search.search_text(_table(spark, d, "documents").select("doc_id", "text"), "The ing", ("text",), stemmed=False).select("doc_id")
 
 
-@query(None)
+@query(None, over_graph=False)
 def search_stemmed(g, spark, d):
-    return _flat(search.search_text(g.nodes, "located", ("name", "qualified_name", "file_path")))
+    return search.search_text(_table(spark, d, "documents").select("doc_id", "text"), "The ing", ("text",)).select("doc_id")
 
 
 @query(None)
