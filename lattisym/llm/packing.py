@@ -8,8 +8,9 @@ Remainders are dealt by a hash of their row number into groups of about GROUP pi
 work is spread evenly whatever the documents are, and a group's few last windows are all the padding there is. Only
 numbers are shuffled, never ids or texts.
 
-Tokens come from the vocabulary of a public tokenizer file (a `tokenizers` JSON with byte-level BPE). Its ranks are loaded
-into the faster `tiktoken` engine, which gives the same ids (a test compares them with the `tokenizers` library).
+Tokens are those that the `tokenizers` library gives with `add_special_tokens=False` for a public tokenizer file (a JSON with byte-level BPE):
+the string of an added token in a text becomes its one id. The file's ranks are loaded into the faster `tiktoken` engine, which gives the same
+ids (property tests compare them); texts that its regular expressions give up on, with very long runs of white space, go to `tokenizers` itself.
 
 Defined cases: a null or empty text is the end id alone; repeated rows are each packed; a null doc_id stays null.
 """
@@ -36,27 +37,40 @@ def byte_characters() -> dict[str, int]:
     return {chr(b): b for b in visible} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
-def load_ranks(text: str) -> dict[bytes, int]:
-    """Token bytes and ids of a `tokenizers` JSON file, without its added tokens."""
+def load_ranks(text: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Token bytes and ids of a `tokenizers` JSON file; its added tokens and their ids."""
     model = json.loads(text)
-    added = {x["content"] for x in model.get("added_tokens", ())}
+    added = {x["content"]: x["id"] for x in model.get("added_tokens", ())}
     table = byte_characters()
-    return {bytes(table[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in added}
+    return {bytes(table[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in added}, added
 
 
 def encoder(name: str, text: str, pattern: str):
+    """A function from a text to its ids."""
     found = cache().get(("encoder", name))
     if found is None:
         import tiktoken
+        from tokenizers import Tokenizer
 
-        found = cache()[("encoder", name)] = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=load_ranks(text), special_tokens={})
+        ranks, added = load_ranks(text)
+        engine, library = tiktoken.Encoding(name, pat_str=pattern, mergeable_ranks=ranks, special_tokens=added), []
+
+        def found(x: str) -> list[int]:
+            try:
+                return engine.encode(x, allowed_special="all")
+            except ValueError:  # its regular expressions keep a place for each character of a run of white space, up to a limit
+                if not library:
+                    library.append(Tokenizer.from_str(text))
+                return library[0].encode(x, add_special_tokens=False).ids
+
+        cache()[("encoder", name)] = found
     return found
 
 
 def _cutter(shared, pattern: str, window: int):
     def pieces(batches):
         name, text = shared.value
-        encode = encoder(name, text, pattern).encode_ordinary
+        encode = encoder(name, text, pattern)
         for batch in batches:
             for part in chunks(batch, "text"):
                 owner, start, length, crc, total = [], [], [], [], []
