@@ -6,8 +6,10 @@ scanned at once, so Python touches a text only where an operator really needs it
 
 from __future__ import annotations
 
-import builtins
+import hashlib
+import sys
 import tempfile
+import types
 import uuid
 
 import numpy as np
@@ -39,8 +41,11 @@ def _byte_values() -> np.ndarray:
 
 
 def cache() -> dict:
-    """State of this Python process that outlives a task (functions themselves are shipped by value)."""
-    return builtins.__dict__.setdefault("_lattisym_state", {})
+    """State of this Python process that outlives a task. Functions are shipped by value, so it lives in a module of its own that each process makes at first use."""
+    name = "lattisym_worker_state"
+    if name not in sys.modules:
+        sys.modules[name] = types.ModuleType(name, "Tables that a Python worker keeps between tasks.")
+    return sys.modules[name].__dict__.setdefault("kept", {})
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +65,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Polynomial prefix sums of the bytes, modulo 2**64; span_hash takes any span from them."""
+    """Polynomial prefix sums of the bytes, modulo 2**64, for runs of a short fixed length."""
     power, _ = _powers(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     values = _byte_values()[data]
@@ -69,9 +74,28 @@ def prefix_hash(data: np.ndarray) -> np.ndarray:
     return sums
 
 
-def span_hash(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    _, inverse = _powers(len(sums))
-    return mix((sums[ends] - sums[starts]) * inverse[starts])
+#: Spans of more bytes than this are hashed one by one.
+LONG_SPAN = 256
+
+
+def span_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each span of bytes: eight bytes at a time, mixed after each, so no pair of spans collides by construction (as it can in a polynomial modulo 2**64)."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * U64(0xD1342543DE82EF95) + U64(1))
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    eight = np.ndarray((len(data) + 1,), dtype="<u8", buffer=padded, strides=(1,))
+    left = np.flatnonzero(size <= LONG_SPAN)
+    at, rest = starts[left], size[left]
+    while len(left):
+        block = eight[at]
+        short = rest < 8
+        block[short] &= (U64(1) << (rest[short].astype(np.uint64) * U64(8))) - U64(1)
+        out[left] = mix((out[left] ^ block) * U64(0x9FB21C651E98DF25) + U64(0x2545F4914F6CDD1D))
+        more = rest > 8
+        left, at, rest = left[more], at[more] + 8, rest[more] - 8
+    for k in np.flatnonzero(size > LONG_SPAN):
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    return out
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -153,7 +177,7 @@ def shingle_sets(column: pa.Array, width: int, lower: bool = True) -> list[np.nd
     starts, ends, counts = word_spans(data, at)
     if lower:
         data = lower_ascii(data)
-    words = span_hash(prefix_hash(data), starts, ends)
+    words = span_hash(data, starts, ends)
     grams = sequence_hash(words, width)
     first = np.concatenate(([0], np.cumsum(counts)))
     out = []
@@ -176,10 +200,12 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only where it is unset (tests, one machine) a temporary one."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset a temporary one, on a single machine only."""
     sc = spark.sparkContext
     place = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or cache().get("own_dir")
     if not place:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         place = cache()["own_dir"] = "file://" + tempfile.mkdtemp(prefix="lattisym-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(place)

@@ -18,6 +18,8 @@ Extra columns of the input are ignored by `near_duplicates` and kept by `dedupli
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -66,12 +68,12 @@ def _sketcher(width: int):
         for batch in batches:
             for part in chunks(batch, "text"):
                 sets = shingle_sets(part.column("text"), width)
-                digest = [_digest(x) for x in sets]
+                digest = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets]
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("doc_id"),
                         pa.array([len(x) for x in sets], pa.int64()),
-                        pa.array(np.array(digest, dtype=np.uint64).view(np.int64)),
+                        pa.array(digest, pa.binary()),
                         pa.array([registers(x, factors).tobytes() if len(x) else None for x in sets], pa.binary()),
                     ],
                     names=["doc_id", "n_shingles", "digest", "sketch"],
@@ -178,9 +180,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     (A-Z lower-cased); component_id is the least doc_id reachable over links; kept marks one per component.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = cut(rows.mapInArrow(_sketcher(width), "doc_id long, n_shingles long, digest long, sketch binary"))
+    found = cut(rows.mapInArrow(_sketcher(width), "doc_id long, n_shingles long, digest binary, sketch binary"))
     usable = found.where("sketch is not null and doc_id is not null")
-    # documents with equal sets are one; its least id stands for all of them
+    # documents with equal sets (by a 128-bit BLAKE2 of the whole sorted set) are one; its least id stands for all of them
     first = usable.groupBy("digest", "n_shingles").agg(F.min("doc_id").alias("rep"))
     sketches = usable.join(first, (usable.doc_id == first.rep) & (usable.digest == first.digest) & (usable.n_shingles == first.n_shingles), "left_semi")
     sketches = cut(sketches.select("doc_id", "n_shingles", "sketch").distinct())

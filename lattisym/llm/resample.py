@@ -5,11 +5,13 @@ the raw text. A document's weight is the mean log ratio of its n-grams under the
 keeping the k largest draws k documents without replacement with probabilities proportional to the weights.
 
 Counts are one number per bucket, combined in each task before they are shuffled. Every wanted document counts: only those whose doc_id passes a
-filter of bounded size are counted one by one, and their counts, not their texts, are shuffled to the join that decides. The k-th largest value is found by counting in
-ever finer ranges, so no task sorts all rows. Noise comes from a hash of doc_id and text, so a run can be repeated.
+filter of bounded size are counted one by one, and their counts, not their texts, are shuffled to the join that decides. The k-th largest place is found by counting in
+ever finer ranges, first of the value, among equal ones of a hash, then of the row number, so no task sorts all rows. Noise comes from a hash of doc_id and text, so a run can be repeated.
+The exponent (mean log ratio times SHARPNESS, not the sum over all n-grams) keeps long documents from being certain to be drawn or left.
 
 Defined cases: null and empty texts have the weight 0 of no evidence; a null doc_id is weighed and drawn like others; labels that are null
-count for nothing; without target rows every weight is 0 and the draw is even. Rows that repeat have equal values and are drawn together up to k, ties by doc_id.
+count for nothing; without target rows every weight is 0 and the draw is even. Rows that repeat have equal values;
+exactly k rows are kept: of equal values those with the larger tie (a hash of doc_id and text, then the row's number in the stored table of values).
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, cut, lower_ascii, mix, prefix_hash, span_hash, text_bytes, texts_of, word_spans
+from .common import U64, chunks, cut, lower_ascii, mix, span_hash, text_bytes, texts_of, word_spans
 
 BUCKETS = 1 << 16
 SHARE, SHARPNESS, SMOOTHING = 0.5, 40.0, 50.0
@@ -29,7 +31,7 @@ def grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     """(text number, bucket) of every word and pair of words, and how many texts there are."""
     data, at = text_bytes(column)
     starts, ends, counts = word_spans(data, at)
-    words = span_hash(prefix_hash(lower_ascii(data)), starts, ends)
+    words = span_hash(lower_ascii(data), starts, ends)
     doc = np.repeat(np.arange(len(counts)), counts)
     pairs = mix(words[:-1] * U64(0x9FB21C651E98DF25) + words[1:])
     same = doc[1:] == doc[:-1]
@@ -99,28 +101,28 @@ def _weigher(ratios: bytes):
                 doc, bucket, n = grams(part.column("text"))
                 total = np.bincount(doc, weights=table[bucket], minlength=n)
                 size = np.bincount(doc, minlength=n)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("noise"), pa.array(SHARPNESS * total / np.maximum(size, 1))], names=["doc_id", "noise", "log_weight"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("noise"), part.column("tie"), pa.array(SHARPNESS * total / np.maximum(size, 1))], names=["doc_id", "noise", "tie", "log_weight"])
 
     return weigh
 
 
-def _cutoff(rows: DataFrame, value: str, k: int) -> float:
-    """The k-th largest of a double column, by counting in ever finer ranges."""
-    low, high = rows.agg(F.min(value), F.max(value)).first()
+def _cutoff(rows: DataFrame, column: str, k: int) -> tuple:
+    """(x, n): the k-th largest x of a column of numbers, and how many rows are larger than x. By counting in ever finer ranges."""
+    low, high = rows.agg(F.min(column), F.max(column)).first()
     above = 0
-    for _ in range(12):
-        if not low < high:
-            break
-        step = (high - low) / 4096
+    while low < high:
+        # whole numbers are divided as such: doubles couldn't tell neighbours apart
+        step = (high - low) / 4096 if isinstance(low, float) else (high - low) // 4096 + 1
         if low + step == low:
             break
-        inside = rows.where(F.col(value).between(low, high)).groupBy(F.least(F.floor((F.col(value) - low) / step), F.lit(4095)).alias("b")).agg(F.count("*").alias("n"), F.min(value).alias("lo"), F.max(value).alias("hi"))
+        place = F.floor((F.col(column) - F.lit(low)) / F.lit(step)) if isinstance(low, float) else F.expr(f"cast((cast({column} as decimal(38,0)) - {low}) div {step} as long)")
+        inside = rows.where(F.col(column).between(low, high)).groupBy(F.least(place, F.lit(4095)).alias("b")).agg(F.count("*").alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi"))
         for x in sorted(inside.collect(), key=lambda x: -x.b):
             if above + x.n >= k:
                 low, high = x.lo, x.hi
                 break
             above += x.n
-    return low
+    return low, rows.where(F.col(column) > F.lit(low)).count()
 
 
 def resample(docs: DataFrame, wanted: DataFrame, share: float = SHARE, seed: int = 7) -> DataFrame:
@@ -129,10 +131,21 @@ def resample(docs: DataFrame, wanted: DataFrame, share: float = SHARE, seed: int
     ids = cut(wanted.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct())
     ratios = log_ratios(rows, ids).tobytes()
     uniform = (F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    scored = rows.withColumn("noise", -F.log(-F.log(uniform))).mapInArrow(_weigher(ratios), "doc_id long, noise double, log_weight double")
-    scored = cut(scored.select("doc_id", "log_weight", (F.col("log_weight") + F.col("noise")).alias("value")))
+    scored = rows.withColumn("noise", -F.log(-F.log(uniform))).withColumn("tie", F.xxhash64("doc_id", "text", F.lit(seed + 1)))
+    scored = scored.mapInArrow(_weigher(ratios), "doc_id long, noise double, tie long, log_weight double")
+    scored = cut(scored.select("doc_id", "log_weight", (F.col("log_weight") + F.col("noise")).alias("value"), "tie"))
+    # the number of a row of the checkpoint: the same in every job that reads it
+    scored = cut(scored.withColumn("row", F.monotonically_increasing_id()))
     k = round(share * scored.count())
-    if not k:
-        return scored.withColumn("kept", F.lit(False))
-    limit = _cutoff(scored, "value", k)
-    return scored.withColumn("kept", F.col("value") >= F.lit(limit))
+    kept, level, open_ = F.lit(False), F.lit(k > 0), scored
+    for column in ("value", "tie", "row"):  # one after another: only rows that are equal so far are looked at
+        if k <= 0:
+            break
+        limit, larger = _cutoff(open_, column, k)
+        kept = kept | (level & (F.col(column) > F.lit(limit)))
+        level = level & (F.col(column) == F.lit(limit))
+        open_ = open_.where(F.col(column) == F.lit(limit))
+        k -= larger
+        if open_.count() == k:
+            break
+    return scored.select("doc_id", "log_weight", "value", (kept | level).alias("kept"))

@@ -6,7 +6,7 @@ that puts both on it. As PERIOD - 1 + ANCHOR <= WINDOW, whenever two documents s
 inside it, although only six of 31 positions are hashed.
 
 Anchors that documents of different word sequences share mark where windows can repeat; there, and only there, the match is extended:
-every full window around a shared anchor is hashed and its least doc_id found. Words of windows that start in a smaller document go.
+every full window around a shared anchor is hashed (128 bits) and its least doc_id found. Words of windows that start in a smaller document go.
 Documents of equal word sequences are settled as a whole. No step lists pairs; grouped minima are combined before each shuffle,
 and joins are against one row per hash.
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, cut, key_filter, mix, passes, prefix_hash, sequence_hash, signed, span_hash, stored, text_bytes, texts_of, word_spans
+from .common import U64, chunks, cut, key_filter, mix, passes, sequence_hash, signed, span_hash, stored, text_bytes, texts_of, word_spans
 
 WINDOW, PERIOD, ANCHOR = 50, 31, 20
 #: A perfect difference set modulo 31: every difference occurs.
@@ -33,7 +33,7 @@ COVER = (1, 5, 11, 24, 25, 27)
 def _words(column: pa.Array):
     data, at = text_bytes(column)
     starts, ends, counts = word_spans(data, at)
-    return data, at, starts, ends, counts, span_hash(prefix_hash(data), starts, ends)
+    return data, at, starts, ends, counts, span_hash(data, starts, ends)
 
 
 def _digests(words: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -92,12 +92,13 @@ def _anchors(only=None):
 
 
 def _windows(batches):
-    """Hashes of the windows that hold an anchor of the row's list."""
+    """Hashes (128 bits: hash and twin) of the windows that hold an anchor of the row's list."""
     for batch in batches:
         for part in chunks(batch, "text"):
             *_, counts, words = _words(part.column("text"))
             first = np.concatenate(([0], np.cumsum(counts)))
             runs = sequence_hash(words, WINDOW)
+            twins = sequence_hash(mix(words ^ U64(0xC2B2AE3D27D4EB4F)), WINDOW)
             lists = part.column("at")
             size = np.diff(np.concatenate(([0], np.cumsum([len(x) for x in lists]))))
             doc = np.repeat(np.arange(len(size)), size)
@@ -111,7 +112,7 @@ def _windows(batches):
             at = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
             owner = np.searchsorted(first, at, side="right") - 1
             take = pa.array(owner)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("digest").take(take), pa.array((at - first[owner]).astype(np.int32)), pa.array(signed(runs[at]))], names=["doc_id", "digest", "at", "hash"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("digest").take(take), pa.array((at - first[owner]).astype(np.int32)), pa.array(signed(runs[at])), pa.array(signed(twins[at]))], names=["doc_id", "digest", "at", "hash", "twin"])
 
 
 def _covered(starts: list[int], n: int) -> np.ndarray:
@@ -161,10 +162,10 @@ def repeated_windows(docs: DataFrame, info: DataFrame) -> DataFrame:
     spots = spots.groupBy("doc_id").agg(F.collect_list("at").alias("at"))
     spots = cut(spots.join(info.where("first").select("doc_id", "digest").distinct(), "doc_id"))
     near = texts_of(rows, spots.select("doc_id").distinct()).mapInArrow(_digester, "doc_id long, text string, digest long").join(spots, ["doc_id", "digest"])
-    windows = stored(near.select("doc_id", "digest", "text", "at").mapInArrow(_windows, "doc_id long, digest long, at int, hash long"))
+    windows = stored(near.select("doc_id", "digest", "text", "at").mapInArrow(_windows, "doc_id long, digest long, at int, hash long, twin long"))
     # cut off before the join, so that Spark can split a window that very many documents share
-    least = stored(windows.groupBy("hash").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("hash", "least"))
-    return windows.join(least, "hash").where("doc_id > least").select("doc_id", "digest", "at")
+    least = stored(windows.groupBy("hash", "twin").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").select("hash", "twin", "least"))
+    return windows.join(least, ["hash", "twin"]).where("doc_id > least").select("doc_id", "digest", "at")
 
 
 def remove_repeats(docs: DataFrame, output: str = "text") -> DataFrame:
@@ -175,10 +176,10 @@ def remove_repeats(docs: DataFrame, output: str = "text") -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     info = cut(rows.mapInArrow(_summary, "doc_id long, n_words long, digest long, whole_sha256 string"))
-    # equal word sequences: the least doc_id stands for all, the others go as a whole
-    least = cut(info.where("doc_id is not null").groupBy("digest", "n_words").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"))
+    # equal word sequences, by the SHA-256 of their joined words: the least doc_id stands for all, the others go as a whole
+    least = cut(info.where("doc_id is not null").groupBy("whole_sha256").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"))
     own = F.col("doc_id").isNotNull() & (F.col("least").isNull() | (F.col("doc_id") == F.col("least")))
-    info = cut(info.join(least, ["digest", "n_words"], "left").withColumn("first", own).drop("least"))
+    info = cut(info.join(least, "whole_sha256", "left").withColumn("first", own).drop("least"))
     starts = repeated_windows(rows, info).groupBy("doc_id", "digest").agg(F.collect_list("at").alias("at"))
     copy = F.col("doc_id").isNotNull() & ~F.col("first") & (F.col("n_words") >= WINDOW)
     if output == "text":

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, mix, prefix_hash, span_hash, text_bytes
+from .common import U64, chunks, mix, span_hash, text_bytes
 
 ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 6.0, 0.5, 6
 SAMPLE = 7_500
@@ -45,7 +45,7 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     after = np.concatenate((word[1:] & ~first[1:], [False]))
     starts, ends = np.flatnonzero(word & ~before), np.flatnonzero(word & ~after) + 1
     low = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
-    words = span_hash(prefix_hash(low), starts, ends)
+    words = span_hash(low, starts, ends)
     doc = np.searchsorted(at, starts, side="right") - 1
     owner, found = [doc], [words]
     for gap, salt in ((1, 0x8CB92BA72F3D8DD7), (2, 0xC2B2AE3D27D4EB4F)):

@@ -80,9 +80,8 @@ def test_word_spans(texts):
     got = [data[s:e].tobytes().decode() for s, e in zip(starts, ends, strict=True)]
     want = [re.findall(SPACE, t or "") for t in texts]
     assert got == [w for x in want for w in x] and counts.tolist() == [len(x) for x in want]
-    sums = common.prefix_hash(data)
     seen = {}
-    for w, h in zip(got, common.span_hash(sums, starts, ends).tolist(), strict=True):
+    for w, h in zip(got, common.span_hash(data, starts, ends).tolist(), strict=True):
         assert seen.setdefault(w, h) == h
     assert len(set(seen.values())) == len(seen)
 
@@ -123,6 +122,26 @@ def test_near_duplicates_of_a_repeated_id(spark):
     assert got == {(5, 5), (7, 5), (8, 5), (9, 9)}
 
 
+def thue_morse(n):
+    a, b = "a", "b"
+    for _ in range(n):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_structured_words_are_told_apart(spark):
+    """Thue-Morse words collide in polynomial hashes modulo 2**64, whatever the values of bytes."""
+    a, b = thue_morse(11)
+    x, y = common.shingle_sets(pa.array([a, b]), 2)
+    assert x.tolist() != y.tolist()
+    filler = " ".join(f"f{k}" for k in range(60))
+    df = frame(spark, [a, b, a, f"{a} {filler}", f"{b} {filler}", f"{filler} {a}"])
+    assert [x.component_id for x in near_dedup.near_duplicates(df, 2).orderBy("doc_id").collect()][:3] == [0, 1, 0]
+    ids = list(range(6))
+    want = [(i, n, g) for i, n, g, _ in plain_removal(list(zip(ids, [x.text for x in df.orderBy("doc_id").collect()], strict=True)))]
+    assert [(x.doc_id, x.n_words, x.n_removed) for x in substring.remove_repeats(df).orderBy("doc_id").collect()] == want
+
+
 def test_registers_and_estimates():
     rng = np.random.default_rng(1)
     factors = near_dedup.multipliers(4000)
@@ -141,7 +160,9 @@ def test_components(spark):
         x, y = sorted((sets[a], sets[b]))
         sets = {k: x if v == y else v for k, v in sets.items()}
     assert got == {k: sets[k] for a, b in pairs for k in (a, b) if a != b}
-    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert got == {x.node: x.component for x in components.components(spark.createDataFrame(pairs, "a long, b long"), small=0).collect()}
+    for small in (0, 10):
+        assert components.components(spark.createDataFrame([], "a long, b long"), small=small).count() == 0
 
 
 def plain_removal(rows):
@@ -325,12 +346,11 @@ def test_packing(spark):
     from tokenizers import Tokenizer
 
     path, pattern = queries.tokenizer_file()
-    texts = [*corpus(6, 25), "a" * 3000, "word " * 2500, "<|endoftext|> x", "x" * 100, "日本語のテキスト🙂 \u0000"]
+    texts = [*corpus(6, 25), "a" * 3000, "word " * 2500, "<|endoftext|> x", "a<|endoftext|><|endoftext|>b <|endoftext", " " * 1_500_000 + "x \n" * 3, "x" * 100, "日本語のテキスト🙂 \u0000"]
     ids = [*range(len(texts) - 1), None]
     df = frame(spark, texts, ids)
     rows = packing.pack(df, path, pattern, group=20).collect()
     real = Tokenizer.from_file(path)
-    real.encode_special_tokens = True
     for i, t in zip(ids, texts, strict=True):
         want = np.array([*real.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
         own = sorted((x for x in rows if x.doc_id == i), key=lambda x: x.start)
@@ -344,6 +364,23 @@ def test_packing(spark):
         assert [x.offset for x in s] == np.cumsum([0, *(x.length for x in s)])[:-1].tolist() and sum(x.length for x in s) <= 1024
 
 
+def test_ids_are_those_of_the_library():
+    from tokenizers import Tokenizer
+
+    path, pattern = queries.tokenizer_file()
+    real, own = Tokenizer.from_file(path), packing.encoder("test", open(path, encoding="utf-8").read(), pattern)
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.one_of(st.sampled_from(["<|endoftext|>", "<|endof", "text|>", " " * 3000, "\n\t" * 50, "'re", "it's", "١٢", "\u2003", "\x85", "e\u0301", "🙂"]), st.text(max_size=8)), max_size=8).map("".join))
+    def same(text):
+        assert own(text) == real.encode(text, add_special_tokens=False).ids
+
+    same()
+    assert own("a<|endoftext|>") == [64, 50256]
+    for text in (" " * 2_000_000, "a" + " \n" * 700_000 + "<|endoftext|>b"):
+        assert own(text) == real.encode(text, add_special_tokens=False).ids
+
+
 def test_best_fit_takes_the_tightest_window():
     rng = random.Random(0)
     lengths = sorted((rng.randrange(1, 100) for _ in range(500)), reverse=True)
@@ -388,6 +425,11 @@ def test_resampling(spark):
     kept = {x.doc_id for x in rows if x.kept}
     assert len(rows) == 122 and len(kept) == 61 and len(kept & set(range(60))) >= 55
     assert kept == {x.doc_id for x in sorted(rows, key=lambda x: -x.value)[:61]}
+    for copies, share in ((10, 0.5), (11, 0.3), (1, 0.5)):  # ties: exactly k rows, whatever repeats
+        same = resample.resample(frame(spark, ["alpha beta"] * copies + ["x"], [3] * copies + [4]), wanted, share).collect()
+        assert sum(x.kept for x in same) == round(share * (copies + 1)) and len(same) == copies + 1
+    all_ = resample.resample(df, wanted, 1.0).collect()
+    assert all(x.kept for x in all_) and not any(x.kept for x in resample.resample(df, wanted, 0.0).collect())
     assert {x.log_weight for x in rows if x.doc_id in (120, 121)} == {0.0}
     assert kept == {x.doc_id for x in resample.resample(df, wanted).collect() if x.kept}
     even = resample.resample(df, wanted.limit(0)).collect()
