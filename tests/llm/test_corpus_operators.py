@@ -4,6 +4,8 @@ import hashlib
 import heapq
 import random
 import re
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -342,6 +344,34 @@ def test_decontamination(spark):
     assert decontaminate.contamination(frame(spark, texts), bench.limit(0)).where("contaminated").count() == 0
 
 
+@pytest.mark.parametrize("hits", [decontaminate.HITS, 50])
+def test_decontamination_of_low_complexity(monkeypatch, hits):
+    """Repetitive texts and items: the same verdicts as without a filter, in pieces too."""
+    monkeypatch.setattr(decontaminate, "HITS", hits)
+    rng = random.Random(3)
+    items = ["_" * 120, "Name: " + "_" * 40, "ab" * 30, "abc" * 25 + "the end", "-=" * 20 + "x" * 20, "ha ha ha ha ha ha", "aaaa"]
+    bench = decontaminate.Items(list(enumerate(items)), 0.05)
+    texts = ["_" * 300, "_" * 110, "_" * 115, "ab" * 500, "name: " + "_" * 38 + " ok", "abc" * 200, "abc" * 60 + "the end" + "abc" * 40, "x" * 60, "-=" * 90 + "x" * 90, ""]
+    texts += ["".join(rng.choices(("_" * 30, "ab" * 9, "abc" * 7, "the end", "name: ", "ha ", "x" * 9, "-=" * 8), k=rng.randrange(1, 30))) for _ in range(60)]
+    want = [{j for j, x in enumerate(items) if plain_distance(x.lower(), t) <= int(0.05 * len(x))} for t in texts]
+    text, at = decontaminate.code_points(pa.array(texts))
+    assert bench.search(text, at) == want
+    for t, w in zip(texts, want, strict=True):
+        assert bench.search(*decontaminate.code_points(pa.array([t]))) == [w]
+
+
+def test_decontamination_of_a_megabyte_of_underscores():
+    bench = decontaminate.Items([(1, "_" * 120), (2, "Put your answer in here, please: " + "_" * 120), (3, "no such words in it at all")], 0.05)
+    peak = 0
+    for n in (1 << 18, 1 << 20):
+        tracemalloc.start()
+        began = time.perf_counter()
+        assert bench.search(*decontaminate.code_points(pa.array(["_" * n]))) == [{0}]
+        took, (_, peak) = time.perf_counter() - began, tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        assert took < 60 and peak < 1500 << 20
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
