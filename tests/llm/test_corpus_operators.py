@@ -1,5 +1,6 @@
 """Each operator against a plain version on small tables, with nulls, empty and long texts, ties, repeated rows and extra columns."""
 
+import gzip
 import hashlib
 import heapq
 import random
@@ -228,8 +229,8 @@ def test_warc_round_trip(spark, tmp_path):
     ids = [5, 9, 1, None, 2, 3, 4, 6, 7, 9, -3]
     urls = ["http://b.org/x y", "http://www.a.org/1", None, "no url", *["https://a.org/%d?Q#f" % k for k in range(7)]]
     pages = spark.createDataFrame(list(zip(ids, urls, html, strict=True)), "page_id long, url string, html string").withColumn("run", F.lit(1))
-    warc.write_archives(pages, str(tmp_path / "a"), file_records=3)
-    index = warc.capture_index(warc.read_archives(spark, str(tmp_path / "a")))
+    warc.write_archives(pages, str(tmp_path / "a"), file_bytes=500)
+    index = warc.capture_index(common.cut(warc.read_archives(spark, str(tmp_path / "a"))), range_rows=4)
     rows = index.collect()
     key = [(x.urlkey, x.stamp, x.page_id is not None, x.page_id or 0) for x in rows]
     assert key == sorted(key) and len(rows) == len(ids)
@@ -244,6 +245,23 @@ def test_warc_round_trip(spark, tmp_path):
         want.append((i, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if again else "response", last[h] if again else None))
     assert sorted(map(str, want)) == sorted(str((x.page_id, x.payload_bytes, x.payload_digest, x.record_type, x.refers_to)) for x in rows)
     assert warc.url_key("http://www.Example.com:80/A?b#c") == "com,example)/a?b"
+    files = {x.run: open(x.run.removeprefix("file:"), "rb").read() for x in rows}
+    assert len(files) > 4
+    for x in rows:  # any gzip reader can read a whole archive, or seek to one record
+        record = gzip.decompress(files[x.run][x.offset : x.offset + x.length])
+        assert record in gzip.decompress(files[x.run]) and f"<urn:capture:{'none' if x.page_id is None else x.page_id}>".encode() in record
+
+
+def test_warc_of_a_large_record(spark, tmp_path):
+    """A record over 16 MB: the last byte of its gzip member isn't zero."""
+    rng = random.Random(2)
+    big = "".join(rng.choices("abcdef", k=1 << 16)) * 300
+    pages = spark.createDataFrame([(1, "http://a.org/1", big), (2, "http://a.org/2", "x"), (3, "http://a.org/3", big)], "page_id long, url string, html string")
+    got = warc.archive_and_index(pages, str(tmp_path / "a")).collect()
+    digest = hashlib.sha1(big.encode()).hexdigest()
+    assert [(x.page_id, x.payload_bytes, x.payload_digest, x.record_type, x.refers_to) for x in got] == [
+        (1, len(big), digest, "revisit", 3), (2, 1, hashlib.sha1(b"x").hexdigest(), "response", None), (3, len(big), digest, "response", None)
+    ]
 
 
 @settings(max_examples=50, deadline=None)
@@ -251,6 +269,10 @@ def test_warc_round_trip(spark, tmp_path):
 def test_loser_tree(runs):
     runs = [sorted(r) for r in runs]
     assert list(warc.LoserTree(runs, key=lambda x: x)) == list(heapq.merge(*runs))
+    mixed = [x for r in runs for x in r]
+    pieces = warc.natural_runs(iter(mixed), key=lambda x: x)
+    assert [x for p in pieces for x in p] == mixed and all(p == sorted(p) for p in pieces) and len(pieces) <= len(runs)
+    assert list(warc.LoserTree(pieces, key=lambda x: x)) == sorted(mixed)
 
 
 def plain_spans(text):
