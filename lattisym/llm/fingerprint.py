@@ -26,6 +26,8 @@ from .common import U64, _powers, chunks, mix, partitions, prefix_hash, text_byt
 SHINGLE, SCALE = 12, 16
 #: Kept hashes are below 2**28, a sixteenth of 32 bits: seven hex digits.
 DIGITS = 7
+#: Rows of a run of neighbours that one task reads.
+BUCKET_ROWS = 20_000
 
 
 def sketches(column: pa.Array) -> list[tuple[int, int, np.ndarray]]:
@@ -91,30 +93,45 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_sketcher, "doc_id long, fingerprint string")
 
 
-def neighbours(docs: DataFrame) -> DataFrame:
+def neighbours(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """docs(doc_id, text) dealt so that each bucket is a run of consecutive doc_ids, in order, closed by a copy of the next bucket's first row.
 
-    The buckets are as many as shuffle partitions, cut at quantiles of doc_id; only their edges (two numbers per bucket) reach the driver.
-    Rows of equal doc_id lie in one bucket, in the order of their texts; a null doc_id comes last.
+    Buckets hold about bucket_rows rows, cut at quantiles of doc_id; only their edges (a few numbers per bucket) reach the driver.
+    Rows of equal doc_id are in the order of a hash of their texts, then of the texts; a null doc_id comes last. So one doc_id (or null) on very many
+    rows is divided too, by ranges of that hash.
     """
     spark = docs.sparkSession
     big = F.lit((1 << 63) - 1)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.coalesce("doc_id", big))
-    n = max(2, 2 * partitions(spark))
-    cuts = sorted(set(docs.select(F.col("doc_id").cast("double").alias("d")).where("d is not null").approxQuantile("d", [k / n for k in range(1, n)], 1 / (4 * n)))) or [0.0]
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), big).alias("key"))
+    total = slim.count()
+    n = max(2, 2 * partitions(spark), -(-total // bucket_rows))
+    # keys on more rows than a bucket should have: fewer than there are buckets
+    hot = {x.key: x.n for x in slim.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > max(1, 2 * total // n)).collect()}
+    cuts = set(docs.select(F.col("doc_id").cast("double").alias("d")).where("d is not null").approxQuantile("d", [k / n for k in range(1, n)], 1 / (4 * n)))
+    cuts = sorted(cuts | {float(k) for k in hot} | {math.nextafter(float(k), math.inf) for k in hot}) or [0.0]
     # a binary search per row, however many buckets there are
     search = Bucketizer(splits=[-math.inf, *(cuts if len(cuts) > 1 else [cuts[0], cuts[0] + 1]), math.inf], inputCol="__key", outputCol="__bucket")
-    rows = search.transform(rows.withColumn("__key", F.col("key").cast("double"))).withColumn("bucket", F.col("__bucket").cast("int")).drop("__key", "__bucket")
-    heads = rows.groupBy("bucket").agg(F.min("key").alias("key")).collect()
-    heads = sorted((x.bucket, x.key) for x in heads)
-    before = [(heads[k - 1][0], x[1]) for k, x in enumerate(heads)]
-    if not before:
-        return rows.select("bucket", F.lit(0).alias("extra"), "doc_id", "key", "text")
-    edges = F.broadcast(spark.createDataFrame(before, "home int, head long"))
-    first = rows.join(edges, F.col("key") == F.col("head")).groupBy("home", "key").agg(F.min("text").alias("text"))
-    first = first.select(F.col("home").alias("bucket"), F.lit(1).alias("extra"), F.lit(None).cast("long").alias("doc_id"), "key", "text")
-    both = rows.select("bucket", F.lit(0).alias("extra"), "doc_id", "key", "text").unionByName(first)
-    return both.repartitionById(n + 2, F.col("bucket")).sortWithinPartitions("bucket", "extra", "key", "text")
+    rows = search.transform(rows.withColumn("__key", F.col("key").cast("double")))
+    # within its bucket: 0 before a hot key, 1 to 2**bits for the ranges of its hash, then what comes after it
+    part = F.lit(0)
+    for k, m in hot.items():
+        bits = min(20, max(0, (m * n // max(1, total)).bit_length()))
+        top = F.shiftrightunsigned(F.col("hash").bitwiseXOR(F.lit(-1 << 63)), 64 - bits).cast("int") if bits else F.lit(0)
+        mine = F.col("__key") == F.lit(float(k))
+        part = F.when(mine & (F.col("key") == F.lit(k)), 1 + top).when(mine & (F.col("key") > F.lit(k)), F.lit((1 << 20) + 1)).otherwise(part)
+    rows = rows.withColumn("place", F.col("__bucket").cast("long") * (1 << 21) + part).drop("__key", "__bucket")
+    heads = rows.groupBy("place").agg(F.min(F.struct("key", "hash")).alias("first")).collect()
+    heads = sorted((x.place, x.first.key, x.first.hash) for x in heads)
+    if not heads:
+        return rows.select(F.lit(0).alias("bucket"), F.lit(0).alias("extra"), "doc_id", "key", "hash", "text")
+    numbers = F.broadcast(spark.createDataFrame([(x[0], k) for k, x in enumerate(heads)], "place long, bucket int"))
+    edges = F.broadcast(spark.createDataFrame([((k - 1) % len(heads), x[0], x[1], x[2]) for k, x in enumerate(heads)], "home int, place long, key long, hash long"))
+    first = rows.join(edges, ["place", "key", "hash"]).groupBy("home", "key", "hash").agg(F.min("text").alias("text"))
+    first = first.select(F.col("home").alias("bucket"), F.lit(1).alias("extra"), F.lit(None).cast("long").alias("doc_id"), "key", "hash", "text")
+    both = rows.join(numbers, "place").select("bucket", F.lit(0).alias("extra"), "doc_id", "key", "hash", "text").unionByName(first)
+    return both.repartitionById(len(heads), F.col("bucket")).sortWithinPartitions("bucket", "extra", "key", "hash", "text")
 
 
 def _editor(batches):

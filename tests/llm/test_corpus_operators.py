@@ -219,10 +219,41 @@ def test_fingerprints(spark):
     part = fingerprint.sketches(pa.array(["".join(random.Random(1).choices("abcdefgh ", k=4000))]))[0]
     assert fingerprint.containment(part, whole) == 1 and 0.07 < fingerprint.likeness(part, whole) < 0.13
     assert fingerprint.merge(part, whole).tolist() == whole[2].tolist()
+    # against plain sets of runs of 12 bytes: exact where the sketch keeps everything, else near the share that a sample gives
+    for x, (_, t) in zip((got[i] for i, _ in rows), rows, strict=True):
+        raw = t.encode()
+        assert fingerprint.parse(x.fingerprint)[0] == len({raw[k : k + 12] for k in range(max(1, len(raw) - 11))} if raw else ())
+    rng = random.Random(11)
+    for share in (0.1, 0.5, 0.9):
+        a = "".join(rng.choices("abcdefgh ", k=60_000))
+        b = a[: int(share * 60_000)] + "".join(rng.choices("abcdefgh ", k=60_000 - int(share * 60_000)))
+        x, y = ({t[k : k + 12] for k in range(len(t) - 11)} for t in (a, b))
+        assert abs(fingerprint.likeness(*fingerprint.sketches(pa.array([a, b]))) - len(x & y) / len(x | y)) < 0.04
     one = fingerprint.compare_edited(frame(spark, ["abcdefgh"])).first()
     assert one.near_next == 1.0 and one.edited_sha256 == hashlib.sha256(b"abcdefab").hexdigest()
 
 
+@pytest.mark.parametrize("hot", [None, 7, (1 << 53) + 1])
+def test_neighbours_of_a_hot_key(spark, hot):
+    """A doc_id, or null, on most rows is divided among buckets; every row still meets its next."""
+    rng = random.Random(1)
+    texts = [" ".join(words(rng, 5)) for _ in range(120)]
+    ids = [hot if k % 3 else rng.choice([k, (1 << 53) + k % 4]) for k in range(120)]
+    df = frame(spark, texts, ids)
+    dealt = fingerprint.neighbours(df, 5).collect()
+    size = {}
+    for x in dealt:
+        size[x.bucket] = size.get(x.bucket, 0) + 1
+    assert max(size.values()) < 60 and len(dealt) - len(size) == 120
+    hashed = {x.text: x.h for x in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    rows = sorted(((i if i is not None else (1 << 63) - 1, hashed[t], t) for i, t in zip(ids, texts, strict=True)))
+    want = []
+    for k, (_, _, t) in enumerate(rows):
+        n = len(t) // 4
+        want.append(hashlib.sha256((t[: len(t) - n] + rows[(k + 1) % len(rows)][2][:n]).encode()).hexdigest())
+    assert sorted(x.edited_sha256 for x in fingerprint.compare_edited(df).collect()) == sorted(want)
+
+
 def test_warc_round_trip(spark, tmp_path):
     big, other = "é" * 600, "x\r\n\r\nWARC/1.1\r\n" * 80
     html = [big, big, other, other, "small", "small", None, "", other + "!", big, big]
