@@ -1,12 +1,13 @@
 """Toxicity scores: FTRL-proximal logistic regression over hashed word n-grams and skip-grams.
 
-Features of a text, each counted once: its words, pairs of neighbouring words, and pairs with one word between
-(letters, digits and all non-ASCII bytes make words; A-Z lower-cased), hashed to 32 bits. The learner keeps
+Features of a text, each counted once: its words, the stems of longer words (their first four and five bytes, for inflected forms), pairs of
+neighbouring words, and pairs with one word between (letters, digits and all non-ASCII bytes make words; A-Z lower-cased), hashed to 32 bits. The learner keeps
 per-coordinate learning rates and an L1 penalty (McMahan et al., "Ad click prediction", 2013), so few weights
 differ from zero; only those are sent to the executors.
 
 Labels are learnt from at most `sample` labelled rows (a documented bound: 7,500 by default, a third of them toxic), the first
-of each label by a hash of doc_id among those whose crc32(doc_id) mod 4 is not 2. Every row of the input is scored on its whole text.
+of each label by a hash of doc_id among those whose crc32(doc_id) mod 4 is not 2, and from at most `most` features of each (8,192 by default,
+drawn by hash from the whole text), so what the driver gets is bounded in bytes. Every row of the input is scored on its whole text.
 
 Defined cases: null and empty texts have the score of the bias alone; a null doc_id is scored and not held out;
 several labels of one doc_id count as their maximum; null labels are ignored; without labels every score is 0.
@@ -21,11 +22,14 @@ from pyspark.sql import functions as F
 
 from .common import U64, chunks, mix, span_hash, text_bytes
 
-ALPHA, BETA, L1, L2, EPOCHS = 1.0, 1.0, 6.0, 0.5, 6
-SAMPLE = 7_500
+ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 10.0, 0.5, 6
+SAMPLE, MOST = 7_500, 8_192
 #: 1 for every score from here on.
 THRESHOLD = 0.3
 
+#: Bytes of a longer word that are a feature of their own, and a number that tells it from a word.
+STEMS = ((4, 0xA0761D6478BD642F), (5, 0xE7037ED1A0B428DB))
+
 _LETTER = np.zeros(256, bool)
 _LETTER[128:] = True
 for _a, _z in ((48, 57), (65, 90), (97, 122)):
@@ -48,6 +52,10 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     words = span_hash(low, starts, ends)
     doc = np.searchsorted(at, starts, side="right") - 1
     owner, found = [doc], [words]
+    for length, salt in STEMS:
+        long = np.flatnonzero(ends - starts > length)
+        found.append(mix(span_hash(low, starts[long], starts[long] + length) * U64(salt)))
+        owner.append(doc[long])
     for gap, salt in ((1, 0x8CB92BA72F3D8DD7), (2, 0xC2B2AE3D27D4EB4F)):
         if len(words) > gap:
             same = doc[gap:] == doc[:-gap]
@@ -56,14 +64,25 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     return np.concatenate(owner), (np.concatenate(found) >> U64(32)).astype(np.uint32), n
 
 
-def _featurise(batches):
-    for batch in batches:
-        for part in chunks(batch, "text"):
-            doc, feature, n = features(part.column("text"))
-            both = np.unique((doc.astype(np.uint64) << U64(32)) | feature)
-            at = np.searchsorted(both >> U64(32), np.arange(n + 1, dtype=np.uint64))
-            low = (both & U64(0xFFFFFFFF)).astype(np.uint32)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array([low[at[k] : at[k + 1]].tobytes() for k in range(n)], pa.binary())], names=["doc_id", "toxic", "features"])
+def _featurise(most: int = MOST):
+    def featurise(batches):
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                doc, feature, n = features(part.column("text"))
+                both = np.unique((doc.astype(np.uint64) << U64(32)) | feature)
+                at = np.searchsorted(both >> U64(32), np.arange(n + 1, dtype=np.uint64))
+                low = (both & U64(0xFFFFFFFF)).astype(np.uint32)
+                rows = []
+                for k in range(n):
+                    x = low[at[k] : at[k + 1]]
+                    if len(x) > most:
+                        # drawn by a hash that differs from text to text, so no feature is left out of all
+                        salt = mix(x.astype(np.uint64)).sum(dtype=np.uint64)
+                        x = np.sort(x[np.argpartition(mix(x.astype(np.uint64) + salt), most)[:most]])
+                    rows.append(x.tobytes())
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(rows, pa.binary())], names=["doc_id", "toxic", "features"])
+
+    return featurise
 
 
 class Model:
@@ -109,7 +128,7 @@ def fit(examples: list[tuple[int, bytes]]) -> Model:
     return Model(hashes[keep], w[keep], float(w[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = MOST) -> Model:
     """Fit on at most `sample` labelled rows of docs(doc_id, text) that are not held out."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 4 <> 2")
     # bounded: at most `sample` rows of two numbers, which makes the broadcast safe
@@ -121,7 +140,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         chosen = part if chosen is None else chosen.unionByName(part)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     # one row per chosen id, so what the driver gets is bounded even if ids repeat
-    got = rows.select("doc_id", "toxic", "text").mapInArrow(_featurise, "doc_id long, toxic int, features binary").groupBy("doc_id").agg(F.min(F.struct("features", "toxic")).alias("x"))
+    got = rows.select("doc_id", "toxic", "text").mapInArrow(_featurise(most), "doc_id long, toxic int, features binary").groupBy("doc_id").agg(F.min(F.struct("features", "toxic")).alias("x"))
     found = got.select("doc_id", "x.toxic", "x.features").toArrow().sort_by("doc_id")
     model = fit([(int(t > 0), f) for t, f in zip(found.column("toxic").to_pylist(), found.column("features").to_pylist(), strict=True)])
     total = known.agg(F.count_if(F.col("toxic") > 0).alias("toxic"), F.count_if(F.col("toxic") <= 0).alias("clean")).first()

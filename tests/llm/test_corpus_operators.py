@@ -619,6 +619,78 @@ def test_toxicity(spark):
     assert {(x.doc_id, x.score) for x in flipped} == {(k, x.score) for k, x in rows.items()}  # held-out labels are never seen
 
 
+def plain_features(text):
+    low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode()
+    w = re.findall(rb"[0-9a-z\x80-\xff]+", low)
+    return {("w", x) for x in w} | {(n, x[:n]) for x in w for n in (4, 5) if len(x) > n} | {(g, *p) for g in (1, 2) for p in zip(w, w[g:], strict=False)}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet="abcABC1é .,\n", max_size=40), min_size=1, max_size=5))
+def test_toxicity_features(texts):
+    doc, feature, n = toxicity.features(pa.array(texts))
+    assert n == len(texts)
+    names = {}
+    for k, t in enumerate(texts):
+        got = set(feature[doc == k].tolist())
+        want = plain_features(t)
+        assert len(got) == len(want)
+        one = set(toxicity.features(pa.array([t]))[1].tolist())
+        assert one == got
+        names[k] = got, want
+    for a, x in names.values():
+        for b, y in names.values():
+            assert len(a & b) == len(x & y)
+
+
+def test_ftrl_against_a_plain_version():
+    """Weights of the learner against the published update, one coordinate at a time in a dict."""
+    rng = random.Random(2)
+    examples = []
+    for _ in range(300):
+        label = int(rng.random() < 0.3)
+        x = {rng.randrange(200) for _ in range(12)} | ({500 + rng.randrange(3)} if label and rng.random() < 0.9 else set())
+        examples.append((label, np.array(sorted(x), np.uint32).tobytes()))
+    model = toxicity.fit(examples)
+    a, b, l1, l2 = toxicity.ALPHA, toxicity.BETA, toxicity.L1, toxicity.L2
+    z, n = {}, {}
+
+    def weight(f):
+        size = abs(z.get(f, 0.0)) - (0.0 if f == "bias" else l1)
+        return -np.sign(z.get(f, 0.0)) * size / ((b + n.get(f, 0.0) ** 0.5) / a + l2) if size > 0 else 0.0
+
+    for epoch in range(toxicity.EPOCHS):
+        for k in np.random.default_rng(epoch).permutation(len(examples)):
+            label, packed = examples[k]
+            x = [*np.frombuffer(packed, np.uint32).tolist(), "bias"]
+            w = {f: weight(f) for f in x}
+            g = 1 / (1 + np.exp(-sum(w.values()))) - label
+            for f in x:
+                old = n.get(f, 0.0)
+                z[f] = z.get(f, 0.0) + g - ((old + g * g) ** 0.5 - old**0.5) / a * w[f]
+                n[f] = old + g * g
+    want = {f: weight(f) for f in z if f != "bias" and weight(f)}
+    got = dict(zip(model.hashes.tolist(), model.weights.tolist(), strict=True))
+    assert set(got) == set(want) and {500, 501, 502} <= set(got) and len(got) < 100
+    assert all(abs(got[f] - want[f]) < 1e-9 for f in want) and abs(model.bias - weight("bias")) < 1e-9
+
+
+def test_toxicity_ties_and_long_texts(spark):
+    """Rows that repeat have equal scores; a very long text teaches a bounded number of features and is scored as a whole."""
+    rng = random.Random(9)
+    long = " ".join(f"x{rng.randrange(10**6)}" for _ in range(60_000))
+    texts = [f"calm words {k % 7}" + (" vile" if k % 3 == 0 else "") for k in range(300)] + [long + " vile", long]
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(300)] + [(300, 1), (301, 0)], "doc_id long, toxic int")
+    df = frame(spark, [*texts, texts[0], texts[0]], [*range(302), 0, 0])
+    rows = toxicity.score(df, labels).collect()
+    assert len({x.score for x in rows if x.doc_id == 0}) == 1 and sum(x.doc_id == 0 for x in rows) == 3
+    by = {x.doc_id: x.score for x in rows}
+    assert by[300] > by[301] and by[0] >= 0.3 > by[1]
+    (got,) = toxicity._featurise(100)(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array([long])], names=["doc_id", "toxic", "text"])]))
+    drawn = np.frombuffer(got.column("features")[0].as_py(), np.uint32)
+    assert len(drawn) == 100 and set(drawn.tolist()) <= set(toxicity.features(pa.array([long]))[1].tolist())
+
+
 def test_empty_tables(spark):
     docs = frame(spark, ["x"]).limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
