@@ -2,13 +2,16 @@
 
 Nodes of the field are the words of a document that hold a digit or an at sign (any other word cannot be part of the
 four kinds, so its label is fixed and it separates the chain). Neighbouring nodes share a chain potential, and repeated or
-similar nodes, however far apart in the document, a skip potential: each is tied to the next word with the same digits
-or the same lower-case text. Words inside a pattern match are observed. Loopy sum-product messages spread labels along both
-kinds of edges; a word whose marginal for a kind reaches CERTAIN becomes a further span.
+similar nodes, however far apart in the document, a skip potential: each is tied to the next word with the same digits, the same last
+digits or the same lower-case text. Words inside a pattern match are observed. Loopy sum-product messages spread labels along both
+kinds of edges; words whose marginal for a kind reaches CERTAIN become further spans, those next to each other one. A card number is added only if
+its digits pass the check sum or a word that a skip edge ties to it is an observed card.
 
-Potentials are fitted piecewise (Sutton and McCallum, 2005) on the pattern matches of at most `sample` documents (8,000 by default,
-the first by a hash of doc_id): node potentials by softmax regression over word shapes and contexts of at most `nodes` words of each document
-(200 by default, drawn by hash from the whole document), edge potentials as smoothed log ratios of all label pairs of the document. All documents are labelled, on their whole texts.
+Potentials are fitted piecewise (Sutton and McCallum, 2005) on at most `sample` documents (8,000 by default, the first by a hash of
+doc_id). What the patterns find there would teach nothing that they miss, so matches are hidden: some are rewritten in forms that no pattern takes
+(`disguise`: other separators, no plus sign, no top-level domain), in their place or as a later mention, and keep their labels. Node potentials come from softmax regression over word shapes and
+contexts of at most `nodes` words of each document (200 by default, drawn by hash from the whole document), edge potentials are smoothed
+log ratios of all label pairs of the document. All documents are labelled, on their whole texts.
 
 Spans are counted in code points, the end exclusive. Defined cases: null and empty texts have no spans; rows that repeat come back each.
 """
@@ -17,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import pickle
+import random
 import re
 from collections import Counter
 
@@ -44,6 +48,8 @@ CERTAIN, SAMPLE, NODES, FEATURES = 0.9, 8_000, 200, 4096
 SETTLED = 1e-4
 #: Pairs of equal labels that the skip potential is fitted with besides those seen.
 PRIOR = 20
+#: Matches of a training document that are hidden, at most.
+HIDDEN = 4
 LABELS = len(KINDS) + 1  # 0: none of them
 
 
@@ -122,14 +128,14 @@ def word_features(text: str, start: int, end: int) -> list[int]:
 
 
 def edges_of(text: str, words: list[tuple[int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain edges (nothing but white space between) and skip edges (the next word with the same digits or text)."""
+    """Chain edges (nothing but white space between) and skip edges (the next word with the same digits, last seven digits or text)."""
     chain = [(k, k + 1) for k in range(len(words) - 1) if text[words[k][1] : words[k + 1][0]].isspace()]
     skip: dict[tuple[int, int], None] = {}
     last: dict[str, int] = {}
     for k, (s, e) in enumerate(words):
         word = text[s:e].strip(".,;:!?()[]{}<>\"'").lower()
         digits = _NOT_DIGIT.sub("", word)
-        for key in {f"text {word}"} | ({f"digits {digits}"} if len(digits) >= 6 else set()):
+        for key in {f"text {word}"} | ({f"digits {digits}"} if len(digits) >= 6 else set()) | ({f"end {digits[-7:]}"} if len(digits) >= 7 else set()):
             if key in last:
                 skip[last[key], k] = None
             last[key] = k
@@ -158,9 +164,52 @@ def drawn(text: str, words: list[tuple[int, int]], nodes: int) -> list[int]:
     return sorted(sorted(range(len(words)), key=place.__getitem__)[:nodes])
 
 
-def example(text: str, words: list[tuple[int, int]], nodes: int = NODES) -> bytes:
-    """What a document teaches, of bounded size: features and labels of the words drawn from it; how often each pair of labels is at the ends of a chain and a skip edge."""
-    labels = observed(words, base_spans(text))
+def disguise(kind: int, match: str, rng: random.Random) -> str:
+    """A match rewritten so that no pattern takes it, as people write such things."""
+    digits = _NOT_DIGIT.sub("", match)
+    if kind == 0:
+        return match.rpartition(".")[0].replace(".", "_") if rng.random() < 0.5 else match.replace("@", " @ ")
+    if kind == 1:
+        return match.replace(".", rng.choice(("-", "_", ",")))
+    if kind == 2:
+        mark = rng.choice((".", "/", "_"))
+        return mark.join(digits[k : k + 4] for k in range(0, len(digits), 4))
+    local = digits[-10:]
+    return rng.choice((digits, local, f"{local[:3]}.{local[3:6]}.{local[6:]}", f"{local[:3]}/{local[3:]}", match.lstrip("+")))
+
+
+def hide(text: str, seed: str = "", most: int = HIDDEN) -> tuple[str, list[tuple[int, int, int]]]:
+    """The text with up to `most` of its matches hidden, in place or by a further mention behind them, and where they are now: (kind, start, end)."""
+    rng = random.Random(f"{seed} {len(text)} {text[:64]} {text[-64:]}")
+    spans = base_spans(text)
+    changes: list[tuple[int, int, str, int]] = []  # start, end, new text, kind
+    for kind, s, e in rng.sample(spans, min(most, len(spans))):
+        new = disguise(kind, text[s:e], rng)
+        if rng.random() < 0.5:
+            changes.append((s, e, new, kind))
+        else:
+            gaps = [m.start() for m in re.compile(r"\s").finditer(text, e)]
+            at = rng.choice(gaps) if gaps else len(text)
+            changes.append((at, at, f" {new}", kind))
+    out, marks, free, size = [], [], 0, 0
+    for s, e, new, kind in sorted(changes):
+        if s < free:
+            continue
+        out += [text[free:s], new]
+        size += s - free
+        marks.append((kind, size + len(new) - len(new.lstrip()), size + len(new)))
+        size += len(new)
+        free = e
+    return "".join([*out, text[free:]]), marks
+
+
+def example(text: str, nodes: int = NODES) -> bytes | None:
+    """What a document teaches, of bounded size: features and labels of the words drawn from it; how often each pair of labels is at the ends of a chain and a skip edge. Some of its matches are hidden first."""
+    text, marks = hide(text)
+    words = suspicious_words(pa.array([text]))[0]
+    if not words:
+        return None
+    labels = observed(words, base_spans(text) + marks)
     pairs = [list(Counter((labels[a], labels[b]) for a, b in x).items()) for x in edges_of(text, words)]
     chosen = drawn(text, words, nodes)
     return pickle.dumps(([word_features(text, *words[k]) for k in chosen], [labels[k] for k in chosen], *pairs))
@@ -170,7 +219,7 @@ def _teacher(nodes: int):
     def teach(batches):
         for batch in batches:
             for part in chunks(batch, "text"):
-                rows = [example(text, words, nodes) if words else None for text, words in zip(part.column("text").to_pylist(), suspicious_words(part.column("text")), strict=True)]
+                rows = [example(text, nodes) if words else None for text, words in zip(part.column("text").to_pylist(), suspicious_words(part.column("text")), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, pa.binary())], names=["doc_id", "example"])
 
     return teach
@@ -252,15 +301,27 @@ def added_spans(text: str, words: list[tuple[int, int]], base: list[tuple[int, i
     chain, skip = edges_of(text, words)
     potentials = np.concatenate([np.repeat(p[None], len(x), axis=0) for p, x in ((chain_potential, chain), (skip_potential, skip))])
     p = marginals(unary, chain + skip, potentials)
+    tied = np.zeros(len(words), bool)
+    for a, b in skip:
+        tied[a] |= known[b] == 1 + KINDS.index("card")
+        tied[b] |= known[a] == 1 + KINDS.index("card")
+    beside = {b for _, b in chain}
+    runs: list[list[int]] = []  # kind, start, end, number of the last word, whether an observed card is tied to it
+    for k in np.flatnonzero((p[:, 1:].max(axis=1) >= CERTAIN) & (known == 0)).tolist():
+        kind = int(p[k, 1:].argmax())
+        if runs and runs[-1][0] == kind and runs[-1][3] == k - 1 and k in beside:
+            runs[-1][2:] = [words[k][1], k, runs[-1][4] or tied[k]]
+        else:
+            runs.append([kind, *words[k], k, tied[k]])
     out = []
-    for k in np.flatnonzero((p[:, 1:].max(axis=1) >= CERTAIN) & (known == 0)):
-        s, e = words[k]
+    for kind, s, e, _, repeats in runs:
         while s < e and text[s] in "\"'([{<":
             s += 1
         while e > s and text[e - 1] in ".,;:!?)]}>\"'":
             e -= 1
-        if s < e:
-            out.append((int(p[k, 1:].argmax()), s, e))
+        digits = _NOT_DIGIT.sub("", text[s:e])
+        if s < e and (KINDS[kind] != "card" or repeats or (16 <= len(digits) <= 19 and luhn(digits))):
+            out.append((kind, s, e))
     return out
 
 
