@@ -1,17 +1,22 @@
 """Main text of web pages by site template removal.
 
-Every page is read into its block elements. Subtrees are hashed bottom up from the hashes of their parts, whatever their size, the hashes are counted per host in Spark (once per page, combined before
-the shuffle, so a host with a third of all pages is no hot spot), and subtrees that recur on at least MIN_PAGES pages of their host are deleted,
-however many pages it has. Templates meet the pages' subtrees in an equi-join; filters of bounded size, for templates and for pages that lose
-something, keep other subtrees and texts from being shuffled. What is
-never main text by its element or by its class, id or role goes too. If a page marks its article (article, main, role=main), only that is kept.
-In it a list or box made of links is deleted like any other subtree, the rest only if it is on over half of the pages of its host: some articles
-may share a passage.
+Every page is read once into its block elements, whatever will become of them. Subtrees are hashed bottom up from the hashes of their parts,
+whatever their size, the hashes are counted per host in Spark (once per page, combined before the shuffle, so a host with a third of all pages is no
+hot spot), and subtrees that recur on at least MIN_PAGES pages of their host are deleted, however many pages it has. Templates meet the
+pages' subtrees in an equi-join. This comes first. Of what is left goes what templates cannot find, because it differs from page to page or because the host
+has too few pages: elements that are never main text, boxes named so by a word of their class, id or role (but not an article or main, nor by the name of a category or tag), and, if a page
+marks its article (article, main, role=main), all outside; without one, boxes made of links. Each page tells how many blocks each rule took.
+
+In a marked article a list or box made of links is deleted like any other subtree, the rest only if it is on over half of the pages of
+its host: some articles may share a passage.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by an empty line.
 
+Reading takes time in proportion to the page, however broken its markup is: nothing is looked for twice, and the open elements are found by name.
+
 Defined cases: null or empty html, and html without text, give an empty text; a url without a host counts as one host; repeated rows come back
-each and count each; markup that never closes is closed by what follows it or by the end; a comment, script or style that never ends hides the rest.
+each and count each; markup that never closes is closed by what follows it or by the end; a comment, script or style that never ends hides the rest; after
+a quotation mark that never ends, tags end at their first angle bracket; a tag that never ends is text.
 """
 
 from __future__ import annotations
@@ -25,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, texts_of
+from .common import chunks, cut, stored
 
 #: A subtree is a template if it is on at least so many pages of a host.
 MIN_PAGES = 5
@@ -47,7 +52,16 @@ NOISE = frozenset(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments commentlist consent contentinfo cookie cookies disqus footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices notification overlay pager pagination popup promo promoted promotion recommended related replies reply responses search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription toc toolbar topbar widget widgets complementary alert alertdialog dialog".split()
 )
 
-_TAG = re.compile(r"<(?:!--(?:>|->|.*?(?:--!?>|\Z))|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|(/?)([A-Za-z][^\s/>]*)([^>]*)>|[!?/][^>]*(?:>|\Z))", re.S)
+# What a class that names a category, tag, type or author of an article starts with.
+TAXONOMY = frozenset("author category cat format post status tag tax term topic type".split())
+#: What takes a block: nothing, its element, the name of a box, its place outside the marked article, its links.
+KEPT, ELEMENT, NAMED, OUTSIDE, LINKS = range(5)
+#: A block of an article that stands in a named box: taken like the box unless the page has no other article.
+BOXED = 5
+
+_NAME = re.compile(r"/?([A-Za-z][^\s/>]*)")
+_QUOTED_END = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
+_COMMENT_END = re.compile(r"--!?>")
 _NAMES = re.compile(r"(?:^|[\s\"'])(class|id|role|hidden|aria-hidden)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 
@@ -55,12 +69,16 @@ _PART = re.compile(r"[a-z]+|[A-Z][a-z]*|[A-Z]+(?![a-z])")
 def is_noise(attributes: str) -> bool:
     for name, *values in _NAMES.findall(attributes):
         value = "".join(values)
-        name = name.lower()
-        if name == "aria-hidden":
+        if name.lower() == "aria-hidden":
             if value.lower() == "true":
                 return True
-        elif any(x.lower() in NOISE and before.lower() not in ("has", "with", "no", "without") for before, x in itertools.pairwise(["", *_PART.findall(value)])):
-            return True
+            continue
+        for token in value.split():
+            parts = [x.lower() for x in _PART.findall(token)]
+            if len(parts) > 1 and parts[0] in TAXONOMY and parts[1] not in ("comments", "nav", "navigation"):
+                continue
+            if any(x in NOISE and before not in ("has", "with", "no", "without") for before, x in itertools.pairwise(["", *parts])):
+                return True
     return False
 
 
@@ -69,25 +87,65 @@ def subtree_hash(markup: str) -> int:
 
 
 class _Open:
+    """An open element: whether it drops what it holds, by its element (1) or by its name (2); whether it is a marked article."""
+
     __slots__ = ("name", "drop", "root", "first", "kids", "size", "linked")
 
-    def __init__(self, name: str, drop: bool, root: bool, first: int):
+    def __init__(self, name: str, drop: int, root: bool, first: int):
         self.name, self.drop, self.root, self.first = name, drop, root, first
         self.kids, self.size, self.linked = [], 0, 0
 
 
-def blocks(page: str) -> list[tuple[str, list[int], list[int]]]:
-    """(text, hashes that make it a template if they recur, hashes that do only on a large share of the pages) of the blocks that can be main text, in page order.
+def tags(page: str):
+    """(start, end, name, closing, attributes) of each piece of markup, in order; the name of a comment or declaration is empty. `send` a place to go on from there."""
+    at, n, quoted = 0, len(page), True
+    last = page.rfind(">")
+    while (at := page.find("<", at)) >= 0:
+        start, c = at, page[at + 1 : at + 2]
+        if page.startswith("<!--", at):
+            end = at + 5 if page.startswith(">", at + 4) else at + 6 if page.startswith("->", at + 4) else None
+            if end is None:
+                m = _COMMENT_END.search(page, at + 4)
+                end = m.end() if m else n
+            name, closing, attributes = "", False, ""
+        elif m := _NAME.match(page, at + 1):
+            if at > last:  # no tag can end any more
+                return
+            end = None
+            if quoted:
+                if q := _QUOTED_END.match(page, m.end()):
+                    end = q.end()
+                else:
+                    quoted = False
+            if end is None:
+                end = page.find(">", m.end()) + 1
+                if not end:
+                    return
+            name, closing, attributes = m[1].lower(), c == "/", page[m.end() : end - 1]
+        elif c and c in "!?/":
+            end = page.find(">", at + 1) + 1 or n
+            name, closing, attributes = "", False, ""
+        else:
+            at += 1
+            continue
+        at = (yield start, end, name, closing, attributes) or end
+
+
+def blocks(page: str) -> list[tuple[str, list[int], list[int], int]]:
+    """(text, hashes that make it a template if they recur, hashes that do only on a large share of the pages, what else takes it) of all blocks, in page order. Texts only of blocks that can be kept.
 
     A larger subtree recurs only if its parts do, so they stand for it: a block has the hash of its own text and, in an article, that of the least box of links around it.
     """
-    done: list[list] = []  # text, hashes, whether in an article, share of link characters, hashes of what only a large share deletes
+    done: list[list] = []  # text, hash, rule, whether in an article, share of link characters, hash of the box of links
     free: list[int] = []  # blocks in an article without a box of links
     stack: list[_Open] = []
+    where: dict[str, list[int]] = {}  # places of open elements by name
+    block_at: list[int] = [-1]
+    holds_at: list[int] = [-1]
     pieces: list[str] = []
     linked = [0]
     span = [0, 0]
-    drops = roots = 0
+    dropped, named, roots, boxed = 0, 0, 0, 0  # how many open elements drop by element, by name, mark an article, mark one inside a named box
 
     def put(piece: str, start: int, end: int):
         if not pieces:
@@ -99,12 +157,13 @@ def blocks(page: str) -> list[tuple[str, list[int], list[int]]]:
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             pieces.clear()
-            if text and not drops:
-                within = next((x.name for x in reversed(stack) if x.name in BLOCK), "")
+            if text:
+                within = stack[block_at[-1]].name if len(block_at) > 1 else ""
                 own = subtree_hash(f"<{within}> {page[span[0] : span[1]]}")
+                rule = ELEMENT if dropped else (BOXED if boxed else NAMED) if named else KEPT
                 if roots:
                     free.append(len(done))
-                done.append([text, [] if roots else [own], roots > 0, linked[0] / len(text), [own] if roots else []])
+                done.append([text if rule in (KEPT, BOXED) else "", own, rule, roots > 0, linked[0] / len(text), None])
                 if stack:
                     x = stack[-1]
                     x.kids.append(own)
@@ -113,101 +172,119 @@ def blocks(page: str) -> list[tuple[str, list[int], list[int]]]:
         linked[0] = 0
 
     def close(upto: int):
-        nonlocal drops, roots
-        if any(x.name in BLOCK for x in stack[upto:]):
+        nonlocal dropped, named, roots, boxed
+        if block_at[-1] >= upto:
             flush()
         while len(stack) > upto:
             x = stack.pop()
-            drops -= x.drop
+            where[x.name].pop()
+            if x.name in BLOCK:
+                block_at.pop()
+            if x.name in HOLDS:
+                holds_at.pop()
+            dropped -= x.drop == 1
+            named -= x.drop == 2
             roots -= x.root
+            boxed -= x.root and named > 0
             if not x.kids:
                 continue
             mark = subtree_hash(f"<{x.name}> {' '.join(map(str, x.kids))}")
             if x.name in BLOCK and x.name not in PROSE and x.name != "head" and not x.root and x.linked > 0.5 * x.size:
                 while free and free[-1] >= x.first:
-                    done[free.pop()][1].append(mark)
+                    done[free.pop()][5] = mark
             if stack:
                 stack[-1].kids.append(mark)
                 stack[-1].size += x.size
                 stack[-1].linked += x.linked
 
-    at, n = 0, len(page)
-    while at < n:
-        m = _TAG.search(page, at)
-        if not m:
-            if not drops:
-                put(page[at:], at, n)
+    at, n, last = 0, len(page), page.rfind(">") + 1
+    markup, go = tags(page), None
+    while True:
+        try:
+            start, end, name, closing, attributes = markup.send(go)
+        except StopIteration:
             break
-        if not drops and m.start() > at:
-            put(page[at : m.start()], at, m.start())
+        go = None
+        if start > at:
+            put(page[at:start], at, start)
             if any(x.name == "a" for x in stack[-3:]):
-                linked[0] += m.start() - at
-        at = m.end()
-        name = m[2] or m[5]
+                linked[0] += start - at
+        at = end
         if not name:
             continue
-        name, attributes = name.lower(), m[3] if m[2] else m[6]
-        if m[1] or m[4]:
-            k = len(stack) - 1
-            while k >= 0 and stack[k].name != name:
-                if name not in BLOCK and stack[k].name in BLOCK or name not in HOLDS and stack[k].name in HOLDS:
-                    k = -1
-                    break
-                k -= 1
+        if closing:
+            k = where[name][-1] if where.get(name) else -1
+            if name not in BLOCK and k < block_at[-1] or name not in HOLDS and k < holds_at[-1]:
+                k = -1
             if k >= 0:
                 close(k)
             elif name in BLOCK:
                 flush()
             continue
         if name == "br":
-            put(" ", m.start(), at)
+            put(" ", start, at)
             continue
         if name in RAW:
-            end = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
+            m = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at, max(at, last))
             if name in BLOCK:
                 flush()
-            at = end.end() if end else n
+            at = go = m.end() if m else n
             continue
         if name in BLOCK:
             flush()
-            if name != "option":
-                for k in range(len(stack) - 1, -1, -1):  # a block ends an open paragraph
-                    if stack[k].name == "p":
-                        close(k)
-                        break
-                    if stack[k].name in HOLDS:
-                        break
+            if name != "option" and where.get("p") and where["p"][-1] > holds_at[-1]:  # a block ends an open paragraph
+                close(where["p"][-1])
             if name in CLOSED_BY_SIBLING:
-                k = len(stack) - 1
-                while k >= 0 and stack[k].name in CLOSED_BY_SIBLING[name] | (set() if stack[k].name in BLOCK else {stack[k].name}):
-                    if stack[k].name in CLOSED_BY_SIBLING[name]:
-                        close(k)
-                    k -= 1
+                while len(block_at) > 1 and stack[block_at[-1]].name in CLOSED_BY_SIBLING[name]:
+                    close(block_at[-1])
         if name in VOID or attributes.endswith("/") and name not in BLOCK:
             continue
-        noise = name not in ("html", "body", "main") and is_noise(attributes) and not (name == "header" and roots)
-        drop = name in DROPPED or noise or (name == "header" and not roots)
-        root = not drop and (name in ("article", "main") or 'role="main"' in attributes)
+        mark = name in ("article", "main") or 'role="main"' in attributes
+        drop = 0
+        if name in DROPPED or name == "header" and not roots:
+            drop = 1
+        elif not mark and name not in ("html", "body", "header") and is_noise(attributes):
+            drop = 2
+        root = mark and not drop and not dropped
         stack.append(_Open(name, drop, root, len(done)))
-        drops += drop
+        where.setdefault(name, []).append(len(stack) - 1)
+        if name in BLOCK:
+            block_at.append(len(stack) - 1)
+        if name in HOLDS:
+            holds_at.append(len(stack) - 1)
+        boxed += root and named > 0
+        dropped += drop == 1
+        named += drop == 2
         roots += root
+    if at < n:
+        put(page[at:], at, n)
     close(0)
     flush()
-    if any(b[2] for b in done):
-        return [(b[0], b[1], b[4]) for b in done if b[2]]
-    return [(b[0], b[1], b[4]) for b in done if b[3] <= 0.5]
+    own_article = any(rule == KEPT and inside for _, _, rule, inside, *_ in done)
+    boxed_article = not own_article and any(rule == BOXED for _, _, rule, *_ in done)
+    out = []
+    for text, own, rule, inside, links, box in done:
+        if rule == BOXED:
+            rule = KEPT if boxed_article else NAMED
+        elif rule == KEPT and (boxed_article or own_article and not inside):
+            rule = OUTSIDE
+        elif rule == KEPT and not own_article and links > 0.5:
+            rule = LINKS
+        article = rule == KEPT and inside
+        out.append((text if rule == KEPT else "", ([] if box is None else [box]) if article else [own], [own] if article else [], rule))
+    return out
 
 
 KEYS = ("page_id", "url", "host", "doc_id", "twin")
 
 
 def _parser(batches):
+    kind = pa.list_(pa.struct([("text", pa.string()), ("marks", pa.list_(pa.int64())), ("inner", pa.list_(pa.int64())), ("rule", pa.int32())]))
     for batch in batches:
         for part in chunks(batch, "html"):
             found = [blocks(x) if x else [] for x in part.column("html").to_pylist()]
-            kind = pa.list_(pa.struct([("text", pa.string()), ("marks", pa.list_(pa.int64())), ("inner", pa.list_(pa.int64()))]))
             yield pa.RecordBatch.from_arrays(
-                [*(part.column(x) for x in KEYS), pa.array([[{"text": t, "marks": m, "inner": i} for t, m, i in x] for x in found], kind)], names=[*KEYS, "blocks"]
+                [*(part.column(x) for x in KEYS), pa.array([[{"text": t, "marks": m, "inner": i, "rule": r} for t, m, i, r in x] for x in found], kind)], names=[*KEYS, "blocks"]
             )
 
 
@@ -216,36 +293,49 @@ def host_of(url: str = "url"):
 
 
 def parsed(rows: DataFrame) -> DataFrame:
-    return rows.mapInArrow(_parser, "page_id long, url string, host string, doc_id long, twin long, blocks array<struct<text:string,marks:array<long>,inner:array<long>>>")
+    return rows.mapInArrow(_parser, "page_id long, url string, host string, doc_id long, twin long, blocks array<struct<text:string,marks:array<long>,inner:array<long>,rule:int>>")
 
 
-def templates(read: DataFrame, rows: DataFrame, min_pages: int, share: float) -> DataFrame:
+def templates(read: DataFrame, min_pages: int, share: float) -> DataFrame:
     """host, mark, inner: the templates of each host, with inner those that are deleted in articles too."""
     marks = read.select("host", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: F.concat(b["marks"], b["inner"]))))).alias("mark"))
     # both are cut off before they are joined, so that Spark can split a hot host
     often = cut(marks.groupBy("host", "mark").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages))
-    size = cut(rows.groupBy("host").agg(F.count("*").alias("pages")))
+    size = cut(read.groupBy("host").agg(F.count("*").alias("pages")))
     common = F.when(F.col("n") > F.lit(share) * F.col("pages"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
     return cut(often.join(size, "host").select("host", "mark", F.explode(common).alias("inner")))
 
 
+def _is(rule: int):
+    """Of a block: true if the rule takes it, else null."""
+    return lambda b: F.when(b["rule"] == rule, F.lit(True))
+
+
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = ARTICLE_SHARE) -> DataFrame:
-    """Per row of pages(page_id, url, html): page_id, url, text, n_chars."""
+    """Per row of pages(page_id, url, html): page_id, url, text, n_chars, and how many blocks went as templates, then by element, name, place and links."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host_of())
     # two hashes name a row by all that it holds; rows that repeat have equal verdicts
     rows = rows.withColumn("doc_id", F.xxhash64("page_id", "url", "html")).withColumn("twin", F.xxhash64("html", "url", "page_id", F.lit(1)))
-    read = parsed(rows)
-    found = templates(read, rows, min_pages, share)
+    read = stored(parsed(rows))
+    found = templates(read, min_pages, share)
     kinds = F.array(*(F.struct(F.lit(name == "inner").alias("inner"), F.array_distinct(F.flatten(F.col(f"blocks.{name}"))).alias("marks")) for name in ("marks", "inner")))
-    held = read.select("host", "doc_id", "twin", F.explode(kinds).alias("k")).select("host", "k.inner", F.explode("k.marks").alias("mark"), F.col("doc_id").alias("row"), "twin")
-    key = F.xxhash64("host", "mark", "inner").alias("doc_id")
-    likely = texts_of(held.select("*", key), found.select(key)).drop("doc_id")
-    hits = likely.join(found, ["host", "mark", "inner"]).groupBy(F.col("row").alias("doc_id"), "twin")
+    held = read.select("host", "doc_id", "twin", F.explode(kinds).alias("k")).select("host", "k.inner", F.explode("k.marks").alias("mark"), "doc_id", "twin")
+    hits = held.join(found.hint("merge"), ["host", "mark", "inner"]).groupBy("doc_id", "twin")
     hits = cut(hits.agg(F.collect_set(F.when(~F.col("inner"), F.col("mark"))).alias("often"), F.collect_set(F.when(F.col("inner"), F.col("mark"))).alias("common")))
-    # only pages that may lose something are shuffled
-    some, rest = texts_of(rows, hits.select("doc_id")), texts_of(rows, hits.select("doc_id"), keep=False)
-    joined = parsed(some).join(hits.hint("merge"), ["doc_id", "twin"], "left")
-    stays = F.filter("blocks", lambda b: ~F.arrays_overlap(b["marks"], F.col("often")) & ~F.arrays_overlap(b["inner"], F.col("common")))
-    kept = joined.withColumn("blocks", F.when(F.col("often").isNull(), F.col("blocks")).otherwise(stays)).select("page_id", "url", "blocks")
-    text = F.array_join(F.transform("blocks", lambda b: b["text"]), "\n\n")
-    return kept.unionByName(parsed(rest).select("page_id", "url", "blocks")).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+    joined = read.select("page_id", "url", "doc_id", "twin", "blocks").join(hits.hint("merge"), ["doc_id", "twin"], "left")
+    gone = lambda b: F.coalesce(F.arrays_overlap(b["marks"], F.col("often")) | F.arrays_overlap(b["inner"], F.col("common")), F.lit(False))
+    left = joined.withColumn("n_blocks", F.size("blocks")).withColumn("blocks", F.filter("blocks", lambda b: ~gone(b)))
+    text = F.array_join(F.transform(F.filter("blocks", lambda b: b["rule"] == KEPT), lambda b: b["text"]), "\n\n")
+    by_rule = [F.size(F.array_compact(F.transform("blocks", _is(r)))).cast("long").alias(f"n_{name}") for r, name in ((ELEMENT, "element"), (NAMED, "named"), (OUTSIDE, "outside"), (LINKS, "links"))]
+    return left.select("page_id", "url", text.alias("text"), (F.col("n_blocks") - F.size("blocks")).cast("long").alias("n_template"), *by_rule).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_template", "n_element", "n_named", "n_outside", "n_links"
+    )
+
+
+def rule_report(extracted: DataFrame) -> DataFrame:
+    """(rule, pages, blocks): on how many pages each rule took blocks, in the order of the rules, and how many."""
+    out = None
+    for name in ("template", "element", "named", "outside", "links"):
+        part = extracted.agg(F.lit(name).alias("rule"), F.count_if(F.col(f"n_{name}") > 0).alias("pages"), F.sum(f"n_{name}").alias("blocks"))
+        out = part if out is None else out.unionByName(part)
+    return out

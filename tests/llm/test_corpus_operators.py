@@ -652,6 +652,60 @@ def test_html_boxes_in_articles(spark):
     assert {x.page_id: x.text for x in got} == {k: f"Text number {k}" + ("\n\nA passage of some articles" if k < 5 else "") for k in range(12)}
 
 
+def test_html_names():
+    """The name of a category or tag says nothing about an article; an article in a named box stays unless the page has another."""
+    kept = lambda page: [b[0] for b in html_text.blocks(page) if b[3] == html_text.KEPT]
+    for name in ("post category-social", "hentry tag-search-engines", "post-type-notice format-status", "comment"):
+        assert kept(f"<div>x<article class='{name}'><p>Main text</article></div>") == ["Main text"]
+    assert kept("<div class='widget-container'><main><p>Main text</main></div>") == ["Main text"]
+    assert kept("<main><p>Main text</main><div class='related'><article><p>Teaser</article></div>") == ["Main text"]
+    assert kept("<div class='category-nav'><p>a</div><div class='no-sidebar'><p>b</div><div class='post-comments'><p>c</div>") == ["b"]
+
+
+def random_page(rng, host, k, article):
+    """A page and its main text: boxes of the host, boxes that no template can find, and paragraphs of its own."""
+    own, main = [], []
+    for j in range(rng.randrange(1, 6)):
+        text = f"Page {host} {k} part {j} " + " ".join(rng.choice(("a &amp; b", "<b>bold</b>", "x&#33;", "<!-- no -->", "<i>it", "two\n words", "<script>if (a<b) {}</script>")) for _ in range(rng.randrange(4)))
+        own.append(rng.choice(("<p>%s</p>", "<p>%s", "<div>%s</div>", "<blockquote>%s</blockquote>", "<ul><li>%s</ul>")) % text)
+        plain = re.sub(r"(?s)<script>.*?</script>|<!--.*?-->|<[^>]*>", "", text).replace("&amp;", "&").replace("&#33;", "!")
+        main.append(" ".join(plain.split()))
+    boxes = [f"<div><p>Host {host} says hello</p></div>", f"<section><h3>Club of {host}</h3><div>Join<p>today</div></section>", f"<ul><li><a href='/'>Home {host}</a><li><a href='/b'>More</a></ul>"]
+    noise = [f"<nav>Menu {k}</nav>", f"<div class='ad-slot'>Buy {k} now</div>", f"<aside>See {k} too</aside>", f"<div id='userComments'><p>Reader {k}</div>", f"<form>Ask {k}<input></form>"]
+    rest = [*boxes, *rng.sample(noise, rng.randrange(4))]
+    rng.shuffle(rest)
+    cut = rng.randrange(len(rest) + 1)
+    body = "".join(own)
+    return f"<html><body>{''.join(rest[:cut])}{'<article>' + body + '</article>' if article else body}{''.join(rest[cut:])}<footer>End {k}</footer></body></html>", "\n\n".join(main)
+
+
+def test_html_against_pages_of_known_text(spark):
+    rng = random.Random(5)
+    rows, want = [], {}
+    for h in range(8):
+        for k in range(6 + h):
+            html, main = random_page(rng, h, k, h % 2)
+            rows.append((len(rows), f"https://h{h}.org/{k}", html))
+            want[len(want)] = main
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = common.cut(html_text.extract(df))
+    assert {x.page_id: x.text for x in got.collect()} == want
+    report = {x.rule: (x.pages, x.blocks) for x in html_text.rule_report(got).collect()}
+    assert report["template"][0] == len(rows) and report["template"][1] > 5 * len(rows) and report["element"][0] == len(rows)
+    off = {x.page_id: x.text for x in html_text.extract(df, min_pages=10**9).collect()}
+    assert sum(off[k] != want[k] for k in want) == sum(1 for i, u, _ in rows if int(u[9]) % 2 == 0)  # all pages without a marked article
+
+
+@pytest.mark.parametrize("part", ["<a", "a<b ", "<a '\">", "<!--x", "<!", "&amp", "</script ", "<p>a", "<ul><b>", "<title>x</titl", "<div class=\"'"])
+def test_html_of_broken_markup_takes_linear_time(part):
+    page = part * ((1 << 20) // len(part))
+    began = time.perf_counter()
+    html_text.blocks(page)
+    html_text.blocks(page + ">")
+    html_text.blocks(page + "</i>" * (1 << 16))
+    assert time.perf_counter() - began < 30
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     vocabulary = [f"w{k}" for k in range(300)]
