@@ -6,13 +6,18 @@ edge, and never gathered: each stage only needs how many candidates there are an
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
 from .extract import dedupe_edges
 
 
+def last_name(target: Column) -> Column:
+    """The name that a target ends with: behind the last dot, or behind the file."""
+    return F.substring_index(F.substring_index(target, "::", -1), ".", -1)
+
+
 def resolve_calls(edges: DataFrame, nodes: DataFrame, kinds: tuple[str, ...] = ("CALLS",), imports: DataFrame | None = None) -> DataFrame:
     """Edges with bare targets rewritten where one candidate is left.
 

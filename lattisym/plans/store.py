@@ -1,41 +1,58 @@
 """Stored graphs: snapshots of Parquet tables behind a pointer, built and kept fresh by content hash.
 
-A snapshot is a folder with nodes, edges, files, sources and metadata. A new one is written beside the old one and the pointer file is replaced last, so
-readers see one state or the other and a failed write leaves the old one.
+A snapshot has the tables nodes, edges, files and sources, and two that are made of them: postings for full-text search and pairs of neighbours for
+reachability. All are dealt into buckets by file path. A manifest names for each bucket the snapshot folder that holds it, so a refresh writes only the buckets
+that it touches and shares the others. The pointer file is replaced last, by a rename over the old one, so readers see one state or the other and a failed write leaves the
+old one. Folders that neither the new manifest nor the one before needs are then removed. One writer at a time.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import schema
 from ..functions import text as X
-from ..operators import extract
-from ..operators.resolve import resolve_calls
+from ..operators import extract, search
+from ..operators.reach import both_ways, shared_folder
+from ..operators.resolve import last_name, resolve_calls
 
-
-#: What each table is sorted by: lookups by file, and by the target of an edge, then skip most row groups. Edges are also dealt by ranges of it.
-LAYOUT = {"nodes": "file_path", "edges": "target_qualified", "files": "file_path", "sources": "file_path"}
+#: What the rows of a bucket are sorted by: lookups by file, edge target, word and neighbour skip most row groups.
+LAYOUT = {"nodes": "file_path", "edges": "target_qualified", "files": "file_path", "sources": "file_path", "postings": "token", "pairs": "a"}
+SCHEMAS = {"nodes": schema.NODES, "edges": schema.EDGES, "files": schema.FILES, "sources": schema.SOURCES, "postings": schema.POSTINGS, "pairs": schema.PAIRS}
+#: Files of a bucket when a graph is first stored, and the largest number of buckets.
+BUCKET_FILES, MOST_BUCKETS = 20_000, 4096
 
 
 @dataclass
 class Graph:
-    """The tables of a code graph."""
+    """The tables of a code graph. dirty names the files whose rows differ from the snapshot `base`."""
 
     nodes: DataFrame
     edges: DataFrame
     files: DataFrame
     sources: DataFrame | None = None
+    postings: DataFrame | None = None
+    pairs: DataFrame | None = None
+    base: str | None = None
+    dirty: DataFrame | None = None
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
 
 
-def build(sources: DataFrame, kinds: tuple[str, ...] = ("CALLS",), mirror: bool = False, keep=None) -> Graph:
-    """Parse sources(file_path, source) and resolve calls. `keep` cuts the parsed rows' lineage (each file is parsed once); by default they are persisted."""
-    parsed = extract.parse_files(sources, mirror)
-    parsed = keep(parsed) if keep else parsed.persist()
+def build(sources: DataFrame, kinds: tuple[str, ...] = ("CALLS",), mirror: bool = False, keep=_cut) -> Graph:
+    """Parse sources(file_path, source) and resolve calls. `keep` cuts the parsed rows' lineage, so each file is parsed once; a checkpoint by default."""
+    parsed = keep(extract.parse_files(sources, mirror))
     nodes = extract.nodes_of(parsed)
     return Graph(nodes, resolve_calls(extract.edges_of(parsed), nodes, kinds), extract.files_of(parsed), sources)
 
@@ -63,61 +80,160 @@ def remove_files(graph: Graph, touched: DataFrame) -> Graph:
     return Graph(cut(graph.nodes), cut(graph.edges), cut(graph.files), cut(graph.sources))
 
 
-def refresh(graph: Graph, sources: DataFrame, kinds: tuple[str, ...] = ("CALLS",), mirror: bool = False) -> Graph:
-    """The graph of the new state: only added and changed files are parsed; calls are resolved anew from their raw targets. The graph itself if nothing changed."""
-    change = diff(graph.files, hashes(sources)).where("status <> 'same'").persist()
-    if change.isEmpty():
-        return graph
-    parsed = extract.parse_files(sources.join(change.where("status in ('added', 'changed')"), "file_path", "left_semi"), mirror).persist()
-    nodes = replace_files(graph.nodes, change, extract.nodes_of(parsed))
-    edges = resolve_calls(replace_files(graph.edges, change, extract.edges_of(parsed)), nodes, kinds)
-    return Graph(nodes, edges, replace_files(graph.files, change, extract.files_of(parsed)), sources)
+def refresh(graph: Graph, sources: DataFrame, kinds: tuple[str, ...] = ("CALLS",), mirror: bool = False, keep=_cut) -> Graph:
+    """The graph of a new state of all sources: only added and changed files are parsed. The graph itself if nothing changed."""
+    change = keep(diff(graph.files, hashes(sources)).where("status <> 'same'"))
+    return graph if change.isEmpty() else apply(graph, change, sources, kinds, mirror, keep)
+
+
+def apply(graph: Graph, change: DataFrame, sources: DataFrame, kinds: tuple[str, ...] = ("CALLS",), mirror: bool = False, keep=_cut) -> Graph:
+    """The graph after change(file_path, status); sources has at least the added and changed files.
+
+    How a call is resolved depends on the nodes of its name alone, besides its file. So of the edges of other files only those whose name a changed
+    file has now or had before are resolved anew, against the nodes of those names.
+    """
+    new = sources.join(change.where("status in ('added', 'changed')"), "file_path", "left_semi")
+    parsed = keep(extract.parse_files(new, mirror))
+    fresh, own = extract.nodes_of(parsed), extract.edges_of(parsed)
+    nodes = replace_files(graph.nodes, change, fresh)
+    names = graph.nodes.join(change, "file_path", "left_semi").select("name").union(fresh.select("name")).distinct().withColumnRenamed("name", "__name")
+    others = graph.edges.join(change.select("file_path"), "file_path", "left_anti").withColumn("__name", F.when(F.col("kind").isin(*kinds), last_name(F.col("raw_target"))))
+    touched, rest = (others.join(names, "__name", how).select(*graph.edges.columns) for how in ("left_semi", "left_anti"))
+    todo = touched.unionByName(own)
+    wanted = todo.where(F.col("kind").isin(*kinds)).select(last_name(F.col("raw_target")).alias("name")).distinct()
+    imports = rest.where("kind = 'IMPORTS'").where(~X.is_bare(F.col("target_qualified"))).select("file_path", F.substring_index("target_qualified", "::", 1).alias("imported"))
+    edges = rest.unionByName(resolve_calls(todo, nodes.join(wanted, "name", "left_semi"), kinds, imports))
+    every = replace_files(graph.sources, change, new) if graph.sources is not None else sources
+    dirty = change.select("file_path").union(touched.select("file_path")).distinct()
+    return Graph(nodes, edges, replace_files(graph.files, change, extract.files_of(parsed)), every, base=graph.base, dirty=dirty)
+
+
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
 
 
 def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p = _path(spark, path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def save(spark: SparkSession, graph: Graph, place: str, root: str = "") -> str:
-    """Write a snapshot below place and point to it; returns its name."""
-    name = f"snapshot-{uuid.uuid4().hex}"
-    for table, key in LAYOUT.items():
-        if (df := getattr(graph, table)) is not None:
-            if table == "edges":
-                df = df.repartitionByRange(key)
-            df.sortWithinPartitions(key).write.parquet(f"{place}/{name}/{table}")
-    spark.createDataFrame([("schema_version", str(schema.VERSION)), ("project_root", root)], "key string, value string").coalesce(1).write.parquet(f"{place}/{name}/metadata")
-    fs, path = _fs(spark, f"{place}/CURRENT")
-    out = fs.create(path, True)
-    out.write(bytearray(name.encode()))
+def _read(spark: SparkSession, path: str) -> str | None:
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return None
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def _put(spark: SparkSession, path: str, text: str) -> None:
+    """Write a new file beside path and rename it over: a crash leaves the old one whole."""
+    beside = f"{path}-{uuid.uuid4().hex}"
+    fs, p = _fs(spark, beside)
+    out = fs.create(p, True)
+    out.write(bytearray(text.encode()))
     out.close()
-    return name
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    over = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+    over[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark._jsc.hadoopConfiguration()).rename(p, _path(spark, path), over)
+
+
+def _folders(spark: SparkSession, path: str) -> list[str]:
+    fs, p = _fs(spark, path)
+    return [x.getPath().getName() for x in fs.listStatus(p) if x.isDirectory()] if fs.exists(p) else []
 
 
 def current(spark: SparkSession, place: str) -> str | None:
-    fs, path = _fs(spark, f"{place}/CURRENT")
-    if not fs.exists(path):
-        return None
-    with_ = fs.open(path)
-    try:
-        return bytes(with_.readAllBytes()).decode()
-    finally:
-        with_.close()
+    """The name of the current snapshot."""
+    return _read(spark, f"{place}/CURRENT")
+
+
+def manifest(spark: SparkSession, place: str, name: str) -> dict | None:
+    """buckets: how many; tables: for each table the snapshot folder of each bucket that has rows. None for snapshots of the first layout."""
+    text = _read(spark, f"{place}/{name}/manifest.json")
+    return json.loads(text) if text else None
+
+
+def _write(df: DataFrame, path: str, table: str, buckets: int, only: list[int] | None) -> None:
+    rows = df.select(*_columns(table)).withColumn("bucket", F.expr(f"cast(pmod(xxhash64(file_path), {buckets}) as int)"))
+    if only is not None:
+        rows = rows.where(F.col("bucket").isin(only))
+    rows = rows.repartition(buckets if only is None else max(1, len(only)), "bucket") if buckets > 1 else rows.coalesce(1)
+    rows.sortWithinPartitions("bucket", LAYOUT[table]).write.partitionBy("bucket").parquet(f"{path}/{table}")
+
+
+def _columns(table: str) -> list[str]:
+    return StructType.fromDDL(SCHEMAS[table]).names
+
+
+def _table(spark: SparkSession, place: str, found: dict, table: str) -> DataFrame:
+    paths = [f"{place}/{folder}/{table}/bucket={bucket}" for bucket, folder in found["tables"][table].items()]
+    return spark.read.schema(SCHEMAS[table]).parquet(*paths) if paths else spark.createDataFrame([], SCHEMAS[table])
+
+
+def save(spark: SparkSession, graph: Graph, place: str, root: str = "", buckets: int | None = None) -> str:
+    """Write a snapshot below place and point to it; returns its name. A refreshed graph writes only the buckets that differ from its base."""
+    name, before = f"snapshot-{uuid.uuid4().hex}", current(spark, place)
+    old = manifest(spark, place, before) if before else None
+    only = None
+    if old and graph.dirty is not None and graph.base == before:
+        buckets = old["buckets"]
+        only = sorted(x.b for x in graph.dirty.select(F.expr(f"cast(pmod(xxhash64(file_path), {buckets}) as int)").alias("b")).distinct().collect())
+    buckets = buckets or max(1, min(MOST_BUCKETS, -(-graph.files.count() // BUCKET_FILES)))
+    new: dict = {"buckets": buckets, "tables": {}}
+
+    def put(table: str, df: DataFrame | None) -> None:
+        if df is not None:
+            _write(df, f"{place}/{name}", table, buckets, only)
+        made = {x.removeprefix("bucket="): name for x in _folders(spark, f"{place}/{name}/{table}") if x.startswith("bucket=")}
+        kept = {} if only is None else {b: f for b, f in old["tables"][table].items() if int(b) not in only}
+        new["tables"][table] = kept | made
+
+    for table in ("nodes", "edges", "files", "sources"):
+        put(table, getattr(graph, table))
+    # made of what was just written, so of the same buckets
+    own = {"buckets": buckets, "tables": {t: {b: f for b, f in new["tables"][t].items() if f == name} for t in ("nodes", "edges")}}
+    put("postings", search.postings(_table(spark, place, own, "nodes")))
+    put("pairs", both_ways(_table(spark, place, own, "edges"), "file_path"))
+    spark.createDataFrame([("schema_version", str(schema.VERSION)), ("project_root", root)], "key string, value string").coalesce(1).write.parquet(f"{place}/{name}/metadata")
+    _put(spark, f"{place}/{name}/manifest.json", json.dumps(new))
+    _put(spark, f"{place}/CURRENT", name)
+    clean(spark, place, [x for x in (name, before) if x])
+    return name
+
+
+def clean(spark: SparkSession, place: str, keep: list[str]) -> None:
+    """Remove snapshot folders that none of the kept snapshots needs."""
+    needed = set(keep)
+    for name in keep:
+        found = manifest(spark, place, name)
+        needed |= {f for t in (found or {"tables": {}})["tables"].values() for f in t.values()}
+    for name in _folders(spark, place):
+        if name.startswith("snapshot-") and name not in needed:
+            fs, p = _fs(spark, f"{place}/{name}")
+            fs.delete(p, True)
 
 
 def load(spark: SparkSession, place: str) -> Graph:
-    """The current snapshot; FileNotFoundError without one."""
+    """The current snapshot; FileNotFoundError without one. One of the first layout is read as it is, without the derived tables."""
     name = current(spark, place)
     if name is None:
         raise FileNotFoundError(f"no stored graph at {place}")
-    read = lambda t: spark.read.parquet(f"{place}/{name}/{t}")
-    migrate(spark, place, name)
-    return Graph(read("nodes"), read("edges"), read("files"), read("sources"))
+    version = int(metadata(spark, place).get("schema_version", "0"))
+    if version > schema.VERSION:
+        raise ValueError(f"stored graph has layout {version}, newer than {schema.VERSION}")
+    found = manifest(spark, place, name)
+    if found is None:
+        read = lambda t: spark.read.parquet(f"{place}/{name}/{t}")
+        return Graph(read("nodes"), extract.dedupe_edges(read("edges")), read("files"), read("sources"))
+    return Graph(*(_table(spark, place, found, t) for t in LAYOUT), base=name)
 
 
 def metadata(spark: SparkSession, place: str) -> dict[str, str]:
-    return {x.key: x.value for x in spark.read.parquet(f"{place}/{current(spark, place)}/metadata").collect()}
+    return {x.key: x.value for x in spark.read.schema("key string, value string").parquet(f"{place}/{current(spark, place)}/metadata").collect()}
 
 
 def put_metadata(table: DataFrame, **values: str) -> DataFrame:
@@ -126,25 +242,34 @@ def put_metadata(table: DataFrame, **values: str) -> DataFrame:
     return table.join(new.select("key"), "key", "left_anti").unionByName(new)
 
 
-def migrate(spark: SparkSession, place: str, name: str) -> None:
-    """Refuse layouts that this version cannot read. (Version 1 is the only one so far; `operators.extract.dedupe_edges` is the step that older graphs would need.)"""
-    found = {x.key: x.value for x in spark.read.parquet(f"{place}/{name}/metadata").collect()}
-    if int(found.get("schema_version", "0")) > schema.VERSION:
-        raise ValueError(f"stored graph has layout {found['schema_version']}, newer than {schema.VERSION}")
+def migrate(spark: SparkSession, place: str) -> bool:
+    """Bring a stored graph of an older layout to this one: equal edges become one, rows are dealt into buckets, derived tables are made. Whether there was anything to do."""
+    name = current(spark, place)
+    if name is None or manifest(spark, place, name) is not None:
+        return False
+    root = metadata(spark, place).get("project_root", "")
+    save(spark, load(spark, place), place, root)
+    return True
 
 
 def load_or_build(spark: SparkSession, root: str, place: str) -> Graph:
-    """The stored graph of a project, refreshed; built if there is none. What changed is saved."""
+    """The stored graph of a project, refreshed; built if there is none or it cannot be read. What changed is saved. A single-file index of older tools (index.json) is replaced by a build."""
     from ..sources.project import read_sources
 
-    sources = read_sources(spark, root)
-    if current(spark, place) is None:
-        save(spark, build(sources), place, root)
-        return load(spark, place)
-    old = load(spark, place)
-    new = refresh(old, sources)
-    if new is not old:
-        save(spark, new, place, root)
-        return load(spark, place)
-    return old
-
+    sources, legacy = read_sources(spark, root), _fs(spark, f"{place}/index.json")
+    try:
+        if current(spark, place) is not None:
+            migrate(spark, place)
+            old = load(spark, place)
+            new = refresh(old, sources)
+            if new is not old:
+                save(spark, new, place, root)
+            return load(spark, place)
+    except (PySparkException, Py4JJavaError, FileNotFoundError, UnicodeDecodeError, json.JSONDecodeError, KeyError):
+        # not readable: built anew
+        pointer = _fs(spark, f"{place}/CURRENT")
+        pointer[0].delete(pointer[1], False)
+    save(spark, build(sources), place, root)
+    if legacy[0].exists(legacy[1]):
+        legacy[0].delete(legacy[1], False)
+    return load(spark, place)

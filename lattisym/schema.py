@@ -14,5 +14,9 @@ NODES = (
 EDGES = "kind string, source_qualified string, target_qualified string, raw_target string, file_path string, line int"
 FILES = f"file_path string, content_hash string, parse_error string, imports array<{IMPORT}>"
 
-#: Version of the stored layout.
-VERSION = 1
+SOURCES = "file_path string, source string"
+POSTINGS = "token string, field string, position int, qualified_name string, file_path string"
+PAIRS = "a string, b string, file_path string"
+
+#: Version of the stored layout: 1 had whole tables, 2 has buckets, postings and pairs.
+VERSION = 2

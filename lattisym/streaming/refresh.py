@@ -11,16 +11,18 @@ from ..plans import store
 
 def apply_changes(spark, changes: DataFrame, place: str) -> None:
     """Apply file versions (file_path, source, version; a null source deletes) to the stored graph at place; the last version of a path counts."""
-    last = upsert(changes.select("file_path", "source", "version"), ["file_path"], "version").drop("version").persist()
-    old = store.load(spark, place) if store.current(spark, place) else None
+    last = store._cut(upsert(changes.select("file_path", "source", "version"), ["file_path"], "version").drop("version"))
     kept = last.where("source is not null")
-    if old is None:
+    if store.current(spark, place) is None:
         store.save(spark, store.build(kept), place)
         return
-    sources = old.sources.join(last.select("file_path"), "file_path", "left_anti").unionByName(kept)
-    new = store.refresh(old, sources)
-    if new is not old:
-        store.save(spark, new, place)
+    store.migrate(spark, place)
+    old = store.load(spark, place)
+    # only the files of the batch are compared, parsed and hashed; of the stored ones their hashes are looked up
+    known = old.files.join(last, "file_path", "left_semi")
+    change = store._cut(store.diff(known, store.hashes(kept)).where("status <> 'same'"))
+    if not change.isEmpty():
+        store.save(spark, store.apply(old, change, kept), place)
 
 
 def stream_into(changes: DataFrame, place: str, checkpoint: str) -> StreamingQuery:
