@@ -1,52 +1,93 @@
 """Bounded reachability by frontier joins: impact radius and transitive tests.
 
-One hop is an equi-join of the frontier with the edges, distinct, and an anti join with what has been seen, so cycles end and walks don't
-multiply. All seeds run together, told apart by a column. Lineage is cut by a checkpoint per hop.
+One hop is an equi-join of the frontier with the edges, distinct, and what has not been seen, so cycles end and walks don't
+multiply. All seeds run together, told apart by a column. As long as what was reached is small (SMALL rows, counted at each hop), the driver keeps it and sends
+the frontier to the edges, which then are not shuffled; beyond, frontiers stay distributed and lineage is cut by a checkpoint per hop.
 """
 
 from __future__ import annotations
 
 import tempfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import IntegerType, StructType
+
+#: Rows of (seed, node) up to which a walk is kept on the driver; both ways are exact.
+SMALL = 50_000
+#: Distinct nodes up to which a frontier is also a filter on the stored pairs.
+FEW = 100
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, where checkpoints go; only where it is unset (one machine) a temporary folder."""
+    """spark.checkpoint.dir, where checkpoints go. Where it is unset a temporary folder, on a single machine only."""
     sc = spark.sparkContext
+    place = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="lattisym-graph-"))
-    return spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().get()
+        if not place and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(place or "file://" + tempfile.mkdtemp(prefix="lattisym-graph-"))
+    return place or sc._jsc.sc().getCheckpointDir().get()
 
 
-def reach(pairs: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
+def reach(pairs: DataFrame, seeds: DataFrame, depth: int, small: int = SMALL) -> DataFrame:
     """(seed, node, depth): nodes within `depth` hops over pairs(a, b), a to b, with their least depth; seeds(seed, node) have depth 0."""
-    shared_folder(pairs.sparkSession)
-    seen = seeds.select("seed", "node").distinct().withColumn("depth", F.lit(0)).checkpoint()
-    frontier = seen.drop("depth")
-    for hop in range(1, depth + 1):
-        step = frontier.join(pairs, frontier.node == pairs.a).select("seed", F.col("b").alias("node")).distinct()
-        frontier = step.join(seen, ["seed", "node"], "left_anti").checkpoint()
-        if frontier.isEmpty():
+    spark = pairs.sparkSession
+    start = seeds.select("seed", "node").distinct()
+    kind = StructType([*start.schema.fields]).add("depth", IntegerType())
+    arrow = to_arrow_schema(kind)
+
+    def local(seen: dict[tuple, int]) -> DataFrame:
+        columns = zip(*((*k, d) for k, d in seen.items()), strict=True) if seen else [[]] * 3
+        return spark.createDataFrame(pa.Table.from_arrays([pa.array(c, t.type) for c, t in zip(columns, arrow, strict=True)], schema=arrow), kind)
+
+    first, hop = start.limit(small + 1).collect(), 1
+    if len(first) <= small:
+        seen = {(x.seed, x.node): 0 for x in first}
+        while hop <= depth:
+            frontier = {k: d for k, d in seen.items() if d == hop - 1}
+            ends = list({node for _, node in frontier})
+            near = pairs.where(F.col("a").isin(ends)) if len(ends) <= FEW else pairs
+            step = near.join(F.broadcast(local(frontier)), near.a == F.col("node")).select("seed", F.col("b").alias("node")).distinct()
+            got = step.limit(small + 1).collect() if frontier else []
+            if len(got) > small or len(seen) + len(got) > 2 * small:
+                break
+            for x in got:
+                seen.setdefault((x.seed, x.node), hop)
+            hop += 1
+        if hop > depth:
+            return local(seen)
+        start = local(seen)
+    else:
+        start = start.withColumn("depth", F.lit(0))
+    # too large for the driver: go on from here
+    shared_folder(spark)
+    known = start.checkpoint()
+    edge = known.where(F.col("depth") == hop - 1).select("seed", "node")
+    for n in range(hop, depth + 1):
+        step = edge.join(pairs, edge.node == pairs.a).select("seed", F.col("b").alias("node")).distinct()
+        edge = step.join(known, ["seed", "node"], "left_anti").checkpoint()
+        if edge.isEmpty():
             break
-        seen = seen.unionByName(frontier.withColumn("depth", F.lit(hop)))
-    return seen
+        known = known.unionByName(edge.withColumn("depth", F.lit(n)))
+    return known
 
 
-def both_ways(edges: DataFrame) -> DataFrame:
-    """(a, b) of every edge in both directions, of all kinds."""
-    there = edges.select(F.col("source_qualified").alias("a"), F.col("target_qualified").alias("b"))
-    return there.union(there.select("b", "a").toDF("a", "b")).where("a <> b").distinct()
+def both_ways(edges: DataFrame, *keep: str) -> DataFrame:
+    """(a, b) of every edge in both directions, of all kinds; `keep` names further columns."""
+    there = edges.select(F.col("source_qualified").alias("a"), F.col("target_qualified").alias("b"), *keep)
+    return there.union(there.select("b", "a", *keep).toDF("a", "b", *keep)).where("a <> b").distinct()
 
 
-def impact_radius(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 3, max_nodes: int | None = 200) -> DataFrame:
+def impact_radius(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 3, max_nodes: int | None = 200, pairs: DataFrame | None = None) -> DataFrame:
     """(seed, qualified_name, depth, kind, name, file_path, line_start) of nodes within depth of each seed (column `seed`), the seed left out.
 
-    Seeds that are no nodes reach nothing. At most max_nodes per seed, nearest first, then by name.
+    Seeds that are no nodes reach nothing. At most max_nodes per seed, nearest first, then by name. `pairs` are the stored pairs of the edges, if there are any.
     """
     start = seeds.select("seed").join(nodes, F.col("seed") == F.col("qualified_name"), "left_semi").withColumn("node", F.col("seed"))
-    found = reach(both_ways(edges), start, depth).where("depth > 0")
+    found = reach(both_ways(edges) if pairs is None else pairs, start, depth).where("depth > 0")
     out = found.join(nodes, found.node == nodes.qualified_name).select("seed", "qualified_name", "depth", "kind", "name", "file_path", "line_start")
     if max_nodes is None:
         return out
@@ -62,3 +103,19 @@ def transitive_tests(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth
     tests = edges.where("kind = 'TESTED_BY'").select(F.col("source_qualified").alias("test"), F.col("target_qualified").alias("subject"))
     hit = near.join(tests, near.node == tests.subject).groupBy("seed", "test").agg(F.min(F.col("depth") > 0).alias("indirect"))
     return hit.join(nodes, hit.test == nodes.qualified_name).select("seed", "qualified_name", "name", "file_path", "line_start", "indirect")
+
+
+def blast_report(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 3, test_depth: int = 2, max_nodes: int | None = 200, pairs: DataFrame | None = None) -> DataFrame:
+    """(seed, part, item, distance): what a change of each seed can reach. Parts: affected (nodes, with their depth), file (with the least depth in it), test (0 if it tests the seed itself, else 1)."""
+    found = impact_radius(nodes, edges, seeds, depth, max_nodes, pairs)
+    near = found.select("seed", F.lit("affected").alias("part"), F.col("qualified_name").alias("item"), F.col("depth").alias("distance"))
+    files = found.groupBy("seed", F.lit("file").alias("part"), F.col("file_path").alias("item")).agg(F.min("depth").alias("distance"))
+    tests = transitive_tests(nodes, edges, seeds, test_depth).select("seed", F.lit("test").alias("part"), F.col("qualified_name").alias("item"), F.col("indirect").cast("int").alias("distance"))
+    return near.unionByName(files).unionByName(tests)
+
+
+def coverage(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
+    """(seed, total_tests, direct_tests, covered) of every seed."""
+    count = transitive_tests(nodes, edges, seeds, depth).groupBy("seed").agg(F.count("*").alias("n"), F.count_if(~F.col("indirect")).alias("d"))
+    out = seeds.select("seed").distinct().join(count, "seed", "left")
+    return out.select("seed", F.coalesce("n", F.lit(0)).alias("total_tests"), F.coalesce("d", F.lit(0)).alias("direct_tests"), F.col("n").isNotNull().alias("covered"))

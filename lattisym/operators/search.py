@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.porter import stem
+from .reach import shared_folder
 
 WORDS = r"[\p{L}\p{N}]+"
 
@@ -42,24 +43,39 @@ def _has_phrase(words, phrase: list[str]):
 
 
 def postings(nodes: DataFrame) -> DataFrame:
-    """The full-text index: (token, field, position, qualified_name)."""
-    out = None
-    for field in ("name", "qualified_name", "file_path"):
-        part = nodes.select("qualified_name", F.lit(field).alias("field"), F.posexplode(stems(F.col(field))).alias("position", "token"))
-        out = part if out is None else out.unionByName(part)
-    return out.select("token", "field", "position", "qualified_name")
+    """The full-text index: (token, field, position, qualified_name, file_path). Stored with a graph, sorted by token."""
+    fields = F.array(*(F.struct(F.lit(f).alias("field"), stems(F.col(f)).alias("words")) for f in ("name", "qualified_name", "file_path")))
+    each = nodes.select("qualified_name", "file_path", F.explode(fields).alias("f"))
+    return each.select("qualified_name", "file_path", "f.field", F.posexplode("f.words").alias("position", "token")).select("token", "field", "position", "qualified_name", "file_path")
 
 
-def search_text(rows: DataFrame, query: str, fields: tuple[str, ...], stemmed: bool = True) -> DataFrame:
-    """Rows in which every white-space word of the query occurs, as a phrase of its parts, in one of the fields."""
+def phrases(query: str, stemmed: bool = True) -> list[list[str]]:
+    """The parts of each white-space word of a query."""
     import regex
 
     split = lambda w: [stem(x) if stemmed else x for x in regex.findall(WORDS, w.lower())]
-    phrases = [p for p in (split(w) for w in query.split()) if p]
-    if not phrases:
+    return [p for p in (split(w) for w in query.split()) if p]
+
+
+def holders(index: DataFrame, query: str) -> DataFrame | None:
+    """(qualified_name) of the nodes one of whose fields holds each word of the query, as a phrase of its parts; None for a query without words. Only rows of the query's words are read."""
+    out = None
+    for p in phrases(query):
+        places = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(k).alias("k")) for k, t in enumerate(p)))
+        rows = index.where(F.col("token").isin(sorted(set(p)))).select("qualified_name", "field", "position", "token", F.explode(places).alias("x")).where("x.t = token")
+        start = rows.groupBy("qualified_name", "field", (F.col("position") - F.col("x.k")).alias("start")).agg(F.count_distinct("x.k").alias("n"))
+        hit = start.where(F.col("n") == len(p)).select("qualified_name").distinct()
+        out = hit if out is None else out.join(hit, "qualified_name", "left_semi")
+    return out
+
+
+def search_text(rows: DataFrame, query: str, fields: tuple[str, ...], stemmed: bool = True) -> DataFrame:
+    """Rows in which every white-space word of the query occurs, as a phrase of its parts, in one of the fields."""
+    wanted = phrases(query, stemmed)
+    if not wanted:
         return rows.limit(0)
     keep = F.lit(True)
-    for p in phrases:
+    for p in wanted:
         one = F.lit(False)
         for f in fields:
             one = one | F.coalesce(_has_phrase(stems(F.col(f)) if stemmed else tokens(F.col(f)), p), F.lit(False))
@@ -75,8 +91,11 @@ def search_like(nodes: DataFrame, query: str) -> DataFrame:
     return nodes.where(keep)
 
 
-def search_fts(nodes: DataFrame, query: str, limit: int = 20) -> DataFrame:
-    """Full-text search; without a hit, words as parts of names. In order of file and line."""
+def search_fts(nodes: DataFrame, query: str, limit: int = 20, index: DataFrame | None = None) -> DataFrame:
+    """Full-text search; without a hit, words as parts of names. In order of file and line. `index` are the stored postings of the nodes; they are made on the fly without."""
     order = ("file_path", "line_start", "qualified_name")
-    found = search_text(nodes, query, ("name", "qualified_name", "file_path")).orderBy(*order).limit(limit)
-    return found if not found.isEmpty() else search_like(nodes, query).orderBy(*order).limit(limit)
+    hits = holders(postings(nodes) if index is None else index, query)
+    shared_folder(nodes.sparkSession)
+    # at most `limit` rows: searched once, looked at twice
+    found = None if hits is None else nodes.join(hits, "qualified_name", "left_semi").select(*nodes.columns).orderBy(*order).limit(limit).checkpoint()
+    return search_like(nodes, query).orderBy(*order).limit(limit) if found is None or found.isEmpty() else found.orderBy(*order)
