@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import json
 import shlex
 import sys
 from pathlib import Path
@@ -82,7 +81,7 @@ def main(argv: list[str] | None = None) -> int:
         queries = [q for q in bench.load_queries(args.queries) if args.query in (None, q["id"])]
         results = [bench.run_query(q, lambda c: answer(project, parser().parse_args(shlex.split(c)))) for q in queries]
         if args.action == "compare":
-            now, base = (spark.createDataFrame([{k: r[k] for k in ("id", "output_bytes", "correct")} for r in rows]) for rows in (results, json.loads(Path(args.file).read_text())))
+            now, base = (spark.createDataFrame([{k: r[k] for k in ("id", "output_bytes", "correct")} for r in rows]) for rows in (results, bench.load_baseline(args.file)))
             rows = bench.compare(now, base).orderBy("id").collect()
             print("\n".join(f"{x.id:<20} {x.byte_delta:>+10} {x.verdict:>12}" for x in rows) + f"\n\nRegressions: {sum(x.verdict == 'REGRESSION' for x in rows)}")
         else:

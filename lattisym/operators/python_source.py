@@ -68,14 +68,18 @@ def _symbols(body_of: ast.AST, parent: str | None, owner: dict | None, out: list
                 out.append(_symbol(node, "variable", name, f"{name}: {ast.unparse(node.annotation)}", None, []))
 
 
-def _imports(tree: ast.Module) -> list[dict]:
-    out = []
+def _imports(tree: ast.Module) -> tuple[list[dict], dict[str, str]]:
+    """The import rows of a module, and the module that each name it binds comes from."""
+    rows, bound = [], {}
     for node in tree.body:
-        if isinstance(node, ast.Import):
-            out += [{"module": a.name, "names": [], "line": node.lineno, "is_relative": False} for a in node.names]
-        elif isinstance(node, ast.ImportFrom):
-            out.append({"module": node.module or "", "names": [a.name for a in node.names], "line": node.lineno, "is_relative": node.level > 0})
-    return out
+        match node:
+            case ast.Import(names=names):
+                rows += [{"module": a.name, "names": [], "line": node.lineno, "is_relative": False} for a in names]
+                bound.update((a.asname or a.name, a.name) for a in names)
+            case ast.ImportFrom(module=module, names=names, level=level):
+                rows.append({"module": module or "", "names": [a.name for a in names], "line": node.lineno, "is_relative": level > 0})
+                bound.update((a.asname or a.name, module) for a in names if module)
+    return rows, bound
 
 
 def _callee(call: ast.Call) -> str | None:
@@ -109,14 +113,8 @@ def parse(path: str, source: str, mirror: bool = False) -> dict:
         return {"symbols": [], "imports": [], "edges": [], "parse_error": f"{type(e).__name__}: {e}"}
     symbols: list[dict] = []
     _symbols(tree, None, None, symbols, 0)
-    imports = _imports(tree)
+    imports, module_of = _imports(tree)
     here = {s["name"]: f"{path}::{s['parent'] + '.' if s['parent'] else ''}{s['name']}" for s in symbols if s["kind"] != "variable"}
-    module_of: dict[str, str] = {}
-    for node in tree.body:
-        if isinstance(node, ast.ImportFrom) and node.module:
-            module_of |= {a.asname or a.name: node.module for a in node.names}
-        elif isinstance(node, ast.Import):
-            module_of |= {a.asname or a.name: a.name for a in node.names}
     edges = [{"kind": "IMPORTS", "source": path, "target": i["module"], "line": i["line"]} for i in imports if i["module"]]
     test = is_test_file(path)
     for owner, function in _functions(tree, None, 0, mirror):

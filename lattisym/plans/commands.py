@@ -28,12 +28,12 @@ class Project:
 
     def _known(self, file: str) -> None:
         if lookup.file_names(self.graph.nodes, self.graph.files).where(F.col("file_path") == file).isEmpty():
-            raise FileNotFoundError(f"File '{file}' not found in index")
+            raise FileNotFoundError(f"the graph has no file {file!r}")
 
     def _first(self, name: str, file: str | None = None) -> DataFrame:
         found = lookup.first_candidate(self.graph.nodes, name, file)
         if found.isEmpty():
-            raise ValueError(f"Symbol '{name}' not found in index")
+            raise ValueError(f"no symbol {name!r} in the graph")
         return found
 
     def files(self, glob=None, path=None, summary=False, no_tests=False, no_private=False) -> list:
@@ -54,7 +54,7 @@ class Project:
     def body(self, name: str, file: str | None = None) -> dict:
         rows = _rows(lookup.body(self.graph.nodes, self.graph.sources, name, file))
         if not rows:
-            raise ValueError(f"Symbol '{name}' not found in index")
+            raise ValueError(f"no symbol {name!r} in the graph")
         x = rows[0]
         return {"file": x["file_path"], "line": x["line_start"], "end_line": x["line_end"], "name": x["name"], "kind": x["kind"], "source": x["body"], "content_hash": x["content_hash"]}
 
@@ -88,7 +88,7 @@ class Project:
     def blast_radius(self, name: str, depth: int = 3, file: str | None = None) -> dict:
         first = self._first(name, file).persist()
         seeds = first.select(F.col("qualified_name").alias("seed"))
-        found = reach.impact_radius(self.graph.nodes, self.graph.edges, seeds, depth).orderBy("depth", "qualified_name")
+        found = reach.impact_radius(self.graph.nodes, self.graph.edges, seeds, depth, pairs=self.graph.pairs).orderBy("depth", "qualified_name")
         rows = _rows(found.select(F.col("name").alias("symbol"), F.col("file_path").alias("file"), F.col("line_start").alias("line"), "depth", "kind"))
         return {"symbol": name, "file": first.first().file_path, "affected": rows, "affected_files": sorted({x["file"] for x in rows}), "tests": self._tests(seeds, 2), "total_affected": len(rows)}
 
@@ -105,7 +105,7 @@ class Project:
         x = edits.one_candidate(self.graph.nodes, name, file)
         path = self.root / x.file_path
         if not path.exists():
-            raise ValueError(f"File '{x.file_path}' not found on disk")
+            raise ValueError(f"{x.file_path!r} is in the graph but no longer on disk")
         text = path.read_text(encoding="utf-8", errors="replace")
         rows = self.spark.createDataFrame([(x.file_path, text, x.line_start, x.line_end, code)], f"file_path string, source string, line_start int, line_end int, {column} string")
         edits.check_hash(rows.select(X.content_hash(F.col("source"))).first()[0], expect)
@@ -116,13 +116,13 @@ class Project:
 
     def replace_body(self, name: str, code: str, file: str | None = None, expect_hash: str | None = None) -> dict:
         if not code.strip():
-            raise ValueError("New body must not be empty")
+            raise ValueError("an empty body would delete the symbol")
         made, x = self._edit(name, file, expect_hash, code, "new_body", lambda rows, *_: edits.replace_body(rows))
         return {"file": x["file_path"], "symbol": name, "lines_removed": made["lines_removed"], "lines_added": made["lines_added"], "new_range": [made["first_line"], made["last_line"]]}
 
     def insert_symbol(self, anchor: str, code: str, position: str = "after", file: str | None = None, expect_hash: str | None = None) -> dict:
         if not code.strip():
-            raise ValueError("New code must not be empty")
+            raise ValueError("there is no code to insert")
 
         def run(rows, x, text):
             above = len(x.decorators or []) if position == "before" else 0  # decorators stay with their symbol
