@@ -13,7 +13,7 @@ from .operators import edits, extract, lookup, reach, relations, search
 from .operators.reach import shared_folder
 from .operators.resolve import resolve_calls
 from .plans import bench, store
-from .plans.corpus import GRAPH_SQL, source_files
+from .plans.corpus import GO_SQL, GRAPH_SQL, TYPESCRIPT_SQL, go_files, source_files, typescript_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,6 +43,20 @@ def tested_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tested[key]
 
 
+_others: dict[tuple[str, str, str], store.Graph] = {}
+
+
+def other_graph(spark: SparkSession, sf_dir: str, language: str) -> store.Graph:
+    """The stored graph of the Go or TypeScript code base, built once likewise."""
+    key = (spark.sparkContext.applicationId, sf_dir, language)
+    if key not in _others:
+        place = f"{shared_folder(spark)}/{language}-{uuid.uuid4().hex}"
+        files = {"go": go_files, "typescript": typescript_files}[language](spark, sf_dir)
+        store.save(spark, store.build(files, keep=_cut), place)
+        _others[key] = store.load(spark, place)
+    return _others[key]
+
+
 def _cut(df: DataFrame) -> DataFrame:
     shared_folder(df.sparkSession)
     return df.checkpoint()
@@ -103,6 +117,62 @@ def index_build(g, spark, d):
     return count(made.nodes, "nodes").unionByName(count(made.edges, "edges")).unionByName(count(made.files, "files"))
 
 
+_EDGES = "SELECT kind, source_qualified, raw_target, target_qualified, file_path, CAST(line AS INTEGER) AS line FROM edges"
+_IMPORTS = "SELECT file_path, CAST(imports.at AS INTEGER) AS ord, module, names, CAST(line AS INTEGER) AS line, is_relative FROM imports"
+
+
+def _edge_rows(g: store.Graph) -> DataFrame:
+    return g.edges.select("kind", "source_qualified", "raw_target", "target_qualified", "file_path", "line")
+
+
+def _import_rows(g: store.Graph) -> DataFrame:
+    return g.files.select("file_path", F.posexplode("imports").alias("ord", "i")).select("file_path", "ord", "i.module", F.array_join("i.names", "|").alias("names"), "i.line", "i.is_relative")
+
+
+@query(GO_SQL + f"SELECT {NODE_COLUMNS} FROM named", over_graph=False)
+def extract_symbols_go(g, spark, d):
+    return _flat(other_graph(spark, d, "go").nodes)
+
+
+@query(GO_SQL + _EDGES, over_graph=False)
+def extract_edges_go(g, spark, d):
+    """Raw and resolved targets of calls, tests and imports."""
+    return _edge_rows(other_graph(spark, d, "go"))
+
+
+@query(GO_SQL + _IMPORTS, over_graph=False)
+def extract_imports_go(g, spark, d):
+    return _import_rows(other_graph(spark, d, "go"))
+
+
+@query(TYPESCRIPT_SQL + f"SELECT {NODE_COLUMNS} FROM named", over_graph=False)
+def extract_symbols_typescript(g, spark, d):
+    return _flat(other_graph(spark, d, "typescript").nodes)
+
+
+@query(TYPESCRIPT_SQL + _EDGES, over_graph=False)
+def extract_edges_typescript(g, spark, d):
+    """Raw and resolved targets of calls, tests and imports."""
+    return _edge_rows(other_graph(spark, d, "typescript"))
+
+
+@query(TYPESCRIPT_SQL + _IMPORTS, over_graph=False)
+def extract_imports_typescript(g, spark, d):
+    return _import_rows(other_graph(spark, d, "typescript"))
+
+
+@query("SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'go' ELSE 'typescript' END AS language, CAST(count(*) AS BIGINT) AS files FROM nation GROUP BY 1 UNION ALL SELECT 'python', count(*) FROM region", over_graph=False)
+def extract_dispatch(g, spark, d):
+    """Files of three languages and of one that no backend reads, parsed together; the language of each."""
+    even = F.expr("cast(regexp_extract(file_path, '([0-9]+)', 1) as int) % 2 = 0")
+    go = go_files(spark, d).where(even & F.col("file_path").rlike("^geo/.*[0-9][.]go$"))
+    ts = typescript_files(spark, d).where(~even & F.col("file_path").rlike("^web/nation_[0-9]+[.]ts$"))
+    py = source_files(spark, d).where("startswith(file_path, 'geo/region')")
+    odd = py.select(F.concat("file_path", F.lit(".txt")).alias("file_path"), "source")
+    parsed = extract.parse_files(go.unionByName(ts).unionByName(py).unionByName(odd)).where("parse_error is null")
+    return parsed.groupBy(X.language(F.col("file_path")).alias("language")).agg(F.count("*").alias("files"))
+
+
 @query("SELECT kind, source_qualified, target_qualified, file_path, CAST(line AS INTEGER) AS line FROM edges")
 def resolve_bare_calls(g, spark, d):
     return resolve_calls(g.edges, g.nodes).select("kind", "source_qualified", "target_qualified", "file_path", "line")
@@ -278,9 +348,22 @@ def search_stemmed(g, spark, d):
     return search.search_text(_table(spark, d, "documents").select("doc_id", "text"), "The ing", ("text",)).select("doc_id")
 
 
-@query(None)
+_HAS = "contains(' ' || array_to_string(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}]+'), ' ') || ' ', ' {} ')"
+
+
+def _fts(*words: str) -> str:
+    """Words that stemming leaves as they are, as phrases in one of the fields."""
+    return " AND ".join("(" + " OR ".join(_HAS.format(f, w) for f in ("name", "qualified_name", "file_path")) + ")" for w in words)
+
+
+@query(f"SELECT {NODE_COLUMNS} FROM named WHERE {_fts('customer 12', 'crm')} ORDER BY file_path, line_start, qualified_name LIMIT 20")
+def search_fts_two_words(g, spark, d):
+    return _flat(search.search_fts(g.nodes, "customer_12 CRM", index=g.postings))
+
+
+@query(f"SELECT {NODE_COLUMNS} FROM named WHERE {_fts('nation 3')} ORDER BY file_path, line_start, qualified_name LIMIT 20")
 def search_fts(g, spark, d):
-    return _flat(search.search_fts(g.nodes, "nation_3"))
+    return _flat(search.search_fts(g.nodes, "nation_3", index=g.postings))
 
 
 @query("SELECT qualified_name FROM named WHERE contains(lower(qualified_name), 'cust') AND (contains(lower(name), 'loc') OR contains(lower(qualified_name), 'loc'))")
@@ -290,7 +373,7 @@ def search_like(g, spark, d):
 
 @query("SELECT 'name' AS field, CAST(count(*) AS BIGINT) AS n FROM named WHERE lower(name) LIKE 'nation\\_%' ESCAPE '\\'")
 def postings_count(g, spark, d):
-    return search.postings(g.nodes).where("token = 'nation' and field = 'name' and position = 0").agg(F.lit("name").alias("field"), F.count("*").alias("n"))
+    return g.postings.where("token = 'nation' and field = 'name' and position = 0").agg(F.lit("name").alias("field"), F.count("*").alias("n"))
 
 
 # --- usages, imports, analyses ----------------------------------------------------------------------------------------
@@ -304,9 +387,9 @@ def _uses(g: store.Graph, edges: DataFrame, keep: str, **how) -> DataFrame:
     return relations.usages(g.nodes, edges, g.nodes.where(keep), limit=None, **how)
 
 
-@query(_USES.format(_NATIONS))
+@query(_USES.format("true"))
 def usages_all(g, spark, d):
-    return _uses(g, tested_edges(spark, d), "kind = 'function' and startswith(file_path, 'geo/')")
+    return _uses(g, tested_edges(spark, d), "true")
 
 
 @query(_USES.format(_NATIONS + " AND NOT starts_with(e.file_path, 'tests/')"))
@@ -347,7 +430,7 @@ SELECT s AS seed, qualified_name, CAST(depth AS INTEGER) AS depth, kind, file_pa
 
 
 def _blast(g: store.Graph, seeds: DataFrame) -> DataFrame:
-    return reach.impact_radius(g.nodes, g.edges, seeds, 3, None).select("seed", "qualified_name", "depth", "kind", "file_path")
+    return reach.impact_radius(g.nodes, g.edges, seeds, 3, None, g.pairs).select("seed", "qualified_name", "depth", "kind", "file_path")
 
 
 @query(_BLAST.format("AND name = 'region_0'"))
@@ -360,6 +443,39 @@ def blast_radius_all_regions(g, spark, d):
     return _blast(g, g.nodes.where("name like 'region\\_%'").select(F.col("qualified_name").alias("seed")))
 
 
+@query(_BLAST.format("") + " QUALIFY row_number() OVER (PARTITION BY s ORDER BY depth, qualified_name) <= 20")
+def blast_radius_limited(g, spark, d):
+    """The nearest 20 nodes of each seed."""
+    seeds = g.nodes.where("name like 'region\\_%'").select(F.col("qualified_name").alias("seed"))
+    return reach.impact_radius(g.nodes, g.edges, seeds, 3, 20, g.pairs).select("seed", "qualified_name", "depth", "kind", "file_path")
+
+
+_TESTS = """, start AS (SELECT * FROM named WHERE {0}), callers AS (SELECT qualified_name AS seed, qualified_name AS n, 0 AS d FROM start UNION ALL SELECT t.qualified_name, e.source_qualified, 1 FROM start t JOIN edges e ON e.target_qualified = t.qualified_name AND e.kind = 'CALLS'
+UNION ALL SELECT t.qualified_name, f.source_qualified, 2 FROM start t JOIN edges e ON e.target_qualified = t.qualified_name AND e.kind = 'CALLS' JOIN edges f ON f.target_qualified = e.source_qualified AND f.kind = 'CALLS'),
+tests AS (SELECT seed, t.source_qualified AS test, min(d) > 0 AS indirect FROM callers JOIN tested t ON t.target_qualified = n AND t.kind = 'TESTED_BY' GROUP BY ALL)"""
+
+
+@query(
+    _BLAST.split("SELECT s AS seed, qualified_name, CAST(depth")[0].format("")
+    + _TESTS.format("name LIKE 'region\\_%' ESCAPE '\\'")
+    + """, f AS (SELECT s AS seed, qualified_name, depth, file_path FROM reached JOIN named ON n = qualified_name)
+SELECT seed, 'affected' AS part, qualified_name AS item, CAST(depth AS INTEGER) AS distance FROM f UNION ALL SELECT seed, 'file', file_path, CAST(min(depth) AS INTEGER) FROM f GROUP BY seed, file_path
+UNION ALL SELECT seed, 'test', test, CAST(indirect AS INTEGER) FROM tests"""
+)
+def blast_radius_report(g, spark, d):
+    """The composed command for all regions: affected nodes, their files, tests that reach the seed."""
+    seeds = g.nodes.where("name like 'region\\_%'").select(F.col("qualified_name").alias("seed"))
+    return reach.blast_report(g.nodes, tested_edges(spark, d), seeds, 3, 2, None, g.pairs)
+
+
+@query(
+    _TESTS.format("kind = 'function'")
+    + " SELECT qualified_name AS seed, CAST(count(test) AS BIGINT) AS total_tests, CAST(coalesce(count_if(NOT indirect), 0) AS BIGINT) AS direct_tests, count(test) > 0 AS covered FROM named LEFT JOIN tests ON seed = qualified_name WHERE kind = 'function' GROUP BY 1"
+)
+def test_coverage_report(g, spark, d):
+    return reach.coverage(g.nodes, tested_edges(spark, d), g.nodes.where("kind = 'function'").select(F.col("qualified_name").alias("seed")))
+
+
 @query(
     """WITH t AS (SELECT DISTINCT conv_id, turn FROM conversations)
 SELECT a.conv_id || ':0' AS seed, b.conv_id || ':' || b.turn AS node, CAST(b.turn AS INTEGER) AS depth FROM (SELECT DISTINCT conv_id FROM t WHERE turn = 0) a JOIN t b USING (conv_id) WHERE b.turn <= 3 AND (SELECT count(*) FROM t c WHERE c.conv_id = b.conv_id AND c.turn <= b.turn) = b.turn + 1""",
@@ -378,7 +494,7 @@ _DEAD = """SELECT qualified_name, file_path, line_start FROM named n WHERE kind
 AND NOT contains(decorators, 'app.route') AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.kind = 'CALLS' AND e.target_qualified = n.qualified_name) {}"""
 
 
-@query(_DEAD.format(""))
+@query(_DEAD.format("AND name <> 'main'"))
 def dead_code(g, spark, d):
     return relations.dead_code(g.nodes, g.edges).select("qualified_name", "file_path", "line_start")
 
@@ -411,7 +527,16 @@ def overview_key_files(g, spark, d):
     return relations.key_files(g.nodes, g.edges).select("file_path", "importance")
 
 
-@query("SELECT file_path, name AS symbol FROM named WHERE name IN ('main', '__main__', 'create_app', 'app', 'cli', 'run', 'start') LIMIT 5")
+@query(
+    """SELECT * FROM (SELECT n.file_path, CAST(count(*) AS BIGINT) AS importance FROM named n JOIN edges e ON e.target_qualified = n.qualified_name GROUP BY 1 ORDER BY importance DESC, n.file_path LIMIT 7) k JOIN
+(SELECT file_path, coalesce(array_to_string((list(name ORDER BY line_start, name) FILTER (kind = 'class'))[1:5], '|'), '') AS classes, coalesce(array_to_string((list(name ORDER BY line_start, name) FILTER (kind = 'function' AND NOT starts_with(name, '_')))[1:5], '|'), '') AS functions FROM named GROUP BY 1) USING (file_path)"""
+)
+def overview_key_members(g, spark, d):
+    joined = lambda c: F.array_join(c, "|").alias(c)
+    return relations.key_files(g.nodes, g.edges).select("file_path", "importance", joined("classes"), joined("functions"))
+
+
+@query("SELECT file_path, name AS symbol FROM named WHERE name IN ('main', '__main__', 'create_app', 'app', 'cli', 'run', 'start') ORDER BY file_path LIMIT 5")
 def overview_entry_points(g, spark, d):
     return relations.entry_points(g.nodes)
 
@@ -496,6 +621,24 @@ def insert_symbol(g, spark, d):
     return edits.insert_symbol(_edit_rows(spark, d, "new_code"), "after").select("file_path", F.sha2("source", 256).alias("sha"))
 
 
+@query(
+    _LINES
+    + "SELECT CAST(doc_id AS VARCHAR) AS file_path, sha256(array_to_string(list_concat([regexp_extract(x[1], '^\\s*') || 'new one', regexp_extract(x[1], '^\\s*') || '  inner', ''], x), chr(10)) || chr(10)) AS sha, 3 AS lines_added FROM l",
+    over_graph=False,
+)
+def insert_symbol_before(g, spark, d):
+    return edits.insert_symbol(_edit_rows(spark, d, "new_code"), "before").select("file_path", F.sha2("source", 256).alias("sha"), "lines_added")
+
+
+@query("SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN true WHEN 1 THEN false ELSE true END AS holds FROM documents", over_graph=False)
+def hash_guard(g, spark, d):
+    """Edits planned on the present state, on another one, and without an expectation."""
+    docs = _table(spark, d, "documents")
+    other = F.concat(F.lit("sha256:"), F.substring(F.sha2(F.concat("text", F.lit("!")), 256), 1, 16))
+    expected = F.when(F.col("doc_id") % 3 == 0, X.content_hash(F.col("text"))).when(F.col("doc_id") % 3 == 1, other)
+    return docs.select("doc_id", edits.hash_holds(F.col("text"), expected).alias("holds"))
+
+
 # --- benchmarks --------------------------------------------------------------------------------------------------------
 
 
@@ -508,6 +651,16 @@ def rubric_eval(g, spark, d):
     return bench.rubric_table(outputs, rubrics)
 
 
+@query("SELECT file_path AS id, CASE WHEN starts_with(file_path, 'crm/') THEN bool_or(name = 'locate' AND kind = 'method') ELSE count(*) >= 3 END AS correct FROM named GROUP BY file_path")
+def rubric_eval_rows(g, spark, d):
+    """exact-match and min-count over the symbols of each file."""
+    row = F.create_map(F.lit("name"), "name", F.lit("kind"), "kind")
+    outputs = g.nodes.groupBy(F.col("file_path").alias("id")).agg(F.collect_list(row).alias("rows"))
+    exact = F.col("id").startswith("crm/")
+    wanted = F.create_map(F.lit("name"), F.lit("locate"), F.lit("kind"), F.lit("method"))
+    return bench.rubric_table(outputs, outputs.select("id", F.when(exact, "exact-match").otherwise("min-count").alias("type"), wanted.alias("expected"), F.lit(3).alias("min_results")))
+
+
 @query("SELECT l.doc_id AS id, CAST(n_chars - 100 * quality AS BIGINT) AS byte_delta, CASE WHEN quality = 1 AND toxic = 0 THEN 'REGRESSION' WHEN quality = 0 AND toxic = 1 THEN 'FIXED' ELSE 'same' END AS verdict FROM labels l JOIN documents d ON d.doc_id = l.doc_id", over_graph=False)
 def baseline_compare(g, spark, d):
     labels, docs = _table(spark, d, "labels"), _table(spark, d, "documents")

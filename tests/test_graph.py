@@ -195,6 +195,104 @@ def test_build_refresh_store(spark, tmp_path):
     assert store.load(spark, place).nodes.count() == 3
 
 
+def rows(df, *columns):
+    return sorted(str([x[c] for c in columns or sorted(df.columns)]) for x in df.collect())
+
+
+def test_incremental_refresh_is_a_full_one(spark, tmp_path):
+    """After random changes the refreshed and stored graph is the graph of a build, though only touched buckets are written."""
+    rng = random.Random(4)
+    names = [f"f{k}" for k in range(8)]
+    code = lambda: "".join(f"def {n}():\n    {rng.choice(names)}()\n    x.{rng.choice(names)}()\n\n" for n in rng.sample(names, rng.randrange(1, 3)))
+    files = {f"p{k}/m{k}.py": code() for k in range(12)}
+    place = (tmp_path / "state").as_uri()
+    store.save(spark, store.build(frame(spark, files)), place, buckets=6)
+    for turn in range(4):
+        files.pop(rng.choice(sorted(files)))
+        files[f"p{turn}/new.py"] = code()
+        files[rng.choice(sorted(files))] = code()
+        store.save(spark, store.refresh(store.load(spark, place), frame(spark, files)), place)
+        got, want = store.load(spark, place), store.build(frame(spark, files))
+        key = ("kind", "source_qualified", "target_qualified", "file_path", "line")
+        assert rows(got.edges, *key) == rows(want.edges, *key) and rows(got.nodes) == rows(want.nodes.select(*got.nodes.columns)) and rows(got.sources) == rows(want.sources)
+        assert rows(got.files, "file_path", "content_hash") == rows(want.files, "file_path", "content_hash")
+        assert rows(got.postings) == rows(search.postings(got.nodes)) and rows(got.pairs.select("a", "b").distinct()) == rows(reach.both_ways(want.edges))
+        one = {x.qualified_name for x in reach.impact_radius(got.nodes, got.edges, got.nodes.limit(1).select(F.col("qualified_name").alias("seed")), pairs=got.pairs).collect()}
+        assert one == {x.qualified_name for x in reach.impact_radius(got.nodes, got.edges, got.nodes.limit(1).select(F.col("qualified_name").alias("seed"))).collect()}
+
+
+def test_refresh_shares_untouched_buckets(spark, tmp_path):
+    files = {f"m{k}.py": f"def f{k}():\n    pass\n" for k in range(30)}
+    place = (tmp_path / "state").as_uri()
+    first = store.save(spark, store.build(frame(spark, files)), place, buckets=10)
+    files["m3.py"] = "def f3():\n    return 1\n"
+    second = store.save(spark, store.refresh(store.load(spark, place), frame(spark, files)), place)
+    held = store.manifest(spark, place, second)["tables"]["nodes"]
+    assert sorted(held.values()).count(second) == 1 and set(held.values()) == {first, second} and store.load(spark, place).nodes.count() == 30
+    for k in range(3):  # snapshots that nobody needs any more go
+        last = store.save(spark, store.build(frame(spark, files)), place)
+    left = {p.name for p in (tmp_path / "state").iterdir() if p.name.startswith("snapshot-")}
+    assert last in left and len(left) == 2 and first not in left
+    assert not [p for p in (tmp_path / "state").iterdir() if p.name.startswith("CURRENT-")]
+
+
+def test_failed_write_leaves_the_old_state(spark, tmp_path, monkeypatch):
+    place = (tmp_path / "state").as_uri()
+    store.save(spark, store.build(frame(spark, SOURCES)), place)
+
+    def fail(*args):
+        raise RuntimeError("out of disk")
+
+    monkeypatch.setattr(store, "_put", fail)
+    with pytest.raises(RuntimeError):
+        store.save(spark, store.build(frame(spark, {"z.py": "def z(): pass\n"})), place)
+    assert {x.name for x in store.load(spark, place).nodes.collect()} == {"f", "g"}
+
+
+def test_older_and_broken_stores(spark, tmp_path):
+    """The first layout is migrated, with equal edges made one; what cannot be read is built anew; an index of older tools goes."""
+    state, root = tmp_path / "state", tmp_path / "root"
+    place, name = state.as_uri(), "snapshot-old"
+    g = store.build(frame(spark, SOURCES))
+    for t in ("nodes", "files", "sources"):
+        getattr(g, t).write.parquet(f"{place}/{name}/{t}")
+    g.edges.union(g.edges).write.parquet(f"{place}/{name}/edges")
+    spark.createDataFrame([("schema_version", "1"), ("project_root", "/p")], "key string, value string").write.parquet(f"{place}/{name}/metadata")
+    (state / "CURRENT").write_text(name)
+    assert store.load(spark, place).edges.count() == g.edges.count() and store.load(spark, place).postings is None
+    assert store.migrate(spark, place) and not store.migrate(spark, place)
+    new = store.load(spark, place)
+    assert new.edges.count() == g.edges.count() and new.postings.where("token = 'g'").count() > 0 and store.metadata(spark, place) == {"schema_version": "2", "project_root": "/p"}
+    root.mkdir()
+    (root / "a.py").write_text("def f(): pass\n")
+    (root / "pyproject.toml").write_text("")
+    for text in ("snapshot-gone", "{"):
+        (state / "CURRENT").write_text(text)
+        (state / "index.json").write_text("{}")
+        assert [x.name for x in store.load_or_build(spark, str(root), place).nodes.collect()] == ["f"] and not (state / "index.json").exists()
+    (state / store.current(spark, place) / "manifest.json").write_text("{")
+    assert [x.name for x in store.load_or_build(spark, str(root), place).nodes.collect()] == ["f"]
+
+
+def test_reach_on_the_driver_and_beyond(spark):
+    rng = random.Random(7)
+    pairs = spark.createDataFrame([(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(110)], "a string, b string")
+    start = spark.createDataFrame([("x", "n1"), ("x", "n2"), ("y", "n3"), ("y", "n3")], "seed string, node string")
+    want = rows(reach.reach(pairs, start, 4))
+    for small in (0, 2, 5, 20):
+        assert rows(reach.reach(pairs, start, 4, small)) == want
+    assert len(want) > 30 and reach.reach(pairs, start.limit(0), 4).count() == 0 == reach.reach(pairs, start.limit(0), 4, -1).count()
+
+
+def test_stored_postings_answer_like_a_scan(spark):
+    nodes = store.build(frame(spark, {"pkg/parse_files.py": "def parse_file_name():\n    pass\n\nclass FileParser:\n    def parse(self):\n        pass\n", "pkg/other.py": "def file_parse_file():\n    pass\n"})).nodes
+    index = search.postings(nodes)
+    for query in ("parse", "file", "parse_file", "file_name pkg", "file_file", "parse parse", "other.py", "nothing", "", "parse_file file_parse", "__"):
+        want = rows(search.search_text(nodes, query, ("name", "qualified_name", "file_path")), "qualified_name")
+        held = search.holders(index, query)
+        assert (rows(held, "qualified_name") if held is not None else []) == want
+
+
 def test_table_functions(spark):
     from lattisym.operators.extract import register
 
@@ -218,7 +316,7 @@ def test_streamed_refresh(spark, tmp_path):
     assert {x.name for x in store.load(spark, place).nodes.collect()} == {"g"}
 
 
-def test_rubrics_and_envelopes(spark):
+def test_rubrics_and_envelopes(spark, tmp_path):
     ok = envelope.success("locate", [{"name": "f", "line": 3}])
     assert ok.startswith("ok: true\ncommand: locate\nresult:") and "truncated: true" in envelope.success("usages", [], 50, 50)
     assert bench.judge({"type": "exact-match", "expected": {"name": "f"}}, [ok]) and not bench.judge({"type": "exact-match", "expected": {"name": "g"}}, [ok])
@@ -227,7 +325,10 @@ def test_rubrics_and_envelopes(spark):
     assert not bench.judge({"type": "exact-match", "expected": {}}, [envelope.failure("x", "no")]) and not bench.judge({"type": "odd"}, [ok])
     q = {"id": "q", "archetype": "find", "commands": ["locate f"], "rubric": {"type": "min-count", "min_results": 1}}
     r = bench.run_query(q, lambda _: ok)
-    assert r["correct"] and "1/1 correct" in bench.report([r])
+    assert r["correct"] and "1 of 1 correct" in bench.report([r])
+    path = bench.save_baseline([r], tmp_path / "base")
+    bench.save_baseline([r], tmp_path / "base")
+    assert bench.load_baseline(path) == [r] and [x.name for x in path.parent.iterdir()] == ["current.yaml"]
 
 
 def test_commands_on_disk(spark, tmp_path):
