@@ -2,7 +2,7 @@
 
 One hop is an equi-join of the frontier with the edges, distinct, and what has not been seen, so cycles end and walks don't
 multiply. All seeds run together, told apart by a column. As long as what was reached is small (SMALL rows, counted at each hop), the driver keeps it and sends
-the frontier to the edges, which then are not shuffled; beyond, frontiers stay distributed and lineage is cut by a checkpoint per hop.
+the ends of the frontier to the edges, which then are not shuffled; beyond, frontiers stay distributed and lineage is cut by a checkpoint per hop.
 """
 
 from __future__ import annotations
@@ -47,15 +47,21 @@ def reach(pairs: DataFrame, seeds: DataFrame, depth: int, small: int = SMALL) ->
     if len(first) <= small:
         seen = {(x.seed, x.node): 0 for x in first}
         while hop <= depth:
-            frontier = {k: d for k, d in seen.items() if d == hop - 1}
+            frontier = [k for k, d in seen.items() if d == hop - 1]
             ends = list({node for _, node in frontier})
-            near = pairs.where(F.col("a").isin(ends)) if len(ends) <= FEW else pairs
-            step = near.join(F.broadcast(local(frontier)), near.a == F.col("node")).select("seed", F.col("b").alias("node")).distinct()
-            got = step.limit(small + 1).collect() if frontier else []
-            if len(got) > small or len(seen) + len(got) > 2 * small:
-                break
+            if len(ends) <= FEW:
+                near = pairs.where(F.col("a").isin(ends))
+            else:
+                near = pairs.join(F.broadcast(spark.createDataFrame(pa.table({"a": pa.array(ends, arrow[1].type)}))), "a", "left_semi")
+            got = near.select("a", "b").limit(small + 1).collect() if ends else []
+            after: dict = {}
             for x in got:
-                seen.setdefault((x.seed, x.node), hop)
+                after.setdefault(x.a, set()).add(x.b)
+            if len(got) > small or len(seen) + sum(len(after.get(node, ())) for _, node in frontier) > 4 * small:
+                break
+            for seed, node in frontier:
+                for b in after.get(node, ()):
+                    seen.setdefault((seed, b), hop)
             hop += 1
         if hop > depth:
             return local(seen)
