@@ -133,9 +133,8 @@ def resample(docs: DataFrame, wanted: DataFrame, share: float = SHARE, seed: int
     uniform = (F.pmod(F.xxhash64("doc_id", "text", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     scored = rows.withColumn("noise", -F.log(-F.log(uniform))).withColumn("tie", F.xxhash64("doc_id", "text", F.lit(seed + 1)))
     scored = scored.mapInArrow(_weigher(ratios), "doc_id long, noise double, tie long, log_weight double")
-    scored = cut(scored.select("doc_id", "log_weight", (F.col("log_weight") + F.col("noise")).alias("value"), "tie"))
-    # the number of a row of the checkpoint: the same in every job that reads it
-    scored = cut(scored.withColumn("row", F.monotonically_increasing_id()))
+    # rows are numbered once, as they are checkpointed
+    scored = cut(scored.select("doc_id", "log_weight", (F.col("log_weight") + F.col("noise")).alias("value"), "tie", F.monotonically_increasing_id().alias("row")))
     k = round(share * scored.count())
     kept, level, open_ = F.lit(False), F.lit(k > 0), scored
     for column in ("value", "tie", "row"):  # one after another: only rows that are equal so far are looked at
