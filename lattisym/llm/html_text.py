@@ -5,7 +5,7 @@ whatever their size, the hashes are counted per host in Spark (once per page, co
 hot spot), and subtrees that recur on at least MIN_PAGES pages of their host are deleted, however many pages it has. Templates meet the
 pages' subtrees in an equi-join. This comes first. Of what is left goes what templates cannot find, because it differs from page to page or because the host
 has too few pages: elements that are never main text, boxes named so by a word of their class, id or role (but not an article or main, nor by the name of a category or tag), and, if a page
-marks its article (article, main, role=main), all outside; without one, boxes made of links. Each page tells how many blocks each rule took.
+marks its article (article, main, role=main), all outside; without one, boxes made of links. `rule_report` counts what each rule takes.
 
 In a marked article a list or box made of links is deleted like any other subtree, the rest only if it is on over half of the pages of
 its host: some articles may share a passage.
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, cut, stored
+from .common import chunks, cut, stored, texts_of
 
 #: A subtree is a template if it is on at least so many pages of a host.
 MIN_PAGES = 5
@@ -59,6 +59,8 @@ KEPT, ELEMENT, NAMED, OUTSIDE, LINKS = range(5)
 #: A block of an article that stands in a named box: taken like the box unless the page has no other article.
 BOXED = 5
 
+RULES = ((ELEMENT, "element"), (NAMED, "named"), (OUTSIDE, "outside"), (LINKS, "links"))
+
 _NAME = re.compile(r"/?([A-Za-z][^\s/>]*)")
 _QUOTED_END = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
 _COMMENT_END = re.compile(r"--!?>")
@@ -306,36 +308,46 @@ def templates(read: DataFrame, min_pages: int, share: float) -> DataFrame:
     return cut(often.join(size, "host").select("host", "mark", F.explode(common).alias("inner")))
 
 
-def _is(rule: int):
-    """Of a block: true if the rule takes it, else null."""
-    return lambda b: F.when(b["rule"] == rule, F.lit(True))
-
-
-def extract(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = ARTICLE_SHARE) -> DataFrame:
-    """Per row of pages(page_id, url, html): page_id, url, text, n_chars, and how many blocks went as templates, then by element, name, place and links."""
+def judged(pages: DataFrame, min_pages: int, share: float) -> tuple[DataFrame, DataFrame]:
+    """The pages read once, and for each page (doc_id, twin) that holds templates: their hashes (often; common for those that count in articles) and whether one of its kept blocks is one (changes)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host_of())
     # two hashes name a row by all that it holds; rows that repeat have equal verdicts
     rows = rows.withColumn("doc_id", F.xxhash64("page_id", "url", "html")).withColumn("twin", F.xxhash64("html", "url", "page_id", F.lit(1)))
     read = stored(parsed(rows))
     found = templates(read, min_pages, share)
-    kinds = F.array(*(F.struct(F.lit(name == "inner").alias("inner"), F.array_distinct(F.flatten(F.col(f"blocks.{name}"))).alias("marks")) for name in ("marks", "inner")))
-    held = read.select("host", "doc_id", "twin", F.explode(kinds).alias("k")).select("host", "k.inner", F.explode("k.marks").alias("mark"), "doc_id", "twin")
+    some = lambda name, keep: F.array_distinct(F.flatten(F.transform(F.filter("blocks", lambda b: (b["rule"] == KEPT) == F.lit(keep)), lambda b: b[name])))
+    kinds = F.array(*(F.struct(F.lit(name == "inner").alias("inner"), F.lit(keep).alias("kept"), some(name, keep).alias("marks")) for name, keep in (("marks", True), ("marks", False), ("inner", True))))
+    held = read.select("host", "doc_id", "twin", F.explode(kinds).alias("k")).select("host", "k.inner", "k.kept", F.explode("k.marks").alias("mark"), "doc_id", "twin")
     hits = held.join(found.hint("merge"), ["host", "mark", "inner"]).groupBy("doc_id", "twin")
-    hits = cut(hits.agg(F.collect_set(F.when(~F.col("inner"), F.col("mark"))).alias("often"), F.collect_set(F.when(F.col("inner"), F.col("mark"))).alias("common")))
-    joined = read.select("page_id", "url", "doc_id", "twin", "blocks").join(hits.hint("merge"), ["doc_id", "twin"], "left")
+    return read, cut(hits.agg(F.collect_set(F.when(~F.col("inner"), F.col("mark"))).alias("often"), F.collect_set(F.when(F.col("inner"), F.col("mark"))).alias("common"), F.max("kept").alias("changes")))
+
+
+def _left(read: DataFrame, hits: DataFrame) -> DataFrame:
+    """Pages without the blocks that are templates."""
     gone = lambda b: F.coalesce(F.arrays_overlap(b["marks"], F.col("often")) | F.arrays_overlap(b["inner"], F.col("common")), F.lit(False))
-    left = joined.withColumn("n_blocks", F.size("blocks")).withColumn("blocks", F.filter("blocks", lambda b: ~gone(b)))
+    return read.join(hits.hint("merge"), ["doc_id", "twin"], "left").withColumn("blocks", F.filter("blocks", lambda b: ~gone(b)))
+
+
+def extract(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = ARTICLE_SHARE) -> DataFrame:
+    """Per row of pages(page_id, url, html): page_id, url, text, n_chars."""
+    read, hits = judged(pages, min_pages, share)
+    slim, changed = read.select("page_id", "url", "doc_id", "twin", "blocks"), hits.where("changes")
+    # pages whose templates would have gone by other rules too keep the same text: only the others are shuffled
+    some, rest = texts_of(slim, changed.select("doc_id")), texts_of(slim, changed.select("doc_id"), keep=False)
+    left = _left(some, changed).select("page_id", "url", "blocks").unionByName(rest.select("page_id", "url", "blocks"))
     text = F.array_join(F.transform(F.filter("blocks", lambda b: b["rule"] == KEPT), lambda b: b["text"]), "\n\n")
-    by_rule = [F.size(F.array_compact(F.transform("blocks", _is(r)))).cast("long").alias(f"n_{name}") for r, name in ((ELEMENT, "element"), (NAMED, "named"), (OUTSIDE, "outside"), (LINKS, "links"))]
-    return left.select("page_id", "url", text.alias("text"), (F.col("n_blocks") - F.size("blocks")).cast("long").alias("n_template"), *by_rule).select(
-        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_template", "n_element", "n_named", "n_outside", "n_links"
-    )
-
-
-def rule_report(extracted: DataFrame) -> DataFrame:
-    """(rule, pages, blocks): on how many pages each rule took blocks, in the order of the rules, and how many."""
-    out = None
-    for name in ("template", "element", "named", "outside", "links"):
-        part = extracted.agg(F.lit(name).alias("rule"), F.count_if(F.col(f"n_{name}") > 0).alias("pages"), F.sum(f"n_{name}").alias("blocks"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return left.select("page_id", "url", text.alias("text")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+def rule_report(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = ARTICLE_SHARE) -> DataFrame:
+    """(rule, pages, blocks): on how many pages each rule takes blocks, in the order of the rules, and how many. No texts are shuffled."""
+    read, hits = judged(pages, min_pages, share)
+    slim = read.withColumn("blocks", F.transform("blocks", lambda b: F.struct(b["marks"].alias("marks"), b["inner"].alias("inner"), b["rule"].alias("rule"))))
+    left = _left(slim.withColumn("n", F.size("blocks")), hits)
+    counts = F.array(F.struct(F.lit("template").alias("rule"), (F.col("n") - F.size("blocks")).alias("n")), *(F.struct(F.lit(name).alias("rule"), F.size(F.array_compact(F.transform("blocks", _is(r)))).alias("n")) for r, name in RULES))
+    return left.select(F.explode(counts).alias("x")).groupBy("x.rule").agg(F.count_if(F.col("x.n") > 0).alias("pages"), F.sum("x.n").alias("blocks"))
+
+
+def _is(rule: int):
+    """Of a block: true if the rule takes it, else null."""
+    return lambda b: F.when(b["rule"] == rule, F.lit(True))

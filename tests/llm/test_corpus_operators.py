@@ -688,9 +688,8 @@ def test_html_against_pages_of_known_text(spark):
             rows.append((len(rows), f"https://h{h}.org/{k}", html))
             want[len(want)] = main
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = common.cut(html_text.extract(df))
-    assert {x.page_id: x.text for x in got.collect()} == want
-    report = {x.rule: (x.pages, x.blocks) for x in html_text.rule_report(got).collect()}
+    assert {x.page_id: x.text for x in html_text.extract(df).collect()} == want
+    report = {x.rule: (x.pages, x.blocks) for x in html_text.rule_report(df).collect()}
     assert report["template"][0] == len(rows) and report["template"][1] > 5 * len(rows) and report["element"][0] == len(rows)
     off = {x.page_id: x.text for x in html_text.extract(df, min_pages=10**9).collect()}
     assert sum(off[k] != want[k] for k in want) == sum(1 for i, u, _ in rows if int(u[9]) % 2 == 0)  # all pages without a marked article
