@@ -17,12 +17,21 @@ from .plans.corpus import GO_SQL, GRAPH_SQL, TYPESCRIPT_SQL, go_files, source_fi
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_graphs: dict[tuple[str, str], store.Graph] = {}
+_graphs: dict[tuple, store.Graph] = {}
+
+
+def _state(spark: SparkSession, sf_dir: str) -> tuple:
+    """What names the graphs of a folder: the application, and size and time of the tables that they're made of, so a changed table gives a new graph."""
+    out = [spark.sparkContext.applicationId, sf_dir]
+    for t in ("region", "nation", "customer", "supplier"):
+        fs, p = store._fs(spark, f"{sf_dir}/{t}.parquet")
+        out += sorted((x.getPath().getName(), x.getLen(), x.getModificationTime()) for x in fs.listStatus(p))
+    return tuple(out)
 
 
 def graph(spark: SparkSession, sf_dir: str) -> store.Graph:
-    """The stored graph of the synthetic code base, built once per application and folder, as an index is; queries scan its Parquet tables."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The stored graph of the synthetic code base, built once per application and state of the tables, as an index is; queries scan its Parquet tables."""
+    key = _state(spark, sf_dir)
     if key not in _graphs:
         place = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
         store.save(spark, store.build(source_files(spark, sf_dir), keep=_cut), place)
@@ -30,12 +39,12 @@ def graph(spark: SparkSession, sf_dir: str) -> store.Graph:
     return _graphs[key]
 
 
-_tested: dict[tuple[str, str], DataFrame] = {}
+_tested: dict[tuple, DataFrame] = {}
 
 
 def tested_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The graph's edges with the targets of tests resolved too (a build option), stored once likewise."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    key = _state(spark, sf_dir)
     if key not in _tested:
         g, place = graph(spark, sf_dir), f"{shared_folder(spark)}/tested-{uuid.uuid4().hex}"
         resolve_calls(g.edges, g.nodes, ("CALLS", "TESTED_BY")).write.parquet(place)
@@ -43,12 +52,12 @@ def tested_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tested[key]
 
 
-_others: dict[tuple[str, str, str], store.Graph] = {}
+_others: dict[tuple, store.Graph] = {}
 
 
 def other_graph(spark: SparkSession, sf_dir: str, language: str) -> store.Graph:
     """The stored graph of the Go or TypeScript code base, built once likewise."""
-    key = (spark.sparkContext.applicationId, sf_dir, language)
+    key = (*_state(spark, sf_dir), language)
     if key not in _others:
         place = f"{shared_folder(spark)}/{language}-{uuid.uuid4().hex}"
         files = {"go": go_files, "typescript": typescript_files}[language](spark, sf_dir)
@@ -600,21 +609,21 @@ def dedupe_edges(g, spark, d):
     return extract.dedupe_edges(rows)
 
 
-_LINES = "WITH l AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\\n$', ''), chr(10)) AS x FROM documents WHERE length(text) > 0) "
+_LINES = "WITH l AS (SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\\n$', ''), chr(10)) AS lines, CASE WHEN text = '' THEN [] ELSE lines END AS x, coalesce(regexp_extract(x[1], '^\\s*'), '') AS i FROM documents) "
 
 
 def _edit_rows(spark: SparkSession, d: str, code: str) -> DataFrame:
-    return _table(spark, d, "documents").where("length(text) > 0").select(F.col("doc_id").cast("string").alias("file_path"), F.col("text").alias("source"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"), F.lit("new one\n  inner").alias(code))
+    return _table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("file_path"), F.col("text").alias("source"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"), F.lit("new one\n  inner").alias(code))
 
 
-@query(_LINES + "SELECT CAST(doc_id AS VARCHAR) AS file_path, sha256(array_to_string(list_concat([regexp_extract(x[1], '^\\s*') || 'new one', regexp_extract(x[1], '^\\s*') || '  inner'], x[2:]), chr(10)) || chr(10)) AS sha, 1 AS lines_removed, 2 AS lines_added FROM l", over_graph=False)
+@query(_LINES + "SELECT CAST(doc_id AS VARCHAR) AS file_path, CASE WHEN x IS NOT NULL THEN sha256(array_to_string(list_concat([i || 'new one', i || '  inner'], x[2:]), chr(10)) || chr(10)) END AS sha, 1 AS lines_removed, 2 AS lines_added FROM l", over_graph=False)
 def replace_body(g, spark, d):
     return edits.replace_body(_edit_rows(spark, d, "new_body")).select("file_path", F.sha2("source", 256).alias("sha"), "lines_removed", "lines_added")
 
 
 @query(
     _LINES
-    + "SELECT CAST(doc_id AS VARCHAR) AS file_path, sha256(array_to_string(CASE WHEN len(x) > 1 AND trim(x[2]) = '' THEN list_concat(x[1:2], list_concat([regexp_extract(x[1], '^\\s*') || 'new one', regexp_extract(x[1], '^\\s*') || '  inner'], x[3:])) ELSE list_concat(x[1:1], list_concat(['', regexp_extract(x[1], '^\\s*') || 'new one', regexp_extract(x[1], '^\\s*') || '  inner'], x[2:])) END, chr(10)) || chr(10)) AS sha FROM l",
+    + "SELECT CAST(doc_id AS VARCHAR) AS file_path, CASE WHEN x IS NOT NULL THEN sha256(array_to_string(CASE WHEN len(x) > 1 AND trim(x[2]) = '' THEN list_concat(x[1:2], list_concat([i || 'new one', i || '  inner'], x[3:])) ELSE list_concat(x[1:1], list_concat(['', i || 'new one', i || '  inner'], x[2:])) END, chr(10)) || chr(10)) END AS sha FROM l",
     over_graph=False,
 )
 def insert_symbol(g, spark, d):
@@ -623,7 +632,7 @@ def insert_symbol(g, spark, d):
 
 @query(
     _LINES
-    + "SELECT CAST(doc_id AS VARCHAR) AS file_path, sha256(array_to_string(list_concat([regexp_extract(x[1], '^\\s*') || 'new one', regexp_extract(x[1], '^\\s*') || '  inner', ''], x), chr(10)) || chr(10)) AS sha, 3 AS lines_added FROM l",
+    + "SELECT CAST(doc_id AS VARCHAR) AS file_path, CASE WHEN x IS NOT NULL THEN sha256(array_to_string(list_concat([i || 'new one', i || '  inner', ''], x), chr(10)) || chr(10)) END AS sha, 3 AS lines_added FROM l",
     over_graph=False,
 )
 def insert_symbol_before(g, spark, d):

@@ -168,6 +168,15 @@ def test_insert_with_blank_lines_and_replace(spark):
         edits.check_hash("sha256:a", "sha256:b")
 
 
+def test_edits_of_empty_files(spark):
+    """An empty file has no lines: new code is all of it; a null source stays null."""
+    rows = spark.createDataFrame([("a", "", 1, 1, "x\n y"), ("b", None, 1, 1, "x")], "file_path string, source string, line_start int, line_end int, new_body string")
+    assert {x.file_path: x.source for x in edits.replace_body(rows).collect()} == {"a": "x\n y\n", "b": None}
+    rows = rows.withColumnRenamed("new_body", "new_code")
+    assert {x.file_path: x.source for x in edits.insert_symbol(rows).collect()} == {"a": "\nx\n y\n", "b": None}
+    assert {x.file_path: x.source for x in edits.insert_symbol(rows, "before").collect()} == {"a": "x\n y\n\n", "b": None}
+
+
 SOURCES = {"a.py": "def f():\n    return g()\n", "b.py": "def g():\n    return 1\n", "bad.py": "def (\n"}
 
 
