@@ -593,6 +593,43 @@ def test_resampling_counts_every_wanted_document(spark):
     assert sorted((x.doc_id, round(x.log_weight, 9)) for x in rows if x.doc_id is not None) == sorted((k, want[t]) for k, t in zip(ids, texts, strict=True) if k is not None)
 
 
+def test_resampling_weights_against_plain_counts(spark):
+    """Weights from counts of words and pairs in dicts; the fixture's n-grams have a bucket each."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choices(["Alpha", "beta", "gamma", "delta"] if k < 30 else ["junk", "spam", "noise", "alpha"], k=rng.randrange(1, 12))) for k in range(60)]
+    plain = lambda t: [*(w := t.lower().split()), *zip(w, w[1:], strict=False)]
+    every = {g for t in texts for g in plain(t)}
+    assert len({int(b) for t in texts for b in resample.grams(pa.array([t]))[1]}) == len(every)
+    raw, target = ({g: sum(plain(t).count(g) for t in some) for g in every} for some in (texts, texts[:15]))
+    share = sum(target.values()) / sum(raw.values())
+    rows = resample.resample(frame(spark, texts), spark.createDataFrame([(k,) for k in range(15)], "doc_id long")).collect()
+    for x in rows:
+        own = plain(texts[x.doc_id])
+        want = sum(np.log((target[g] + resample.SMOOTHING * share) / ((raw[g] + resample.SMOOTHING) * share)) for g in own) / len(own)
+        assert abs(x.log_weight - resample.SHARPNESS * want) < 1e-9
+
+
+def test_very_long_texts(spark):
+    """Texts of megabytes, words of a megabyte and texts without words among short ones."""
+    rng = random.Random(13)
+    long = " ".join(f"w{rng.randrange(10**5)}" for _ in range(100_000))
+    texts = [long, long + " more", "x" * (1 << 20), "x" * (1 << 20) + "y", " " * 300_000, "short text", long[: len(long) // 2]]
+    df = frame(spark, texts)
+    assert [x.component_id for x in near_dedup.near_duplicates(df, 2).orderBy("doc_id").collect()] == [0, 0, 2, 3, 4, 5, 6]
+    want = [(i, n, g, hashlib.sha256(k.encode()).hexdigest()) for i, n, g, k in plain_removal(list(enumerate(texts)))]
+    assert [tuple(x) for x in substring.remove_repeats(df, "sha256").orderBy("doc_id").select("doc_id", "n_words", "n_removed", "kept_sha256").collect()] == want
+    assert fingerprint.compare_edited(df).count() == 7 and pii.detect(df).where("spans <> ''").count() == 0
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    frame(spark, ["x"]).drop("score", "bucket", "key").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def page(main, k=0, nav=True):
     menu = "<nav><ul><li><a href='/'>Home</a><li>About</ul></nav>" if nav else ""
     return f"<html><head><title>t</title><style>p{{}}</style></head><body>{menu}<div class='ad'>Buy</div>{main}<footer>f{k}</footer></body></html>"
