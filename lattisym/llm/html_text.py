@@ -331,11 +331,12 @@ def _left(read: DataFrame, hits: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = ARTICLE_SHARE) -> DataFrame:
     """Per row of pages(page_id, url, html): page_id, url, text, n_chars."""
     read, hits = judged(pages, min_pages, share)
-    slim, changed = read.select("page_id", "url", "doc_id", "twin", "blocks"), hits.where("changes")
+    kept = F.filter("blocks", lambda b: b["rule"] == KEPT).alias("blocks")
+    slim, changed = read.select("page_id", "url", "doc_id", "twin", kept), hits.where("changes")
     # pages whose templates would have gone by other rules too keep the same text: only the others are shuffled
     some, rest = texts_of(slim, changed.select("doc_id")), texts_of(slim, changed.select("doc_id"), keep=False)
     left = _left(some, changed).select("page_id", "url", "blocks").unionByName(rest.select("page_id", "url", "blocks"))
-    text = F.array_join(F.transform(F.filter("blocks", lambda b: b["rule"] == KEPT), lambda b: b["text"]), "\n\n")
+    text = F.array_join(F.transform("blocks", lambda b: b["text"]), "\n\n")
     return left.select("page_id", "url", text.alias("text")).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
 
 
