@@ -5,7 +5,7 @@ a fixed fraction (1 / SCALE) of the hash range, so a sketch is a uniform sample
 document's. Sketches of one scale can be merged by union and give estimates of containment and likeness between documents of very
 different length, which a sketch of fixed size cannot.
 
-A fingerprint is text: the number of distinct shingles, a 16-digit digest of the whole set, and the kept hashes in order, seven hex digits each.
+A fingerprint is text: the number of distinct shingles, a 16-digit digest of the whole set, and the kept hashes in order, five characters each.
 Equal texts have equal fingerprints. A text shorter than a shingle is one shingle; an empty or null text has none.
 Two sketches without any hash (very short texts) are alike (1) if their digests are equal, else not (0).
 """
@@ -24,8 +24,10 @@ from pyspark.sql import functions as F
 from .common import U64, _powers, chunks, mix, partitions, prefix_hash, text_bytes
 
 SHINGLE, SCALE = 12, 16
-#: Kept hashes are below 2**28, a sixteenth of 32 bits: seven hex digits.
-DIGITS = 7
+#: Kept hashes are below 2**28, a sixteenth of 32 bits: five characters of six bits, most significant first, in the order of ASCII.
+DIGITS = 5
+ALPHABET = np.frombuffer(b"-0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz", np.uint8)
+_SHIFTS = np.arange(6 * (DIGITS - 1), -1, -6, dtype=np.uint64)
 #: Rows of a run of neighbours that one task reads.
 BUCKET_ROWS = 20_000
 
@@ -52,13 +54,13 @@ def sketches(column: pa.Array) -> list[tuple[int, int, np.ndarray]]:
 
 def text_of(sketch: tuple[int, int, np.ndarray]) -> str:
     size, digest, kept = sketch
-    big = kept.astype(">u4").tobytes().hex()
-    return f"{size}:{digest:016x}:" + "".join(big[k + 1 : k + 8] for k in range(0, len(big), 8))
+    return f"{size}:{digest:016x}:" + ALPHABET[(kept.astype(np.uint64)[:, None] >> _SHIFTS) & U64(63)].tobytes().decode()
 
 
 def parse(fingerprint: str) -> tuple[int, int, np.ndarray]:
     size, digest, kept = fingerprint.split(":")
-    return int(size), int(digest, 16), np.array([int(kept[k : k + DIGITS], 16) for k in range(0, len(kept), DIGITS)], dtype=np.uint64)
+    values = np.searchsorted(ALPHABET, np.frombuffer(kept.encode(), np.uint8)).astype(np.uint64).reshape(-1, DIGITS)
+    return int(size), int(digest, 16), (values << _SHIFTS).sum(axis=1, dtype=np.uint64)
 
 
 def likeness(a: tuple[int, int, np.ndarray], b: tuple[int, int, np.ndarray]) -> float:
