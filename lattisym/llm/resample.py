@@ -107,22 +107,20 @@ def _weigher(ratios: bytes):
 
 
 def _cutoff(rows: DataFrame, column: str, k: int) -> tuple:
-    """(x, n): the k-th largest x of a column of numbers, and how many rows are larger than x. By counting in ever finer ranges."""
-    low, high = rows.agg(F.min(column), F.max(column)).first()
+    """(x, larger, equal): the k-th largest x of a column of numbers, how many rows are larger than x and how many equal. By counting in ever finer ranges."""
+    low, high, equal = rows.agg(F.min(column), F.max(column), F.count("*")).first()
     above = 0
     while low < high:
-        # whole numbers are divided as such: doubles couldn't tell neighbours apart
-        step = (high - low) / 4096 if isinstance(low, float) else (high - low) // 4096 + 1
-        if low + step == low:
-            break
+        # the least and the largest are never in one range, so ranges shrink; whole numbers are divided as such: doubles couldn't tell neighbours apart
+        step = max((high - low) / 4096, 5e-324) if isinstance(low, float) else (high - low) // 4096 + 1
         place = F.floor((F.col(column) - F.lit(low)) / F.lit(step)) if isinstance(low, float) else F.expr(f"cast((cast({column} as decimal(38,0)) - {low}) div {step} as long)")
         inside = rows.where(F.col(column).between(low, high)).groupBy(F.least(place, F.lit(4095)).alias("b")).agg(F.count("*").alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi"))
         for x in sorted(inside.collect(), key=lambda x: -x.b):
             if above + x.n >= k:
-                low, high = x.lo, x.hi
+                low, high, equal = x.lo, x.hi, x.n
                 break
             above += x.n
-    return low, rows.where(F.col(column) > F.lit(low)).count()
+    return low, above, equal
 
 
 def resample(docs: DataFrame, wanted: DataFrame, share: float = SHARE, seed: int = 7) -> DataFrame:
@@ -140,11 +138,11 @@ def resample(docs: DataFrame, wanted: DataFrame, share: float = SHARE, seed: int
     for column in ("value", "tie", "row"):  # one after another: only rows that are equal so far are looked at
         if k <= 0:
             break
-        limit, larger = _cutoff(open_, column, k)
+        limit, larger, equal = _cutoff(open_, column, k)
         kept = kept | (level & (F.col(column) > F.lit(limit)))
         level = level & (F.col(column) == F.lit(limit))
         open_ = open_.where(F.col(column) == F.lit(limit))
         k -= larger
-        if open_.count() == k:
+        if equal == k:
             break
     return scored.select("doc_id", "log_weight", "value", (kept | level).alias("kept"))

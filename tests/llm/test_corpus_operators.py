@@ -574,6 +574,16 @@ def test_resampling(spark):
     assert sum(x.kept for x in even) == 61 and {x.log_weight for x in even} == {0.0}
 
 
+@pytest.mark.parametrize("kind", ["double", "long"])
+def test_places_of_close_numbers(spark, kind):
+    """The k-th largest of neighbours that differ in their last bit, of extremes and of equal ones."""
+    values = [1.0, np.nextafter(1.0, 2), np.nextafter(1.0, 0), 1.0, -5.0, 1e300, 0.0, 5e-324, 7.0, 7.0] if kind == "double" else [-(1 << 63), (1 << 63) - 1, 0, 1, 2, 2, (1 << 62), (1 << 62) + 1, -1, 2]
+    rows = spark.createDataFrame([(float(v) if kind == "double" else v,) for v in values], f"x {kind}").cache()
+    order = sorted(values, reverse=True)
+    for k in range(1, len(values) + 1):
+        assert resample._cutoff(rows, "x", k) == (order[k - 1], sum(v > order[k - 1] for v in values), values.count(order[k - 1]))
+
+
 def test_resampling_counts_every_wanted_document(spark):
     n = 20_300  # the first 150 ids have the only texts of their kind
     texts = [f"alpha beta {'delta' if k < 150 else 'gamma'}" for k in range(n)] + ["junk spam", "junk spam", None]
