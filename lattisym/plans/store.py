@@ -129,7 +129,7 @@ def _read(spark: SparkSession, path: str) -> str | None:
 
 
 def _put(spark: SparkSession, path: str, text: str) -> None:
-    """Write a new file beside path and rename it over: a crash leaves the old one whole."""
+    """Write a new file beside path and rename it over: a crash leaves the old one whole. On file systems that cannot rename over a file the old one is deleted first."""
     beside = f"{path}-{uuid.uuid4().hex}"
     fs, p = _fs(spark, beside)
     out = fs.create(p, True)
@@ -138,7 +138,14 @@ def _put(spark: SparkSession, path: str, text: str) -> None:
     jvm, gateway = spark._jvm, spark.sparkContext._gateway
     over = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
     over[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark._jsc.hadoopConfiguration()).rename(p, _path(spark, path), over)
+    target = _path(spark, path)
+    try:
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(p.toUri(), spark._jsc.hadoopConfiguration()).rename(p, target, over)
+    except Py4JJavaError as e:
+        if "UnsupportedFileSystemException" not in str(e.java_exception):
+            raise
+        fs.delete(target, False)
+        fs.rename(p, target)
 
 
 def _folders(spark: SparkSession, path: str) -> list[str]:
