@@ -90,6 +90,19 @@ def typescript_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nations.unionByName(tests).unionByName(customers)
 
 
+def shape_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(file_path, source): a Python file per region with every shape of symbol, parameter and import."""
+    body = [
+        '"""Shapes."""', "import a.b as c, d", "from . import near", "from .pkg import Thing as T, Other", "",
+        "LIMIT: int = {r_regionkey}", "LEFT = RIGHT = {r_regionkey}", "", "",
+        "@decorate({r_regionkey})", "class Outer_{r_regionkey}(Base, meta.Kind):", '    """' + "x" * 210 + '"""', "", "    field: int = 0", "",
+        "    class Inner:", "        async def run(self, a, /, b: int = 1, *args: str, c, d='x', **kw) -> list[int]:", "            return T(), near.go(), self.run(), d.e()", "",
+        "        @property", "        def size(self):", "            return 0", "", "",
+        "def outer(x=[1, 2], *, y):", "    def hidden():", "        pass", "    return hidden()",
+    ]
+    return _files(spark.read.parquet(f"{sf_dir}/region.parquet"), "shapes/shape_{r_regionkey}.py", body)
+
+
 #: What the graph of these files is, in SQL over the tables: files, nodes, raw edges and edges with calls resolved.
 GRAPH_SQL = r"""
 WITH nodes AS (

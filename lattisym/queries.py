@@ -13,7 +13,7 @@ from .operators import edits, extract, lookup, reach, relations, search
 from .operators.reach import shared_folder
 from .operators.resolve import resolve_calls
 from .plans import bench, store
-from .plans.corpus import GO_SQL, GRAPH_SQL, TYPESCRIPT_SQL, go_files, source_files, typescript_files
+from .plans.corpus import GO_SQL, GRAPH_SQL, TYPESCRIPT_SQL, go_files, shape_files, source_files, typescript_files
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -170,6 +170,38 @@ def extract_imports_typescript(g, spark, d):
     return _import_rows(other_graph(spark, d, "typescript"))
 
 
+_SHAPES = "WITH r AS (SELECT 'shapes/shape_' || r_regionkey || '.py' AS f, CAST(r_regionkey AS VARCHAR) AS k FROM region) "
+
+
+@query(
+    _SHAPES
+    + """SELECT f AS file_path, v.* REPLACE (replace(v.name, '#', k) AS name, replace(v.qn, '#', k) AS qn, replace(v.signature, '#', k) AS signature, replace(v.parent_name, '#', k) AS parent_name, replace(v.decorators, '#', k) AS decorators) FROM r, (VALUES
+('variable', 'LIMIT', 'LIMIT', 6, 6, 'LIMIT: int', NULL, NULL, '', ''), ('variable', 'LEFT', 'LEFT', 7, 7, 'LEFT = ...', NULL, NULL, '', ''), ('variable', 'RIGHT', 'RIGHT', 7, 7, 'RIGHT = ...', NULL, NULL, '', ''),
+('class', 'Outer_#', 'Outer_#', 11, 22, '@decorate(#)' || chr(10) || 'class Outer_#(Base, meta.Kind)', repeat('x', 200) || '...', NULL, 'decorate(#)', ''),
+('class', 'Inner', 'Outer_#.Inner', 16, 22, 'class Inner', NULL, 'Outer_#', '', 'run|size'),
+('method', 'run', 'Outer_#/Inner.run', 17, 18, 'async def run(b: int = 1, *args: str, c, d = ''x'', **kw) -> list[int]', NULL, 'Outer_#/Inner', '', ''),
+('method', 'size', 'Outer_#/Inner.size', 21, 22, 'def size(self)', NULL, 'Outer_#/Inner', 'property', ''),
+('function', 'outer', 'outer', 25, 28, 'def outer(x = [1, 2], y)', NULL, NULL, '', '')) v(kind, name, qn, line_start, line_end, signature, docstring, parent_name, decorators, children)""",
+    over_graph=False,
+)
+def extract_shapes(g, spark, d):
+    """Every shape of symbol and parameter: annotated and chained assignments, bases, decorators, long docstrings, nested classes, async, positional-only and keyword-only parameters."""
+    nodes = _flat(extract.nodes_of(extract.parse_files(shape_files(spark, d))))
+    return nodes.withColumn("qn", F.substring_index("qualified_name", "::", -1)).drop("qualified_name")
+
+
+@query(
+    _SHAPES
+    + """SELECT v.kind, f || replace(v.source, '#', k) AS source_qualified, CASE WHEN starts_with(v.target, '::') THEN f ELSE '' END || replace(v.target, '#', k) AS raw_target, f AS file_path, v.line FROM r, (VALUES
+('IMPORTS', '', 'a.b', 2), ('IMPORTS', '', 'd', 2), ('IMPORTS', '', 'pkg', 4), ('CALLS', '::Outer_#/Inner.run', 'pkg.T', 18), ('CALLS', '::Outer_#/Inner.run', 'go', 18), ('CALLS', '::Outer_#/Inner.run', '::Outer_#/Inner.run', 18),
+('CALLS', '::Outer_#/Inner.run', 'e', 18), ('CALLS', '::outer', 'hidden', 28)) v(kind, source, target, line)""",
+    over_graph=False,
+)
+def extract_shape_edges(g, spark, d):
+    """Imports with aliases, calls by an imported alias, of an attribute, of a method of the same file, of a nested function."""
+    return extract.edges_of(extract.parse_files(shape_files(spark, d))).select("kind", "source_qualified", "raw_target", "file_path", "line")
+
+
 @query("SELECT CASE WHEN n_nationkey % 2 = 0 THEN 'go' ELSE 'typescript' END AS language, CAST(count(*) AS BIGINT) AS files FROM nation GROUP BY 1 UNION ALL SELECT 'python', count(*) FROM region", over_graph=False)
 def extract_dispatch(g, spark, d):
     """Files of three languages and of one that no backend reads, parsed together; the language of each."""
@@ -508,6 +540,32 @@ def dead_code(g, spark, d):
     return relations.dead_code(g.nodes, g.edges).select("qualified_name", "file_path", "line_start")
 
 
+_RULES = ("test_x", "__init__", "handle_x", "on_x", "setUp", "main", "constructor", "plain", "caller", "__odd", "cli", "register", "plain_too")
+
+
+def _rule_sql(column: str) -> str:
+    return "CASE p_partkey % 13 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(_RULES)) + f" END AS {column}"
+
+
+@query(
+    f"""WITH p AS (SELECT p_partkey AS k, {_rule_sql('name')}, CASE p_partkey % 5 WHEN 0 THEN 'lib/m.py' WHEN 1 THEN 'tests/m.py' WHEN 2 THEN 'lib/test_m.py' WHEN 3 THEN 'lib/conftest.py' ELSE 'src/m.py' END AS file_path,
+CASE p_partkey % 3 WHEN 0 THEN 'cached' WHEN 1 THEN 'app.route(1)' ELSE '' END AS decorator, p_partkey % 7 = 0 AS called, CASE p_partkey % 4 WHEN 0 THEN 'method' WHEN 1 THEN 'class' ELSE 'function' END AS kind FROM part)
+SELECT file_path || '::' || name || '_' || k AS qualified_name FROM p WHERE kind <> 'class' AND name IN ('plain', 'caller', '__odd', 'plain_too') AND file_path IN ('lib/m.py', 'src/m.py') AND decorator <> 'app.route(1)' AND NOT called""",
+    over_graph=False,
+)
+def dead_code_rules(g, spark, d):
+    """Each rule of the analysis over nodes made of part: names, prefixes, test files, decorators, kinds, calls."""
+    part = _table(spark, d, "part")
+    pick = lambda values, n: F.element_at(F.array(*map(F.lit, values)), (F.col("p_partkey") % n + 1).cast("int"))
+    name, home = pick(_RULES, 13), pick(("lib/m.py", "tests/m.py", "lib/test_m.py", "lib/conftest.py", "src/m.py"), 5)
+    nodes = part.select(
+        pick(("method", "class", "function", "function"), 4).alias("kind"), name.alias("name"), F.concat(home, F.lit("::"), name, F.lit("_"), "p_partkey").alias("qualified_name"), home.alias("file_path"),
+        F.col("p_partkey").cast("int").alias("line_start"), F.filter(F.array(pick(("cached", "app.route(1)", ""), 3)), lambda x: x != "").alias("decorators"), "p_partkey",
+    )
+    edges = nodes.where("p_partkey % 7 = 0").select(F.lit("CALLS").alias("kind"), F.col("qualified_name").alias("target_qualified"))
+    return relations.dead_code(nodes, edges).select("qualified_name")
+
+
 @query(_DEAD.format("AND file_path = 'supply/supplier_2.py'"))
 def dead_code_file(g, spark, d):
     return relations.dead_code(g.nodes, g.edges, "supply/supplier_2.py").select("qualified_name", "file_path", "line_start")
@@ -555,6 +613,11 @@ def overview_languages(g, spark, d):
     return relations.languages(g.nodes)
 
 
+@query("SELECT unnest(['go', 'python', 'typescript']) AS language", over_graph=False)
+def overview_languages_mixed(g, spark, d):
+    return relations.languages(graph(spark, d).nodes.unionByName(other_graph(spark, d, "go").nodes).unionByName(other_graph(spark, d, "typescript").nodes))
+
+
 @query("SELECT CAST(count(*) AS BIGINT) AS total_files, (SELECT CAST(count(*) AS BIGINT) FROM named) AS total_symbols, (SELECT CAST(count(*) AS BIGINT) FROM edges) AS total_edges, CAST(count_if(starts_with(file_path, 'tests/')) AS BIGINT) AS test_files, CAST(count_if(NOT starts_with(file_path, 'tests/')) AS BIGINT) AS source_files FROM files")
 def overview_totals(g, spark, d):
     return relations.overview_totals(g.nodes, g.edges)
