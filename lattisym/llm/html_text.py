@@ -1,13 +1,14 @@
 """Main text of web pages by site template removal.
 
 Every page is read once into its block elements, whatever will become of them. Subtrees are hashed bottom up from the hashes of their parts,
-whatever their size, the hashes are counted per host in Spark (once per page, combined before the shuffle, so a host with a third of all pages is no
-hot spot), and subtrees that recur on at least MIN_PAGES pages of their host are deleted, however many pages it has. Templates meet the
-pages' subtrees in an equi-join. This comes first. Of what is left goes what templates cannot find, because it differs from page to page or because the host
+whatever their size, the hashes are counted per host in Spark (once per distinct page, so copies of a page are one witness; counts are combined before the shuffle, so a host with a third of all
+pages is no hot spot), and subtrees that recur on at least MIN_PAGES distinct pages of their host are deleted, however many pages it has. A paragraph, heading or list item is
+deleted with the least box around it, by itself only if it is on over half of the distinct pages of the host. A page that would be left without text keeps what
+templates would take. Templates meet the pages' subtrees in an equi-join. This comes first. Of what is left goes what templates cannot find, because it differs from page to page or because the host
 has too few pages: elements that are never main text, boxes named so by a word of their class, id or role (but not an article or main, nor by the name of a category or tag), and, if a page
 marks its article (article, main, role=main), all outside; without one, boxes made of links. `rule_report` counts what each rule takes.
 
-In a marked article a list or box made of links is deleted like any other subtree, the rest only if it is on over half of the pages of
+In a marked article a list or box made of links is deleted like any other subtree, the rest only if it is on over half of the distinct pages of
 its host: some articles may share a passage.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by an empty line.
@@ -15,7 +16,7 @@ Character references are decoded, white space inside a block becomes one space,
 Reading takes time in proportion to the page, however broken its markup is: nothing is looked for twice, and the open elements are found by name.
 
 Defined cases: null or empty html, and html without text, give an empty text; a url without a host counts as one host; repeated rows come back
-each and count each; markup that never closes is closed by what follows it or by the end; a comment, script or style that never ends hides the rest; after
+each and count once; markup that never closes is closed by what follows it or by the end; a comment, script or style that never ends hides the rest; after
 a quotation mark that never ends, tags end at their first angle bracket; a tag that never ends is text.
 """
 
@@ -32,9 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import chunks, cut, stored, texts_of
 
-#: A subtree is a template if it is on at least so many pages of a host.
+#: A subtree is a template if it is on at least so many distinct pages of a host.
 MIN_PAGES = 5
-#: In a marked article, a subtree that isn't made of links is a template only if it is on more than this share of the host's pages too.
+#: In a marked article, a subtree that isn't made of links is a template only if it is on more than this share of the host's distinct pages too; so is a paragraph, heading or list item by itself.
 ARTICLE_SHARE = 0.5
 
 # Element names of HTML by their role.
@@ -45,6 +46,7 @@ BLOCK = frozenset(
 )
 DROPPED = frozenset("aside audio button canvas datalist dialog footer form head iframe map menu meter nav noscript object picture progress script search select style svg template textarea title video".split())
 PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre article main body html".split())
+ITEMS = frozenset("li dt dd".split())
 CLOSED_BY_SIBLING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 HOLDS = frozenset("article aside body div footer form header html li main nav ol section table td th ul".split())
 # Words of a class, id or role that mark what is not main text.
@@ -136,10 +138,11 @@ def tags(page: str):
 def blocks(page: str) -> list[tuple[str, list[int], list[int], int]]:
     """(text, hashes that make it a template if they recur, hashes that do only on a large share of the pages, what else takes it) of all blocks, in page order. Texts only of blocks that can be kept.
 
-    A larger subtree recurs only if its parts do, so they stand for it: a block has the hash of its own text and, in an article, that of the least box of links around it.
+    A larger subtree recurs only if its parts do, so they stand for it: a block has the hash of its own text and that of the least box around it (in an article, of the least box of links).
     """
-    done: list[list] = []  # text, hash, rule, whether in an article, share of link characters, hash of the box of links
+    done: list[list] = []  # text, hash, rule, whether in an article, share of link characters, hash of the box, whether it is a paragraph or item
     free: list[int] = []  # blocks in an article without a box of links
+    loose: list[int] = []  # paragraphs and items outside articles without a box
     stack: list[_Open] = []
     where: dict[str, list[int]] = {}  # places of open elements by name
     block_at: list[int] = [-1]
@@ -163,9 +166,12 @@ def blocks(page: str) -> list[tuple[str, list[int], list[int], int]]:
                 within = stack[block_at[-1]].name if len(block_at) > 1 else ""
                 own = subtree_hash(f"<{within}> {page[span[0] : span[1]]}")
                 rule = ELEMENT if dropped else (BOXED if boxed else NAMED) if named else KEPT
+                part = not within or within in PROSE or within in ITEMS
                 if roots:
                     free.append(len(done))
-                done.append([text if rule in (KEPT, BOXED) else "", own, rule, roots > 0, linked[0] / len(text), None])
+                elif part:
+                    loose.append(len(done))
+                done.append([text if rule in (KEPT, BOXED) else "", own, rule, roots > 0, linked[0] / len(text), None, part])
                 if stack:
                     x = stack[-1]
                     x.kids.append(own)
@@ -191,9 +197,13 @@ def blocks(page: str) -> list[tuple[str, list[int], list[int], int]]:
             if not x.kids:
                 continue
             mark = subtree_hash(f"<{x.name}> {' '.join(map(str, x.kids))}")
-            if x.name in BLOCK and x.name not in PROSE and x.name != "head" and not x.root and x.linked > 0.5 * x.size:
-                while free and free[-1] >= x.first:
-                    done[free.pop()][5] = mark
+            if x.name in BLOCK and x.name not in PROSE and x.name != "head" and not x.root:
+                if x.linked > 0.5 * x.size:
+                    while free and free[-1] >= x.first:
+                        done[free.pop()][5] = mark
+                if x.name not in ITEMS:
+                    while loose and loose[-1] >= x.first:
+                        done[loose.pop()][5] = mark
             if stack:
                 stack[-1].kids.append(mark)
                 stack[-1].size += x.size
@@ -265,19 +275,19 @@ def blocks(page: str) -> list[tuple[str, list[int], list[int], int]]:
     own_article = any(rule == KEPT and inside for _, _, rule, inside, *_ in done)
     boxed_article = not own_article and any(rule == BOXED for _, _, rule, *_ in done)
     out = []
-    for text, own, rule, inside, links, box in done:
+    for text, own, rule, inside, links, box, part in done:
         if rule == BOXED:
             rule = KEPT if boxed_article else NAMED
         elif rule == KEPT and (boxed_article or own_article and not inside):
             rule = OUTSIDE
         elif rule == KEPT and not own_article and links > 0.5:
             rule = LINKS
-        article = rule == KEPT and inside
-        out.append((text if rule == KEPT else "", ([] if box is None else [box]) if article else [own], [own] if article else [], rule))
+        shared = rule == KEPT and inside or not inside and part
+        out.append((text if rule == KEPT else "", ([] if box is None else [box]) if shared else [own], [own] if shared else [], rule))
     return out
 
 
-KEYS = ("page_id", "url", "host", "doc_id", "twin")
+KEYS = ("page_id", "url", "host", "doc_id", "twin", "same")
 
 
 def _parser(batches):
@@ -295,15 +305,15 @@ def host_of(url: str = "url"):
 
 
 def parsed(rows: DataFrame) -> DataFrame:
-    return rows.mapInArrow(_parser, "page_id long, url string, host string, doc_id long, twin long, blocks array<struct<text:string,marks:array<long>,inner:array<long>,rule:int>>")
+    return rows.mapInArrow(_parser, "page_id long, url string, host string, doc_id long, twin long, same long, blocks array<struct<text:string,marks:array<long>,inner:array<long>,rule:int>>")
 
 
 def templates(read: DataFrame, min_pages: int, share: float) -> DataFrame:
     """host, mark, inner: the templates of each host, with inner those that are deleted in articles too."""
-    marks = read.select("host", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: F.concat(b["marks"], b["inner"]))))).alias("mark"))
+    marks = read.select("host", "same", F.explode(F.array_distinct(F.flatten(F.transform("blocks", lambda b: F.concat(b["marks"], b["inner"]))))).alias("mark"))
     # both are cut off before they are joined, so that Spark can split a hot host
-    often = cut(marks.groupBy("host", "mark").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages))
-    size = cut(read.groupBy("host").agg(F.count("*").alias("pages")))
+    often = cut(marks.groupBy("host", "mark").agg(F.count_distinct("same").alias("n")).where(F.col("n") >= min_pages))
+    size = cut(read.groupBy("host").agg(F.count_distinct("same").alias("pages")))
     common = F.when(F.col("n") > F.lit(share) * F.col("pages"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
     return cut(often.join(size, "host").select("host", "mark", F.explode(common).alias("inner")))
 
@@ -312,7 +322,7 @@ def judged(pages: DataFrame, min_pages: int, share: float) -> tuple[DataFrame, D
     """The pages read once, and for each page (doc_id, twin) that holds templates: their hashes (often; common for those that count in articles) and whether one of its kept blocks is one (changes)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host_of())
     # two hashes name a row by all that it holds; rows that repeat have equal verdicts
-    rows = rows.withColumn("doc_id", F.xxhash64("page_id", "url", "html")).withColumn("twin", F.xxhash64("html", "url", "page_id", F.lit(1)))
+    rows = rows.withColumn("doc_id", F.xxhash64("page_id", "url", "html")).withColumn("twin", F.xxhash64("html", "url", "page_id", F.lit(1))).withColumn("same", F.xxhash64("html"))
     read = stored(parsed(rows))
     found = templates(read, min_pages, share)
     some = lambda name, keep: F.array_distinct(F.flatten(F.transform(F.filter("blocks", lambda b: (b["rule"] == KEPT) == F.lit(keep)), lambda b: b[name])))
@@ -323,9 +333,10 @@ def judged(pages: DataFrame, min_pages: int, share: float) -> tuple[DataFrame, D
 
 
 def _left(read: DataFrame, hits: DataFrame) -> DataFrame:
-    """Pages without the blocks that are templates."""
+    """Pages without the blocks that are templates; a page of which nothing would be kept stays as it is."""
     gone = lambda b: F.coalesce(F.arrays_overlap(b["marks"], F.col("often")) | F.arrays_overlap(b["inner"], F.col("common")), F.lit(False))
-    return read.join(hits.hint("merge"), ["doc_id", "twin"], "left").withColumn("blocks", F.filter("blocks", lambda b: ~gone(b)))
+    rest = F.filter("blocks", lambda b: ~gone(b))
+    return read.join(hits.hint("merge"), ["doc_id", "twin"], "left").withColumn("blocks", F.when(F.exists(rest, lambda b: b["rule"] == KEPT), rest).otherwise(F.col("blocks")))
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = ARTICLE_SHARE) -> DataFrame:

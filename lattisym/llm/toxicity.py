@@ -6,8 +6,8 @@ per-coordinate learning rates and an L1 penalty (McMahan et al., "Ad click predi
 differ from zero; only those are sent to the executors.
 
 Labels are learnt from at most `sample` labelled rows (a documented bound: 7,500 by default, a third of them toxic), the first
-of each label by a hash of doc_id among those whose crc32(doc_id) mod 4 is not 2, and from at most `most` features of each (8,192 by default,
-drawn by hash from the whole text), so what the driver gets is bounded in bytes. Every row of the input is scored on its whole text.
+of each label by a hash of doc_id among those whose crc32(doc_id) mod 4 is not 2. Each teaches with all features of its whole text. What the driver gets is
+bounded by `most` bytes of features as well (96 MB by default): with long texts fewer rows are taken, by the same order. Every row of the input is scored on its whole text.
 
 Defined cases: null and empty texts have the score of the bias alone; a null doc_id is scored and not held out;
 several labels of one doc_id count as their maximum; null labels are ignored; without labels every score is 0.
@@ -17,13 +17,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, mix, span_hash, text_bytes
+from .common import U64, chunks, cut, mix, span_hash, text_bytes
 
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 10.0, 0.5, 6
-SAMPLE, MOST = 7_500, 8_192
+#: Rows to learn from, and bytes of their features.
+SAMPLE, MOST = 7_500, 96 << 20
 #: 1 for every score from here on.
 THRESHOLD = 0.3
 
@@ -64,25 +66,15 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, int]:
     return np.concatenate(owner), (np.concatenate(found) >> U64(32)).astype(np.uint32), n
 
 
-def _featurise(most: int = MOST):
-    def featurise(batches):
-        for batch in batches:
-            for part in chunks(batch, "text"):
-                doc, feature, n = features(part.column("text"))
-                both = np.unique((doc.astype(np.uint64) << U64(32)) | feature)
-                at = np.searchsorted(both >> U64(32), np.arange(n + 1, dtype=np.uint64))
-                low = (both & U64(0xFFFFFFFF)).astype(np.uint32)
-                rows = []
-                for k in range(n):
-                    x = low[at[k] : at[k + 1]]
-                    if len(x) > most:
-                        # drawn by a hash that differs from text to text, so no feature is left out of all
-                        salt = mix(x.astype(np.uint64)).sum(dtype=np.uint64)
-                        x = np.sort(x[np.argpartition(mix(x.astype(np.uint64) + salt), most)[:most]])
-                    rows.append(x.tobytes())
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(rows, pa.binary())], names=["doc_id", "toxic", "features"])
-
-    return featurise
+def _featurise(batches):
+    for batch in batches:
+        for part in chunks(batch, "text"):
+            doc, feature, n = features(part.column("text"))
+            both = np.unique((doc.astype(np.uint64) << U64(32)) | feature)
+            at = np.searchsorted(both >> U64(32), np.arange(n + 1, dtype=np.uint64))
+            low = (both & U64(0xFFFFFFFF)).astype(np.uint32)
+            rows = [low[at[k] : at[k + 1]].tobytes() for k in range(n)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), pa.array(rows, pa.binary())], names=["doc_id", "toxic", "features"])
 
 
 class Model:
@@ -128,24 +120,42 @@ def fit(examples: list[tuple[int, bytes]]) -> Model:
     return Model(hashes[keep], w[keep], float(w[-1]))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = MOST) -> Model:
-    """Fit on at most `sample` labelled rows of docs(doc_id, text) that are not held out."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 4 <> 2")
-    # bounded: at most `sample` rows of two numbers, which makes the broadcast safe
-    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    share = {1: sample // 3, 0: sample - sample // 3}
+def _affordable(sizes: pa.Table, shares: dict[int, int], most: int) -> list[int]:
+    """The ids of sizes(doc_id, toxic, n) whose features have at most `most` bytes together; each label has its share of them. In the order of a hash, up to the first that is too much."""
+    out = []
+    for label, share in shares.items():
+        ids, size = (sizes.filter(pc.equal(pc.greater(sizes["toxic"], 0), label == 1))[c].to_numpy() for c in ("doc_id", "n"))
+        order = np.argsort(mix(ids.view(np.uint64)), kind="stable")
+        out += ids[order][np.cumsum(size[order]) <= most * share // max(1, sum(shares.values()))].tolist()
+    return out
+
+
+def training_rows(docs: DataFrame, known: DataFrame, shares: dict[int, int], most: int = MOST) -> pa.Table:
+    """doc_id, toxic, features of the rows to learn from: so many of each label, all features of each, `most` bytes at most."""
     chosen = None
-    for label, most in share.items():
-        part = known.where((F.col("toxic") > 0) == F.lit(label == 1)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    for label, rows in shares.items():
+        part = known.where((F.col("toxic") > 0) == F.lit(label == 1)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
         chosen = part if chosen is None else chosen.unionByName(part)
+    # bounded: at most so many rows of two numbers, which makes the broadcast safe
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
     # one row per chosen id, so what the driver gets is bounded even if ids repeat
-    got = rows.select("doc_id", "toxic", "text").mapInArrow(_featurise(most), "doc_id long, toxic int, features binary").groupBy("doc_id").agg(F.min(F.struct("features", "toxic")).alias("x"))
-    found = got.select("doc_id", "x.toxic", "x.features").toArrow().sort_by("doc_id")
-    model = fit([(int(t > 0), f) for t, f in zip(found.column("toxic").to_pylist(), found.column("features").to_pylist(), strict=True)])
+    got = rows.select("doc_id", "toxic", "text").mapInArrow(_featurise, "doc_id long, toxic int, features binary").groupBy("doc_id").agg(F.min(F.struct("features", "toxic")).alias("x"))
+    got = cut(got.select("doc_id", "x.toxic", "x.features"))
+    sizes = got.select("doc_id", "toxic", F.octet_length("features").cast("long").alias("n")).toArrow()
+    ids = _affordable(sizes, shares, most)
+    return (got if len(ids) == sizes.num_rows else got.where(F.col("doc_id").isin(ids))).toArrow().sort_by("doc_id")
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = MOST) -> Model:
+    """Fit on at most `sample` labelled rows of docs(doc_id, text) that are not held out, with at most `most` bytes of features."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null and crc32(cast(doc_id as string)) % 4 <> 2")
+    known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    found = training_rows(docs, known, {1: sample // 3, 0: sample - sample // 3}, most)
+    label = np.array(found.column("toxic").to_pylist(), int) > 0
+    model = fit([(int(t), f) for t, f in zip(label, found.column("features").to_pylist(), strict=True)])
     total = known.agg(F.count_if(F.col("toxic") > 0).alias("toxic"), F.count_if(F.col("toxic") <= 0).alias("clean")).first()
     # the rarer class is sampled more densely; this puts the odds of all labelled rows back
-    model.bias += np.log(max(1, total.toxic) / max(1, min(total.toxic, share[1]))) - np.log(max(1, total.clean) / max(1, min(total.clean, share[0])))
+    model.bias += np.log(max(1, total.toxic) / max(1, label.sum())) - np.log(max(1, total.clean) / max(1, (~label).sum()))
     return model
 
 

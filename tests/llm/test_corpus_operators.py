@@ -673,10 +673,29 @@ def test_html_templates_of_large_hosts(spark):
     rows = [(k, f"http://site.org/{k}", f"<div><p>Text number {k}</p></div>" + ("<ul><li>Section menu</ul>" if k < 6 else "")) for k in range(1200)]
     rows += [rows[0], (7, "http://other.org/", "<p>Text number 7</p><ul><li>Section menu</ul>"), (None, "http://site.org/x", None), (None, "http://site.org/x", "<ul><li>Section menu</ul>")]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
-    want = [(k, f"Text number {k}") for k in [*range(1200), 0]] + [(7, "Text number 7\n\nSection menu"), (-1, ""), (-1, "")]
+    want = [(k, f"Text number {k}") for k in [*range(1200), 0]] + [(7, "Text number 7\n\nSection menu"), (-1, ""), (-1, "Section menu")]  # all that the last one has
     assert sorted((-1 if x.page_id is None else x.page_id, x.text) for x in got) == sorted(want)
 
 
+def test_html_copies_of_a_page_are_one_witness(spark):
+    """Equal pages and repeated rows keep their text, with and without a marked article; so do near copies of a page that has nothing else."""
+    article = "<h1>Title</h1><p>First part</p><div><p>Second part</p></div>"
+    text = "Title\n\nFirst part\n\nSecond part"
+    rows = []
+    for host, n in (("five", 5), ("fifty", 50)):
+        for kind, body in (("plain", article), ("marked", f"<article>{article}</article>")):
+            rows += [(len(rows), f"http://{host}.{kind}.org/{k}", f"<nav>Menu</nav>{body}") for k in range(n)]
+            rows += [(len(rows) + 1000, f"http://rows.{host}.{kind}.org/", body)] * n
+    near = [(5000 + k, f"http://near.org/{k}", f"<nav>Menu {k}</nav><div>{article}</div><footer>{k}</footer>") for k in range(9)]
+    few = [(6000 + k, f"http://few.org/{k}", f"<p>Text {k}</p>" + ("<h2>Summary</h2><ul><li>One<li>More</ul>" if k < 5 else "") + ("<p>All of them</p>")) for k in range(100)]
+    got = html_text.extract(spark.createDataFrame(rows + near + few, "page_id long, url string, html string")).collect()
+    assert len(got) == len(rows) + 109
+    for x in got:
+        k = x.page_id - 6000
+        want = text if k < 0 else f"Text {k}" + ("\n\nSummary" if k < 5 else "")
+        assert x.text == want, x.page_id
+
+
 def test_html_templates_of_any_size(spark):
     """Bare text of a container of many blocks, a very long block and a long box of links in an article recur like others."""
     rows = []
@@ -831,7 +850,7 @@ def test_ftrl_against_a_plain_version():
 
 
 def test_toxicity_ties_and_long_texts(spark):
-    """Rows that repeat have equal scores; a very long text teaches a bounded number of features and is scored as a whole."""
+    """Rows that repeat have equal scores; a very long text teaches and is scored as a whole."""
     rng = random.Random(9)
     long = " ".join(f"x{rng.randrange(10**6)}" for _ in range(60_000))
     texts = [f"calm words {k % 7}" + (" vile" if k % 3 == 0 else "") for k in range(300)] + [long + " vile", long]
@@ -841,9 +860,28 @@ def test_toxicity_ties_and_long_texts(spark):
     assert len({x.score for x in rows if x.doc_id == 0}) == 1 and sum(x.doc_id == 0 for x in rows) == 3
     by = {x.doc_id: x.score for x in rows}
     assert by[300] > by[301] and by[0] >= 0.3 > by[1]
-    (got,) = toxicity._featurise(100)(iter([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([1]), pa.array([long])], names=["doc_id", "toxic", "text"])]))
-    drawn = np.frombuffer(got.column("features")[0].as_py(), np.uint32)
-    assert len(drawn) == 100 and set(drawn.tolist()) <= set(toxicity.features(pa.array([long]))[1].tolist())
+    assert toxicity.train(df, labels, most=0).hashes.size == 0
+
+
+def test_toxicity_learns_whole_rows_within_bytes(spark):
+    """Every feature of a row teaches; a bound on their bytes takes fewer rows, not parts of texts."""
+    rng = random.Random(3)
+    texts = [" ".join(f"x{rng.randrange(10**6)}" for _ in range(9_000 if k < 3 else 20)) for k in range(40)]
+    df = frame(spark, [*texts, *texts], [*range(40), *range(40)])
+    known = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    sizes = {k: 4 * len(set(toxicity.features(pa.array([t]))[1].tolist())) for k, t in enumerate(texts)}
+
+    def taken(most):
+        got = toxicity.training_rows(df, known, {1: 10, 0: 20}, most)
+        for k, x in zip(got.column("doc_id").to_pylist(), got.column("features").to_pylist(), strict=True):
+            assert len(x) == sizes[k]
+        return {k: sizes[k] for k in got.column("doc_id").to_pylist()}, [sum(x % 2 == label for x in got.column("doc_id").to_pylist()) for label in (1, 0)]
+
+    rows, each = taken(1 << 30)
+    assert each == [10, 20] and max(rows.values()) > 4 * 8192
+    some, _ = taken(30_000)
+    assert 0 < len(some) < 30 and sum(some.values()) <= 30_000 and set(some) <= set(rows)
+    assert taken(0)[0] == {}
 
 
 def test_empty_tables(spark):
