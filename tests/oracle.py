@@ -19,7 +19,8 @@ def connect() -> duckdb.DuckDBPyConnection:
 def _plain(value):
     if value is None or (not isinstance(value, (list, dict)) and pd.isna(value) is True):
         return None
-    return value.item() if hasattr(value, "item") else value
+    value = value.item() if hasattr(value, "item") else value
+    return int(value) if isinstance(value, float) and value.is_integer() else value  # integers with nulls
 
 
 def same_rows(spark, con, query, sql: str) -> None:
