@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, html_text, near_dedup, packing, pii, resample, substring, toxicity, warc
+from . import decontaminate, fingerprint, html_text, near_dedup, packing, pii, prefix_trie, resample, substring, toxicity, warc
 from .common import table
 
 
@@ -59,6 +59,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_near_duplicates": op1_near_duplicates,
     "op2_substring_dedup": op2_substring_dedup,
@@ -70,6 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_resample": op8_resample,
     "op9_html_text": op9_html_text,
     "op10_toxicity": op10_toxicity,
+    "op11_prefix_trie": op11_prefix_trie,
 }
 
 ORACLE: dict[str, str] = {
@@ -99,5 +104,18 @@ SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS B
 WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), q AS (SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest FROM p),
 l AS (SELECT payload_digest, max(page_id) AS last FROM q WHERE payload_bytes >= 1000 GROUP BY 1)
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < last THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < last THEN last END AS refers_to FROM q LEFT JOIN l USING (payload_digest)
+""",
+    # CRC-32 bit by bit; a node is the chain of its turns' SHA-256; the subtree of a node is what begins with its chain
+    "op11_prefix_trie": """
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: [CAST(ord(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))), lambda a, x: xor(xor(a, x) >> 1, 3988292384 * (xor(a, x) & 1))), 4294967295) % 6 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+k AS (SELECT c.conv_id, c.h, count(t.pos) AS k FROM c LEFT JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND t.pos <= c.h GROUP BY ALL),
+r AS (SELECT c.conv_id, t.pos AS d, role, text FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 100 AND t.pos <= c.h UNION ALL SELECT k.conv_id, t.pos - h + k, role, text FROM k JOIN t ON t.conv_id = k.conv_id AND t.pos > h),
+m AS (SELECT conv_id, d, string_agg(sha256(length(role) || ':' || role || text), '' ORDER BY d) OVER (PARTITION BY conv_id ORDER BY d) AS p, length(text) AS n_chars FROM r UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+z AS (SELECT conv_id, max(d) AS d FROM m GROUP BY 1),
+n AS (SELECT m.d, m.p, min(m.conv_id) AS conv_id, count(*) AS n, max(n_chars) AS n_chars, count(z.d) = count(*) AS leaf, string_agg(CAST(z.conv_id AS VARCHAR), ',' ORDER BY z.conv_id) AS ids FROM m LEFT JOIN z ON z.conv_id = m.conv_id AND z.d = m.d GROUP BY 1, 2),
+s AS (SELECT a.p, count_if(b.leaf) AS n_leaves, sum((b.n - 1) * b.n_chars) AS saved, count_if(b.d = a.d + 1) AS kids FROM n a JOIN n b ON starts_with(b.p, a.p) GROUP BY 1)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, q.conv_id AS parent_conv_id, CAST(n.n AS BIGINT) AS n_convs, CAST(kids AS BIGINT) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(n.ids, '')) AS ends_sha256
+FROM n JOIN s USING (p) LEFT JOIN n q ON n.d > 0 AND q.p = left(n.p, length(n.p) - 64)
 """,
 }
