@@ -238,6 +238,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def affordable(ids: np.ndarray, sizes: np.ndarray, most: int) -> list[int]:
+    """The ids that come first by a hash, up to the first with which the sizes exceed `most` together."""
+    order = np.argsort(mix(ids.astype(np.int64).view(np.uint64)), kind="stable")
+    return ids[order][np.cumsum(sizes[order]) <= most].tolist()
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cut lineage with a compressed table in the shared folder: for large intermediate results, which a checkpoint would write uncompressed."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"

@@ -28,8 +28,8 @@ SHINGLE, SCALE = 12, 16
 DIGITS = 5
 ALPHABET = np.frombuffer(b"-0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz", np.uint8)
 _SHIFTS = np.arange(6 * (DIGITS - 1), -1, -6, dtype=np.uint64)
-#: Rows of a run of neighbours that one task reads.
-BUCKET_ROWS = 20_000
+#: Rows of a run of neighbours that one task reads; of a small table fewer, so that there are up to so many runs.
+BUCKET_ROWS, RUNS = 20_000, 64
 
 
 def sketches(column: pa.Array) -> list[tuple[int, int, np.ndarray]]:
@@ -95,35 +95,42 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(_sketcher, "doc_id long, fingerprint string")
 
 
-def neighbours(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def neighbours(docs: DataFrame, bucket_rows: int = BUCKET_ROWS, runs: int = RUNS) -> DataFrame:
     """docs(doc_id, text) dealt so that each bucket is a run of consecutive doc_ids, in order, closed by a copy of the next bucket's first row.
 
-    Buckets hold about bucket_rows rows, cut at quantiles of doc_id; only their edges (a few numbers per bucket) reach the driver.
+    Buckets hold about bucket_rows rows, cut at quantiles of doc_id; their number follows from the rows alone, and only their edges (a few numbers per bucket) reach the driver.
     Rows of equal doc_id are in the order of a hash of their texts, then of the texts; a null doc_id comes last. So one doc_id (or null) on very many
-    rows is divided too, by ranges of that hash.
+    rows is divided too, by ranges of that hash: such ids are a small table that rows are joined with, however many they are.
     """
     spark = docs.sparkSession
     big = F.lit((1 << 63) - 1)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.coalesce("doc_id", big))
-    rows = rows.withColumn("hash", F.xxhash64("text"))
+    # 2,048 neighbouring ids are one step: its number is exact as a double
+    rows = rows.withColumn("hash", F.xxhash64("text")).withColumn("step", F.shiftright("key", 11))
     slim = docs.select(F.coalesce(F.col("doc_id").cast("long"), big).alias("key"))
     total = slim.count()
-    n = max(2, 2 * partitions(spark), -(-total // bucket_rows))
+    n = max(2, min(total // 1000, runs), -(-total // bucket_rows))
     # keys on more rows than a bucket should have: fewer than there are buckets
-    hot = {x.key: x.n for x in slim.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > max(1, 2 * total // n)).collect()}
-    cuts = set(docs.select(F.col("doc_id").cast("double").alias("d")).where("d is not null").approxQuantile("d", [k / n for k in range(1, n)], 1 / (4 * n)))
-    cuts = sorted(cuts | {float(k) for k in hot} | {math.nextafter(float(k), math.inf) for k in hot}) or [0.0]
+    hot = sorted((x.key, x.n) for x in slim.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > max(1, 2 * total // n)).collect())
+    cuts = set(slim.select(F.shiftright("key", 11).cast("double").alias("d")).approxQuantile("d", [k / n for k in range(1, n)], 1 / (4 * n)))
+    steps: dict[int, list[tuple[int, int]]] = {}
+    for k, m in hot:
+        steps.setdefault(k >> 11, []).append((k, min(20, max(0, (m * n // max(1, total)).bit_length()))))
+    cuts = sorted(cuts | {float(x + i) for x in steps for i in (0, 1)}) or [0.0]
     # a binary search per row, however many buckets there are
-    search = Bucketizer(splits=[-math.inf, *(cuts if len(cuts) > 1 else [cuts[0], cuts[0] + 1]), math.inf], inputCol="__key", outputCol="__bucket")
-    rows = search.transform(rows.withColumn("__key", F.col("key").cast("double")))
-    # within its bucket: 0 before a hot key, 1 to 2**bits for the ranges of its hash, then what comes after it
-    part = F.lit(0)
-    for k, m in hot.items():
-        bits = min(20, max(0, (m * n // max(1, total)).bit_length()))
-        top = F.shiftrightunsigned(F.col("hash").bitwiseXOR(F.lit(-1 << 63)), 64 - bits).cast("int") if bits else F.lit(0)
-        mine = F.col("__key") == F.lit(float(k))
-        part = F.when(mine & (F.col("key") == F.lit(k)), 1 + top).when(mine & (F.col("key") > F.lit(k)), F.lit((1 << 20) + 1)).otherwise(part)
-    rows = rows.withColumn("place", F.col("__bucket").cast("long") * (1 << 21) + part).drop("__key", "__bucket")
+    search = Bucketizer(splits=[-math.inf, *(cuts if len(cuts) > 1 else [cuts[0], cuts[0] + 1]), math.inf], inputCol="__step", outputCol="__bucket")
+    rows = search.transform(rows.withColumn("__step", F.col("step").cast("double")))
+    part = F.lit(0).cast("long")
+    if steps:
+        # in a step with hot keys: how many of them are less, whether it is one of them, and if so the range of the hash
+        divided = spark.createDataFrame([(x, [k for k, _ in v], [b for _, b in v]) for x, v in steps.items()], "step long, hots array<long>, bits array<int>")
+        rows = rows.join(F.broadcast(divided), "step", "left")
+        less, at = F.size(F.filter("hots", lambda h: h < F.col("key"))), F.array_position("hots", F.col("key"))
+        top = F.expr("shiftrightunsigned(hash ^ shiftleft(-1L, 63), 64 - element_at(bits, cast(array_position(hots, key) as int)))")
+        width = F.element_at("bits", at.cast("int"))
+        inside = F.when(at > 0, (2 * less + 1).cast("long") * (1 << 20) + F.when(width > 0, top).otherwise(F.lit(0))).otherwise((2 * less).cast("long") * (1 << 20))
+        part = F.when(F.col("hots").isNotNull(), inside).otherwise(part)
+    rows = rows.withColumn("place", F.col("__bucket").cast("long") * (1 << 33) + part).select("doc_id", "text", "key", "hash", "place")
     heads = rows.groupBy("place").agg(F.min(F.struct("key", "hash")).alias("first")).collect()
     heads = sorted((x.place, x.first.key, x.first.hash) for x in heads)
     if not heads:

@@ -9,9 +9,9 @@ its digits pass the check sum or a word that a skip edge ties to it is an observ
 
 Potentials are fitted piecewise (Sutton and McCallum, 2005) on at most `sample` documents (8,000 by default, the first by a hash of
 doc_id). What the patterns find there would teach nothing that they miss, so matches are hidden: some are rewritten in forms that no pattern takes
-(`disguise`: other separators, no plus sign, no top-level domain), in their place or as a later mention, and keep their labels. Node potentials come from softmax regression over word shapes and
-contexts of at most `nodes` words of each document (200 by default, drawn by hash from the whole document), edge potentials are smoothed
-log ratios of all label pairs of the document. All documents are labelled, on their whole texts.
+(`disguise`: other separators, no plus sign, no top-level domain), in their place or as a later mention, and keep their labels. Node potentials come from softmax regression over shapes and
+contexts of all words of these documents, edge potentials are smoothed log ratios of all their label pairs. What the driver gets is bounded by `most` bytes as well (64 MB by default): with long documents
+fewer are taken. All documents are labelled, on their whole texts.
 
 Spans are counted in code points, the end exclusive. Defined cases: null and empty texts have no spans; rows that repeat come back each.
 """
@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, text_bytes, word_spans
+from .common import affordable, chunks, cut, text_bytes, word_spans
 
 KINDS = ("email", "ip", "card", "phone")
 # The patterns that the contract of the query names.
@@ -43,13 +43,13 @@ _EMAIL, _LOCAL = re.compile(EMAIL), re.compile(r"[A-Za-z0-9._%+-]")
 _IP, _CARD, _PHONE = re.compile(r"(?<![0-9])" + IP), re.compile(CARD), re.compile(PHONE)
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 
-CERTAIN, SAMPLE, NODES, FEATURES = 0.9, 8_000, 200, 4096
+CERTAIN, FEATURES = 0.9, 4096
+#: Documents to learn from, and bytes of what they teach.
+SAMPLE, MOST = 8_000, 64 << 20
 #: Messages have settled once none changes by more than this. Where they circle, they're slowed down after they had time to cross the document.
 SETTLED = 1e-4
 #: Pairs of equal labels that the skip potential is fitted with besides those seen.
 PRIOR = 20
-#: Matches of a training document that are hidden, at most.
-HIDDEN = 4
 LABELS = len(KINDS) + 1  # 0: none of them
 
 
@@ -156,14 +156,6 @@ def observed(words: list[tuple[int, int]], spans: list[tuple[int, int, int]]) ->
     return labels
 
 
-def drawn(text: str, words: list[tuple[int, int]], nodes: int) -> list[int]:
-    """At most so many word numbers, by a hash of place and text."""
-    if len(words) <= nodes:
-        return list(range(len(words)))
-    place = [hashlib.blake2b(f"{s} {text[s:e]}".encode("utf-8", "replace"), digest_size=8).digest() for s, e in words]
-    return sorted(sorted(range(len(words)), key=place.__getitem__)[:nodes])
-
-
 def disguise(kind: int, match: str, rng: random.Random) -> str:
     """A match rewritten so that no pattern takes it, as people write such things."""
     digits = _NOT_DIGIT.sub("", match)
@@ -178,12 +170,12 @@ def disguise(kind: int, match: str, rng: random.Random) -> str:
     return rng.choice((digits, local, f"{local[:3]}.{local[3:6]}.{local[6:]}", f"{local[:3]}/{local[3:]}", match.lstrip("+")))
 
 
-def hide(text: str, seed: str = "", most: int = HIDDEN) -> tuple[str, list[tuple[int, int, int]]]:
-    """The text with up to `most` of its matches hidden, in place or by a further mention behind them, and where they are now: (kind, start, end)."""
+def hide(text: str, seed: str = "") -> tuple[str, list[tuple[int, int, int]]]:
+    """The text with its matches hidden, in place or by a further mention behind them, and where they are now: (kind, start, end)."""
     rng = random.Random(f"{seed} {len(text)} {text[:64]} {text[-64:]}")
     spans = base_spans(text)
     changes: list[tuple[int, int, str, int]] = []  # start, end, new text, kind
-    for kind, s, e in rng.sample(spans, min(most, len(spans))):
+    for kind, s, e in rng.sample(spans, len(spans)):
         new = disguise(kind, text[s:e], rng)
         if rng.random() < 0.5:
             changes.append((s, e, new, kind))
@@ -203,26 +195,22 @@ def hide(text: str, seed: str = "", most: int = HIDDEN) -> tuple[str, list[tuple
     return "".join([*out, text[free:]]), marks
 
 
-def example(text: str, nodes: int = NODES) -> bytes | None:
-    """What a document teaches, of bounded size: features and labels of the words drawn from it; how often each pair of labels is at the ends of a chain and a skip edge. Some of its matches are hidden first."""
+def example(text: str) -> bytes | None:
+    """What a document teaches: features and labels of its words; how often each pair of labels is at the ends of a chain and a skip edge. Its matches are hidden first."""
     text, marks = hide(text)
     words = suspicious_words(pa.array([text]))[0]
     if not words:
         return None
     labels = observed(words, base_spans(text) + marks)
     pairs = [list(Counter((labels[a], labels[b]) for a, b in x).items()) for x in edges_of(text, words)]
-    chosen = drawn(text, words, nodes)
-    return pickle.dumps(([word_features(text, *words[k]) for k in chosen], [labels[k] for k in chosen], *pairs))
-
+    return pickle.dumps((np.array([word_features(text, *w) for w in words], np.int16), np.array(labels, np.int8), *pairs))
 
-def _teacher(nodes: int):
-    def teach(batches):
-        for batch in batches:
-            for part in chunks(batch, "text"):
-                rows = [example(text, nodes) if words else None for text, words in zip(part.column("text").to_pylist(), suspicious_words(part.column("text")), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, pa.binary())], names=["doc_id", "example"])
 
-    return teach
+def _teacher(batches):
+    for batch in batches:
+        for part in chunks(batch, "text"):
+            rows = [example(text) if words else None for text, words in zip(part.column("text").to_pylist(), suspicious_words(part.column("text")), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(rows, pa.binary())], names=["doc_id", "example"])
 
 
 def fit(examples: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -231,8 +219,8 @@ def fit(examples: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     features, labels, counts = [], [], [np.ones((LABELS, LABELS)), 1 + PRIOR * np.eye(LABELS)]
     for x in examples:
         f, y, *pairs = pickle.loads(x)
-        features += f
-        labels += y
+        features.append(f)
+        labels.append(y)
         for c, found in zip(counts, pairs, strict=True):
             for (a, b), n in found:
                 c[a, b] += n
@@ -243,7 +231,7 @@ def fit(examples: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         potentials.append(np.clip(np.log(p / np.outer(p.sum(1), p.sum(0))), -3, 3))
     w = np.zeros((FEATURES, LABELS))
     if features:
-        x, y = np.array(features), np.array(labels)
+        x, y = np.concatenate(features), np.concatenate(labels)
         grads = np.full_like(w, 1e-8)
         rng = np.random.default_rng(0)
         for _ in range(8):
@@ -351,18 +339,20 @@ def _labeller(model):
     return label
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, nodes: int = NODES):
+def train(docs: DataFrame, sample: int = SAMPLE, most: int = MOST):
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     # bounded: at most `sample` ids, which makes the broadcast safe
     chosen = rows.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).distinct()
     # one row per chosen id, so what the driver gets is bounded even if ids repeat
-    got = rows.join(F.broadcast(chosen), "doc_id").mapInArrow(_teacher(nodes), "doc_id long, example binary").where("example is not null").groupBy("doc_id").agg(F.min("example").alias("example"))
-    return fit(got.toArrow().sort_by("doc_id").column("example").to_pylist())
+    got = cut(rows.join(F.broadcast(chosen), "doc_id").mapInArrow(_teacher, "doc_id long, example binary").where("example is not null").groupBy("doc_id").agg(F.min("example").alias("example")))
+    sizes = got.select("doc_id", F.octet_length("example").cast("long").alias("n")).toArrow()
+    ids = affordable(sizes["doc_id"].to_numpy(), sizes["n"].to_numpy(), most)
+    return fit((got if len(ids) == sizes.num_rows else got.where(F.col("doc_id").isin(ids))).toArrow().sort_by("doc_id").column("example").to_pylist())
 
 
-def detect(docs: DataFrame, sample: int = SAMPLE, nodes: int = NODES) -> DataFrame:
+def detect(docs: DataFrame, sample: int = SAMPLE, most: int = MOST) -> DataFrame:
     """Per row of docs(doc_id, text): doc_id, counts and digest of the base spans, all spans, n_added."""
-    model = train(docs, sample, nodes)
+    model = train(docs, sample, most)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return rows.mapInArrow(_labeller(model), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
 
@@ -377,9 +367,9 @@ def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
     return "".join([*out, text[free:]])
 
 
-def redact(docs: DataFrame, sample: int = SAMPLE, nodes: int = NODES) -> DataFrame:
+def redact(docs: DataFrame, sample: int = SAMPLE, most: int = MOST) -> DataFrame:
     """docs with all columns, the texts masked and n_chars (if there) counted anew. A null text stays null."""
-    model = train(docs, sample, nodes)
+    model = train(docs, sample, most)
     names = docs.columns
 
     def masked(batches):

@@ -69,7 +69,7 @@ def _summary(batches):
 
 
 def _anchors(only=None):
-    """Anchor hashes: (digest, hash) of all, or (doc_id, at, hash) of those that the broadcast filter lets through."""
+    """Anchor hashes: (digest, hash) of all, or (doc_id, digest, at, hash) of those that the broadcast filter lets through."""
 
     def emit(batches):
         on = np.zeros(PERIOD, bool)
@@ -82,11 +82,12 @@ def _anchors(only=None):
                 inner = np.arange(len(words)) - first[doc]
                 runs = sequence_hash(words, ANCHOR)
                 at = np.flatnonzero((on[inner % PERIOD] & (inner + ANCHOR <= counts[doc]) & (counts[doc] >= WINDOW))[: len(runs)])
+                digest = signed(_digests(words, counts))
                 if only is None:
-                    yield pa.RecordBatch.from_arrays([pa.array(signed(_digests(words, counts)[doc[at]])), pa.array(signed(runs[at]))], names=["digest", "hash"])
+                    yield pa.RecordBatch.from_arrays([pa.array(digest[doc[at]]), pa.array(signed(runs[at]))], names=["digest", "hash"])
                 else:
                     at = at[passes(runs[at], *only.value)]
-                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc[at])), pa.array(inner[at].astype(np.int32)), pa.array(signed(runs[at]))], names=["doc_id", "at", "hash"])
+                    yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(doc[at])), pa.array(digest[doc[at]]), pa.array(inner[at].astype(np.int32)), pa.array(signed(runs[at]))], names=["doc_id", "digest", "at", "hash"])
 
     return emit
 
@@ -158,9 +159,10 @@ def repeated_windows(docs: DataFrame, info: DataFrame) -> DataFrame:
     shared = stored(every.where("lo <> hi").select("hash"))
     # few anchors are shared: a filter of bounded size keeps the others from being shuffled again; the join decides
     only = spark.sparkContext.broadcast(key_filter(shared, "hash"))
-    spots = rows.mapInArrow(_anchors(only), "doc_id long, at int, hash long").join(shared, "hash", "left_semi")
-    spots = spots.groupBy("doc_id").agg(F.collect_list("at").alias("at"))
-    spots = cut(spots.join(info.where("first").select("doc_id", "digest").distinct(), "doc_id"))
+    spots = rows.mapInArrow(_anchors(only), "doc_id long, digest long, at int, hash long").join(shared, "hash", "left_semi")
+    # places in one text, however many rows have its doc_id or repeat it
+    spots = spots.groupBy("doc_id", "digest").agg(F.collect_set("at").alias("at"))
+    spots = cut(spots.join(info.where("first").select("doc_id", "digest").distinct(), ["doc_id", "digest"]))
     near = texts_of(rows, spots.select("doc_id").distinct()).mapInArrow(_digester, "doc_id long, text string, digest long").join(spots, ["doc_id", "digest"])
     windows = stored(near.select("doc_id", "digest", "text", "at").mapInArrow(_windows, "doc_id long, digest long, at int, hash long, twin long"))
     # cut off before the join, so that Spark can split a window that very many documents share
@@ -180,7 +182,7 @@ def remove_repeats(docs: DataFrame, output: str = "text") -> DataFrame:
     least = cut(info.where("doc_id is not null").groupBy("whole_sha256").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most").drop("most"))
     own = F.col("doc_id").isNotNull() & (F.col("least").isNull() | (F.col("doc_id") == F.col("least")))
     info = cut(info.join(least, "whole_sha256", "left").withColumn("first", own).drop("least"))
-    starts = repeated_windows(rows, info).groupBy("doc_id", "digest").agg(F.collect_list("at").alias("at"))
+    starts = repeated_windows(rows, info).groupBy("doc_id", "digest").agg(F.collect_set("at").alias("at"))
     copy = F.col("doc_id").isNotNull() & ~F.col("first") & (F.col("n_words") >= WINDOW)
     if output == "text":
         keyed = rows.mapInArrow(_digester, "doc_id long, text string, digest long")

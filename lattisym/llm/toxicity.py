@@ -10,7 +10,7 @@ of each label by a hash of doc_id among those whose crc32(doc_id) mod 4 is not 2
 bounded by `most` bytes of features as well (96 MB by default): with long texts fewer rows are taken, by the same order. Every row of the input is scored on its whole text.
 
 Defined cases: null and empty texts have the score of the bias alone; a null doc_id is scored and not held out;
-several labels of one doc_id count as their maximum; null labels are ignored; without labels every score is 0.
+several labels of one doc_id count as their maximum; null labels are ignored; without a toxic label to learn from every score is 0.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, chunks, cut, mix, span_hash, text_bytes
+from .common import U64, affordable, chunks, cut, mix, span_hash, text_bytes
 
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 10.0, 0.5, 6
 #: Rows to learn from, and bytes of their features.
@@ -86,7 +86,7 @@ class Model:
 
 def fit(examples: list[tuple[int, bytes]]) -> Model:
     """Train on (label, packed features) in the given order."""
-    if not examples:
+    if not any(label for label, _ in examples):
         return Model(np.zeros(0, np.uint32), np.zeros(0), -np.inf)
     rows = [np.frombuffer(x, dtype=np.uint32) for _, x in examples]
     every = np.concatenate(rows)
@@ -120,16 +120,6 @@ def fit(examples: list[tuple[int, bytes]]) -> Model:
     return Model(hashes[keep], w[keep], float(w[-1]))
 
 
-def _affordable(sizes: pa.Table, shares: dict[int, int], most: int) -> list[int]:
-    """The ids of sizes(doc_id, toxic, n) whose features have at most `most` bytes together; each label has its share of them. In the order of a hash, up to the first that is too much."""
-    out = []
-    for label, share in shares.items():
-        ids, size = (sizes.filter(pc.equal(pc.greater(sizes["toxic"], 0), label == 1))[c].to_numpy() for c in ("doc_id", "n"))
-        order = np.argsort(mix(ids.view(np.uint64)), kind="stable")
-        out += ids[order][np.cumsum(size[order]) <= most * share // max(1, sum(shares.values()))].tolist()
-    return out
-
-
 def training_rows(docs: DataFrame, known: DataFrame, shares: dict[int, int], most: int = MOST) -> pa.Table:
     """doc_id, toxic, features of the rows to learn from: so many of each label, all features of each, `most` bytes at most."""
     chosen = None
@@ -141,8 +131,10 @@ def training_rows(docs: DataFrame, known: DataFrame, shares: dict[int, int], mos
     # one row per chosen id, so what the driver gets is bounded even if ids repeat
     got = rows.select("doc_id", "toxic", "text").mapInArrow(_featurise, "doc_id long, toxic int, features binary").groupBy("doc_id").agg(F.min(F.struct("features", "toxic")).alias("x"))
     got = cut(got.select("doc_id", "x.toxic", "x.features"))
-    sizes = got.select("doc_id", "toxic", F.octet_length("features").cast("long").alias("n")).toArrow()
-    ids = _affordable(sizes, shares, most)
+    sizes, ids = got.select("doc_id", "toxic", F.octet_length("features").cast("long").alias("n")).toArrow(), []
+    for label, rows in shares.items():
+        own = sizes.filter(pc.equal(pc.greater(sizes["toxic"], 0), label == 1))
+        ids += affordable(own["doc_id"].to_numpy(), own["n"].to_numpy(), most * rows // max(1, sum(shares.values())))
     return (got if len(ids) == sizes.num_rows else got.where(F.col("doc_id").isin(ids))).toArrow().sort_by("doc_id")
 
 
