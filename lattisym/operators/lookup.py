@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from .search import may_hold
 
 #: The fixed order in which "the first candidate" is meant.
 ORDER = ("file_path", "line_start", "qualified_name")
@@ -88,10 +89,12 @@ def _ends_with(path: Column, parts: list[str], whole: bool) -> Column:
     return (F.size(have) >= len(parts)) & (F.slice(have, F.greatest(F.size(have) - len(parts) + 1, F.lit(1)), len(parts)) == F.array(*map(F.lit, parts)))
 
 
-def locate(nodes: DataFrame, path: str, kind: str | None = None, file_path: str | None = None, match: str = "exact") -> DataFrame:
-    """Where a symbol is defined. `Class/method` names a path, a leading slash anchors it at the top; a single name can match as a substring."""
+def locate(nodes: DataFrame, path: str, kind: str | None = None, file_path: str | None = None, match: str = "exact", index: DataFrame | None = None) -> DataFrame:
+    """Where a symbol is defined. `Class/method` names a path, a leading slash anchors it at the top; a single name can match as a substring. `index` are the stored runs of the nodes."""
     anchored, parts = path.startswith("/"), path.lstrip("/").split("/")
     if len(parts) == 1:
+        if match == "substring":
+            nodes = may_hold(nodes, [(parts[0].lower(), ("name",))], index)
         keep = F.lower("name").contains(parts[0].lower()) if match == "substring" else F.col("name") == parts[0]
         if anchored:
             keep = keep & F.col("parent_name").isNull()

@@ -53,20 +53,38 @@ def module_files(imports: DataFrame, files: DataFrame) -> DataFrame:
     return hit.select("module", F.col("m.file_path").alias("resolved"))
 
 
-def file_imports(files: DataFrame) -> DataFrame:
-    """(file_path, at, module, names, line, is_relative, resolved): every import with the project file it means, or null."""
+def import_rows(files: DataFrame) -> DataFrame:
+    """(file_path, at, module, names, line, is_relative, last): every import; last is the last part of its module, by which files can answer it."""
     rows = files.select("file_path", F.posexplode("imports").alias("at", "i")).select("file_path", "at", "i.*")
-    return rows.join(module_files(rows, files), "module", "left").select("file_path", "at", "module", "names", "line", "is_relative", "resolved")
+    return rows.withColumn("last", F.substring_index("module", ".", -1))
+
+
+def answers(files: DataFrame, keep_path: bool = False) -> DataFrame:
+    """(last) the last parts of the modules that files(file_path) can be meant by: the name of a .py file, the directory's of an __init__.py."""
+    base, above = F.regexp_replace(X.base_name(F.col("file_path")), "[.]py$", ""), F.element_at(F.split(F.concat(F.lit("/"), "file_path"), "/"), -2)
+    rows = files.where(F.col("file_path").endswith(".py")).select("file_path", F.explode(F.array(base, F.when(base == "__init__", above))).alias("last")).where("last is not null")
+    return rows if keep_path else rows.select("last").distinct()
+
+
+def resolve_imports(rows: DataFrame, files: DataFrame) -> DataFrame:
+    """import_rows with the project file that each means among files(file_path), or null."""
+    return rows.join(module_files(rows, files), "module", "left")
+
+
+def file_imports(files: DataFrame) -> DataFrame:
+    """(file_path, at, module, names, line, is_relative, last, resolved): every import with the project file it means, or null."""
+    return resolve_imports(import_rows(files), files).select("file_path", "at", "module", "names", "line", "is_relative", "last", "resolved")
 
 
-def imports_of(files: DataFrame, file_path: str, include_external: bool = False) -> DataFrame:
-    own = file_imports(files).where(F.col("file_path") == file_path)
+def imports_of(files: DataFrame, file_path: str, include_external: bool = False, stored: DataFrame | None = None) -> DataFrame:
+    """The imports of a file; `stored` are the resolved imports of a stored graph."""
+    own = (file_imports(files) if stored is None else stored).where(F.col("file_path") == file_path)
     return (own if include_external else own.where("resolved is not null")).withColumn("external", F.col("resolved").isNull()).orderBy("at")
 
 
-def imported_by(files: DataFrame) -> DataFrame:
+def imported_by(files: DataFrame, stored: DataFrame | None = None) -> DataFrame:
     """(resolved, file_path, module, names): for each file the other files that import it, by their first such import."""
-    rows = file_imports(files).where("resolved is not null and resolved <> file_path")
+    rows = (file_imports(files) if stored is None else stored).where("resolved is not null and resolved <> file_path")
     return rows.groupBy("resolved", "file_path").agg(F.min(F.struct("at", "module", "names")).alias("i")).select("resolved", "file_path", "i.module", "i.names")
 
 

@@ -1,4 +1,4 @@
-"""Ranked symbol search and full-text search over stemmed words."""
+"""Ranked symbol search, full-text search over stemmed words, and search for parts of names by stored runs of three characters."""
 
 from __future__ import annotations
 
@@ -7,15 +7,54 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.porter import stem
-from .reach import shared_folder
 
 WORDS = r"[\p{L}\p{N}]+"
 
 
-def search(nodes: DataFrame, query: str, limit: int | None = 20) -> DataFrame:
-    """Symbols by score: name equal 100, prefix 80, part of the name 60, part of the docstring 20; then file and line."""
+#: Fields that parts are looked for in, and the length of a run.
+PART_FIELDS, GRAM = ("name", "qualified_name", "docstring"), 3
+#: Files up to which what may match is a filter on the scan of the nodes.
+FEW = 1000
+
+
+def _runs(text):
+    """The distinct runs of GRAM characters of a column."""
+    n = F.length(text)
+    return F.when(n >= GRAM, F.array_distinct(F.transform(F.sequence(F.lit(1), n - GRAM + 1), lambda k: F.substring(text, k, F.lit(GRAM))))).otherwise(F.array().cast("array<string>"))
+
+
+def grams(nodes: DataFrame) -> DataFrame:
+    """The index for parts: (gram, field, file_path), each once for all nodes of a file. Stored with a graph, sorted by gram."""
+    fields = F.array(*(F.struct(F.lit(f).alias("field"), _runs(F.lower(F.coalesce(f, F.lit("")))).alias("grams")) for f in PART_FIELDS))
+    return nodes.select("file_path", F.explode(fields).alias("f")).select(F.explode("f.grams").alias("gram"), "f.field", "file_path").distinct()
+
+
+def _holding(index: DataFrame, part: str, fields: tuple[str, ...]) -> DataFrame | None:
+    """(file_path) of files that have every run of the part in one field; None for a part too short to have runs."""
+    wanted = sorted({part[k : k + GRAM] for k in range(len(part) - GRAM + 1)})
+    if not wanted:
+        return None
+    rows = index.where(F.col("gram").isin(wanted) & F.col("field").isin(*fields))
+    return rows.groupBy("file_path", "field").agg(F.count("*").alias("n")).where(F.col("n") == len(wanted)).select("file_path").distinct()
+
+
+def may_hold(nodes: DataFrame, parts: list[tuple[str, tuple[str, ...]]], index: DataFrame | None) -> DataFrame:
+    """The nodes of files that may have every (part, fields), by the stored runs; the caller verifies. All nodes without an index, or if no part has runs."""
+    found = None
+    for part, fields in parts:
+        files = None if index is None else _holding(index, part, fields)
+        if files is not None:
+            found = files if found is None else found.join(files, "file_path", "left_semi")
+    if found is None:
+        return nodes
+    some = [x.file_path for x in found.limit(FEW + 1).collect()]
+    return nodes.where(F.col("file_path").isin(some)) if len(some) <= FEW else nodes.join(found, "file_path", "left_semi")
+
+
+def search(nodes: DataFrame, query: str, limit: int | None = 20, index: DataFrame | None = None) -> DataFrame:
+    """Symbols by score: name equal 100, prefix 80, part of the name 60, part of the docstring 20; then file and line. `index` are the stored runs of the nodes."""
     q = query.lower()
-    name = F.lower("name")
+    nodes, name = may_hold(nodes, [(q, ("name", "docstring"))], index), F.lower("name")
     score = F.when(name == q, 100).when(name.startswith(q), 80).when(name.contains(q), 60).when(F.lower(F.coalesce("docstring", F.lit(""))).contains(q), 20).otherwise(0)
     out = nodes.withColumn("score", score).where("score > 0").select("score", "file_path", "name", "kind", F.col("line_start").alias("line"), "signature", "docstring", F.col("parent_name").alias("parent"))
     out = out.orderBy(F.desc("score"), "file_path", "line", "name")
@@ -83,19 +122,24 @@ def search_text(rows: DataFrame, query: str, fields: tuple[str, ...], stemmed: b
     return rows.where(keep)
 
 
-def search_like(nodes: DataFrame, query: str) -> DataFrame:
-    """Nodes in whose name or qualified name every word occurs as a part."""
-    keep = F.lit(bool(query.split()))
-    for w in query.lower().split():
+def search_like(nodes: DataFrame, query: str, index: DataFrame | None = None) -> DataFrame:
+    """Nodes in whose name or qualified name every word occurs as a part. `index` are the stored runs of the nodes."""
+    words = query.lower().split()
+    keep = F.lit(bool(words))
+    for w in words:
         keep = keep & (F.lower("name").contains(w) | F.lower("qualified_name").contains(w))
-    return nodes.where(keep)
+    return may_hold(nodes, [(w, ("name", "qualified_name")) for w in words], index).where(keep)
 
 
-def search_fts(nodes: DataFrame, query: str, limit: int = 20, index: DataFrame | None = None) -> DataFrame:
-    """Full-text search; without a hit, words as parts of names. In order of file and line. `index` are the stored postings of the nodes; they are made on the fly without."""
+def search_fts(nodes: DataFrame, query: str, limit: int = 20, index: DataFrame | None = None, parts: DataFrame | None = None) -> DataFrame:
+    """Full-text search; without a hit, words as parts of names. In order of file and line. `index` are the stored postings of the nodes, `parts` their runs; postings are made on the fly without."""
     order = ("file_path", "line_start", "qualified_name")
     hits = holders(postings(nodes) if index is None else index, query)
-    shared_folder(nodes.sparkSession)
-    # at most `limit` rows: searched once, looked at twice
-    found = None if hits is None else nodes.join(hits, "qualified_name", "left_semi").select(*nodes.columns).orderBy(*order).limit(limit).checkpoint()
-    return search_like(nodes, query).orderBy(*order).limit(limit) if found is None or found.isEmpty() else found.orderBy(*order)
+    if hits is None:
+        return search_like(nodes, query, parts).orderBy(*order).limit(limit)
+    found = nodes.join(hits, "qualified_name", "left_semi").select(*nodes.columns).orderBy(*order).limit(limit)
+    # at most `limit` names decide which of the two it is
+    names = [x.qualified_name for x in found.select("qualified_name").collect()]
+    if not names:
+        return search_like(nodes, query, parts).orderBy(*order).limit(limit)
+    return nodes.where(F.col("qualified_name").isin(names)).orderBy(*order)

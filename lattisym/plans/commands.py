@@ -49,7 +49,7 @@ class Project:
         return {"file": file, "symbols": [{k: v for k, v in x.items() if v} for x in rows], "imports": _rows(imports)}
 
     def locate(self, name: str, kind=None, file=None, match: str = "exact") -> list[dict]:
-        return _rows(lookup.locate(self.graph.nodes, name, kind, file, match).withColumnRenamed("file_path", "file"))
+        return _rows(lookup.locate(self.graph.nodes, name, kind, file, match, self.graph.grams).withColumnRenamed("file_path", "file"))
 
     def body(self, name: str, file: str | None = None) -> dict:
         rows = _rows(lookup.body(self.graph.nodes, self.graph.sources, name, file))
@@ -65,12 +65,12 @@ class Project:
 
     def imports(self, file: str, depth: int = 1, include_external: bool = False) -> dict:
         self._known(file)
-        own = [{"module": x.module, "file": x.resolved, "names": list(x.names)} | ({"external": True} if x.external else {}) for x in relations.imports_of(self.graph.files, file, include_external).collect()]
-        back = relations.imported_by(self.graph.files).where(F.col("resolved") == file).orderBy("file_path")
+        own = [{"module": x.module, "file": x.resolved, "names": list(x.names)} | ({"external": True} if x.external else {}) for x in relations.imports_of(self.graph.files, file, include_external, self.graph.imports).collect()]
+        back = relations.imported_by(self.graph.files, self.graph.imports).where(F.col("resolved") == file).orderBy("file_path")
         return {"file": file, "imports": own, "imported_by": [{"file": x.file_path, "module": x.module, "names": list(x.names)} for x in back.collect()]}
 
     def search(self, query: str, limit: int = 20) -> list[dict]:
-        return _rows(search.search(self.graph.nodes, query, limit).drop("score").withColumnRenamed("file_path", "file"))
+        return _rows(search.search(self.graph.nodes, query, limit, self.graph.grams).drop("score").withColumnRenamed("file_path", "file"))
 
     def overview(self) -> dict:
         n, e = self.graph.nodes, self.graph.edges
@@ -86,7 +86,7 @@ class Project:
         return _rows(rows.select("name", F.col("file_path").alias("file"), "indirect"))
 
     def blast_radius(self, name: str, depth: int = 3, file: str | None = None) -> dict:
-        first = self._first(name, file).persist()
+        first = self._first(name, file)
         seeds = first.select(F.col("qualified_name").alias("seed"))
         found = reach.impact_radius(self.graph.nodes, self.graph.edges, seeds, depth, pairs=self.graph.pairs).orderBy("depth", "qualified_name")
         rows = _rows(found.select(F.col("name").alias("symbol"), F.col("file_path").alias("file"), F.col("line_start").alias("line"), "depth", "kind"))
@@ -97,7 +97,7 @@ class Project:
         return _rows(rows.select(F.col("name").alias("symbol"), F.col("file_path").alias("file"), F.col("line_start").alias("line"), "kind", F.col("parent_name").alias("parent")))
 
     def test_coverage(self, name: str, depth: int = 2, file: str | None = None) -> dict:
-        first = self._first(name, file).persist()
+        first = self._first(name, file)
         tests = self._tests(first.select(F.col("qualified_name").alias("seed")), depth)
         return {"symbol": name, "file": first.first().file_path, "tests": tests, "total_tests": len(tests), "covered": bool(tests)}
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as X
-from .operators import edits, extract, lookup, reach, relations, search
+from .operators import definitions, edits, extract, lookup, reach, relations, search
 from .operators.reach import shared_folder
 from .operators.resolve import resolve_calls
 from .plans import bench, store
@@ -214,6 +214,21 @@ def extract_dispatch(g, spark, d):
     return parsed.groupBy(X.language(F.col("file_path")).alias("language")).agg(F.count("*").alias("files"))
 
 
+@query(
+    "SELECT 'geo/nation_' || n_nationkey || '.go' AS file_path, n_nationkey % 2 = 1 AS broken, CAST(1 AS INTEGER) AS symbols FROM nation UNION ALL SELECT 'web/nation_' || n_nationkey || '.ts', n_nationkey % 3 = 1, 1 FROM nation UNION ALL SELECT 'geo/region_' || r_regionkey || '.py', r_regionkey % 2 = 1, CASE WHEN r_regionkey % 2 = 1 THEN 0 ELSE 2 END FROM region",
+    over_graph=False,
+)
+def extract_errors(g, spark, d):
+    """Files whose last bracket is cut off (Go, TypeScript: what can be read is kept) or that don't parse (Python: nothing is), and whole ones."""
+    key = F.regexp_extract("file_path", "([0-9]+)[.]", 1).cast("int")
+    cut = lambda files, where: files.withColumn("source", F.when(where, F.regexp_replace("source", "[}]\\s*$", "")).otherwise(F.col("source")))
+    go = cut(go_files(spark, d).where(F.col("file_path").rlike("^geo/.*[0-9][.]go$")), key % 2 == 1)
+    ts = cut(typescript_files(spark, d).where(F.col("file_path").rlike("^web/nation_[0-9]+[.]ts$")), key % 3 == 1)
+    py = source_files(spark, d).where("startswith(file_path, 'geo/region')").withColumn("source", F.when(key % 2 == 1, F.concat("source", F.lit("def (\n"))).otherwise(F.col("source")))
+    parsed = extract.parse_files(go.unionByName(ts).unionByName(py))
+    return parsed.select("file_path", F.col("parse_error").isNotNull().alias("broken"), F.size("symbols").alias("symbols"))
+
+
 @query("SELECT kind, source_qualified, target_qualified, file_path, CAST(line AS INTEGER) AS line FROM edges")
 def resolve_bare_calls(g, spark, d):
     return resolve_calls(g.edges, g.nodes).select("kind", "source_qualified", "target_qualified", "file_path", "line")
@@ -326,7 +341,7 @@ def locate_exact(g, spark, d):
 
 @query(f"SELECT {NAMED} FROM named WHERE contains(lower(name), 'omer_12') AND kind = 'class'")
 def locate_substring(g, spark, d):
-    return lookup.locate(g.nodes, "OMER_12", kind="class", match="substring")
+    return lookup.locate(g.nodes, "OMER_12", kind="class", match="substring", index=g.grams)
 
 
 @query(f"SELECT {NAMED} FROM named WHERE name = 'locate' AND parent_name = 'Customer_7'")
@@ -376,7 +391,7 @@ _SCORE = "CASE WHEN lower(name) = '{0}' THEN 100 WHEN starts_with(lower(name), '
 
 @query("SELECT * FROM (SELECT CAST(" + _SCORE.format("nation_1") + f" AS INTEGER) AS score, {NAMED} FROM named) WHERE score > 0 ORDER BY score DESC, file_path, line, name LIMIT 20")
 def search_ranked(g, spark, d):
-    return search.search(g.nodes, "Nation_1")
+    return search.search(g.nodes, "Nation_1", index=g.grams)
 
 
 @query("SELECT doc_id FROM documents WHERE list_contains(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), 'the') AND list_contains(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+'), 'ing')", over_graph=False)
@@ -409,7 +424,7 @@ def search_fts(g, spark, d):
 
 @query("SELECT qualified_name FROM named WHERE contains(lower(qualified_name), 'cust') AND (contains(lower(name), 'loc') OR contains(lower(qualified_name), 'loc'))")
 def search_like(g, spark, d):
-    return search.search_like(g.nodes, "Cust LOC").select("qualified_name")
+    return search.search_like(g.nodes, "Cust LOC", g.grams).select("qualified_name")
 
 
 @query("SELECT 'name' AS field, CAST(count(*) AS BIGINT) AS n FROM named WHERE lower(name) LIKE 'nation\\_%' ESCAPE '\\'")
@@ -449,18 +464,24 @@ def usages_tests(g, spark, d):
 
 
 @query("SELECT file_path, module, resolved FROM imports WHERE resolved IS NOT NULL")
-def imports_forward(g, spark, d):
+def imports_resolved(g, spark, d):
+    """All imports, resolved anew from all paths, as a build does."""
     return relations.file_imports(g.files).where("resolved is not null").select("file_path", "module", "resolved")
 
 
+@query("SELECT file_path, module, resolved FROM imports WHERE resolved IS NOT NULL")
+def imports_forward(g, spark, d):
+    return g.imports.where("resolved is not null").select("file_path", "module", "resolved")
+
+
 @query("SELECT module, names, resolved IS NULL AS external FROM imports WHERE file_path = 'geo/nation_2.py'")
 def imports_external(g, spark, d):
-    return relations.imports_of(g.files, "geo/nation_2.py", include_external=True).select("module", F.array_join("names", "|").alias("names"), "external")
+    return relations.imports_of(g.files, "geo/nation_2.py", include_external=True, stored=g.imports).select("module", F.array_join("names", "|").alias("names"), "external")
 
 
 @query("SELECT resolved, file_path, module, names FROM imports WHERE resolved IS NOT NULL")
 def imports_reverse(g, spark, d):
-    return relations.imported_by(g.files).select("resolved", "file_path", "module", F.array_join("names", "|").alias("names"))
+    return relations.imported_by(g.files, g.imports).select("resolved", "file_path", "module", F.array_join("names", "|").alias("names"))
 
 
 _BLAST = """, u AS (SELECT DISTINCT a, b FROM (SELECT source_qualified AS a, target_qualified AS b FROM edges UNION ALL SELECT target_qualified, source_qualified FROM edges) WHERE a <> b),
@@ -695,6 +716,112 @@ def store_refreshed_pairs(g, spark, d):
     return _saved_refresh(spark, d).pairs.select("a", "b").distinct()
 
 
+@query(
+    f"SELECT gram, field, file_path FROM (SELECT DISTINCT unnest(list_transform(range(1, len(x) - 1), lambda i: substr(x, i, 3))) AS gram, field, file_path FROM (SELECT file_path, 'name' AS field, lower(name) AS x FROM named WHERE {_LATER} UNION ALL SELECT 'geo/region_' || r_regionkey || '.py', 'name', 'extra_' || r_regionkey FROM region))"
+)
+def store_refreshed_grams(g, spark, d):
+    """The stored runs of the names after a refresh."""
+    return _saved_refresh(spark, d).grams.where("field = 'name'").select("gram", "field", "file_path")
+
+
+@query(f"SELECT file_path, module, resolved FROM imports WHERE {_LATER}")
+def store_refreshed_imports(g, spark, d):
+    """The stored imports after a refresh, with the files that they mean."""
+    return _saved_refresh(spark, d).imports.select("file_path", "module", "resolved")
+
+
+@query(f"SELECT (SELECT CAST(count(*) AS BIGINT) FROM named WHERE {_LATER}) + (SELECT count(*) FROM region) AS total_nodes, (SELECT CAST(count(*) AS BIGINT) FROM edges WHERE {_LATER}) AS total_edges, (SELECT CAST(count(*) AS BIGINT) FROM files WHERE {_LATER}) AS total_files")
+def store_totals(g, spark, d):
+    """Totals of a refreshed graph from the counts that the refresh kept: no table is read."""
+    found = store.totals(_saved_refresh(spark, d))
+    return spark.createDataFrame([tuple(found.values())], ", ".join(f"{c} long" for c in found))
+
+
+_written: dict[tuple, store.Graph] = {}
+
+
+def _two_writers(spark: SparkSession, d: str) -> store.Graph:
+    """The region files, changed by two writers that began from the same state: one adds nations, the other a function to each region; the slower one is refused and tries again."""
+    key = _state(spark, d)
+    if key not in _written:
+        place, files = f"{shared_folder(spark)}/writers-{uuid.uuid4().hex}", source_files(spark, d)
+        regions, nations = files.where("startswith(file_path, 'geo/region')"), files.where("startswith(file_path, 'geo/nation')")
+        store.save(spark, store.build(regions, keep=_cut), place, "geo", buckets=4)
+        number = F.regexp_extract("file_path", "([0-9]+)", 1)
+        more = regions.withColumn("source", F.concat("source", F.lit("\n\ndef extra_"), number, F.lit("():\n    return 0\n")))
+        turns: list[int] = []
+
+        def slower(old: store.Graph) -> store.Graph:
+            turns.append(1)
+            if len(turns) == 1:  # while this one is at work, the other one is done
+                store.update(spark, place, lambda g: store.refresh(g, g.sources.unionByName(nations), keep=_cut), "geo")
+            return store.refresh(old, old.sources.join(more, "file_path", "left_anti").unionByName(more), keep=_cut)
+
+        store.update(spark, place, slower, "geo")
+        if len(turns) != 2:
+            raise RuntimeError("the second writer was not refused")
+        _written[key] = store.load(spark, place)
+    return _written[key]
+
+
+@query("SELECT file_path, name, kind FROM named WHERE starts_with(file_path, 'geo/') UNION ALL SELECT 'geo/region_' || r_regionkey || '.py', 'extra_' || r_regionkey, 'function' FROM region")
+def store_two_writers(g, spark, d):
+    return _two_writers(spark, d).nodes.select("file_path", "name", "kind")
+
+
+@query("SELECT kind, source_qualified, target_qualified, CAST(line AS INTEGER) AS line FROM edges WHERE starts_with(file_path, 'geo/')")
+def store_two_writers_edges(g, spark, d):
+    return _two_writers(spark, d).edges.select("kind", "source_qualified", "target_qualified", "line")
+
+
+@query("SELECT file_path, name FROM named WHERE starts_with(file_path, 'app/') OR (starts_with(file_path, 'geo/nation') AND CAST(regexp_extract(file_path, '([0-9]+)', 1) AS INTEGER) % 3 = 0)")
+def store_load_or_build(g, spark, d):
+    """Built at the first call (app and nation files), refreshed by the second, when two thirds of the nations are gone."""
+    place = f"{shared_folder(spark)}/loaded-{uuid.uuid4().hex}"
+    files = source_files(spark, d).where("startswith(file_path, 'app/') or startswith(file_path, 'geo/nation')")
+    store.load_or_build_from(spark, files, place)
+    kept = files.where("startswith(file_path, 'app/') or cast(regexp_extract(file_path, '([0-9]+)', 1) as int) % 3 = 0")
+    return store.load_or_build_from(spark, kept, place).nodes.select("file_path", "name")
+
+
+@query("SELECT kind, source_qualified, target_qualified, file_path, CAST(line AS INTEGER) AS line FROM edges WHERE starts_with(file_path, 'app/') OR starts_with(file_path, 'geo/')")
+def store_migrated_edges(g, spark, d):
+    """A graph of the first layout, whole tables in which every edge stands twice, brought to the present one."""
+    place, name = f"{shared_folder(spark)}/migrated-{uuid.uuid4().hex}", "snapshot-first"
+    made = store.build(source_files(spark, d).where("startswith(file_path, 'app/') or startswith(file_path, 'geo/')"), keep=_cut)
+    for table, rows in {"nodes": made.nodes, "edges": made.edges.unionByName(made.edges), "files": made.files, "sources": made.sources}.items():
+        rows.write.parquet(f"{place}/{name}/{table}")
+    spark.createDataFrame([("schema_version", "1"), ("project_root", "geo")], "key string, value string").write.parquet(f"{place}/{name}/metadata")
+    store._overwrite(spark, f"{place}/CURRENT", name)
+    store.migrate(spark, place)
+    return store.load(spark, place).edges.select("kind", "source_qualified", "target_qualified", "file_path", "line")
+
+
+_CHAIN = """WITH RECURSIVE p AS (SELECT p_partkey AS k FROM part), f AS (SELECT k, 'lib/f' || k || '.py' AS here, 'n' || (k % 5) AS name FROM p),
+own AS (SELECT here, name, CAST(k % 100 AS INTEGER) AS line, here || '::' || name AS q FROM f WHERE k % 4 = 0),
+named AS (SELECT a.here, a.name, b.here AS next FROM f a JOIN f b ON b.k = a.k // 2 WHERE a.k % 4 <> 0 AND a.k % 3 <> 0),
+stars AS (SELECT a.here, b.here AS next FROM f a JOIN f b ON b.k = a.k // 3 WHERE a.k % 3 = 0 UNION SELECT a.here, b.here FROM f a JOIN f b ON b.k = CASE a.k % 7 WHEN 3 THEN a.k + 1 WHEN 4 THEN a.k - 1 END),
+walk AS (SELECT here AS file_path, name, here, [here] AS path FROM f
+  UNION ALL SELECT w.file_path, w.name, s.next, list_append(w.path, s.next) FROM walk w JOIN (SELECT here, name, next FROM named UNION ALL SELECT s.here, n.name, s.next FROM stars s CROSS JOIN (SELECT DISTINCT name FROM f) n ANTI JOIN named m ON m.here = s.here AND m.name = n.name) s ON s.here = w.here AND s.name = w.name
+  WHERE NOT list_contains(w.path, s.next) AND NOT EXISTS (SELECT 1 FROM own o WHERE o.here = w.here AND o.name = w.name)),
+ends AS (SELECT w.file_path, w.name, o.q, CAST(len(w.path) - 1 AS INTEGER) AS hops, row_number() OVER (PARTITION BY w.file_path, w.name ORDER BY len(w.path), o.here, o.line) AS r FROM walk w JOIN own o ON o.here = w.here AND o.name = w.name)
+SELECT f.here AS file_path, f.name, e.q AS qualified_name, e.hops FROM f LEFT JOIN ends e ON e.file_path = f.here AND e.name = f.name AND e.r = 1"""
+
+
+@query(_CHAIN, over_graph=False)
+def definition_lookup(g, spark, d):
+    """Files made of part that pass names on, by name and by star imports, some in circles; every file asks for a name."""
+    part = _table(spark, d, "part").select(F.col("p_partkey").alias("k"))
+    path = lambda k: F.concat(F.lit("lib/f"), k.cast("string"), F.lit(".py"))
+    name, k = F.concat(F.lit("n"), (F.col("k") % 5).cast("string")), F.col("k")
+    nodes = part.where("k % 4 = 0").select(path(k).alias("file_path"), name.alias("name"), F.concat(path(k), F.lit("::"), name).alias("qualified_name"), (k % 100).cast("int").alias("line_start"), F.lit(None).cast("string").alias("parent_name"))
+    known = part.select(path(k).alias("resolved"))
+    bring = lambda rows, to, what: rows.select(path(k).alias("file_path"), F.lit(0).alias("at"), F.array(what).alias("names"), path(to).alias("resolved")).join(known, "resolved")
+    imports = bring(part.where("k % 4 <> 0 and k % 3 <> 0"), F.floor(k / 2), name).unionByName(bring(part.where("k % 3 = 0"), F.floor(k / 3), F.lit("*")))
+    imports = imports.unionByName(bring(part.where("k % 7 in (3, 4)"), F.when(k % 7 == 3, k + 1).otherwise(k - 1), F.lit("*")))
+    return definitions.definitions(nodes, imports, part.select(path(k).alias("file_path"), name.alias("name")))
+
+
 @query("SELECT 'region_' || r_regionkey AS key, CASE WHEN r_regionkey = 1 THEN 'put' ELSE r_name END AS value FROM region UNION ALL SELECT 'new', 'put'", over_graph=False)
 def store_metadata(g, spark, d):
     table = _table(spark, d, "region").select(F.concat(F.lit("region_"), "r_regionkey").alias("key"), F.col("r_name").alias("value"))

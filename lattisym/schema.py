@@ -18,5 +18,10 @@ SOURCES = "file_path string, source string"
 POSTINGS = "token string, field string, position int, qualified_name string, file_path string"
 PAIRS = "a string, b string, file_path string"
 
-#: Version of the stored layout: 1 had whole tables, 2 has buckets, postings and pairs.
-VERSION = 2
+GRAMS = "gram string, field string, file_path string"
+#: Stored edges carry the name that the target ends with.
+STORED_EDGES = f"{EDGES}, callee string"
+RESOLVED_IMPORTS = "file_path string, at int, module string, names array<string>, line int, is_relative boolean, last string, resolved string"
+
+#: Version of the stored layout: 1 had whole tables, 2 buckets, postings and pairs, 3 has grams, imports, counts and numbered states.
+VERSION = 3

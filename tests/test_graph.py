@@ -1,4 +1,5 @@
 import random
+import shutil
 
 import pytest
 from hypothesis import given, settings
@@ -7,7 +8,7 @@ from pyspark.sql import functions as F
 
 from lattisym.functions import text as X
 from lattisym.functions.porter import stem
-from lattisym.operators import edits, lookup, reach, relations, search
+from lattisym.operators import definitions, edits, lookup, reach, relations, search
 from lattisym.operators.resolve import resolve_calls
 from lattisym.plans import bench, envelope, store
 
@@ -212,19 +213,23 @@ def test_incremental_refresh_is_a_full_one(spark, tmp_path):
     """After random changes the refreshed and stored graph is the graph of a build, though only touched buckets are written."""
     rng = random.Random(4)
     names = [f"f{k}" for k in range(8)]
-    code = lambda: "".join(f"def {n}():\n    {rng.choice(names)}()\n    x.{rng.choice(names)}()\n\n" for n in rng.sample(names, rng.randrange(1, 3)))
+    brings = lambda: "".join(f"import {rng.choice(('p1.m1', 'm2', 'new', 'p3.new', 'p2', 'pk.sub'))}\n" for _ in range(2))
+    code = lambda: brings() + "".join(f"def {n}():\n    {rng.choice(names)}()\n    x.{rng.choice(names)}()\n\n" for n in rng.sample(names, rng.randrange(1, 3)))
     files = {f"p{k}/m{k}.py": code() for k in range(12)}
     place = (tmp_path / "state").as_uri()
     store.save(spark, store.build(frame(spark, files)), place, buckets=6)
     for turn in range(4):
         files.pop(rng.choice(sorted(files)))
         files[f"p{turn}/new.py"] = code()
+        files[f"pk/sub/__init__.py" if turn % 2 else "p2/__init__.py"] = code()
         files[rng.choice(sorted(files))] = code()
         store.save(spark, store.refresh(store.load(spark, place), frame(spark, files)), place)
         got, want = store.load(spark, place), store.build(frame(spark, files))
         key = ("kind", "source_qualified", "target_qualified", "file_path", "line")
         assert rows(got.edges, *key) == rows(want.edges, *key) and rows(got.nodes) == rows(want.nodes.select(*got.nodes.columns)) and rows(got.sources) == rows(want.sources)
         assert rows(got.files, "file_path", "content_hash") == rows(want.files, "file_path", "content_hash")
+        assert rows(got.grams) == rows(search.grams(got.nodes)) and rows(got.imports) == rows(relations.file_imports(want.files).select(*got.imports.columns))
+        assert store.totals(got) == {"total_nodes": want.nodes.count(), "total_edges": want.edges.count(), "total_files": want.files.count()}
         assert rows(got.postings) == rows(search.postings(got.nodes)) and rows(got.pairs.select("a", "b").distinct()) == rows(reach.both_ways(want.edges))
         one = {x.qualified_name for x in reach.impact_radius(got.nodes, got.edges, got.nodes.limit(1).select(F.col("qualified_name").alias("seed")), pairs=got.pairs).collect()}
         assert one == {x.qualified_name for x in reach.impact_radius(got.nodes, got.edges, got.nodes.limit(1).select(F.col("qualified_name").alias("seed"))).collect()}
@@ -242,7 +247,141 @@ def test_refresh_shares_untouched_buckets(spark, tmp_path):
         last = store.save(spark, store.build(frame(spark, files)), place)
     left = {p.name for p in (tmp_path / "state").iterdir() if p.name.startswith("snapshot-")}
     assert last in left and len(left) == 2 and first not in left
-    assert not [p for p in (tmp_path / "state").iterdir() if p.name.startswith("CURRENT-")]
+    assert sorted(p.name for p in (tmp_path / "state" / "states").iterdir() if not p.name.startswith(".")) == ["000000000004", "000000000005"]
+
+
+def test_writers_that_meet(spark, tmp_path):
+    """The second of two writers is refused and leaves nothing; redone on the new state both changes are there; folders of a writer at work stay."""
+    place = (tmp_path / "state").as_uri()
+    files = {f"m{k}.py": f"def f{k}():\n    pass\n" for k in range(12)}
+    store.save(spark, store.build(frame(spark, files)), place, buckets=6)
+    one, two = store.load(spark, place), store.load(spark, place)
+    working = tmp_path / "state" / "snapshot-working"
+    working.mkdir()
+    store.save(spark, store.refresh(one, frame(spark, files | {"m1.py": "def one(): pass\n"})), place)
+    late = store.refresh(two, frame(spark, files | {"m2.py": "def two(): pass\n"}))
+    with pytest.raises(store.ConflictingWrite):
+        store.save(spark, late, place)
+    names = lambda: {x.name for x in store.load(spark, place).nodes.collect()}
+    assert "one" in names() and "two" not in names()
+    # both write, neither has seen the other: the state that is there first stays
+    real, met = store._put, []
+
+    def slow(spark, path, text):
+        if not met:
+            met.append(1)
+            store.update(spark, place, lambda g: store.refresh(g, frame(spark, files | {"m1.py": "def one(): pass\n", "m3.py": "def three(): pass\n"})))
+        return real(spark, path, text)
+
+    store._put = slow
+    try:
+        put = frame(spark, {"m2.py": "def two(): pass\n"})
+        change = lambda g: store.apply(g, put.selectExpr("file_path", "'changed' status"), put)
+        before = {p.name for p in (tmp_path / "state").iterdir()}
+        assert store.update(spark, place, change)
+    finally:
+        store._put = real
+    assert {"one", "two", "three"} <= names() and len(names()) == 12
+    assert working.exists() and len([p for p in (tmp_path / "state").iterdir() if p.name not in before]) <= 2
+
+
+def test_refresh_reads_what_it_touches(spark, tmp_path):
+    """A change of one file opens its own buckets, and row groups that may hold its names: not the tables."""
+    files = {f"d{k}/m{k}.py": f"def f{k}():\n    f{(k + 1) % 400}()\n" for k in range(400)}
+    place = (tmp_path / "state").as_uri()
+    store.save(spark, store.build(frame(spark, files)), place, buckets=40)
+    g = store.load(spark, place)
+    put = frame(spark, {"d7/m7.py": "def g7():\n    f9()\n"})
+    change = put.selectExpr("file_path", "'changed' status")
+    new = store.apply(g, change, put)
+    assert len(new.dirty) <= 2  # the file's own bucket and that of the caller of f7
+    opened = {p.rsplit("bucket=", 1)[1].split("/")[0] for t in ("nodes", "edges", "files", "imports") for p in store._part(g, t, new.dirty).inputFiles()}
+    assert {int(b) for b in opened} == set(new.dirty)
+    store.save(spark, new, place)
+    got = store.load(spark, place)
+    want = store.build(frame(spark, files | {"d7/m7.py": "def g7():\n    f9()\n"}))
+    assert rows(got.nodes) == rows(want.nodes.select(*got.nodes.columns)) and rows(got.edges) == rows(want.edges.select(*got.edges.columns))
+
+
+def test_parts_of_names_by_stored_runs(spark):
+    """Every way to look for parts gives with the index what it gives without; parts too short for the index are looked for in all nodes."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abAB_é") for _ in range(rng.randrange(1, 7)))
+    code = {f"{word()}/{word()}{k}.py": "".join(f'def {word()}{j}():\n    """{word()} {word()}"""\n\n' for j in range(3)) for k in range(12)}
+    nodes = store.build(frame(spark, code)).nodes
+    index = search.grams(nodes)
+    for _ in range(25):
+        q = "".join(rng.choice("abAB_é0") for _ in range(rng.randrange(1, 5)))
+        assert rows(search.search(nodes, q, None, index)) == rows(search.search(nodes, q, None))
+        assert rows(lookup.locate(nodes, q, match="substring", index=index)) == rows(lookup.locate(nodes, q, match="substring"))
+        assert rows(search.search_like(nodes, f"{q} {q[:3]}", index)) == rows(search.search_like(nodes, f"{q} {q[:3]}"))
+    assert search.search_like(nodes, " ", index).count() == 0 == lookup.locate(nodes, "none of these", match="substring", index=index).count()
+
+
+def test_definitions_over_imports(spark):
+    """Chains over __init__ files and stars end where the name is defined; circles and dead ends give null; the last import of a name counts."""
+    g = store.build(frame(spark, {
+        "pkg/__init__.py": "from pkg.api import thing\nfrom pkg.star import *\n", "pkg/api.py": "from pkg.core import thing\n", "pkg/core.py": "def thing(): pass\n",
+        "pkg/star.py": "from pkg.deep import *\n", "pkg/deep.py": "class Deep:\n    def thing(self): pass\n", "use.py": "from pkg import thing, Deep\n", "two.py": "from pkg.core import thing\nfrom pkg.other import thing\n",
+        "pkg/other.py": "def thing(): pass\n", "round1.py": "from round2 import *\n", "round2.py": "from round1 import *\n", "own.py": "from pkg import thing\ndef thing(): pass\n",
+    }))
+    imports = relations.file_imports(g.files)
+    asks = [("use.py", "thing"), ("use.py", "Deep"), ("two.py", "thing"), ("round1.py", "thing"), ("own.py", "thing"), ("pkg/deep.py", "thing"), ("no.py", "thing"), ("use.py", None), ("use.py", "thing")]
+    got = {(x.file_path, x.name): (x.qualified_name, x.hops) for x in definitions.definitions(g.nodes, imports, spark.createDataFrame(asks, "file_path string, name string")).collect()}
+    assert got == {
+        ("use.py", "thing"): ("pkg/core.py::thing", 3), ("use.py", "Deep"): ("pkg/deep.py::Deep", 3), ("two.py", "thing"): ("pkg/other.py::thing", 1), ("round1.py", "thing"): (None, None),
+        ("own.py", "thing"): ("own.py::thing", 0), ("pkg/deep.py", "thing"): (None, None), ("no.py", "thing"): (None, None),
+    }
+    found = lookup.search_symbols(g.nodes, "thing")
+    assert [x.qualified_name for x in definitions.definition(g.nodes, imports, found, "two.py", "thing").collect()] == ["pkg/other.py::thing"]
+    assert definitions.definition(g.nodes, imports, found, "round1.py", "thing").count() == found.count()
+
+
+def test_tree_as_a_data_source(spark, tmp_path):
+    """The same rows as reading the tree; conditions on paths choose folders; a stream takes what is new, also after a restart."""
+    import os
+    import time
+
+    from lattisym.sources.project import read_tree
+    from lattisym.sources.tree import Prefix, SourceTree, _Reader
+    from lattisym.streaming.refresh import stream_into
+
+    root = tmp_path / "tree"
+    for path, text in {"a.py": "def a(): pass\n", "b.txt": "no", "x/c.py": "def c(): pass\n", "x/venv/d.py": "no", "y/z/e.go": "package e\n", "y/f.ts": "\udcff", ".git/g.py": "no"}.items():
+        (root / path).parent.mkdir(parents=True, exist_ok=True)
+        (root / path).write_bytes(text.encode("utf-8", "surrogateescape"))
+    spark.dataSource.register(SourceTree)
+    read = lambda: spark.read.format("source_tree").load(root.as_uri())
+    assert rows(read(), "file_path", "source") == rows(read_tree(spark, str(root)), "file_path", "source") and read().count() == 4
+    some = lambda df: [rows(df.where(c), "file_path") for c in ("file_path = 'x/c.py'", "startswith(file_path, 'y/')", "file_path in ('a.py', 'y/f.ts', 'no')", "file_path > 'b'")]
+    key = "spark.sql.python.filterPushdown.enabled"
+    before = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "true")
+        pushed = spark.read.format("source_tree").option("pushdown", "true").load(str(root))
+        assert some(pushed) == some(read_tree(spark, str(root))) and [len(x) for x in some(pushed)] == [1, 2, 2, 3]
+    finally:
+        spark.conf.set(key, before)
+    assert rows(spark.read.format("source_tree").option("prefix", "y/z").load(str(root)), "file_path") == ["['y/z/e.go']"]
+    reader = _Reader({"path": str(root)})
+    reader.only, reader.exact = ["y/"], False
+    assert [p.folder for p in reader.partitions()] == ["", "y"] and [x.base_name for x in reader.infos(Prefix("y"))] == ["f.ts", "e.go"]
+    reader.only, reader.exact = ["x/c.py"], True
+    assert [p.folder for p in reader.partitions()] == ["x"]
+    past = time.time() - 100
+    for folder, _, names in os.walk(root):
+        for n in names:
+            os.utime(f"{folder}/{n}", (past, past))
+    stream = lambda: stream_into(spark.readStream.format("source_tree").option("settle", "0").load(str(root)), (tmp_path / "state").as_uri(), str(tmp_path / "cp")).awaitTermination()
+    stream()
+    names = lambda: {x.name for x in store.load(spark, (tmp_path / "state").as_uri()).nodes.collect()}
+    assert names() == {"a", "c"}
+    (root / "x/c.py").write_text("def later(): pass\n")
+    time.sleep(0.1)
+    stream()
+    assert names() == {"a", "later"}
+    (root / "empty").mkdir()
+    assert spark.read.format("source_tree").load(str(root / "empty")).count() == 0
 
 
 def test_failed_write_leaves_the_old_state(spark, tmp_path, monkeypatch):
@@ -271,15 +410,20 @@ def test_older_and_broken_stores(spark, tmp_path):
     assert store.load(spark, place).edges.count() == g.edges.count() and store.load(spark, place).postings is None
     assert store.migrate(spark, place) and not store.migrate(spark, place)
     new = store.load(spark, place)
-    assert new.edges.count() == g.edges.count() and new.postings.where("token = 'g'").count() > 0 and store.metadata(spark, place) == {"schema_version": "2", "project_root": "/p"}
+    assert new.edges.count() == g.edges.count() and new.postings.where("token = 'g'").count() > 0 and store.metadata(spark, place) == {"schema_version": "3", "project_root": "/p"}
     root.mkdir()
     (root / "a.py").write_text("def f(): pass\n")
     (root / "pyproject.toml").write_text("")
+    assert not (state / "CURRENT").exists() and not (state / name).exists()
     for text in ("snapshot-gone", "{"):
-        (state / "CURRENT").write_text(text)
+        (state / "states" / "000000000009").write_text(text)
+        (state / "states" / ".000000000009.crc").unlink(missing_ok=True)
         (state / "index.json").write_text("{}")
         assert [x.name for x in store.load_or_build(spark, str(root), place).nodes.collect()] == ["f"] and not (state / "index.json").exists()
+        shutil.rmtree(state / "states")
+        store.save(spark, store.build(frame(spark, SOURCES)), place)
     (state / store.current(spark, place) / "manifest.json").write_text("{")
+    (state / store.current(spark, place) / ".manifest.json.crc").unlink(missing_ok=True)
     assert [x.name for x in store.load_or_build(spark, str(root), place).nodes.collect()] == ["f"]
 
 
@@ -325,6 +469,23 @@ def test_streamed_refresh(spark, tmp_path):
     assert {x.name for x in store.load(spark, place).nodes.collect()} == {"g"}
 
 
+def test_stream_with_state(spark, tmp_path):
+    """Versions out of order, over micro-batches and a restart, give the graph of the newest ones; texts that don't differ and late versions change nothing."""
+    from lattisym.streaming.refresh import ROCKS, stream_into
+
+    place, inbox = (tmp_path / "state").as_uri(), str(tmp_path / "in")
+    schema = "file_path string, source string, version int"
+    versions = [[("a.py", "def a3(): pass\n", 3), ("a.py", "def a1(): pass\n", 1), ("b.py", "def b1(): pass\n", 1)], [("a.py", "def a2(): pass\n", 2), ("b.py", None, 5), ("c.py", "def c(): pass\n", 1)], [("b.py", "def b4(): pass\n", 4), ("c.py", "def c(): pass\n", 9), ("c.py", "def d(): pass\n", 8)]]
+    wanted, states = [{"a3", "b1"}, {"a3", "c"}, {"a3", "c"}], []
+    before = spark.conf.get(ROCKS[0], None)
+    for some, want in zip(versions, wanted, strict=True):
+        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(inbox)
+        stream_into(spark.readStream.schema(schema).parquet(inbox), place, str(tmp_path / "cp"), stateful=True).awaitTermination()
+        assert {x.name for x in store.load(spark, place).nodes.collect()} == want
+        states.append(store.current(spark, place))
+    assert states[1] == states[2] and spark.conf.get(ROCKS[0], None) == before
+
+
 def test_rubrics_and_envelopes(spark, tmp_path):
     ok = envelope.success("locate", [{"name": "f", "line": 3}])
     assert ok.startswith("ok: true\ncommand: locate\nresult:") and "truncated: true" in envelope.success("usages", [], 50, 50)
