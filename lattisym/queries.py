@@ -219,12 +219,12 @@ def extract_dispatch(g, spark, d):
     over_graph=False,
 )
 def extract_errors(g, spark, d):
-    """Files whose last bracket is cut off (Go, TypeScript: what can be read is kept) or that don't parse (Python: nothing is), and whole ones."""
+    """Go files whose last bracket is cut off and TypeScript files with a piece of a function at the end (what can be read is kept), Python files that don't parse (nothing is), and whole ones."""
     key = F.regexp_extract("file_path", "([0-9]+)[.]", 1).cast("int")
-    cut = lambda files, where: files.withColumn("source", F.when(where, F.regexp_replace("source", "[}]\\s*$", "")).otherwise(F.col("source")))
-    go = cut(go_files(spark, d).where(F.col("file_path").rlike("^geo/.*[0-9][.]go$")), key % 2 == 1)
-    ts = cut(typescript_files(spark, d).where(F.col("file_path").rlike("^web/nation_[0-9]+[.]ts$")), key % 3 == 1)
-    py = source_files(spark, d).where("startswith(file_path, 'geo/region')").withColumn("source", F.when(key % 2 == 1, F.concat("source", F.lit("def (\n"))).otherwise(F.col("source")))
+    broken = lambda files, where, new: files.withColumn("source", F.when(where, new).otherwise(F.col("source")))
+    go = broken(go_files(spark, d).where(F.col("file_path").rlike("^geo/.*[0-9][.]go$")), key % 2 == 1, F.regexp_replace("source", "[}]\\s*$", ""))
+    ts = broken(typescript_files(spark, d).where(F.col("file_path").rlike("^web/nation_[0-9]+[.]ts$")), key % 3 == 1, F.concat("source", F.lit("function late(\n")))
+    py = broken(source_files(spark, d).where("startswith(file_path, 'geo/region')"), key % 2 == 1, F.concat("source", F.lit("def (\n")))
     parsed = extract.parse_files(go.unionByName(ts).unionByName(py))
     return parsed.select("file_path", F.col("parse_error").isNotNull().alias("broken"), F.size("symbols").alias("symbols"))
 
