@@ -2,7 +2,8 @@
 
 One hop is an equi-join of the frontier with the edges, distinct, and what has not been seen, so cycles end and walks don't
 multiply. All seeds run together, told apart by a column. As long as what was reached is small (SMALL rows, counted at each hop), the driver keeps it and sends
-the ends of the frontier to the edges, which then are not shuffled; beyond, frontiers stay distributed and lineage is cut by a checkpoint per hop.
+the ends of the frontier to the edges, which then are not shuffled. Beyond, frontiers stay distributed and lineage is cut by a checkpoint per hop; names are numbers there, counted in
+each task, so that they shrink when they are shuffled, and the pairs become one row of sorted neighbours per node, several for a hub, that each hop is joined with. Names come back at the end.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql.types import IntegerType, StructType
 SMALL = 50_000
 #: Distinct nodes up to which a frontier is also a filter on the stored pairs.
 FEW = 100
+#: Neighbours of a row of a wide walk; a node with more has several rows.
+HUB = 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -70,15 +73,40 @@ def reach(pairs: DataFrame, seeds: DataFrame, depth: int, small: int = SMALL) ->
         start = start.withColumn("depth", F.lit(0))
     # too large for the driver: go on from here
     shared_folder(spark)
-    known = start.checkpoint()
+    return _wide(pairs, start.checkpoint(), hop, depth)
+
+
+def _numbered(pairs: DataFrame, start: DataFrame) -> DataFrame:
+    """(number, name) of all names of the walk."""
+    names = pairs.select(F.col("a").alias("name")).union(pairs.select("b")).union(start.select("node")).union(start.select("seed")).distinct().checkpoint()
+    return names.select(F.monotonically_increasing_id().alias("number"), "name").checkpoint()
+
+
+def _neighbours(pairs: DataFrame) -> DataFrame:
+    """(a, near): the sorted neighbours of each node, in rows of about HUB."""
+    pieces = pairs.groupBy("a").agg(F.ceil(F.count("*") / HUB).cast("int").alias("pieces")).where("pieces > 1")
+    cut = pairs.join(pieces, "a", "left").withColumn("piece", F.pmod(F.xxhash64("b", F.lit(1)), F.coalesce("pieces", F.lit(1))))
+    return cut.groupBy("a", "piece").agg(F.array_sort(F.collect_set("b")).alias("near")).select("a", "near").checkpoint()
+
+
+def _wide(pairs: DataFrame, start: DataFrame, hop: int, depth: int) -> DataFrame:
+    """reach from start(seed, node, depth), of which depths below `hop` are complete, without the driver."""
+    names = _numbered(pairs, start)
+
+    def swap(rows: DataFrame, column: str, old: str, new: str) -> DataFrame:
+        return rows.join(names.select(F.col(old).alias(column), F.col(new).alias("__new")), column).drop(column).withColumnRenamed("__new", column)
+
+    to_number = lambda rows, *columns: swap(to_number(rows, *columns[1:]), columns[0], "name", "number") if columns else rows
+    near = _neighbours(to_number(pairs.select("a", "b"), "a", "b"))
+    known = to_number(start, "seed", "node").select("seed", "node", "depth").checkpoint()
     edge = known.where(F.col("depth") == hop - 1).select("seed", "node")
     for n in range(hop, depth + 1):
-        step = edge.join(pairs, edge.node == pairs.a).select("seed", F.col("b").alias("node")).distinct()
+        step = edge.join(near, edge.node == near.a).select("seed", F.explode("near").alias("node")).distinct()
         edge = step.join(known, ["seed", "node"], "left_anti").checkpoint()
         if edge.isEmpty():
             break
         known = known.unionByName(edge.withColumn("depth", F.lit(n)))
-    return known
+    return swap(swap(known, "node", "number", "name"), "seed", "number", "name").select("seed", "node", "depth")
 
 
 def both_ways(edges: DataFrame, *keep: str) -> DataFrame:

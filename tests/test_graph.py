@@ -434,6 +434,14 @@ def test_reach_on_the_driver_and_beyond(spark):
     want = rows(reach.reach(pairs, start, 4))
     for small in (0, 2, 5, 20):
         assert rows(reach.reach(pairs, start, 4, small)) == want
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(reach, "HUB", 3)  # most nodes in several rows
+        assert rows(reach.reach(pairs, start, 4, -1)) == want
+    near = reach._neighbours(pairs)
+    assert near.where(F.expr("near <> array_sort(near)")).count() == 0
+    one = spark.createDataFrame([("hub", f"n{k}") for k in range(5000)], "a string, b string")
+    cut = reach._neighbours(one).collect()
+    assert len(cut) == 5 and max(len(x.near) for x in cut) < 1500 and sum(len(x.near) for x in cut) == 5000
     assert len(want) > 30 and reach.reach(pairs, start.limit(0), 4).count() == 0 == reach.reach(pairs, start.limit(0), 4, -1).count()
 
 
