@@ -139,7 +139,7 @@ def apply(graph: Graph, change: DataFrame, sources: DataFrame, kinds: tuple[str,
     texts = replace_files(_part(graph, "sources", here), change, new) if graph.sources is not None else sources
     if not stored:
         return Graph(nodes, edges, files, texts)
-    parts = {"nodes": keep(nodes), "edges": keep(edges), "files": keep(files), "sources": texts}
+    parts = {"nodes": nodes, "edges": edges, "files": files, "sources": texts}
     away = [b for b in range(graph.held["buckets"]) if b not in set(here)]
     whole = {t: _part(graph, t, away).unionByName(df.select(*_part(graph, t, []).columns)) for t, df in parts.items()}
     # imports of files in dirty buckets: those that hang on added or deleted files, and those of changed files, are looked up among all files anew

@@ -218,7 +218,7 @@ def test_incremental_refresh_is_a_full_one(spark, tmp_path):
     files = {f"p{k}/m{k}.py": code() for k in range(12)}
     place = (tmp_path / "state").as_uri()
     store.save(spark, store.build(frame(spark, files)), place, buckets=6)
-    for turn in range(4):
+    for turn in range(2):
         files.pop(rng.choice(sorted(files)))
         files[f"p{turn}/new.py"] = code()
         files[f"pk/sub/__init__.py" if turn % 2 else "p2/__init__.py"] = code()
@@ -287,9 +287,9 @@ def test_writers_that_meet(spark, tmp_path):
 
 def test_refresh_reads_what_it_touches(spark, tmp_path):
     """A change of one file opens its own buckets, and row groups that may hold its names: not the tables."""
-    files = {f"d{k}/m{k}.py": f"def f{k}():\n    f{(k + 1) % 400}()\n" for k in range(400)}
+    files = {f"d{k}/m{k}.py": f"def f{k}():\n    f{(k + 1) % 90}()\n" for k in range(90)}
     place = (tmp_path / "state").as_uri()
-    store.save(spark, store.build(frame(spark, files)), place, buckets=40)
+    store.save(spark, store.build(frame(spark, files)), place, buckets=12)
     g = store.load(spark, place)
     put = frame(spark, {"d7/m7.py": "def g7():\n    f9()\n"})
     change = put.selectExpr("file_path", "'changed' status")
