@@ -138,12 +138,18 @@ class Vocabulary:
         order = np.argsort(often["h"].to_numpy().view(np.uint64), kind="stable")
         self.often = often["h"].to_numpy().view(np.uint64)[order], often["g"].to_numpy().view(np.uint32)[order], often["c"].to_numpy()[order]
 
-    def classes(self, key: np.ndarray, check: np.ndarray, tail: np.ndarray) -> np.ndarray:
-        out = FIRST + WORDS + tail
-        at, good = _find(self.keys, self.checks, key, check)
-        out[good] = FIRST + at[good]
-        out[(key == _END_HASH[0]) & (check == _END_HASH[1])] = END
-        return out
+    def plain(self) -> dict:
+        """What tasks need, as arrays and numbers: broadcasts are unpickled where this module may not be."""
+        return {"keys": self.keys, "checks": self.checks, "seen": self.seen, "group_share": self.group_share, "often": self.often, "total": self.total, "distinct": self.distinct}
+
+
+def classes_of(v: dict, key: np.ndarray, check: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """The class of each token, by the keys and checks of a vocabulary."""
+    out = FIRST + WORDS + tail
+    at, good = _find(v["keys"], v["checks"], key, check)
+    out[good] = FIRST + at[good]
+    out[(key == _END_HASH[0]) & (check == _END_HASH[1])] = END
+    return out
 
 
 def _find(keys, checks, key, check):
@@ -249,13 +255,13 @@ def _trainer(vocabulary, shared):
     def train(batches):
         from pyspark import TaskContext
 
-        learner, done, rest = None, 0, None
+        learner, done, rest, v = None, 0, None, vocabulary.value
         for batch in batches:
             for part in chunks(batch, "text"):
                 if learner is None:
-                    learner = Learner(shared.value, noise_of(vocabulary.value.seen))
+                    learner = Learner(shared.value, noise_of(v["seen"]))
                 key, check, tail, owner = tokens(part.column("text"))
-                classes = vocabulary.value.classes(key, check, tail)
+                classes = classes_of(v, key, check, tail)
                 new = np.stack((*contexts(classes, owner), classes))
                 rest = new if rest is None else np.concatenate((rest, new), 1)
                 whole = rest.shape[1] // BATCH * BATCH
@@ -298,7 +304,7 @@ def _averager(batches):
 def fit(rows: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
     """The model's numbers after all rounds over the training rows of rows(text, held_out, part)."""
     sc = rows.sparkSession.sparkContext
-    known, flat = sc.broadcast(vocabulary), Model.fresh(noise_of(vocabulary.seen)).flat
+    known, flat = sc.broadcast(vocabulary.plain()), Model.fresh(noise_of(vocabulary.seen)).flat
     for parts in ROUNDS:
         taught = rows.where(~F.col("held_out") & F.col("part").isin(*parts)).select("text").mapInArrow(_trainer(known, sc.broadcast(flat)), "block int, task int, tokens long, numbers binary")
         found = taught.repartition("block").sortWithinPartitions("block", "task").mapInArrow(_averager, "block int, numbers binary").toArrow().sort_by("block")
@@ -332,17 +338,17 @@ def _scorer(vocabulary, shared, name):
         if kept.get("language_model", (None,))[0] != name:
             kept["language_model"] = name, Tables(shared.value)
         tables = kept["language_model"][1]
-        unit = np.log10(v.total + 0.5 * (v.distinct + 1))
+        unit, often = np.log10(v["total"] + 0.5 * (v["distinct"] + 1)), v["often"]
         for batch in batches:
             for part in chunks(batch, "text"):
                 n = part.num_rows
                 key, check, tail, owner = tokens(part.column("text"))
-                classes = v.classes(key, check, tail)
+                classes = classes_of(v, key, check, tail)
                 value = tables.score(*contexts(classes, owner), classes).astype(np.float64)
                 grouped = classes >= FIRST + WORDS
-                value[grouped] -= v.group_share[classes[grouped] - FIRST - WORDS]
-                at, known = _find(v.often[0], v.often[1], key, check)
-                count = np.where(known, v.often[2][at] if len(v.often[2]) else 0, 0)
+                value[grouped] -= v["group_share"][classes[grouped] - FIRST - WORDS]
+                at, known = _find(often[0], often[1], key, check)
+                count = np.where(known, often[2][at] if len(often[2]) else 0, 0)
                 own = np.where(known, np.log10(count + 0.5), 0.0)
                 value[grouped] += own[grouped]
                 sums = lambda x: np.bincount(owner, weights=x, minlength=n)
@@ -373,7 +379,7 @@ def score(docs: DataFrame) -> DataFrame:
     flat = fit(rows, vocabulary)
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "held_out")
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<h:long,g:int,k:int>>"
-    scored = stored(numbered.mapInArrow(_scorer(sc.broadcast(vocabulary), sc.broadcast(flat), uuid.uuid4().hex), schema))
+    scored = stored(numbered.mapInArrow(_scorer(sc.broadcast(vocabulary.plain()), sc.broadcast(flat), uuid.uuid4().hex), schema))
     # words that are frequent nowhere: each document's own count meets the corpus's
     own = scored.select("row", F.explode("rare").alias("x")).select("row", "x.*")
     more = own.join(counts.select("h", "g", "c"), ["h", "g"]).groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("more"), F.sum(F.col("k") * F.log10(F.col("c") + 0.5)).alias("logs"))
