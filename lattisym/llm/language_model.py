@@ -13,7 +13,7 @@ after the round is the mean of theirs, weighted by tokens and summed block by bl
 Probabilities are normalised exactly: exp(score) is a product of one factor for each place, so the sums over all classes for all pairs of contexts are one matrix product. With it and
 two tables of scores, all made once per worker by matrix products, a token's log-probability is three look-ups.
 
-Counts of words that are frequent somewhere (at least one in FREQUENT tokens, so at most FREQUENT words) are broadcast; all others meet their counts in a join, after each document has
+Counts of words with a class of their own, and of words that are frequent somewhere (more than one in FREQUENT tokens, so fewer than FREQUENT words), are broadcast; all others meet their counts in a join, after each document has
 counted its own. Words are told apart by 96 bits of hash.
 
 Defined cases: null and empty texts have one token, the end; a null doc_id is scored, learnt from and not held out; repeated rows come back each, and each counts; an empty table gives no rows;
@@ -71,7 +71,7 @@ def _counted(key, check, *sums):
     """Equal (key, check) once, and sums of the other arrays; the first of them is kept as it is."""
     order = np.argsort(key, kind="stable")
     key, check = key[order], check[order]
-    new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (check[1:] != check[:-1]))))
+    new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (check[1:] != check[:-1])))[: len(key)])
     return key[new], check[new], sums[0][order][new], *(np.add.reduceat(x[order], new) for x in sums[1:])
 
 
@@ -134,9 +134,11 @@ class Vocabulary:
         self.seen = np.zeros(CLASSES)
         self.seen[END], self.seen[FIRST : FIRST + len(order)], self.seen[FIRST + WORDS :] = self.ends, count, tail_n
         self.group_share = np.log10(tail_n + 0.5 * (tail_v + 1))
-        often = counts.where(F.col("n") > max(0, sum(x.n for x in groups)) / FREQUENT).select("h", "g", "c").toArrow()
-        order = np.argsort(often["h"].to_numpy().view(np.uint64), kind="stable")
-        self.often = often["h"].to_numpy().view(np.uint64)[order], often["g"].to_numpy().view(np.uint32)[order], often["c"].to_numpy()[order]
+        often = counts.where(F.col("n") > sum(x.n for x in groups) / FREQUENT).select("h", "g", "c").toArrow()
+        end = {"h": _END_HASH[0].view(np.int64), "g": _END_HASH[1].view(np.int32), "c": np.int64(self.ends)}
+        both = [np.concatenate((often[c].to_numpy(), known[c].to_numpy()[own], [end[c]])) for c in ("h", "g", "c")]
+        #: hashes, checks and training counts of frequent words and of those with classes, the end among them
+        self.often = _counted(both[0].view(np.uint64), both[1].view(np.uint32), both[2])
 
     def plain(self) -> dict:
         """What tasks need, as arrays and numbers: broadcasts are unpickled where this module may not be."""
@@ -371,11 +373,11 @@ def _scorer(vocabulary, shared, name):
     return score
 
 
-def score(docs: DataFrame) -> DataFrame:
-    """Per row of docs(doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+def score(docs: DataFrame, words: int = WORDS) -> DataFrame:
+    """Per row of docs(doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score. At most `words` words have classes of their own."""
     rows, sc = rows_of(docs), docs.sparkSession.sparkContext
     counts = word_counts(rows)
-    vocabulary = Vocabulary(counts)
+    vocabulary = Vocabulary(counts, words)
     flat = fit(rows, vocabulary)
     numbered = rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", "held_out")
     schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<struct<h:long,g:int,k:int>>"
