@@ -1,7 +1,11 @@
 """The corpus pipeline: stages that each call one operator on all that the stage before kept.
 
 STAGES are (name, function) pairs; a function takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as
-the next stage's docs. All but the last return the columns of documents.
+the next stage's docs. All but the last return the columns of documents, whatever columns those are, also such that operators name their own columns by.
+
+Defined cases: a null or empty text is not toxic, no duplicate, not contaminated and has no personal data: it stays (a null stays null) and is packed as an empty document. Rows without
+doc_id stay and are nobody's duplicate. Rows that repeat are judged alike and stay or go together, as one document of a group. Empty tables give an empty table; without a toxic
+label nothing is toxic, without benchmark items nothing is contaminated; null labels and items are ignored.
 """
 
 from __future__ import annotations
