@@ -52,10 +52,11 @@ def _stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def versions(spark: SparkSession, target: str, before: int | None = None) -> DataFrame:
-    """doc_id, content_hash, lang, n_tokens, batch of the last version of every document, of those before a batch if it is given."""
+def versions(spark: SparkSession, target: str, before: int | None = None, only: DataFrame | None = None) -> DataFrame:
+    """doc_id, content_hash, lang, n_tokens, batch of the last version of every document, of those before a batch if it is given, and of only(doc_id)."""
     rows = _stored(spark, f"{target}/versions", VERSIONS)
     rows = rows if before is None else rows.where(F.col("batch") < before)
+    rows = rows if only is None else rows.join(only, "doc_id", "left_semi")
     return rows.groupBy("doc_id").agg(F.max(F.struct("batch", "content_hash", "lang", "n_tokens")).alias("v")).select("doc_id", "v.content_hash", "v.lang", "v.n_tokens", "v.batch")
 
 
@@ -67,9 +68,8 @@ def _index(rows: DataFrame, batch: int, target: str) -> None:
     # counted and compared before the shuffle, so a doc_id on very many rows is no hot spot
     last = rows.groupBy("doc_id").agg(F.max(F.struct("changed", "file", F.coalesce("text", F.lit("")).alias("text"), "lang")).alias("x")).select("doc_id", "x.text", "x.lang")
     last = last.withColumn("content_hash", content_hash(F.col("text")))
-    stored = versions(spark, target, batch)
-    # of the stored ids only those of this batch are compared; Spark broadcasts a side only if it is small
-    known = stored.join(rows.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", F.col("content_hash").alias("known"))
+    # of the stored ids only those of this batch are shuffled or compared; Spark broadcasts a side only if it is small
+    known = versions(spark, target, batch, rows.select("doc_id").distinct()).select("doc_id", F.col("content_hash").alias("known"))
     new = last.join(known, "doc_id", "left").where("known is null or known <> content_hash").drop("known").persist()
     try:
         words = new.select("doc_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count("*").alias("n"))
@@ -100,11 +100,15 @@ def run(spark: SparkSession, source: str, target: str, checkpoint: str, files_pe
     folder, names = _folder(spark, source.rstrip("/"))
     files = spark.readStream.schema(INPUT).option("maxFilesPerTrigger", files_per_batch).option("pathGlobFilter", names).parquet(folder)
     rows = files.select("doc_id", "text", "lang", F.col("_metadata.file_modification_time").alias("changed"), F.col("_metadata.file_path").alias("file"))
-    query = rows.writeStream.foreachBatch(lambda df, n: _index(df, n, target)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    done = sum(1 for p in query.recentProgress if p.numInputRows)
-    log.info("%d micro-batches from %s into %s", done, source, target)
-    return done
+    done: list[int] = []
+
+    def take(batch: DataFrame, number: int) -> None:
+        _index(batch, number, target)
+        done.append(number)
+
+    rows.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    log.info("%d micro-batches from %s into %s", len(done), source, target)
+    return len(done)
 
 
 def current(spark: SparkSession, target: str) -> DataFrame:
