@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import time
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pyarrow as pa
 from pyarrow import fs as pafs
@@ -30,13 +29,9 @@ SCHEMA = "file_path string, source string, version long"
 ROWS, BYTES = 256, 4 << 20
 
 
-@dataclass
-class Prefix(InputPartition):
-    """A folder below the root, or (folder "") the files of the root itself."""
-
-    folder: str
-    after: int = -1
-    upto: int = 1 << 62
+def prefix(folder: str, after: int = -1, upto: int = 1 << 62) -> InputPartition:
+    """A folder below the root, or (folder "") the files of the root itself; only files changed after one time, up to another."""
+    return InputPartition((folder, after, upto))
 
 
 def _open(path: str) -> tuple[pafs.FileSystem, str]:
@@ -69,16 +64,17 @@ class _Tree:
         own = [""] if any(x.is_file for x in top) and (self.only is None or not self.exact or any("/" not in p for p in self.only)) else []
         return own + [x for x in folders if keep(x)]
 
-    def infos(self, part: Prefix) -> Iterator[pafs.FileInfo]:
+    def infos(self, part: InputPartition) -> Iterator[pafs.FileInfo]:
         files, root = _open(self.root)
-        place = f"{root}/{part.folder}" if part.folder else root
-        for info in sorted(files.get_file_info(pafs.FileSelector(place, recursive=bool(part.folder), allow_not_found=True)), key=lambda x: x.path):
-            if _wanted(info, root) and part.after < _micros(info) <= part.upto:
+        folder, after, upto = part.value
+        place = f"{root}/{folder}" if folder else root
+        for info in sorted(files.get_file_info(pafs.FileSelector(place, recursive=bool(folder), allow_not_found=True)), key=lambda x: x.path):
+            if _wanted(info, root) and after < _micros(info) <= upto:
                 name = info.path[len(root) + 1 :]
                 if self.only is None or any(name == p if self.exact else name.startswith(p) for p in self.only):
                     yield info
 
-    def read(self, part: Prefix) -> Iterator[pa.RecordBatch]:
+    def read(self, part: InputPartition) -> Iterator[pa.RecordBatch]:
         files, root = _open(self.root)
         rows, size = [], 0
 
@@ -101,8 +97,8 @@ class _Tree:
 
 
 class _Reader(_Tree, DataSourceReader):
-    def partitions(self) -> list[Prefix]:
-        return [Prefix(x) for x in self.prefixes()] or [Prefix("")]
+    def partitions(self) -> list[InputPartition]:
+        return [prefix(x) for x in self.prefixes()] or [prefix("")]
 
 
 class _Pushed(_Reader):
@@ -128,8 +124,8 @@ class _StreamReader(_Tree, DataSourceStreamReader):
     def latestOffset(self) -> dict:
         return {"changed": int((time.time() - self.settle) * 1_000_000)}
 
-    def partitions(self, start: dict, end: dict) -> list[Prefix]:
-        return [Prefix(x, start["changed"], end["changed"]) for x in self.prefixes()] or [Prefix("", start["changed"], end["changed"])]
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        return [prefix(x, start["changed"], end["changed"]) for x in self.prefixes()] or [prefix("", start["changed"], end["changed"])]
 
     def commit(self, end: dict) -> None:
         pass

@@ -343,7 +343,7 @@ def test_tree_as_a_data_source(spark, tmp_path):
     import time
 
     from lattisym.sources.project import read_tree
-    from lattisym.sources.tree import Prefix, SourceTree, _Reader
+    from lattisym.sources.tree import SourceTree, _Reader, prefix
     from lattisym.streaming.refresh import stream_into
 
     root = tmp_path / "tree"
@@ -365,9 +365,9 @@ def test_tree_as_a_data_source(spark, tmp_path):
     assert rows(spark.read.format("source_tree").option("prefix", "y/z").load(str(root)), "file_path") == ["['y/z/e.go']"]
     reader = _Reader({"path": str(root)})
     reader.only, reader.exact = ["y/"], False
-    assert [p.folder for p in reader.partitions()] == ["", "y"] and [x.base_name for x in reader.infos(Prefix("y"))] == ["f.ts", "e.go"]
+    assert [p.value[0] for p in reader.partitions()] == ["", "y"] and [x.base_name for x in reader.infos(prefix("y"))] == ["f.ts", "e.go"]
     reader.only, reader.exact = ["x/c.py"], True
-    assert [p.folder for p in reader.partitions()] == ["x"]
+    assert [p.value[0] for p in reader.partitions()] == ["x"]
     past = time.time() - 100
     for folder, _, names in os.walk(root):
         for n in names:
