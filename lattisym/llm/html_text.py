@@ -328,7 +328,8 @@ def judged(pages: DataFrame, min_pages: int, share: float) -> tuple[DataFrame, D
     some = lambda name, keep: F.array_distinct(F.flatten(F.transform(F.filter("blocks", lambda b: (b["rule"] == KEPT) == F.lit(keep)), lambda b: b[name])))
     kinds = F.array(*(F.struct(F.lit(name == "inner").alias("inner"), F.lit(keep).alias("kept"), some(name, keep).alias("marks")) for name, keep in (("marks", True), ("marks", False), ("inner", True))))
     held = read.select("host", "doc_id", "twin", F.explode(kinds).alias("k")).select("host", "k.inner", "k.kept", F.explode("k.marks").alias("mark"), "doc_id", "twin")
-    hits = held.join(found.hint("merge"), ["host", "mark", "inner"]).groupBy("doc_id", "twin")
+    # templates are few: Spark broadcasts them if they turn out to be small, and merges otherwise
+    hits = held.join(found, ["host", "mark", "inner"]).groupBy("doc_id", "twin")
     return read, cut(hits.agg(F.collect_set(F.when(~F.col("inner"), F.col("mark"))).alias("often"), F.collect_set(F.when(F.col("inner"), F.col("mark"))).alias("common"), F.max("kept").alias("changes")))
 
 
@@ -336,7 +337,7 @@ def _left(read: DataFrame, hits: DataFrame) -> DataFrame:
     """Pages without the blocks that are templates; a page of which nothing would be kept stays as it is."""
     gone = lambda b: F.coalesce(F.arrays_overlap(b["marks"], F.col("often")) | F.arrays_overlap(b["inner"], F.col("common")), F.lit(False))
     rest = F.filter("blocks", lambda b: ~gone(b))
-    return read.join(hits.hint("merge"), ["doc_id", "twin"], "left").withColumn("blocks", F.when(F.exists(rest, lambda b: b["rule"] == KEPT), rest).otherwise(F.col("blocks")))
+    return read.join(hits, ["doc_id", "twin"], "left").withColumn("blocks", F.when(F.exists(rest, lambda b: b["rule"] == KEPT), rest).otherwise(F.col("blocks")))
 
 
 def extract(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = ARTICLE_SHARE) -> DataFrame:

@@ -1,6 +1,7 @@
 """The language model against plain counts, plain gradients and sums of probabilities."""
 
 import math
+import pickle
 import random
 import re
 import zlib
@@ -95,6 +96,7 @@ def test_probabilities_sum_to_one(spark):
     rows = lm.rows_of(docs)
     counts = lm.word_counts(rows)
     vocabulary = lm.Vocabulary(counts, words=20)
+    assert b"lattisym" not in pickle.dumps(vocabulary.plain())  # executors may have no copy of the package
     flat = lm.fit(rows, vocabulary)
     tables = lm.Tables(flat)
     every = np.arange(lm.CLASSES)
