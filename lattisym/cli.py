@@ -35,7 +35,7 @@ def parser() -> argparse.ArgumentParser:
     add("locate", "name", kind={"choices": ["class", "function", "method", "variable"]}, file=text, match={"choices": ["exact", "substring"], "default": "exact"})
     add("usages", "name", path=text, kind={"choices": ["call", "import", "assignment", "reference", "definition"]}, limit={"type": int, "default": 50}, no_tests=flag)
     add("imports", "file", depth={"type": int, "default": 1}, include_external=flag)
-    add("body", "name", file=text)
+    add("body", "name", file=text, asked_in=text)
     add("search", "query", limit={"type": int, "default": 20})
     add("replace-body", "name", file=text, expect_hash=text)
     add("insert-symbol", after=text, before=text, file=text, expect_hash=text)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import edits, lookup, reach, relations, search
+from ..operators import definitions, edits, lookup, reach, relations, search
 from . import store
 
 MARK = "<!-- lattisym guide -->"
@@ -51,8 +51,13 @@ class Project:
     def locate(self, name: str, kind=None, file=None, match: str = "exact") -> list[dict]:
         return _rows(lookup.locate(self.graph.nodes, name, kind, file, match, self.graph.grams).withColumnRenamed("file_path", "file"))
 
-    def body(self, name: str, file: str | None = None) -> dict:
-        rows = _rows(lookup.body(self.graph.nodes, self.graph.sources, name, file))
+    def body(self, name: str, file: str | None = None, asked_in: str | None = None) -> dict:
+        """The source of the first candidate, or of the one that a file's imports lead to (`asked_in`)."""
+        found = lookup.search_symbols(self.graph.nodes, name)
+        found = found.where(F.col("file_path") == file) if file else found
+        if asked_in:
+            found = definitions.definition(self.graph.nodes, self.graph.imports, found, asked_in, name)
+        rows = _rows(lookup.bodies(found.orderBy(*lookup.ORDER).limit(1), self.graph.sources))
         if not rows:
             raise ValueError(f"no symbol {name!r} in the graph")
         x = rows[0]

@@ -533,6 +533,7 @@ def test_commands_on_disk(spark, tmp_path):
     assert "pkg/a.py" in run("usages", "g") and "imported_by:\n  - file: pkg/a.py" in run("imports", "pkg/b.py")
     assert "total_affected: 1" in run("blast-radius", "g", "--file", "pkg/b.py") and "symbol: f" in run("dead-code") and "covered: false" in run("test-coverage", "g")
     assert "total_files: 2" in run("overview") and "name: g" in run("search", "g") and "ok: false" in run("outline", "no.py")
+    assert p.body("g", asked_in="pkg/a.py")["file"] == "pkg/b.py" == p.body("g", asked_in="no.py")["file"] and "def g()" in run("body", "g", "--asked-in", "pkg/a.py")
     h = p.body("g")["content_hash"]
     assert "hash mismatch" in run("replace-body", "g", "--expect-hash", "sha256:0", code="def g(): pass")
     assert "lines_added: 2" in run("replace-body", "g", "--expect-hash", h, code="def g(x):\n    return f2(x)")
