@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.joins import shuffled
 from .reach import shared_folder
 
 
@@ -32,15 +33,15 @@ def definitions(nodes: DataFrame, imports: DataFrame, asks: DataFrame) -> DataFr
     frontier = _cut(start.withColumn("here", F.col("file_path")))
     seen, found, hops = frontier, None, 0
     while not frontier.isEmpty():
-        hit = frontier.join(own, ["here", "name"]).groupBy("file_path", "name").agg(F.min(F.struct("here", "line", "qualified_name")).alias("d"))
+        hit = frontier.join(shuffled(own), ["here", "name"]).groupBy("file_path", "name").agg(F.min(F.struct("here", "line", "qualified_name")).alias("d"))
         hit = _cut(hit.select("file_path", "name", "d.qualified_name", F.lit(hops).alias("hops")))
         found = hit if found is None else found.unionByName(hit)
-        left = frontier.join(hit, ["file_path", "name"], "left_anti").join(named, ["here", "name"], "left")
+        left = frontier.join(shuffled(hit), ["file_path", "name"], "left_anti").join(shuffled(named), ["here", "name"], "left")
         by_name = left.where("next is not null").select("file_path", "name", F.col("next").alias("here"))
-        by_star = left.where("next is null").select("file_path", "name", "here").join(stars, "here").select("file_path", "name", F.col("next").alias("here"))
-        frontier = _cut(by_name.union(by_star).distinct().join(seen, ["file_path", "name", "here"], "left_anti"))
+        by_star = left.where("next is null").select("file_path", "name", "here").join(shuffled(stars), "here").select("file_path", "name", F.col("next").alias("here"))
+        frontier = _cut(by_name.union(by_star).distinct().join(shuffled(seen), ["file_path", "name", "here"], "left_anti"))
         seen, hops = seen.unionByName(frontier.select(*seen.columns)), hops + 1
-    out = start.withColumns({"qualified_name": F.lit(None).cast("string"), "hops": F.lit(None).cast("int")}) if found is None else start.join(found, ["file_path", "name"], "left")
+    out = start.withColumns({"qualified_name": F.lit(None).cast("string"), "hops": F.lit(None).cast("int")}) if found is None else start.join(shuffled(found), ["file_path", "name"], "left")
     return out.select("file_path", "name", "qualified_name", "hops")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.joins import shuffled
 from .search import may_hold
 
 #: The fixed order in which "the first candidate" is meant.
@@ -25,8 +26,8 @@ def edges_to(edges: DataFrame, target: str) -> DataFrame:
 
 
 def nodes_named(nodes: DataFrame, names: DataFrame) -> DataFrame:
-    """The nodes whose qualified_name is in names(qualified_name): a semi join that Spark broadcasts only if it is small."""
-    return nodes.join(names.select("qualified_name"), "qualified_name", "left_semi")
+    """The nodes whose qualified_name is in names(qualified_name)."""
+    return nodes.join(shuffled(names.select("qualified_name")), "qualified_name", "left_semi")
 
 
 def file_names(nodes: DataFrame, files: DataFrame) -> DataFrame:
@@ -37,7 +38,7 @@ def file_names(nodes: DataFrame, files: DataFrame) -> DataFrame:
 def file_records(nodes: DataFrame, files: DataFrame) -> DataFrame:
     """One record per file: its symbols (in order of line), imports, error and hash."""
     symbols = nodes.groupBy("file_path").agg(F.array_sort(F.collect_list(F.struct("line_start", "qualified_name", "kind", "name", "signature", "parent_name"))).alias("symbols"))
-    return file_names(nodes, files).join(symbols, "file_path", "left").join(files, "file_path", "left")
+    return file_names(nodes, files).join(shuffled(symbols), "file_path", "left").join(shuffled(files), "file_path", "left")
 
 
 def stats(nodes: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
@@ -130,6 +131,6 @@ def body(nodes: DataFrame, sources: DataFrame, path: str, file_path: str | None
 
 def bodies(nodes: DataFrame, sources: DataFrame) -> DataFrame:
     """The source lines of each node."""
-    out = nodes.join(sources.select("file_path", "source"), "file_path")
+    out = nodes.join(shuffled(sources.select("file_path", "source")), "file_path")
     text = F.array_join(F.slice(X.lines(F.col("source")), F.col("line_start"), F.greatest(F.col("line_end") - F.col("line_start") + 1, F.lit(0))), "\n")
     return out.select("file_path", "qualified_name", "name", "kind", "line_start", "line_end", text.alias("body"), X.content_hash(F.col("source")).alias("content_hash"))
