@@ -29,6 +29,8 @@ def definitions(nodes: DataFrame, imports: DataFrame, asks: DataFrame) -> DataFr
     brought = imports.where("resolved is not null").select(F.col("file_path").alias("here"), "at", F.col("resolved").alias("next"), F.explode("names").alias("name"))
     named = brought.where("name <> '*'").groupBy("here", "name").agg(F.max_by("next", "at").alias("next"))
     stars = brought.where("name = '*'").select("here", "next").distinct()
+    # read at every hop, so made once
+    own, named, stars = _cut(own), _cut(named), _cut(stars)
     start = asks.select("file_path", "name").where("file_path is not null and name is not null").distinct()
     frontier = _cut(start.withColumn("here", F.col("file_path")))
     seen, found, hops = frontier, None, 0

@@ -76,3 +76,8 @@ def test_a_word_is_stemmed_once_a_batch(monkeypatch):
     monkeypatch.setattr(search, "stem", lambda w: asked.append(w) or w)
     words = pa.array([["a", "b", "a"], ["b"], None, ["a"]])
     assert search._stems.func(words).to_pylist() == words.to_pylist() and sorted(asked) == ["a", "b"]
+
+
+def test_definition_lookup_broadcasts_no_imports(spark, monkeypatch):
+    monkeypatch.setattr(definitions, "definitions", lambda nodes, imports, asks: imports)
+    assert "BroadcastExchange" not in plan(queries.QUERIES["definition_lookup"](spark, str(DATA)))
