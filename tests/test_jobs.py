@@ -70,6 +70,17 @@ def test_index_of_one_batch_with_repeated_ids(spark, tmp_path):
     assert search_index.versions(spark, f"{tmp_path}/index").count() == 0
 
 
+def test_postings_are_counted_once_and_joined_without_a_sort(spark, tmp_path, monkeypatch):
+    """Ranges would have all words counted once more for their sample; the answer must not sort all postings."""
+    put(spark, tmp_path / "in", [(k, f"text {k}") for k in range(50)])
+    plans, write = [], search_index._write
+    monkeypatch.setattr(search_index, "_write", lambda rows, path, *parts: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or write(rows, path, *parts))
+    assert run(spark, tmp_path) == 1
+    assert len(plans) == 2 and not any("rangepartitioning" in p for p in plans)
+    assert "SortMergeJoin" not in search_index.current(spark, f"{tmp_path}/index")._jdf.queryExecution().executedPlan().toString()
+    assert index_of(spark, tmp_path) == plain({k: f"text {k}" for k in range(50)})
+
+
 def test_report_again_and_beside_others(spark, tmp_path):
     place = str(tmp_path / "report")
     files = {"a/m.py": "def f():\n    return g()\n\ndef g():\n    print(1)\n", "tests/test_m.py": "from a.m import f\n\ndef test_f():\n    assert f()\n", "a/n.py": "def h():\n    gone()\n"}
