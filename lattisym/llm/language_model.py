@@ -212,43 +212,61 @@ def noise_of(seen: np.ndarray) -> np.ndarray:
     return share / share.sum()
 
 
-def _scatter(index: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the rows of values by index, as n rows."""
-    order = np.argsort(index.astype(np.uint16), kind="stable")
-    index = index[order]
-    new = np.flatnonzero(np.concatenate(([True], index[1:] != index[:-1])))
-    out = np.zeros((n, values.shape[1]), np.float32)
-    out[index[new]] = np.add.reduceat(values[order], new)
-    return out
-
-
 class Learner:
-    """Noise-contrastive steps with per-coordinate rates."""
+    """Noise-contrastive steps with per-coordinate rates. Arrays are kept from step to step: fresh ones of this size would take longer to be mapped than to be filled."""
 
     def __init__(self, flat: np.ndarray, noise: np.ndarray):
         self.model = Model(flat.copy())
         self.squares = Model(np.full(len(flat), 1e-3, np.float32))
         self.rng, self.steps = np.random.default_rng(34), np.cumsum(noise)
         self.offset = np.log(NOISE * noise).astype(np.float32)
+        self.grown, self.work = Model(np.zeros(len(flat), np.float32)), np.empty(len(flat), np.float32)
+        self.ways, self.rows, self.odds = np.empty((2, CLASSES, WIDTH), np.float32), np.empty((4, 0, WIDTH), np.float32), np.empty((0, NOISE), np.float32)
+
+    def _sums(self, index: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct numbers in index, and the sums of their rows of values."""
+        order = np.argsort(index.astype(np.uint16), kind="stable")
+        index = index[order]
+        new = np.flatnonzero(np.concatenate(([True], index[1:] != index[:-1])))
+        return index[new], np.add.reduceat(np.take(values, order, 0, self.rows[3][: len(order)], "clip"), new)
 
     def step(self, near: np.ndarray, far: np.ndarray, target: np.ndarray) -> None:
-        m = self.model
+        m, g, n = self.model, self.grown, len(target)
+        if self.rows.shape[1] < max(n, NOISE):
+            self.rows, self.odds = np.empty((4, max(n, NOISE), WIDTH), np.float32), np.empty((max(n, NOISE), NOISE), np.float32)
         drawn = np.searchsorted(self.steps, self.rng.random(NOISE) * self.steps[-1]).clip(1, CLASSES - 1)
-        ways = m.inputs @ m.near, m.inputs @ m.far
-        predicted = ways[0][near] + ways[1][far]
-        wanted, other = m.outputs[target], m.outputs[drawn]
+        predicted, wanted, d_predicted = (self.rows[k][:n] for k in range(3))
+        np.take(np.matmul(m.inputs, m.near, out=self.ways[0]), near, 0, predicted, "clip")
+        predicted += np.take(np.matmul(m.inputs, m.far, out=self.ways[1]), far, 0, wanted, "clip")
+        np.take(m.outputs, target, 0, wanted, "clip")
+        other, scale = m.outputs[drawn], np.float32(1 / n)
         good = 1 / (1 + np.exp(-(np.einsum("ij,ij->i", predicted, wanted) + m.bias[target] - self.offset[target]).clip(-30, 30)))
-        bad = 1 / (1 + np.exp(-(predicted @ other.T + (m.bias - self.offset)[drawn]).clip(-30, 30)))
-        scale = np.float32(1 / len(target))
-        up, down = (1 - good) * scale, bad * -scale
-        d_predicted = up[:, None] * wanted + down @ other
-        every = np.concatenate((target, drawn))
-        grown = _scatter(every, np.concatenate((np.column_stack((up[:, None] * predicted, up)), np.column_stack((down.T @ predicted, down.sum(0))))), CLASSES)
-        d_near, d_far = _scatter(near, d_predicted, CLASSES), _scatter(far, d_predicted, CLASSES)
-        gradients = (d_near @ m.near.T + d_far @ m.far.T, grown[:, :-1], m.inputs.T @ d_near, m.inputs.T @ d_far, grown[:, -1])
-        g, s = np.concatenate([x.ravel() for x in gradients]) * np.float32(np.sqrt(len(target))), self.squares.flat
-        s += g * g
-        g /= np.sqrt(s)
+        down = np.matmul(predicted, other.T, out=self.odds[:n])
+        down += (m.bias - self.offset)[drawn]
+        np.exp(np.negative(np.clip(down, -30, 30, out=down), out=down), out=down)
+        down += 1
+        np.divide(-scale, down, out=down)
+        up = (1 - good) * scale
+        np.matmul(down, other, out=d_predicted)
+        wanted *= up[:, None]
+        d_predicted += wanted
+        g.flat.fill(0)
+        where, sums = self._sums(target, np.multiply(predicted, up[:, None], out=wanted))
+        g.outputs[where] = sums
+        where, sums = self._sums(drawn, down.T @ predicted)
+        g.outputs[where] += sums
+        g.bias += np.bincount(target, up, CLASSES)
+        g.bias += np.bincount(drawn, down.sum(0), CLASSES)
+        where, sums = self._sums(near, d_predicted)
+        g.inputs[where] = sums @ m.near.T
+        np.matmul(m.inputs[where].T, sums, out=g.near)
+        where, sums = self._sums(far, d_predicted)
+        g.inputs[where] += sums @ m.far.T
+        np.matmul(m.inputs[where].T, sums, out=g.far)
+        g, s = g.flat, self.squares.flat
+        g *= np.float32(np.sqrt(n))
+        s += np.multiply(g, g, out=self.work)
+        g /= np.sqrt(s, out=self.work)
         g *= np.float32(RATE)
         m.flat += g
 

@@ -1,6 +1,7 @@
 """The language model against plain counts, plain gradients and sums of probabilities."""
 
 import math
+import tracemalloc
 import pickle
 import random
 import re
@@ -148,6 +149,29 @@ def test_step_against_plain_gradients():
     assert np.allclose(learner.model.flat, want, atol=2e-4)
 
 
+def test_steps_reuse_their_arrays():
+    """A step maps no fresh arrays of the model's size, and a longer minibatch after a shorter one is as good as alone."""
+    rng = np.random.default_rng(6)
+    noise = lm.noise_of(rng.integers(0, 50, lm.CLASSES).astype(float))
+    learner = lm.Learner(lm.Model.fresh(noise).flat, noise)
+    short, full = rng.integers(1, lm.CLASSES, (3, 10)), rng.integers(1, 700, (3, lm.BATCH))
+    learner.step(*short)
+    after, state = learner.model.flat.copy(), learner.rng.bit_generator.state
+    learner.step(*full)
+    other = lm.Learner(after, noise)
+    other.rng.bit_generator.state = state
+    first = lm.Learner(lm.Model.fresh(noise).flat, noise)
+    first.step(*short)
+    other.squares.flat[:] = first.squares.flat
+    other.step(*full)
+    assert np.array_equal(other.model.flat, learner.model.flat)
+    tracemalloc.start()
+    learner.step(*full)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < learner.model.flat.nbytes
+
+
 def test_equal_hashes_are_told_apart():
     keys, checks = np.array([3, 7, 7, 7, 9], np.uint64), np.array([1, 1, 2, 3, 1], np.uint32)
     at, good = lm._find(keys, checks, np.array([7, 7, 7, 7, 9, 4], np.uint64), np.array([1, 3, 2, 4, 1, 1], np.uint32))
